@@ -182,6 +182,7 @@ class ForestModel:
             T.StructField("tree", T.IntegerType(), False),
             T.StructField("path_length", T.DoubleType(), False),
             T.StructField("leaf", T.LongType(), False),
+            T.StructField("leaf_depth", T.IntegerType(), False),
         ])
         arrow_schema = to_arrow_schema(schema)
 
@@ -201,6 +202,7 @@ class ForestModel:
                             pa.array(np.tile(pk.tree_ids[t0:t1], X.shape[0]).astype(np.int32)),
                             pa.array(pk.value[leaf].ravel()),
                             pa.array(pk.heap[leaf].ravel().astype(np.int64)),
+                            pa.array(pk.depth[leaf].ravel().astype(np.int32)),
                         ], schema=arrow_schema)
 
         return base.mapInArrow(fn, schema)
@@ -276,6 +278,35 @@ def sample_trees(pts: DataFrame, pops: list[Population], psi: int, seed: int, ma
     return trim_to_psi(cands, psi, seed, n_parts)
 
 
+def tree_samples(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
+                 n_trees: int = 100, psi: int = 256, seed: int = 0, groups: int = 1, assign: str = "all",
+                 na: str = "drop", margin: float = 8.0, dim: int | None = None) -> DataFrame:
+    """F1 on its own: (group, tree, id) of every tree's psi-row sample."""
+    spark = df.sparkSession
+    spec, pts = prepare(df, features, feature_col, id_col, na, dim)
+    pops, pop_col, pts, _counts = _populations(pts, n_trees, psi, seed, groups, assign)
+    n_parts = max(1, min(groups * n_trees, 4 * spark.sparkContext.defaultParallelism))
+    s = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts)
+    return s.select((F.col("_tree") / F.lit(n_trees)).cast("int").alias("group"),
+                    F.col("_tree").cast("int").alias("tree"), F.col("_id").alias("id"))
+
+
+def _populations(pts: DataFrame, n_trees: int, psi: int, seed: int, groups: int, assign: str):
+    if assign == "all":
+        n = pts.count()
+        counts = {0: n}
+        pops = [Population(0, n, groups * n_trees, 0)]
+        pop_col = None
+    else:
+        pts, counts = assign_groups(pts, groups, assign, seed)
+        pops = [Population(g, counts.get(g, 0), n_trees, g * n_trees) for g in range(groups)]
+        pop_col = "_g"
+    for pp in pops:
+        if pp.n < psi:
+            raise ValueError(f"sample size psi={psi} exceeds the {pp.n} rows of population {pp.pop}")
+    return pops, pop_col, pts, counts
+
+
 def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
         n_trees: int = 100, psi: int = 256, limit: int | None = None, seed: int = 0, groups: int = 1,
         assign: str = "all", na: str = "drop", margin: float = 8.0, path: str | None = None,
@@ -296,18 +327,7 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     if not 0 <= limit <= 62:
         raise ValueError("limit must be in 0..62 (heap node numbers are 64-bit)")
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
-    if assign == "all":
-        n = pts.count()
-        counts = {0: n}
-        pops = [Population(0, n, groups * n_trees, 0)]
-        pop_col = None
-    else:
-        pts, counts = assign_groups(pts, groups, assign, seed)
-        pops = [Population(g, counts.get(g, 0), n_trees, g * n_trees) for g in range(groups)]
-        pop_col = "_g"
-    for pp in pops:
-        if pp.n < psi:
-            raise ValueError(f"sample size psi={psi} exceeds the {pp.n} rows of population {pp.pop}")
+    pops, pop_col, pts, counts = _populations(pts, n_trees, psi, seed, groups, assign)
     total = groups * n_trees
     n_parts = max(1, min(total, 4 * spark.sparkContext.defaultParallelism))
     path = path or new_path(spark, "models")

@@ -43,6 +43,7 @@ class PackedTrees:
     right: np.ndarray
     value: np.ndarray  # float64 path value: depth + c(size) on leaves
     heap: np.ndarray  # int64 heap number of each node
+    depth: np.ndarray  # int32 depth of each node
     limit: int
 
     @property
@@ -84,7 +85,7 @@ def pack(nodes, limit: int) -> PackedTrees:
     groups = nodes["group"].to_numpy(np.int64)[first]
     roots = lookup(uniq_trees, np.zeros_like(uniq_trees))
     return PackedTrees(uniq_trees, groups, roots.astype(np.int64), feat, thr, left.astype(np.int32),
-                       right.astype(np.int32), value, heap, int(limit))
+                       right.astype(np.int32), value, heap, depth.astype(np.int32), int(limit))
 
 
 def descend(X: np.ndarray, pk: PackedTrees, t0: int, t1: int) -> np.ndarray:

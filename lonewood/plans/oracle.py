@@ -177,7 +177,7 @@ class ForestSQL:
         for e in range(L + 1):
             out.append((f"{p}_j{e}", f"SELECT s.id, s.x, s.tree, s.node, n.is_leaf, n.feature, n.threshold, "
                                      f"n.depth, n.size FROM {p}_s{e} s JOIN {p}_nodes n USING (tree, node)"))
-            fins.append(f"SELECT id, tree, depth + {c_factor_sql('size')} AS path_length, node AS leaf "
+            fins.append(f"SELECT id, tree, depth + {c_factor_sql('size')} AS path_length, node AS leaf, depth AS leaf_depth "
                         f"FROM {p}_j{e} WHERE is_leaf")
             if e < L:
                 out.append((f"{p}_s{e + 1}", f"SELECT id, x, tree, CASE WHEN x[feature + 1] < threshold "

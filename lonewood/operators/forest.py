@@ -27,7 +27,7 @@ from ..functions.draws import c_factor_py
 from ..session import new_path, shared_dir, ship_package
 from ..sources.points import FeatureSpec, apply_na, canonical, resolve_features
 from . import scoring as S
-from .growth import NODES_SCHEMA, make_grower
+from .growth import NODES_SCHEMA, grow_partition_fn
 from .ordering import global_row_index
 from .sampling import Population, candidates, chunk_contiguous, chunk_hash, trim_to_psi
 
@@ -91,8 +91,9 @@ class ForestModel:
 
     # ------------------------------------------------------------ packing
     def node_pandas(self) -> pd.DataFrame:
-        """The model's node table on the driver; bounded by trees * (2 psi - 1)."""
-        return self.nodes.toPandas()
+        """The model's node table on the driver; bounded by trees * (2 psi - 1).  Arrow
+        transfer (no per-row objects), whatever the session's Arrow setting."""
+        return self.nodes.toArrow().to_pandas()
 
     def blocks(self) -> list:
         if self._blocks is None:
@@ -116,11 +117,19 @@ class ForestModel:
             return chunk_hash(df, self.n_groups, self.seed, id_col)
         raise ValueError("local scoring of contiguous chunks needs group_col=")
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Scoring costs rows x trees x depth: an input with fewer splits than task slots
+        (small files) is spread over the slots first.  Inputs at scale have far more
+        splits than slots and are left untouched (no shuffle)."""
+        slots = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            return df.repartition(slots)
+        return df
+
     def _partials(self, df: DataFrame, local_group: Column | None = None) -> tuple[DataFrame, list[str]]:
         """df + per-group path-length sums ``_h{g}`` (or ``_hl`` for local scoring)."""
         d, k = self.d, self.n_groups
-        user_cols = list(df.columns)
-        base = df.select("*", *self.spec.exprs())
+        base = self._spread(df).select("*", *self.spec.exprs())
         if local_group is not None:
             base = base.withColumn("_lg", local_group)
         bc = self.broadcast()
@@ -175,7 +184,7 @@ class ForestModel:
         d = self.d
         bc = self.broadcast()
         nblocks = len(self.blocks())
-        base = df.select(F.col(id_col).cast("bigint").alias("_id"), *self.spec.exprs())
+        base = self._spread(df).select(F.col(id_col).cast("bigint").alias("_id"), *self.spec.exprs())
         schema = T.StructType([
             T.StructField("id", T.LongType(), False),
             T.StructField("group", T.IntegerType(), False),
@@ -254,7 +263,7 @@ def default_limit(psi: int) -> int:
 def prepare(df: DataFrame, features=None, feature_col=None, id_col: str = "id", na: str = "drop",
             dim: int | None = None):
     spec = resolve_features(df, features, feature_col, dim)
-    pts = apply_na(canonical(df, spec, id_col), spec.d, na)
+    pts = canonical(apply_na(df, spec, na), spec, id_col)
     return spec, pts
 
 
@@ -285,7 +294,7 @@ def tree_samples(df: DataFrame, features=None, feature_col: str | None = None, i
     spark = df.sparkSession
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
     pops, pop_col, pts, _counts = _populations(pts, n_trees, psi, seed, groups, assign)
-    n_parts = max(1, min(groups * n_trees, 4 * spark.sparkContext.defaultParallelism))
+    n_parts = max(1, min(groups * n_trees, spark.sparkContext.defaultParallelism))
     s = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts)
     return s.select((F.col("_tree") / F.lit(n_trees)).cast("int").alias("group"),
                     F.col("_tree").cast("int").alias("tree"), F.col("_id").alias("id"))
@@ -329,13 +338,14 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
     pops, pop_col, pts, counts = _populations(pts, n_trees, psi, seed, groups, assign)
     total = groups * n_trees
-    n_parts = max(1, min(total, 4 * spark.sparkContext.defaultParallelism))
+    n_parts = max(1, min(total, spark.sparkContext.defaultParallelism))
     path = path or new_path(spark, "models")
-    grower = make_grower(spec.d, limit, seed, n_trees)
+    grower = grow_partition_fn(spec.d, limit, seed, n_trees, to_arrow_schema(NODES_SCHEMA))
     cols = ["_tree", "_id"] + [f"_x{i}" for i in range(spec.d)]
     for attempt in range(4):
+        # the sample stays hash-partitioned by tree: each task grows whole trees
         sample = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts).select(*cols)
-        nodes = sample.groupBy("_tree").applyInPandas(grower, NODES_SCHEMA)
+        nodes = sample.mapInArrow(grower, NODES_SCHEMA)
         nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         saved = spark.read.parquet(f"{path}/nodes")
         roots = saved.where(F.col("node") == 0).agg(

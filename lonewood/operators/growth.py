@@ -54,6 +54,108 @@ def grow_tree(tree: int, X: np.ndarray, limit: int, seed: int) -> list[tuple]:
     return out
 
 
+def grow_level_wise(tree: np.ndarray, ids: np.ndarray, X: np.ndarray, limit: int, seed: int) -> dict:
+    """Grow every tree present in (tree, ids, X) together, one level at a time.
+
+    Same definition as ``grow_tree`` (bit-identical nodes): per level, rows are grouped
+    by (tree, node) with one sort, node min/max come from segment reductions, and the
+    keyed draws are taken once per splitting node.
+    """
+    d = X.shape[1]
+    out = {k: [] for k in ("tree", "node", "depth", "size", "feature", "threshold", "is_leaf")}
+    if tree.shape[0] == 0:
+        return {k: np.array(v) for k, v in out.items()}
+    o = np.lexsort((ids, tree))
+    t_s, i_s = tree[o], ids[o]
+    dup = (t_s[1:] == t_s[:-1]) & (i_s[1:] == i_s[:-1])
+    if dup.any():
+        raise ValueError(f"duplicate ids in the sample of tree {int(t_s[1:][dup][0])}: the id column must be unique")
+    node = np.zeros(tree.shape[0], dtype=np.int64)
+    rows = np.arange(tree.shape[0])
+    span = np.int64(1) << np.int64(limit + 1)
+
+    def emit(tr, nd, dep, sz, ft, th, lf):
+        out["tree"].append(tr)
+        out["node"].append(nd)
+        out["depth"].append(dep)
+        out["size"].append(sz)
+        out["feature"].append(ft)
+        out["threshold"].append(th)
+        out["is_leaf"].append(lf)
+
+    for depth in range(limit + 1):
+        if rows.shape[0] == 0:
+            break
+        key = tree[rows] * span + node[rows]
+        o = np.argsort(key, kind="stable")
+        rows, key = rows[o], key[o]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        counts = np.diff(np.r_[starts, key.shape[0]])
+        n_tree = tree[rows[starts]]
+        n_node = node[rows[starts]]
+        split = (counts > 1) & (depth < limit)
+        nl = ~split
+        k = int(nl.sum())
+        if k:
+            emit(n_tree[nl], n_node[nl], np.full(k, depth), counts[nl], np.full(k, -1), np.full(k, np.nan),
+                 np.ones(k, dtype=bool))
+        if not split.any():
+            break
+        s_tree, s_node, s_start, s_cnt = n_tree[split], n_node[split], starts[split], counts[split]
+        q = np.array([int(u_py(seed, "q", int(t), int(n)) * d) for t, n in zip(s_tree, s_node)], dtype=np.int64)
+        up = np.array([u_py(seed, "p", int(t), int(n)) for t, n in zip(s_tree, s_node)], dtype=np.float64)
+        # rows of splitting nodes, with their node's position in the split arrays
+        seg = np.repeat(np.arange(s_start.shape[0]), s_cnt)
+        r_idx = rows[np.concatenate([np.arange(a, a + c) for a, c in zip(s_start, s_cnt)])]
+        xq = X[r_idx, q[seg]]
+        bounds = np.r_[0, np.cumsum(s_cnt)[:-1]]
+        lo = np.minimum.reduceat(xq, bounds)
+        hi = np.maximum.reduceat(xq, bounds)
+        thr = lo + up * (hi - lo)
+        go_left = xq < thr[seg]
+        n_left = np.add.reduceat(go_left.astype(np.int64), bounds)
+        m = s_tree.shape[0]
+        emit(s_tree, s_node, np.full(m, depth), s_cnt, q, thr, np.zeros(m, dtype=bool))
+        for empty, side in ((n_left == 0, 1), (n_left == s_cnt, 2)):
+            e = int(empty.sum())
+            if e:
+                emit(s_tree[empty], 2 * s_node[empty] + side, np.full(e, depth + 1), np.zeros(e, dtype=np.int64),
+                     np.full(e, -1), np.full(e, np.nan), np.ones(e, dtype=bool))
+        node[r_idx] = 2 * node[r_idx] + np.where(go_left, 1, 2)
+        rows = r_idx
+    return {k: np.concatenate(v) if v else np.array([]) for k, v in out.items()}
+
+
+def grow_partition_fn(d: int, limit: int, seed: int, trees_per_group: int, arrow_schema):
+    """mapInArrow body: a partition holds whole trees (hash-partitioned by tree); its
+    rows (bounded by trees * psi / partitions) are grown together."""
+    import pyarrow as pa
+
+    def fn(batches):
+        tb = [b for b in batches if b.num_rows]
+        if not tb:
+            return
+        tab = pa.Table.from_batches(tb)
+        tree = tab.column("_tree").to_numpy().astype(np.int64)
+        ids = tab.column("_id").to_numpy().astype(np.int64)
+        X = np.column_stack([tab.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(np.float64)
+                             for i in range(d)]) if d else np.zeros((tree.shape[0], 0))
+        r = grow_level_wise(tree, ids, X, limit, seed)
+        feat = r["feature"].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([
+            pa.array((r["tree"] // trees_per_group).astype(np.int32)),
+            pa.array(r["tree"].astype(np.int32)),
+            pa.array(r["node"].astype(np.int64)),
+            pa.array(r["depth"].astype(np.int32)),
+            pa.array(r["size"].astype(np.int64)),
+            pa.array(feat.astype(np.int32), mask=feat < 0),
+            pa.array(r["threshold"].astype(np.float64), mask=feat < 0),
+            pa.array(r["is_leaf"].astype(bool)),
+        ], schema=arrow_schema)
+
+    return fn
+
+
 def make_grower(d: int, limit: int, seed: int, trees_per_group: int):
     xcols = [f"_x{i}" for i in range(d)]
 

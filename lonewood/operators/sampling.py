@@ -67,41 +67,83 @@ def _pick(values: list, pop: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), pop + F.lit(1))
 
 
+def _hop_fn(pops: list[Population], psi: int, seed: int, margin: float, pop_idx: int | None, arrow_schema,
+            keep_names: list[str]):
+    """mapInArrow body for survivors: hops 2, 3, ... until the row passes its last tree.
+
+    Exact (no cap on hops): the walk stops only when the position reaches TT.  Work is
+    bounded by the number of (row, tree) candidates, about TT * psi' per population.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    lq = [pp.ln1mp(psi, margin) for pp in pops]
+    tt = [int(pp.trees) for pp in pops]
+    off = [int(pp.offset) for pp in pops]
+    prefix = f"{seed}:"
+
+    def skip(rid: int, k: int, lnq: float) -> int:
+        h = hashlib.md5(f"{prefix}{rid}:{k}".encode()).hexdigest()
+        u = int(h[:13], 16) / 4503599627370496.0
+        return math.floor(math.log(1.0 - u) / lnq)
+
+    def fn(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            ids = b.column(b.schema.get_field_index("_id")).to_numpy().astype(np.int64)
+            pos1 = b.column(b.schema.get_field_index("_pos1")).to_numpy().astype(np.int64)
+            pop = (b.column(pop_idx).to_numpy().astype(np.int64) if pop_idx is not None
+                   else np.zeros(b.num_rows, dtype=np.int64))
+            reps, trees = [], []
+            for i in range(b.num_rows):
+                g = int(pop[i])
+                last, lim, lnq, k = int(pos1[i]), tt[g], lq[g], 2
+                mine = [last]
+                while last < lim - 1:
+                    last = last + 1 + skip(int(ids[i]), k, lnq)
+                    k += 1
+                    if last < lim:
+                        mine.append(last)
+                reps.append(len(mine))
+                trees.extend(p + off[g] for p in mine)
+            take = pa.array(np.repeat(np.arange(b.num_rows), reps))
+            cols = [b.column(b.schema.get_field_index(n)).take(take) for n in keep_names]
+            cols.append(pa.array(np.array(trees, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
+
+    return fn
+
+
 def candidates(points: DataFrame, pops: list[Population], psi: int, seed: int, margin: float,
                pop_col: str | None = None) -> DataFrame:
     """Rows of ``points`` exploded to (tree, row) candidate pairs; adds ``_tree``.
 
+    The first hop of every row is one JVM expression (codegen, pushed next to the scan):
+    rows whose first hop is already past the last tree never leave the JVM.
     ``pop_col`` names the integer population column (chunk group); None = one population.
     """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from ..session import ship_package
+
+    ship_package(points.sparkSession)
     pop = F.col(pop_col) if pop_col else F.lit(0)
     ln1mp = _pick([pp.ln1mp(psi, margin) for pp in pops], pop)
     tt = _pick([int(pp.trees) for pp in pops], pop).cast("bigint")
-    kk = _pick([int(pp.k_hops(psi, margin)) for pp in pops], pop).cast("bigint")
-    off = _pick([int(pp.offset) for pp in pops], pop).cast("bigint")
-    rid = F.col("_id")
-
-    def skip(k: Column) -> Column:
-        return F.floor(F.log(F.lit(1.0) - u_col(seed, rid, k)) / ln1mp).cast("bigint")
-
-    def hop(acc: Column, k: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when(last >= tt - F.lit(1), acc).otherwise(F.concat(acc, F.array(last + F.lit(1) + skip(k))))
-
-    first = skip(F.lit(1))
+    first = F.floor(F.log(F.lit(1.0) - u_col(seed, F.col("_id"), 1)) / ln1mp).cast("bigint")
     survivors = points.withColumn("_pos1", first).where(F.col("_pos1") < tt)
-    start = F.array(F.col("_pos1"))
-    # hops 2..K for every survivor; K covers TT*p + 10 sigma + 10
-    a1 = F.when(kk >= F.lit(2), F.aggregate(F.sequence(F.lit(2).cast("bigint"), kk), start, hop)).otherwise(start)
-    survivors = survivors.withColumn("_a1", a1)
-    a1c = F.col("_a1")
-    # exact tail: a row still short of the last tree after K hops continues to TT
-    a2 = F.when((F.element_at(a1c, -1) < tt - F.lit(1)) & (kk < tt),
-                F.aggregate(F.sequence(kk + F.lit(1), tt), a1c, hop)).otherwise(a1c)
-    trees = F.filter(a2, lambda t: t < tt)
-    out = (survivors.withColumn("_lt", F.explode(trees))
-           .withColumn("_tree", F.col("_lt") + off)
-           .drop("_pos1", "_a1", "_lt"))
-    return out
+    # survivors (about min(N, TT * psi') rows) spread over the task slots for the hop walk
+    slots = points.sparkSession.sparkContext.defaultParallelism
+    survivors = survivors.repartition(max(1, slots), "_id")
+    keep = [f for f in points.schema.fields]
+    out_schema = T.StructType(keep + [T.StructField("_tree", T.LongType(), False)])
+    pop_idx = survivors.columns.index(pop_col) if pop_col else None
+    fn = _hop_fn(pops, psi, seed, margin, pop_idx, to_arrow_schema(out_schema), [f.name for f in keep])
+    return survivors.mapInArrow(fn, out_schema)
 
 
 def trim_to_psi(cands: DataFrame, psi: int, seed: int, n_parts: int) -> DataFrame:

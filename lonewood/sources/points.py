@@ -42,6 +42,18 @@ class FeatureSpec:
             return [F.when(n_ok, F.try_element_at(arr, F.lit(i + 1))).alias(f"_x{i}") for i in range(self.dim)]
         return [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.columns)]
 
+    def valid_expr(self) -> Column:
+        """True when every feature of the row is present and not NaN (on the raw columns,
+        so one array predicate instead of d per-element tests)."""
+        if self.array_col:
+            arr = F.col(self.array_col).cast("array<double>")
+            return (F.size(arr) == F.lit(self.dim)) & ~F.exists(arr, lambda v: v.isNull() | F.isnan(v))
+        cond = F.lit(True)
+        for c in self.columns:
+            v = F.col(c).cast("double")
+            cond = cond & v.isNotNull() & ~F.isnan(v)
+        return cond
+
     def to_meta(self) -> dict:
         return {"columns": self.columns, "array_col": self.array_col, "dim": self.dim}
 
@@ -91,12 +103,13 @@ def canonical(df: DataFrame, spec: FeatureSpec, id_col: str, keep: list[str] | N
     return df.select(F.col(id_col).cast("bigint").alias("_id"), *extra, *spec.exprs())
 
 
-def apply_na(points: DataFrame, d: int, na: str) -> DataFrame:
+def apply_na(df: DataFrame, spec: FeatureSpec, na: str) -> DataFrame:
+    """NA policy on the raw table (before projection, so the predicate reaches the scan)."""
     if na == "drop":
-        return points.where(valid_row(d))
+        return df.where(spec.valid_expr())
     if na == "keep":
-        return points
+        return df
     if na == "fail":
-        bad = F.when(~valid_row(d), F.raise_error(F.lit("NULL or NaN feature in training data")))
-        return points.where(bad.isNull())
+        bad = F.when(~spec.valid_expr(), F.raise_error(F.lit("NULL or NaN feature in training data")))
+        return df.where(bad.isNull())
     raise ValueError("na must be 'drop', 'fail' or 'keep'")

@@ -166,7 +166,8 @@ def q_tree_samples(spark, sf):
 def _nodes_out(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("group").cast("bigint").alias("group"), F.col("tree").cast("bigint").alias("tree"),
                         "node", F.col("depth").cast("bigint").alias("depth"), "size",
-                        F.col("feature").cast("bigint").alias("feature"), "threshold", "is_leaf")
+                        F.coalesce(F.col("feature"), F.lit(-1)).cast("bigint").alias("feature"), "threshold",
+                        "is_leaf")
 
 
 def q_tree_nodes(spark, sf):

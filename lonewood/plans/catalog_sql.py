@@ -61,7 +61,7 @@ def _forest_stats_sql(spec: Spec, by_group: bool) -> str:
 
 
 NODES_OUT = ('CAST("group" AS BIGINT) AS "group", CAST(tree AS BIGINT) AS tree, node, CAST(depth AS BIGINT) AS depth, '
-             'size, CAST(feature AS BIGINT) AS feature, threshold, is_leaf')
+             'size, CAST(coalesce(feature, -1) AS BIGINT) AS feature, threshold, is_leaf')
 
 
 def _ranked(spec: Spec, p: str, combine: str = "forest", data=None):

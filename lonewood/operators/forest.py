@@ -34,8 +34,8 @@ from .sampling import Population, candidates, chunk_contiguous, chunk_hash, trim
 FORMAT_VERSION = 1
 # nodes per broadcast block (~36 bytes each once packed)
 MAX_BLOCK_NODES = 2_000_000
-# hard bound on what fit will ever collect to the driver
-MAX_MODEL_NODES = 200_000_000
+# hard bound on the model the driver packs for scoring (~40 bytes per packed node)
+MAX_MODEL_NODES = 50_000_000
 
 META_SCHEMA = T.StructType([
     T.StructField("group", T.IntegerType(), False),
@@ -105,10 +105,11 @@ class ForestModel:
             self._blocks = [S.pack(nodes[nodes["tree"].isin(b)], self.limit) for b in parts]
         return self._blocks
 
-    def broadcast(self):
+    def broadcast(self) -> list:
+        """One broadcast variable per block: a scoring pass holds one block in memory."""
         ship_package(self.spark)
         if self._bcast is None:
-            self._bcast = self.spark.sparkContext.broadcast(self.blocks())
+            self._bcast = [self.spark.sparkContext.broadcast(b) for b in self.blocks()]
         return self._bcast
 
     # ------------------------------------------------------------ scoring
@@ -121,6 +122,8 @@ class ForestModel:
         """Scoring costs rows x trees x depth: an input with fewer splits than task slots
         (small files) is spread over the slots first.  Inputs at scale have far more
         splits than slots and are left untouched (no shuffle)."""
+        if df.isStreaming:
+            return df
         slots = self.spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < slots:
             return df.repartition(slots)
@@ -144,7 +147,7 @@ class ForestModel:
             out_schema = T.StructType(keep_fields + [T.StructField(h, T.DoubleType(), False) for h in hnames])
             arrow_schema = to_arrow_schema(out_schema)
             keep_names = [f.name for f in keep_fields]
-            fn = _block_fn(bc, bi, d, k, hnames, keep_names, arrow_schema, local_group is not None)
+            fn = _block_fn(bc[bi], d, k, hnames, keep_names, arrow_schema, local_group is not None)
             cur = cur.mapInArrow(fn, out_schema)
         return cur, hnames
 
@@ -196,12 +199,11 @@ class ForestModel:
         arrow_schema = to_arrow_schema(schema)
 
         def fn(batches):
-            blocks = bc.value
             for b in batches:
                 X = S.matrix_from_batch(b, d)
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 for bi in range(nblocks):
-                    pk = blocks[bi]
+                    pk = bc[bi].value
                     for t0, t1 in S.tree_chunks(X.shape[0], pk.tree_ids.shape[0]):
                         leaf = S.descend(X, pk, t0, t1)
                         nt = t1 - t0
@@ -217,10 +219,9 @@ class ForestModel:
         return base.mapInArrow(fn, schema)
 
 
-def _block_fn(bc, bi: int, d: int, k: int, hnames: list[str], keep_names: list[str], arrow_schema,
-              local: bool):
+def _block_fn(bc, d: int, k: int, hnames: list[str], keep_names: list[str], arrow_schema, local: bool):
     def fn(batches):
-        pk = bc.value[bi]
+        pk = bc.value
         for b in batches:
             X = S.matrix_from_batch(b, d)
             if local:

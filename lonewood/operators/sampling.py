@@ -136,9 +136,10 @@ def candidates(points: DataFrame, pops: list[Population], psi: int, seed: int, m
     tt = _pick([int(pp.trees) for pp in pops], pop).cast("bigint")
     first = F.floor(F.log(F.lit(1.0) - u_col(seed, F.col("_id"), 1)) / ln1mp).cast("bigint")
     survivors = points.withColumn("_pos1", first).where(F.col("_pos1") < tt)
-    # survivors (about min(N, TT * psi') rows) spread over the task slots for the hop walk
+    # survivors (about min(N, TT * psi') rows) spread round-robin over the task slots for
+    # the hop walk -- not by id, so even a (forbidden) hot duplicate id cannot pile up
     slots = points.sparkSession.sparkContext.defaultParallelism
-    survivors = survivors.repartition(max(1, slots), "_id")
+    survivors = survivors.repartition(max(1, slots))
     keep = [f for f in points.schema.fields]
     out_schema = T.StructType(keep + [T.StructField("_tree", T.LongType(), False)])
     pop_idx = survivors.columns.index(pop_col) if pop_col else None

@@ -515,6 +515,19 @@ def q_score_position(spark, sf):
                       F.col("bin").cast("bigint").alias("bin"))
 
 
+def q_stream_score_events(spark, sf):
+    """The events table replayed as a file stream, scored micro-batch by micro-batch."""
+    from ..streaming.scoring import replay_as_stream, score_stream, write_scores
+
+    m = model(spark, sf, M_EVT)
+    stream = replay_as_stream(spark, EVT.df(spark, sf), n_files=4)
+    out = new_path(spark, "stream-sinks")
+    q = write_scores(score_stream(m, stream, id_col=EVT.id_col), out)
+    q.awaitTermination()
+    s = spark.read.parquet(out)
+    return _score_out(s.select(F.col(EVT.id_col).cast("bigint").alias("id"), "path_mean", "score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_points_scan": q_csv_points_scan,
     "text_points_parse": q_text_points_parse,
@@ -546,6 +559,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_table": q_score_table,
     "score_embeddings": q_score_embeddings,
     "score_events": q_score_events,
+    "stream_score_events": q_stream_score_events,
     "fit_score_save": q_fit_score_save,
     "c_factor": q_c_factor,
     "node_at_path": q_node_at_path,

@@ -220,6 +220,7 @@ ORACLE: dict[str, str] = {
         f"FROM part p JOIN f_sc s ON s.id = p.p_partkey")),
     "score_embeddings": scores_sql(M_EMB),
     "score_events": scores_sql(M_EVT),
+    "stream_score_events": scores_sql(M_EVT),
     "fit_score_save": with_sql(_ranked(M_CUST, "f"), "SELECT id, round(score, 6) AS score FROM f_rk "
                                                      "ORDER BY rscore DESC, id ASC LIMIT 10"),
     "c_factor": f"SELECT n, {rr(c_factor_sql('n'))} AS c FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part)",

@@ -91,3 +91,18 @@ def test_every_query_has_an_oracle():
     import __spark_entry__ as E
 
     assert set(E.queries()) == set(E.oracle_sql())
+
+
+def test_stream_scoring_equals_batch(spark):
+    from lonewood.operators.forest import fit
+    from lonewood.streaming.scoring import replay_as_stream, score_stream, write_scores
+
+    ev = spark.read.parquet(f"{SF001}/events.parquet").select("event_id", "value", F.hour("ts").alias("h"))
+    m = fit(ev, features=["value", "h"], id_col="event_id", n_trees=20, psi=128, seed=2)
+    batch = {r.event_id: r.score for r in m.score(ev, id_col="event_id").collect()}
+    stream = replay_as_stream(spark, ev, n_files=3)
+    out = new_path(spark, "test-stream-out")
+    q = write_scores(score_stream(m, stream, id_col="event_id"), out)
+    q.awaitTermination()
+    got = {r.event_id: r.score for r in spark.read.parquet(out).collect()}
+    assert got == batch

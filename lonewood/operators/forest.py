@@ -101,7 +101,8 @@ class ForestModel:
             if len(nodes) > MAX_MODEL_NODES:
                 raise ValueError(f"model has {len(nodes)} nodes, above MAX_MODEL_NODES")
             sizes = nodes.groupby("tree").size()
-            parts = S.block_split([(int(t), int(n)) for t, n in sizes.items()], MAX_BLOCK_NODES)
+            per_tree = ((1 << (self.limit + 1)) - 1 + (1 << self.limit) if self.limit <= S.DENSE_MAX_LIMIT else None)
+            parts = S.block_split([(int(t), per_tree or int(n)) for t, n in sizes.items()], MAX_BLOCK_NODES)
             self._blocks = [S.pack(nodes[nodes["tree"].isin(b)], self.limit) for b in parts]
         return self._blocks
 
@@ -204,17 +205,19 @@ class ForestModel:
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 for bi in range(nblocks):
                     pk = bc[bi].value
-                    for t0, t1 in S.tree_chunks(X.shape[0], pk.tree_ids.shape[0]):
-                        leaf = S.descend(X, pk, t0, t1)
-                        nt = t1 - t0
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(np.repeat(ids, nt).astype(np.int64)),
-                            pa.array(np.tile(pk.groups[t0:t1], X.shape[0]).astype(np.int32)),
-                            pa.array(np.tile(pk.tree_ids[t0:t1], X.shape[0]).astype(np.int32)),
-                            pa.array(pk.value[leaf].ravel()),
-                            pa.array(pk.heap[leaf].ravel().astype(np.int64)),
-                            pa.array(pk.depth[leaf].ravel().astype(np.int32)),
-                        ], schema=arrow_schema)
+                    for r0, r1 in S.row_chunks(X.shape[0]):
+                        Xr = X[r0:r1]
+                        for t0, t1 in S.tree_chunks(Xr.shape[0], pk.tree_ids.shape[0]):
+                            leaf = S.descend(Xr, pk, t0, t1)
+                            nt = t1 - t0
+                            yield pa.RecordBatch.from_arrays([
+                                pa.array(np.repeat(ids[r0:r1], nt).astype(np.int64)),
+                                pa.array(np.tile(pk.groups[t0:t1], Xr.shape[0]).astype(np.int32)),
+                                pa.array(np.tile(pk.tree_ids[t0:t1], Xr.shape[0]).astype(np.int32)),
+                                pa.array(pk.leaf_value[leaf].ravel()),
+                                pa.array(pk.leaf_heap[leaf].ravel().astype(np.int64)),
+                                pa.array(pk.leaf_depth[leaf].ravel().astype(np.int32)),
+                            ], schema=arrow_schema)
 
         return base.mapInArrow(fn, schema)
 
@@ -249,10 +252,11 @@ def _local_sums(X: np.ndarray, pk: S.PackedTrees, g: np.ndarray) -> np.ndarray:
         t1 = int(np.searchsorted(pk.groups, gi, side="right"))
         if t1 <= t0:
             continue
-        Xg = X[rows]
-        for a, b in S.tree_chunks(Xg.shape[0], t1 - t0):
-            leaf = S.descend(Xg, pk, t0 + a, t0 + b)
-            out[rows] += pk.value[leaf].sum(axis=1)
+        for r0, r1 in S.row_chunks(rows.shape[0]):
+            rr = rows[r0:r1]
+            Xg = X[rr]
+            for a, b in S.tree_chunks(Xg.shape[0], t1 - t0):
+                out[rr] += pk.leaf_value[S.descend(Xg, pk, t0 + a, t0 + b)].sum(axis=1)
     return out
 
 

@@ -30,75 +30,115 @@ def c_table(max_n: int) -> np.ndarray:
     return np.array([c_factor_py(n) for n in range(max_n + 1)], dtype=np.float64)
 
 
+# dense heap layout up to this depth limit (2^(limit+1) - 1 slots per tree)
+DENSE_MAX_LIMIT = 12
+# rows per numpy step: (rows x trees) int64 work arrays stay cache-sized
+ROWS_PER_STEP = 1024
+
+
 @dataclass
 class PackedTrees:
-    """Flat arrays for a block of trees; index = compact node number."""
+    """Flat arrays for a block of trees.
+
+    dense (limit <= DENSE_MAX_LIMIT): per tree ``M = 2^(limit+1) - 1`` heap slots of
+    (feature, threshold); a leaf above the last level is completed downwards (threshold
+    +inf, both subtrees carry its value), so descent is ``node = 2 node + 1 + (x >= t)``
+    for exactly ``limit`` steps with no child lookups, and the ``2^limit`` bottom slots
+    hold (value, leaf heap number, leaf depth).
+    compact: one slot per real node with child indexes, leaves looping to themselves.
+    """
 
     tree_ids: np.ndarray  # global tree number of each packed tree
     groups: np.ndarray  # group of each packed tree
-    root: np.ndarray  # compact index of each tree's root
-    feature: np.ndarray  # int32, 0 on leaves
-    threshold: np.ndarray  # float64, +inf on leaves
-    left: np.ndarray  # int32 compact child / self on leaves
-    right: np.ndarray
-    value: np.ndarray  # float64 path value: depth + c(size) on leaves
-    heap: np.ndarray  # int64 heap number of each node
-    depth: np.ndarray  # int32 depth of each node
     limit: int
+    dense: bool
+    feature: np.ndarray  # int64 per slot (0 where unused)
+    threshold: np.ndarray  # float64 per slot (+inf on leaves / unused)
+    leaf_value: np.ndarray  # float64 depth + c(size), per leaf slot
+    leaf_heap: np.ndarray  # int64 heap number of the real leaf, per leaf slot
+    leaf_depth: np.ndarray  # int32 depth of the real leaf, per leaf slot
+    root: np.ndarray | None = None  # compact: root slot of each tree
+    left: np.ndarray | None = None  # compact: child slots
+    right: np.ndarray | None = None
 
     @property
-    def n_nodes(self) -> int:
+    def n_slots(self) -> int:
         return int(self.feature.shape[0])
 
 
 def pack(nodes, limit: int) -> PackedTrees:
     """Pack a pandas node table (one block of trees)."""
     nodes = nodes.sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
-    n = len(nodes)
     tree = nodes["tree"].to_numpy(np.int64)
     heap = nodes["node"].to_numpy(np.int64)
     is_leaf = nodes["is_leaf"].to_numpy(bool)
     size = nodes["size"].to_numpy(np.int64)
     depth = nodes["depth"].to_numpy(np.int64)
-    # compact index of (tree, heap) via a sorted key lookup
+    feat = nodes["feature"].fillna(0).to_numpy(np.int64)
+    thr = nodes["threshold"].to_numpy(np.float64, na_value=np.nan)
+    ct = c_table(int(size.max()) if len(nodes) else 1)
+    value = depth.astype(np.float64) + ct[size]
+    uniq, first = np.unique(tree, return_index=True)
+    groups = nodes["group"].to_numpy(np.int64)[first]
+    tpos = np.searchsorted(uniq, tree)  # position of each node's tree in the block
+    if limit <= DENSE_MAX_LIMIT:
+        M, NB = (1 << (limit + 1)) - 1, 1 << limit
+        nt = uniq.shape[0]
+        f_d = np.zeros(nt * M, dtype=np.int64)
+        t_d = np.full(nt * M, np.inf)
+        inner = ~is_leaf
+        f_d[tpos[inner] * M + heap[inner]] = feat[inner]
+        t_d[tpos[inner] * M + heap[inner]] = thr[inner]
+        # every leaf covers 2^(limit - depth) consecutive bottom slots
+        lf = np.flatnonzero(is_leaf)
+        span = np.left_shift(1, limit - depth[lf])
+        start = (heap[lf] + 1) * span - 1 - (NB - 1) + tpos[lf] * NB
+        idx = np.repeat(start - np.r_[0, np.cumsum(span)[:-1]], span) + np.arange(int(span.sum()))
+        lv = np.zeros(nt * NB)
+        lh = np.zeros(nt * NB, dtype=np.int64)
+        ld = np.zeros(nt * NB, dtype=np.int32)
+        lv[idx] = np.repeat(value[lf], span)
+        lh[idx] = np.repeat(heap[lf], span)
+        ld[idx] = np.repeat(depth[lf], span)
+        return PackedTrees(uniq, groups, int(limit), True, f_d, t_d, lv, lh, ld)
+    # compact layout: slot = row of the sorted node table
+    n = len(nodes)
     key = tree * (1 << 40) + heap
-    order = np.argsort(key, kind="stable")
-    skey = key[order]
 
     def lookup(t, h):
-        pos = np.searchsorted(skey, t * (1 << 40) + h)
-        pos = np.minimum(pos, n - 1)
-        ok = skey[pos] == t * (1 << 40) + h
-        return np.where(ok, order[pos], -1)
+        pos = np.minimum(np.searchsorted(key, t * (1 << 40) + h), n - 1)
+        return np.where(key[pos] == t * (1 << 40) + h, pos, -1)
 
     idx = np.arange(n)
     left = np.where(is_leaf, idx, lookup(tree, 2 * heap + 1))
     right = np.where(is_leaf, idx, lookup(tree, 2 * heap + 2))
     if (left < 0).any() or (right < 0).any():
         raise ValueError("node table is not closed: an internal node misses a child")
-    feat = nodes["feature"].fillna(0).to_numpy(np.int64).astype(np.int32)
-    thr = nodes["threshold"].to_numpy(np.float64, na_value=np.nan).copy()
-    thr[is_leaf] = np.inf
-    ct = c_table(int(size.max()) if n else 1)
-    value = np.where(is_leaf, depth.astype(np.float64) + ct[size], 0.0)
-    uniq_trees, first = np.unique(tree, return_index=True)
-    groups = nodes["group"].to_numpy(np.int64)[first]
-    roots = lookup(uniq_trees, np.zeros_like(uniq_trees))
-    return PackedTrees(uniq_trees, groups, roots.astype(np.int64), feat, thr, left.astype(np.int32),
-                       right.astype(np.int32), value, heap, depth.astype(np.int32), int(limit))
+    thr_c = np.where(is_leaf, np.inf, thr)
+    roots = lookup(uniq, np.zeros_like(uniq))
+    return PackedTrees(uniq, groups, int(limit), False, np.where(is_leaf, 0, feat), thr_c,
+                       np.where(is_leaf, value, 0.0), heap, depth.astype(np.int32), roots.astype(np.int64),
+                       left.astype(np.int64), right.astype(np.int64))
 
 
 def descend(X: np.ndarray, pk: PackedTrees, t0: int, t1: int) -> np.ndarray:
-    """Compact leaf index for rows X (B,d) in trees t0..t1-1 of the block -> (B, t1-t0)."""
+    """Leaf slot of every row of X (B, d) in trees t0..t1-1 of the block -> (B, t1 - t0)."""
     B, d = X.shape
-    node = np.broadcast_to(pk.root[t0:t1][None, :], (B, t1 - t0)).astype(np.int64)
     xflat = X.ravel()
     rowbase = (np.arange(B, dtype=np.int64) * d)[:, None]
+    if pk.dense:
+        M, NB = (1 << (pk.limit + 1)) - 1, 1 << pk.limit
+        base = (np.arange(t0, t1, dtype=np.int64) * M)[None, :]
+        node = np.zeros((B, t1 - t0), dtype=np.int64)
+        for _ in range(pk.limit):
+            slot = base + node
+            x = xflat[rowbase + pk.feature[slot]]
+            node = node * 2 + 2 - (x < pk.threshold[slot])
+        return (np.arange(t0, t1, dtype=np.int64) * NB)[None, :] + node - (NB - 1)
+    node = np.broadcast_to(pk.root[t0:t1][None, :], (B, t1 - t0)).astype(np.int64)
     for _ in range(pk.limit):
-        f = pk.feature[node]
-        x = xflat[rowbase + f]
-        go_left = x < pk.threshold[node]
-        node = np.where(go_left, pk.left[node], pk.right[node])
+        x = xflat[rowbase + pk.feature[node]]
+        node = np.where(x < pk.threshold[node], pk.left[node], pk.right[node])
     return node
 
 
@@ -108,6 +148,11 @@ def tree_chunks(n_rows: int, n_trees: int):
         yield t0, min(n_trees, t0 + step)
 
 
+def row_chunks(n_rows: int):
+    for r0 in range(0, n_rows, ROWS_PER_STEP):
+        yield r0, min(n_rows, r0 + ROWS_PER_STEP)
+
+
 def matrix_from_batch(batch: pa.RecordBatch, d: int) -> np.ndarray:
     cols = []
     for i in range(d):
@@ -119,19 +164,24 @@ def matrix_from_batch(batch: pa.RecordBatch, d: int) -> np.ndarray:
 
 
 def h_sums(X: np.ndarray, pk: PackedTrees, n_groups: int, group_base: int = 0) -> np.ndarray:
-    """Sum of path lengths per group -> (B, n_groups); trees accumulated in packed order."""
+    """Sum of path lengths per group -> (B, n_groups)."""
     B = X.shape[0]
     out = np.zeros((B, n_groups), dtype=np.float64)
     nt = pk.tree_ids.shape[0]
-    rows_per = max(1, CELLS_PER_STEP // max(1, nt))
-    for r0 in range(0, B, rows_per):
-        Xr = X[r0:r0 + rows_per]
-        for t0, t1 in tree_chunks(Xr.shape[0], nt):
-            leaf = descend(Xr, pk, t0, t1)
-            vals = pk.value[leaf]
-            g = pk.groups[t0:t1] - group_base
-            for gi in np.unique(g):
-                out[r0:r0 + Xr.shape[0], gi] += vals[:, g == gi].sum(axis=1)
+    g = pk.groups - group_base
+    bounds = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])  # trees are sorted, groups contiguous
+    for r0, r1 in row_chunks(B):
+        Xr = X[r0:r1]
+        for t0, t1 in tree_chunks(r1 - r0, nt):
+            vals = pk.leaf_value[descend(Xr, pk, t0, t1)]
+            gg = g[t0:t1]
+            if gg[0] == gg[-1]:
+                out[r0:r1, gg[0]] += vals.sum(axis=1)
+            else:
+                cut = np.flatnonzero(np.r_[True, gg[1:] != gg[:-1]])
+                sums = np.add.reduceat(vals, cut, axis=1)
+                for j, c in enumerate(cut):
+                    out[r0:r1, gg[c]] += sums[:, j]
     return out
 
 

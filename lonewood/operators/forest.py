@@ -32,8 +32,9 @@ from .ordering import global_row_index
 from .sampling import Population, candidates, chunk_contiguous, chunk_hash, trim_to_psi
 
 FORMAT_VERSION = 1
-# nodes per broadcast block (~36 bytes each once packed)
-MAX_BLOCK_NODES = 2_000_000
+# bytes per broadcast block: every Python worker of an executor deserialises its own
+# copy, so a block stays small (8 workers x 64 MB)
+MAX_BLOCK_BYTES = 64 << 20
 # hard bound on the model the driver packs for scoring (~40 bytes per packed node)
 MAX_MODEL_NODES = 50_000_000
 
@@ -101,8 +102,8 @@ class ForestModel:
             if len(nodes) > MAX_MODEL_NODES:
                 raise ValueError(f"model has {len(nodes)} nodes, above MAX_MODEL_NODES")
             sizes = nodes.groupby("tree").size()
-            per_tree = ((1 << (self.limit + 1)) - 1 + (1 << self.limit) if self.limit <= S.DENSE_MAX_LIMIT else None)
-            parts = S.block_split([(int(t), per_tree or int(n)) for t, n in sizes.items()], MAX_BLOCK_NODES)
+            parts = S.block_split([(int(t), S.bytes_per_tree(self.limit, int(n))) for t, n in sizes.items()],
+                                  MAX_BLOCK_BYTES)
             self._blocks = [S.pack(nodes[nodes["tree"].isin(b)], self.limit) for b in parts]
         return self._blocks
 
@@ -215,7 +216,7 @@ class ForestModel:
                                 pa.array(np.tile(pk.groups[t0:t1], Xr.shape[0]).astype(np.int32)),
                                 pa.array(np.tile(pk.tree_ids[t0:t1], Xr.shape[0]).astype(np.int32)),
                                 pa.array(pk.leaf_value[leaf].ravel()),
-                                pa.array(pk.leaf_heap[leaf].ravel().astype(np.int64)),
+                                pa.array(pk.heap_of(leaf).ravel().astype(np.int64)),
                                 pa.array(pk.leaf_depth[leaf].ravel().astype(np.int32)),
                             ], schema=arrow_schema)
 
@@ -324,12 +325,16 @@ def _populations(pts: DataFrame, n_trees: int, psi: int, seed: int, groups: int,
 def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
         n_trees: int = 100, psi: int = 256, limit: int | None = None, seed: int = 0, groups: int = 1,
         assign: str = "all", na: str = "drop", margin: float = 8.0, path: str | None = None,
-        dim: int | None = None) -> ForestModel:
+        dim: int | None = None, strict_ids: bool = False) -> ForestModel:
     """Train ``groups`` forests of ``n_trees`` trees each on sub-samples of ``psi`` rows.
 
     assign='all'       : every forest samples from all rows (one forest of groups*n_trees trees)
     assign='hash'      : rows are split into ``groups`` chunks by a keyed draw of the id
     assign='contiguous': chunks of consecutive ids (global row index, two passes)
+
+    Ids must be unique.  A duplicate that lands in a sample always raises; with
+    ``strict_ids=True`` uniqueness is checked over all rows first (one aggregation on
+    the id column, partial counts map-side, so a hot duplicated id cannot overload a task).
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -341,6 +346,10 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     if not 0 <= limit <= 62:
         raise ValueError("limit must be in 0..62 (heap node numbers are 64-bit)")
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
+    if strict_ids:
+        dup = pts.groupBy("_id").count().where(F.col("count") > 1).select("_id").limit(1).collect()
+        if dup:
+            raise ValueError(f"id {dup[0]['_id']} occurs more than once: the id column must be unique")
     pops, pop_col, pts, counts = _populations(pts, n_trees, psi, seed, groups, assign)
     total = groups * n_trees
     n_parts = max(1, min(total, spark.sparkContext.defaultParallelism))

@@ -1,7 +1,10 @@
-"""Random isolation-tree growth as a grouped map over (tree) sample groups.
+"""Random isolation-tree growth.
 
-Each group holds at most psi rows (bounded by construction, never by data skew), so
-one pandas task grows one tree in memory.  Split choices are keyed draws:
+The sample is hash-partitioned by tree, so a task holds whole trees: at most
+trees * psi / partitions rows, bounded by the parameters and never by data skew.  All
+trees of a task are grown together, level by level (``grow_level_wise``);
+``grow_tree`` is the plain recursive definition it must equal.  Split choices are keyed
+draws:
 
     feature   q = floor(u(seed, 'q', tree, node) * d)
     threshold p = min_q + u(seed, 'p', tree, node) * (max_q - min_q)
@@ -14,7 +17,6 @@ a constant feature leaves an empty (size 0) left leaf.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import types as T
 
 from ..functions.draws import u_py
@@ -154,29 +156,3 @@ def grow_partition_fn(d: int, limit: int, seed: int, trees_per_group: int, arrow
         ], schema=arrow_schema)
 
     return fn
-
-
-def make_grower(d: int, limit: int, seed: int, trees_per_group: int):
-    xcols = [f"_x{i}" for i in range(d)]
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["_tree"].iloc[0])
-        if pdf["_id"].duplicated().any():
-            raise ValueError(f"duplicate ids in the sample of tree {tree}: the id column must be unique")
-        # a fixed row order makes the tree independent of the shuffle's arrival order
-        pdf = pdf.sort_values("_id", kind="stable")
-        X = pdf[xcols].to_numpy(dtype=np.float64)
-        rows = grow_tree(tree, X, limit, seed)
-        n = len(rows)
-        return pd.DataFrame({
-            "group": np.full(n, tree // trees_per_group, dtype=np.int32),
-            "tree": np.full(n, tree, dtype=np.int32),
-            "node": np.array([r[0] for r in rows], dtype=np.int64),
-            "depth": np.array([r[1] for r in rows], dtype=np.int32),
-            "size": np.array([r[2] for r in rows], dtype=np.int64),
-            "feature": pd.array([r[3] for r in rows], dtype="Int32"),
-            "threshold": np.array([np.nan if r[4] is None else r[4] for r in rows], dtype=np.float64),
-            "is_leaf": np.array([r[5] for r in rows], dtype=bool),
-        })
-
-    return grow

@@ -14,7 +14,6 @@ scored in several tree blocks whose partial sums are added column-wise.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +21,8 @@ import pyarrow as pa
 
 from ..functions.draws import c_factor_py
 
-# rows x trees handled by one numpy step; bounds task memory to ~100 MB
-CELLS_PER_STEP = 2_000_000
+# rows x trees handled by one numpy step: the int64 work arrays stay cache-sized (~0.5 MB)
+CELLS_PER_STEP = 65_536
 
 
 def c_table(max_n: int) -> np.ndarray:
@@ -55,8 +54,8 @@ class PackedTrees:
     feature: np.ndarray  # int64 per slot (0 where unused)
     threshold: np.ndarray  # float64 per slot (+inf on leaves / unused)
     leaf_value: np.ndarray  # float64 depth + c(size), per leaf slot
-    leaf_heap: np.ndarray  # int64 heap number of the real leaf, per leaf slot
-    leaf_depth: np.ndarray  # int32 depth of the real leaf, per leaf slot
+    leaf_heap: np.ndarray | None  # compact: int64 heap number per slot (dense: derived)
+    leaf_depth: np.ndarray  # depth of the real leaf, per leaf slot
     root: np.ndarray | None = None  # compact: root slot of each tree
     left: np.ndarray | None = None  # compact: child slots
     right: np.ndarray | None = None
@@ -65,6 +64,22 @@ class PackedTrees:
     def n_slots(self) -> int:
         return int(self.feature.shape[0])
 
+    def heap_of(self, slot: np.ndarray) -> np.ndarray:
+        """Heap number of the real leaf behind leaf slots returned by ``descend``."""
+        if not self.dense:
+            return self.leaf_heap[slot]
+        nb = 1 << self.limit
+        bottom = (slot % nb) + (nb - 1)  # heap number of the bottom slot
+        shift = (self.limit - self.leaf_depth[slot]).astype(np.int64)
+        return np.right_shift(bottom + 1, shift) - 1
+
+
+def bytes_per_tree(limit: int, n_nodes: int) -> int:
+    """Packed size of one tree (dense when limit <= DENSE_MAX_LIMIT)."""
+    if limit <= DENSE_MAX_LIMIT:
+        return ((1 << (limit + 1)) - 1) * 12 + (1 << limit) * 9
+    return n_nodes * 45
+
 
 def pack(nodes, limit: int) -> PackedTrees:
     """Pack a pandas node table (one block of trees)."""
@@ -84,7 +99,7 @@ def pack(nodes, limit: int) -> PackedTrees:
     if limit <= DENSE_MAX_LIMIT:
         M, NB = (1 << (limit + 1)) - 1, 1 << limit
         nt = uniq.shape[0]
-        f_d = np.zeros(nt * M, dtype=np.int64)
+        f_d = np.zeros(nt * M, dtype=np.int32)
         t_d = np.full(nt * M, np.inf)
         inner = ~is_leaf
         f_d[tpos[inner] * M + heap[inner]] = feat[inner]
@@ -95,12 +110,10 @@ def pack(nodes, limit: int) -> PackedTrees:
         start = (heap[lf] + 1) * span - 1 - (NB - 1) + tpos[lf] * NB
         idx = np.repeat(start - np.r_[0, np.cumsum(span)[:-1]], span) + np.arange(int(span.sum()))
         lv = np.zeros(nt * NB)
-        lh = np.zeros(nt * NB, dtype=np.int64)
-        ld = np.zeros(nt * NB, dtype=np.int32)
+        ld = np.zeros(nt * NB, dtype=np.int8)
         lv[idx] = np.repeat(value[lf], span)
-        lh[idx] = np.repeat(heap[lf], span)
         ld[idx] = np.repeat(depth[lf], span)
-        return PackedTrees(uniq, groups, int(limit), True, f_d, t_d, lv, lh, ld)
+        return PackedTrees(uniq, groups, int(limit), True, f_d, t_d, lv, None, ld)
     # compact layout: slot = row of the sorted node table
     n = len(nodes)
     key = tree * (1 << 40) + heap
@@ -164,33 +177,33 @@ def matrix_from_batch(batch: pa.RecordBatch, d: int) -> np.ndarray:
 
 
 def h_sums(X: np.ndarray, pk: PackedTrees, n_groups: int, group_base: int = 0) -> np.ndarray:
-    """Sum of path lengths per group -> (B, n_groups)."""
+    """Sum of path lengths per group -> (B, n_groups).
+
+    Tree chunks outside, row chunks inside: one chunk of the model stays in cache while
+    every row of the batch descends it."""
     B = X.shape[0]
     out = np.zeros((B, n_groups), dtype=np.float64)
     nt = pk.tree_ids.shape[0]
     g = pk.groups - group_base
-    bounds = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])  # trees are sorted, groups contiguous
-    for r0, r1 in row_chunks(B):
-        Xr = X[r0:r1]
-        for t0, t1 in tree_chunks(r1 - r0, nt):
-            vals = pk.leaf_value[descend(Xr, pk, t0, t1)]
-            gg = g[t0:t1]
-            if gg[0] == gg[-1]:
+    step = max(1, CELLS_PER_STEP // ROWS_PER_STEP)
+    for t0 in range(0, nt, step):
+        t1 = min(nt, t0 + step)
+        gg = g[t0:t1]
+        cut = np.flatnonzero(np.r_[True, gg[1:] != gg[:-1]])
+        for r0, r1 in row_chunks(B):
+            vals = pk.leaf_value[descend(X[r0:r1], pk, t0, t1)]
+            if cut.shape[0] == 1:
                 out[r0:r1, gg[0]] += vals.sum(axis=1)
             else:
-                cut = np.flatnonzero(np.r_[True, gg[1:] != gg[:-1]])
                 sums = np.add.reduceat(vals, cut, axis=1)
                 for j, c in enumerate(cut):
                     out[r0:r1, gg[c]] += sums[:, j]
     return out
 
 
-def score_from_mean(path_mean, c_psi: float):
-    return np.power(2.0, -path_mean / c_psi)
-
-
 def block_split(tree_sizes: list[tuple[int, int]], max_nodes: int) -> list[list[int]]:
-    """Split trees (tree, n_nodes) into consecutive blocks of at most max_nodes nodes."""
+    """Split trees (tree, size) into consecutive blocks whose sizes add up to at most
+    ``max_nodes`` (a block holds at least one tree)."""
     blocks, cur, cur_n = [], [], 0
     for t, n in tree_sizes:
         if cur and cur_n + n > max_nodes:
@@ -201,7 +214,3 @@ def block_split(tree_sizes: list[tuple[int, int]], max_nodes: int) -> list[list[
     if cur:
         blocks.append(cur)
     return blocks
-
-
-def expected_nodes(n_trees: int, psi: int, limit: int) -> int:
-    return n_trees * min(2 * psi - 1 + 2 * limit, 2 ** (limit + 1) - 1 if limit < 40 else math.inf)

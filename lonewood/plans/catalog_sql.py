@@ -158,11 +158,6 @@ def _cust_branches() -> list:
     return ctes
 
 
-def _ident(scen):
-    return scen
-
-
-ORD_X = "o_totalprice"
 LINE_ORDER = ", ".join(LINE_KEYS)
 
 ORACLE: dict[str, str] = {

@@ -88,15 +88,6 @@ def resolve_features(df: DataFrame, features=None, feature_col: str | None = Non
     return FeatureSpec(list(features), None, 0)
 
 
-def valid_row(d: int) -> Column:
-    """True when every canonical feature is non-NULL and not NaN."""
-    cond = F.lit(True)
-    for i in range(d):
-        c = F.col(f"_x{i}")
-        cond = cond & c.isNotNull() & ~F.isnan(c)
-    return cond
-
-
 def canonical(df: DataFrame, spec: FeatureSpec, id_col: str, keep: list[str] | None = None) -> DataFrame:
     """Project ``df`` to ``_id, [keep...], _x0.._x{d-1}`` (column pruning reaches the scan)."""
     extra = [F.col(c) for c in (keep or [])]

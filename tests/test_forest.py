@@ -209,9 +209,37 @@ def test_model_blocks_add_up(spark, model, orders, monkeypatch):
     import lonewood.operators.forest as FO
 
     one = model.score(orders, id_col="o_orderkey").select("o_orderkey", F.col("score").alias("a"))
-    monkeypatch.setattr(FO, "MAX_BLOCK_NODES", 200)
+    monkeypatch.setattr(FO, "MAX_BLOCK_BYTES", 20_000)
     m2 = FO.load_model(model.spark, model.path)
     assert len(m2.blocks()) > 1
     many = m2.score(orders, id_col="o_orderkey").select("o_orderkey", F.col("score").alias("b"))
     d = one.join(many, "o_orderkey").select(F.max(F.abs(F.col("a") - F.col("b"))).alias("d")).first().d
     assert d < 1e-12
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_level_wise_growth_equals_recursive_definition(seed):
+    from lonewood.operators.growth import grow_level_wise, grow_tree
+
+    rng = np.random.default_rng(seed)
+    X = np.round(rng.normal(size=(64 * 30, 3)), 1)  # ties
+    X[:, 2] = 1.0  # a constant feature -> empty leaves
+    tree = np.repeat(np.arange(30), 64)
+    ids = np.tile(np.arange(64), 30)
+    r = grow_level_wise(tree, ids, X, 6, seed)
+    got = sorted((int(t), int(n), int(d), int(s), int(f), None if np.isnan(th) else float(th), bool(lf))
+                 for t, n, d, s, f, th, lf in zip(r["tree"], r["node"], r["depth"], r["size"], r["feature"],
+                                                  r["threshold"], r["is_leaf"]))
+    ref = []
+    for t in range(30):
+        for n, d, s, f, th, lf in grow_tree(t, X[tree == t], 6, seed):
+            ref.append((t, n, d, s, -1 if f is None else f, th, lf))
+    assert got == sorted(ref)
+
+
+def test_strict_ids_checks_all_rows(spark):
+    X = np.random.default_rng(0).normal(size=(400, 2))
+    rows = [(i if i != 399 else 0, float(a), float(b)) for i, (a, b) in enumerate(X)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double")
+    with pytest.raises(ValueError, match="more than once"):
+        fit(df, features=["x", "y"], n_trees=2, psi=8, seed=1, strict_ids=True)

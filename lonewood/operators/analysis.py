@@ -1,9 +1,10 @@
 """Score analysis: rankings, histograms, densities, run-to-run comparison metrics.
 
-Everything is a DataFrame aggregate or join.  Where an exact global rank is needed
-(exact quantiles, rank order of another run, position of new points among training
-scores) the two-pass range-partitioned index of ``ordering`` is used -- never a
-window without PARTITION BY, never a collect of the scores.
+Everything is a DataFrame aggregate or join.  Where an exact global rank of every row
+is needed (rank order of another run, position of new points among training scores)
+the two-pass range-partitioned index of ``ordering`` is used; exact quantiles use
+distributed bucket refinement -- never a window without PARTITION BY, never a
+collect of the scores.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .ordering import global_row_index, running_counts
+from .ordering import global_row_index, running_counts  # noqa: F401
 
 
 # ------------------------------------------------------------------ O2 / O3 / P5
@@ -73,21 +74,62 @@ def hist_fixed(scores: DataFrame, col: str = "score", bins: int = 19, lo: float
 
 
 # ------------------------------------------------------------------ exact quantiles
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], tiebreak: str | None = None) -> list[float]:
-    """Linear-interpolation quantiles (type 7) from exact global ranks; collects only
-    the <= 2 len(qs) order statistics it needs."""
-    vals = df.select(F.col(col).alias("_v"), *( [F.col(tiebreak).alias("_t")] if tiebreak else [] )).where(
-        F.col("_v").isNotNull())
-    n = vals.count()
+def _order_stats(vals: DataFrame, lo: float, hi: float, below: int, ranks: list[int], buckets: int,
+                 max_collect: int, count_in: int) -> dict[int, float]:
+    """Values at 0-based global ``ranks`` (all inside [lo, hi], ``below`` values < lo).
+
+    Distributed selection: bucket the bracket by value (one aggregate, ``buckets`` rows
+    to the driver), keep the buckets spanning the wanted ranks, repeat; finish by
+    collecting at most ``max_collect`` values.  No sort of the column, nothing written.
+    """
+    v = F.col("_v")
+    inb = vals.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
+    if lo == hi:
+        return {r: lo for r in ranks}
+    if count_in <= max_collect:
+        got = sorted(r["_v"] for r in inb.select("_v").collect())
+        return {r: got[r - below] for r in ranks}
+    b = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
+    hist = sorted(inb.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("_v").alias("mn"),
+                                                F.max("_v").alias("mx")).collect(), key=lambda r: r["b"])
+    out, cum = {}, below
+    spans = []  # (first rank, last rank, lo, hi, below, count) per bucket
+    for r in hist:
+        spans.append((cum, cum + r["n"] - 1, r["mn"], r["mx"], cum, r["n"]))
+        cum += r["n"]
+    # group wanted ranks by the bucket that holds them; adjacent wanted ranks in adjacent
+    # buckets are refined together
+    todo: dict[tuple, list[int]] = {}
+    for rk in ranks:
+        for s0, s1, mn, mx, bl, n in spans:
+            if s0 <= rk <= s1:
+                todo.setdefault((mn, mx, bl, n), []).append(rk)
+                break
+    for (mn, mx, bl, n), rks in todo.items():
+        if n == count_in and mn == lo and mx == hi:  # no progress (pathological spacing): collect
+            got = sorted(r["_v"] for r in inb.select("_v").collect())
+            out.update({rk: got[rk - below] for rk in rks})
+            continue
+        out.update(_order_stats(vals, mn, mx, bl, rks, buckets, max_collect, n))
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], tiebreak: str | None = None,
+                    buckets: int = 4096, max_collect: int = 100_000) -> list[float]:
+    """Linear-interpolation quantiles (type 7, as numpy / quantile_cont), exact.
+
+    Order statistics are found by distributed bucket refinement (``_order_stats``):
+    a few single-column aggregates, each returning at most ``buckets`` rows."""
+    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    st = vals.agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    n = int(st["n"])
     if n == 0:
         return [float("nan")] * len(qs)
-    keys = [F.col("_v")] + ([F.col("_t")] if tiebreak else [])
-    idx = global_row_index(vals, keys, index_col="_r")
     need = set()
     for q in qs:
         h = (n - 1) * q
         need.update({int(math.floor(h)), int(math.ceil(h))})
-    got = {int(r["_r"]): float(r["_v"]) for r in idx.where(F.col("_r").isin(sorted(need))).select("_r", "_v").collect()}
+    got = _order_stats(vals, float(st["lo"]), float(st["hi"]), 0, sorted(need), buckets, max_collect, n)
     out = []
     for q in qs:
         h = (n - 1) * q

@@ -126,3 +126,13 @@ def test_inspection_tables(spark):
     # The node reached by 'L' is the root's left child in every tree with a split root
     lk = I.node_lookup(nodes, "L").collect()
     assert all(r.node == 1 and r.depth == 1 for r in lk) and len(lk) == 5
+
+
+@pytest.mark.parametrize("max_collect,buckets", [(100_000, 4096), (50, 8), (10, 2)])
+def test_exact_quantiles_by_refinement(spark, max_collect, buckets):
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), rng.exponential(size=500) * 1e6])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id bigint, score double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = A.exact_quantiles(df, "score", qs, buckets=buckets, max_collect=max_collect)
+    assert got == list(np.quantile(vals, qs))

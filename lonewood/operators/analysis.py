@@ -224,6 +224,21 @@ def align_runs(bench: DataFrame, run: DataFrame, id_col: str = "id", col: str =
     return b.join(r, "id")
 
 
+def score_runs(df: DataFrame, runs: dict, id_col: str, round_to: int | None = None) -> DataFrame:
+    """J3 without a join: every run scores the same scan in turn (chained row-local
+    passes), giving (id, <run name> ...) side by side -- no shuffle at any size.
+
+    ``runs`` maps a name to ``(model, combine)``."""
+    cur = df
+    for name, (model, combine) in runs.items():
+        cur = model.score(cur, combine=combine, id_col=id_col, prefix=f"_{name}_")
+    cols = []
+    for name in runs:
+        c = F.col(f"_{name}_score")
+        cols.append((F.round(c, round_to) if round_to is not None else c).alias(name))
+    return cur.select(F.col(id_col).cast("bigint").alias("id"), *cols)
+
+
 def rel_diff(aligned: DataFrame) -> DataFrame:
     """Per point (100 (run - bench) / bench)^2 and its root."""
     pct = F.lit(100.0) * (F.col("run") - F.col("benchmark")) / F.col("benchmark")

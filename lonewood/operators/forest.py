@@ -154,12 +154,19 @@ class ForestModel:
         return cur, hnames
 
     def score(self, df: DataFrame, combine: str = "forest", group_col: str | None = None,
-              id_col: str | None = None) -> DataFrame:
-        """Append ``path_mean`` and ``score`` to ``df``.
+              id_col: str | None = None, prefix: str = "") -> DataFrame:
+        """Append ``{prefix}path_mean`` and ``{prefix}score`` to ``df``.
 
         combine: 'forest' (all trees one ensemble), 'mean_of_forests' (per-group score,
         then arithmetic mean over groups), 'local' (only the row's own group).
+        Several models can score the same scan by chaining calls with distinct prefixes.
         """
+        out = self._score(df, combine, group_col, id_col)
+        if prefix:
+            out = out.withColumnRenamed("path_mean", f"{prefix}path_mean").withColumnRenamed("score", f"{prefix}score")
+        return out
+
+    def _score(self, df: DataFrame, combine: str, group_col: str | None, id_col: str | None) -> DataFrame:
         T_ = float(self.trees_per_group)
         c = F.lit(self.c_psi)
         if combine == "local":

@@ -479,9 +479,9 @@ def q_kde_scores(spark, sf):
 
 
 def _aligned(spark, sf, run_spec: Spec, combine: str = "forest") -> DataFrame:
-    b = scores(spark, sf, M_ORD_B).withColumn("score", F.round("score", RK))
-    u = scores(spark, sf, run_spec, combine).withColumn("score", F.round("score", RK))
-    return materialize(A.align_runs(b, u))
+    """(id, benchmark, run): both runs score one scan of orders, no join."""
+    runs = {"benchmark": (model(spark, sf, M_ORD_B), "forest"), "run": (model(spark, sf, run_spec), combine)}
+    return materialize(A.score_runs(ORD.df(spark, sf), runs, ORD.id_col, RK))
 
 
 def q_score_rel_diff(spark, sf):

@@ -243,3 +243,19 @@ def test_strict_ids_checks_all_rows(spark):
     df = spark.createDataFrame(rows, "id bigint, x double, y double")
     with pytest.raises(ValueError, match="more than once"):
         fit(df, features=["x", "y"], n_trees=2, psi=8, seed=1, strict_ids=True)
+
+
+def test_e_metric_between_runs_on_sine(spark):
+    """Two 500-tree runs with different seeds differ little (E < 0.1); a run against
+    itself gives exactly 0.  Both runs score one scan, no join."""
+    from lonewood.operators import analysis as A
+
+    X = sine(4000, 3)
+    df = points_df(spark, X)
+    m1 = fit(df, features=["x", "y"], n_trees=500, psi=256, seed=1)
+    m2 = fit(df, features=["x", "y"], n_trees=500, psi=256, seed=2)
+    al = A.score_runs(df, {"benchmark": (m1, "forest"), "run": (m2, "forest")}, "id")
+    e = A.e_metric(al).first().e_metric
+    assert 0 < e < 0.1
+    same = A.score_runs(df, {"benchmark": (m1, "forest"), "run": (m1, "forest")}, "id")
+    assert A.e_metric(same).first().e_metric == 0.0

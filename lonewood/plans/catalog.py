@@ -12,15 +12,14 @@ rounded to 9 places, then by id.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.draws import c_factor, c_factor_py, c_factor_sql
-from ..functions.paths import branch_numbers_sql, branch_string, branch_string_sql, node_at_path_sql
+from ..functions.draws import c_factor
+from ..functions.paths import branch_string
 from ..operators import analysis as A
 from ..operators import inspect as I
 from ..operators.forest import ForestModel, fit, tree_samples
@@ -29,7 +28,7 @@ from ..operators.sampling import chunk_contiguous, chunk_hash
 from ..session import new_path
 from ..sources import bundle as B
 from ..sources import readers as RD
-from .oracle import ForestSQL, PointsSQL, with_sql
+from .oracle import ForestSQL, PointsSQL
 
 R = 6  # output rounding for engine-dependent doubles
 RK = 9  # rounding of scores used as an ordering key

@@ -1,13 +1,10 @@
 """Sampling, growth and scoring: invariants, edge cases, layout independence, behaviour."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, gauss, points_df, sine
-from lonewood.functions.draws import c_factor_py
 from lonewood.operators import inspect as I
 from lonewood.operators.forest import fit, tree_samples
 

@@ -89,7 +89,11 @@ def _order_stats(vals: DataFrame, lo: float, hi: float, below: int, ranks: list[
     if count_in <= max_collect:
         got = sorted(r["_v"] for r in inb.select("_v").collect())
         return {r: got[r - below] for r in ranks}
-    b = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
+    # bucket index is monotone in v (monotone float ops), so every bucket is a value
+    # range; integer columns keep their exact values in the bracket and the collect
+    vd = v.cast("double")
+    b = F.least(F.floor((vd - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * F.lit(float(buckets))),
+                F.lit(buckets - 1)).cast("int")
     hist = sorted(inb.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("_v").alias("mn"),
                                                 F.max("_v").alias("mx")).collect(), key=lambda r: r["b"])
     out, cum = {}, below
@@ -114,6 +118,20 @@ def _order_stats(vals: DataFrame, lo: float, hi: float, below: int, ranks: list[
     return out
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], buckets: int = 4096,
+                     max_collect: int = 100_000) -> dict[int, object]:
+    """Exact values at 0-based ``ranks`` of a numeric column (NULLs ignored), by
+    distributed bucket refinement; integer columns stay exact."""
+    vals = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
+    st = vals.agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    n = int(st["n"])
+    if any(r < 0 or r >= n for r in ranks):
+        raise ValueError(f"ranks must lie in [0, {n})")
+    if not ranks:
+        return {}
+    return _order_stats(vals, st["lo"], st["hi"], 0, sorted(set(ranks)), buckets, max_collect, n)
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], tiebreak: str | None = None,
                     buckets: int = 4096, max_collect: int = 100_000) -> list[float]:
     """Linear-interpolation quantiles (type 7, as numpy / quantile_cont), exact.
@@ -130,6 +148,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], tiebreak: str | No
         h = (n - 1) * q
         need.update({int(math.floor(h)), int(math.ceil(h))})
     got = _order_stats(vals, float(st["lo"]), float(st["hi"]), 0, sorted(need), buckets, max_collect, n)
+    got = {k: float(v) for k, v in got.items()}
     out = []
     for q in qs:
         h = (n - 1) * q

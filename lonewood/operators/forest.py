@@ -28,8 +28,7 @@ from ..session import new_path, shared_dir, ship_package
 from ..sources.points import FeatureSpec, apply_na, canonical, resolve_features
 from . import scoring as S
 from .growth import NODES_SCHEMA, grow_partition_fn
-from .ordering import global_row_index
-from .sampling import Population, candidates, chunk_contiguous, chunk_hash, trim_to_psi
+from .sampling import Population, candidates, chunk_hash, contiguous_groups, trim_to_psi
 
 FORMAT_VERSION = 1
 # bytes per broadcast block: every Python worker of an executor deserialises its own
@@ -285,9 +284,9 @@ def assign_groups(pts: DataFrame, groups: int, assign: str, seed: int) -> tuple[
     if assign == "hash":
         pts = pts.withColumn("_g", chunk_hash(pts, groups, seed))
     elif assign == "contiguous":
+        # ids are unique (fit's contract), so rank boundaries are id boundaries
         n = pts.count()
-        idx = global_row_index(pts, [F.col("_id")], index_col="_idx")
-        pts = idx.withColumn("_g", chunk_contiguous(F.col("_idx"), n, groups)).drop("_idx")
+        pts = pts.withColumn("_g", contiguous_groups(pts, n, groups))
     else:
         raise ValueError("assign must be 'all', 'hash' or 'contiguous'")
     counts = {int(r["_g"]): int(r["n"]) for r in pts.groupBy("_g").agg(F.count("*").alias("n")).collect()}

@@ -60,6 +60,24 @@ def chunk_contiguous(index_col: Column, n: int, k: int) -> Column:
     return F.least(F.floor(index_col / F.lit(step)), F.lit(k - 1)).cast("int")
 
 
+def contiguous_groups(points: DataFrame, n: int, k: int, id_col: str = "_id") -> Column:
+    """Group of each row under contiguous assignment, without ranking every row.
+
+    With unique ids, chunk j (j >= 1) starts at the id of rank j * floor(N/k); the k-1
+    boundary ids are exact order statistics found by distributed bucket refinement (a
+    few single-column aggregates, nothing sorted or written), and a row's group is the
+    number of boundaries <= its id -- the same groups as the global-index formula."""
+    from .analysis import order_statistics
+
+    step = max(1, n // k)
+    ranks = [j * step for j in range(1, k) if j * step < n]
+    bounds = order_statistics(points, id_col, ranks)
+    g = F.lit(0)
+    for r in ranks:
+        g = g + F.when(F.col(id_col) >= F.lit(bounds[r]), 1).otherwise(0)
+    return g.cast("int")
+
+
 def _pick(values: list, pop: Column) -> Column:
     """Per-population constant without a join: element of a literal array."""
     if len(values) == 1:

@@ -136,3 +136,11 @@ def test_exact_quantiles_by_refinement(spark, max_collect, buckets):
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     got = A.exact_quantiles(df, "score", qs, buckets=buckets, max_collect=max_collect)
     assert got == list(np.quantile(vals, qs))
+
+
+def test_order_statistics_on_large_integers(spark):
+    base = 2 ** 60
+    ids = [base + 7 * i for i in range(5000)]
+    df = spark.createDataFrame([(v,) for v in ids], "v bigint")
+    got = A.order_statistics(df, "v", [0, 1, 2499, 4999], buckets=16, max_collect=100)
+    assert got == {0: ids[0], 1: ids[1], 2499: ids[2499], 4999: ids[4999]}

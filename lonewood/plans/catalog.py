@@ -77,6 +77,9 @@ LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity
              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 LINE_NEW = Scen("lineitem", "li_id", (("o_totalprice", "l_extendedprice"), ("o_doy", "dayofyear(l_shipdate)")),
                 index_keys=tuple(LINE_KEYS))
+# lineitem as a training table of its own: no key, id = global row index; heavy ties
+LINE = Scen("lineitem", "li_id", (("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"),
+                                  ("l_discount", "l_discount"), ("l_tax", "l_tax")), index_keys=tuple(LINE_KEYS))
 
 
 @dataclass(frozen=True)

@@ -51,8 +51,8 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``lonewood`` importable in executors' Python workers (like --py-files).
 
-    The package is zipped once per session into the shared folder and added with
-    ``addPyFile``; a no-op when it is already shipped.
+    The package is zipped once per session into the shared folder (``spark.checkpoint.dir``)
+    and added with ``addPyFile``; a no-op when it is already shipped.
     """
     import hashlib
     import zipfile
@@ -73,17 +73,33 @@ def ship_package(spark: SparkSession) -> None:
     for f in sorted(files):
         with open(f, "rb") as fh:
             h.update(f.encode() + fh.read())
-    out_dir = local_fs_path(shared_dir(spark) + "/lonewood/pyfiles")
-    if out_dir is None:  # remote shared storage: stage locally, Spark distributes it
-        out_dir = tempfile.mkdtemp(prefix="lonewood-pyfiles-")
-    os.makedirs(out_dir, exist_ok=True)
-    zpath = os.path.join(out_dir, f"lonewood-{h.hexdigest()[:12]}.zip")
-    if not os.path.exists(zpath):
-        tmp = zpath + f".{uuid.uuid4().hex}.part"
-        with zipfile.ZipFile(tmp, "w") as z:
-            base = os.path.dirname(pkg_dir)
-            for f in files:
-                z.write(f, os.path.relpath(f, base))
-        os.replace(tmp, zpath)
+    import io
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        base = os.path.dirname(pkg_dir)
+        for f in sorted(files):
+            z.write(f, os.path.relpath(f, base))
+    data = buf.getvalue()
+    name = f"lonewood-{h.hexdigest()[:12]}.zip"
+    target = shared_dir(spark) + "/lonewood/pyfiles"
+    local = local_fs_path(target)
+    if local is not None:
+        os.makedirs(local, exist_ok=True)
+        zpath = os.path.join(local, name)
+        if not os.path.exists(zpath):
+            tmp = zpath + f".{uuid.uuid4().hex}.part"
+            with open(tmp, "wb") as fh:
+                fh.write(data)
+            os.replace(tmp, zpath)
+    else:
+        # shared storage of the cluster (hdfs://, s3a://, ...): write through Hadoop's FileSystem
+        zpath = f"{target}/{name}"
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(zpath)
+        fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(jpath):
+            out = fs.create(jpath, True)
+            out.write(bytearray(data))
+            out.close()
     sc.addPyFile(zpath)
     _SHIPPED.add(key)

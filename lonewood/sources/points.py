@@ -36,17 +36,18 @@ class FeatureSpec:
 
     def exprs(self) -> list[Column]:
         if self.array_col:
-            arr = F.col(self.array_col).cast("array<double>")
+            arr = F.col(self.array_col)
             n_ok = F.size(arr) == F.lit(self.dim)
-            # a ragged or NULL array yields NULL features, handled by the NA policy
-            return [F.when(n_ok, F.try_element_at(arr, F.lit(i + 1))).alias(f"_x{i}") for i in range(self.dim)]
+            # a ragged or NULL array yields NULL features, handled by the NA policy; the
+            # element is cast, not the array (casting the array per feature costs d x)
+            return [F.when(n_ok, arr[i].cast("double")).alias(f"_x{i}") for i in range(self.dim)]
         return [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(self.columns)]
 
     def valid_expr(self) -> Column:
         """True when every feature of the row is present and not NaN (on the raw columns,
         so one array predicate instead of d per-element tests)."""
         if self.array_col:
-            arr = F.col(self.array_col).cast("array<double>")
+            arr = F.col(self.array_col)
             return (F.size(arr) == F.lit(self.dim)) & ~F.exists(arr, lambda v: v.isNull() | F.isnan(v))
         cond = F.lit(True)
         for c in self.columns:

@@ -91,15 +91,18 @@ class ForestModel:
 
     # ------------------------------------------------------------ packing
     def node_pandas(self) -> pd.DataFrame:
-        """The model's node table on the driver; bounded by trees * (2 psi - 1).  Arrow
+        """The model's node table on the driver; bounded by trees * (2 psi - 1) and checked
+        (a metadata count of the saved table) before anything is collected.  Arrow
         transfer (no per-row objects), whatever the session's Arrow setting."""
+        n = self.nodes.count()
+        if n > MAX_MODEL_NODES:
+            raise ValueError(f"model has {n} nodes, above MAX_MODEL_NODES={MAX_MODEL_NODES}: "
+                             "use fewer trees or a smaller psi / depth limit")
         return self.nodes.toArrow().to_pandas()
 
     def blocks(self) -> list:
         if self._blocks is None:
             nodes = self.node_pandas()
-            if len(nodes) > MAX_MODEL_NODES:
-                raise ValueError(f"model has {len(nodes)} nodes, above MAX_MODEL_NODES")
             sizes = nodes.groupby("tree").size()
             parts = S.block_split([(int(t), S.bytes_per_tree(self.limit, int(n))) for t, n in sizes.items()],
                                   MAX_BLOCK_BYTES)

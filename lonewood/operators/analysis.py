@@ -51,26 +51,35 @@ def mean_var_pop(df: DataFrame, value: str, by: list[str] | None = None) -> Data
 
 
 # ------------------------------------------------------------------ A6
-def hist_fixed(scores: DataFrame, col: str = "score", bins: int = 19, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+def hist_fixed(scores: DataFrame, col: str = "score", bins: int = 19, lo: float = 0.0, hi: float = 1.0,
+               by: list[str] | None = None) -> DataFrame:
     """``bins`` equal bins on [lo, hi] (last bin closed), density-normalised; empty
-    bins are present with density 0."""
+    bins are present with density 0.
+
+    ``by`` histograms each group separately (e.g. ``by=["id"]`` on per-tree scores gives
+    every point's distribution of tree scores): one aggregate keyed by (group, bin), the
+    per-group totals from a second aggregate, each group's empty bins from a sequence."""
     spark = scores.sparkSession
     width = (hi - lo) / bins
     s = F.col(col)
     inr = scores.where((s >= F.lit(lo)) & (s <= F.lit(hi)))
     b = F.least(F.floor((s - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
-    counts = inr.groupBy(b.alias("bin")).agg(F.count("*").alias("count"))
-    total = int(inr.count())
+    keys = list(by or [])
+    counts = inr.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("count"))
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
-    dens = cnt / F.lit(float(total) * width) if total > 0 else F.lit(0.0)
-    return all_bins.join(counts, "bin", "left").select(
-        "bin",
-        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("edge_lo"),
-        (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("edge_hi"),
-        cnt.alias("count"),
-        dens.alias("density"),
-    )
+    edges = [(F.lit(lo) + F.col("bin") * F.lit(width)).alias("edge_lo"),
+             (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("edge_hi")]
+    if not keys:
+        total = int(inr.count())
+        dens = cnt / F.lit(float(total) * width) if total > 0 else F.lit(0.0)
+        return all_bins.join(counts, "bin", "left").select("bin", *edges, cnt.alias("count"), dens.alias("density"))
+    totals = counts.groupBy(*keys).agg(F.sum("count").alias("_total"))
+    # each group's own bins 0..bins-1 (the histogram rows themselves), then its counts
+    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = grid.join(counts, keys + ["bin"], "left")
+    return out.select(*keys, "bin", *edges, cnt.alias("count"),
+                      (cnt / (F.col("_total") * F.lit(width))).alias("density"))
 
 
 # ------------------------------------------------------------------ exact quantiles

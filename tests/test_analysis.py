@@ -144,3 +144,18 @@ def test_order_statistics_on_large_integers(spark):
     df = spark.createDataFrame([(v,) for v in ids], "v bigint")
     got = A.order_statistics(df, "v", [0, 1, 2499, 4999], buckets=16, max_collect=100)
     assert got == {0: ids[0], 1: ids[1], 2499: ids[2499], 4999: ids[4999]}
+
+
+def test_grouped_histogram_per_point(spark):
+    rows = [(1, 0.1), (1, 0.12), (1, 0.9), (2, 0.5), (2, 1.0)]
+    df = spark.createDataFrame(rows, "id bigint, s double")
+    h = A.hist_fixed(df, "s", 19, by=["id"]).collect()
+    assert len(h) == 2 * 19
+    per = {}
+    for r in h:
+        per.setdefault(r["id"], {})[r["bin"]] = r["count"]
+    for i, vals in ((1, [0.1, 0.12, 0.9]), (2, [0.5, 1.0])):
+        counts, _ = np.histogram(vals, bins=np.linspace(0, 1, 20))
+        assert [per[i][b] for b in range(19)] == counts.tolist()
+    d1 = sum(r["density"] for r in h if r["id"] == 1) / 19
+    assert abs(d1 - 1.0) < 1e-12

@@ -28,7 +28,7 @@ from ..session import new_path, shared_dir, ship_package
 from ..sources.points import FeatureSpec, apply_na, canonical, resolve_features
 from . import scoring as S
 from .growth import NODES_SCHEMA, grow_partition_fn
-from .sampling import Population, candidates, chunk_hash, contiguous_groups, trim_to_psi
+from .sampling import Population, candidates, chunk_hash, contiguous_bounds, group_by_bounds, trim_to_psi
 
 FORMAT_VERSION = 1
 # bytes per broadcast block: every Python worker of an executor deserialises its own
@@ -50,6 +50,7 @@ META_SCHEMA = T.StructType([
     T.StructField("margin", T.DoubleType(), False),
     T.StructField("spec_json", T.StringType(), False),
     T.StructField("format_version", T.IntegerType(), False),
+    T.StructField("chunk_bounds", T.ArrayType(T.LongType()), True),
 ])
 
 
@@ -67,6 +68,7 @@ class ForestModel:
     assign: str
     margin: float
     n_rows: dict = field(default_factory=dict)
+    chunk_bounds: list | None = None  # contiguous chunks: ids opening chunks 1..k-1
     _blocks: list | None = None
     _bcast: object | None = None
 
@@ -86,7 +88,9 @@ class ForestModel:
     def meta_df(self) -> DataFrame:
         rows = [(g, self.trees_per_group, self.psi, self.limit, self.c_psi, int(self.n_rows.get(g, 0)),
                  self.spec.names(), int(self.seed), self.assign, float(self.margin),
-                 json.dumps(self.spec.to_meta()), FORMAT_VERSION) for g in range(self.n_groups)]
+                 json.dumps(self.spec.to_meta()), FORMAT_VERSION,
+                 [int(b) for b in self.chunk_bounds] if self.chunk_bounds is not None else None)
+                for g in range(self.n_groups)]
         return self.spark.createDataFrame(rows, META_SCHEMA)
 
     # ------------------------------------------------------------ packing
@@ -118,9 +122,12 @@ class ForestModel:
 
     # ------------------------------------------------------------ scoring
     def group_of(self, df: DataFrame, id_col: str) -> Column:
+        """The chunk a row belongs to under the model's assignment (for local scoring)."""
         if self.assign == "hash":
             return chunk_hash(df, self.n_groups, self.seed, id_col)
-        raise ValueError("local scoring of contiguous chunks needs group_col=")
+        if self.assign == "contiguous" and self.chunk_bounds is not None:
+            return group_by_bounds(F.col(id_col).cast("bigint"), self.chunk_bounds)
+        raise ValueError("local scoring needs chunked forests (assign='hash' or 'contiguous') or group_col=")
 
     def _spread(self, df: DataFrame) -> DataFrame:
         """Scoring costs rows x trees x depth: an input with fewer splits than task slots
@@ -282,18 +289,21 @@ def prepare(df: DataFrame, features=None, feature_col=None, id_col: str = "id",
     return spec, pts
 
 
-def assign_groups(pts: DataFrame, groups: int, assign: str, seed: int) -> tuple[DataFrame, dict[int, int]]:
-    """Adds ``_g`` and returns rows per group (k small rows collected)."""
+def assign_groups(pts: DataFrame, groups: int, assign: str, seed: int):
+    """Adds ``_g``; returns rows per group (k small rows collected) and, for contiguous
+    chunks, the ids opening each chunk."""
+    bounds = None
     if assign == "hash":
         pts = pts.withColumn("_g", chunk_hash(pts, groups, seed))
     elif assign == "contiguous":
         # ids are unique (fit's contract), so rank boundaries are id boundaries
         n = pts.count()
-        pts = pts.withColumn("_g", contiguous_groups(pts, n, groups))
+        bounds = contiguous_bounds(pts, n, groups)
+        pts = pts.withColumn("_g", group_by_bounds(F.col("_id"), bounds))
     else:
         raise ValueError("assign must be 'all', 'hash' or 'contiguous'")
     counts = {int(r["_g"]): int(r["n"]) for r in pts.groupBy("_g").agg(F.count("*").alias("n")).collect()}
-    return pts, counts
+    return pts, counts, bounds
 
 
 def sample_trees(pts: DataFrame, pops: list[Population], psi: int, seed: int, margin: float,
@@ -308,7 +318,7 @@ def tree_samples(df: DataFrame, features=None, feature_col: str | None = None, i
     """F1 on its own: (group, tree, id) of every tree's psi-row sample."""
     spark = df.sparkSession
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
-    pops, pop_col, pts, _counts = _populations(pts, n_trees, psi, seed, groups, assign)
+    pops, pop_col, pts, _counts, _bounds = _populations(pts, n_trees, psi, seed, groups, assign)
     n_parts = max(1, min(groups * n_trees, spark.sparkContext.defaultParallelism))
     s = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts)
     return s.select((F.col("_tree") / F.lit(n_trees)).cast("int").alias("group"),
@@ -316,19 +326,20 @@ def tree_samples(df: DataFrame, features=None, feature_col: str | None = None, i
 
 
 def _populations(pts: DataFrame, n_trees: int, psi: int, seed: int, groups: int, assign: str):
+    bounds = None
     if assign == "all":
         n = pts.count()
         counts = {0: n}
         pops = [Population(0, n, groups * n_trees, 0)]
         pop_col = None
     else:
-        pts, counts = assign_groups(pts, groups, assign, seed)
+        pts, counts, bounds = assign_groups(pts, groups, assign, seed)
         pops = [Population(g, counts.get(g, 0), n_trees, g * n_trees) for g in range(groups)]
         pop_col = "_g"
     for pp in pops:
         if pp.n < psi:
             raise ValueError(f"sample size psi={psi} exceeds the {pp.n} rows of population {pp.pop}")
-    return pops, pop_col, pts, counts
+    return pops, pop_col, pts, counts, bounds
 
 
 def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
@@ -359,7 +370,7 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
         dup = pts.groupBy("_id").count().where(F.col("count") > 1).select("_id").limit(1).collect()
         if dup:
             raise ValueError(f"id {dup[0]['_id']} occurs more than once: the id column must be unique")
-    pops, pop_col, pts, counts = _populations(pts, n_trees, psi, seed, groups, assign)
+    pops, pop_col, pts, counts, bounds = _populations(pts, n_trees, psi, seed, groups, assign)
     total = groups * n_trees
     n_parts = max(1, min(total, spark.sparkContext.defaultParallelism))
     path = path or new_path(spark, "models")
@@ -379,7 +390,7 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     else:
         raise RuntimeError("sampling failed to fill every tree")
     model = ForestModel(spark, path, saved, spec, groups, n_trees, psi, limit, int(seed), assign, margin,
-                        dict(counts) if assign != "all" else {g: counts[0] for g in range(groups)})
+                        dict(counts) if assign != "all" else {g: counts[0] for g in range(groups)}, bounds)
     model.meta_df().write.mode("overwrite").parquet(f"{path}/meta")
     return model
 
@@ -391,9 +402,10 @@ def load_model(spark: SparkSession, path: str) -> ForestModel:
     m0 = meta[0]
     spec = FeatureSpec.from_meta(json.loads(m0["spec_json"]))
     nodes = spark.read.parquet(f"{path}/nodes")
+    cb = m0["chunk_bounds"] if "chunk_bounds" in m0.asDict() else None
     return ForestModel(spark, path, nodes, spec, len(meta), int(m0["n_trees"]), int(m0["psi"]),
                        int(m0["depth_limit"]), int(m0["seed"]), m0["assign"], float(m0["margin"]),
-                       {int(r["group"]): int(r["n_rows"]) for r in meta})
+                       {int(r["group"]): int(r["n_rows"]) for r in meta}, list(cb) if cb is not None else None)
 
 
 __all__ = ["ForestModel", "fit", "load_model", "prepare", "default_limit", "shared_dir"]

@@ -60,6 +60,24 @@ def chunk_contiguous(index_col: Column, n: int, k: int) -> Column:
     return F.least(F.floor(index_col / F.lit(step)), F.lit(k - 1)).cast("int")
 
 
+def contiguous_bounds(points: DataFrame, n: int, k: int, id_col: str = "_id") -> list:
+    """The k-1 ids that open chunks 1..k-1 (exact order statistics at ranks j * floor(N/k))."""
+    from .analysis import order_statistics
+
+    step = max(1, n // k)
+    ranks = [j * step for j in range(1, k) if j * step < n]
+    got = order_statistics(points, id_col, ranks)
+    return [got[r] for r in ranks]
+
+
+def group_by_bounds(id_col: Column, bounds: list) -> Column:
+    """Chunk of an id = number of chunk-opening ids <= it."""
+    g = F.lit(0)
+    for b in bounds:
+        g = g + F.when(id_col >= F.lit(b), 1).otherwise(0)
+    return g.cast("int")
+
+
 def contiguous_groups(points: DataFrame, n: int, k: int, id_col: str = "_id") -> Column:
     """Group of each row under contiguous assignment, without ranking every row.
 
@@ -67,15 +85,7 @@ def contiguous_groups(points: DataFrame, n: int, k: int, id_col: str = "_id") ->
     boundary ids are exact order statistics found by distributed bucket refinement (a
     few single-column aggregates, nothing sorted or written), and a row's group is the
     number of boundaries <= its id -- the same groups as the global-index formula."""
-    from .analysis import order_statistics
-
-    step = max(1, n // k)
-    ranks = [j * step for j in range(1, k) if j * step < n]
-    bounds = order_statistics(points, id_col, ranks)
-    g = F.lit(0)
-    for r in ranks:
-        g = g + F.when(F.col(id_col) >= F.lit(bounds[r]), 1).otherwise(0)
-    return g.cast("int")
+    return group_by_bounds(F.col(id_col), contiguous_bounds(points, n, k, id_col))
 
 
 def _pick(values: list, pop: Column) -> Column:

@@ -256,3 +256,19 @@ def test_e_metric_between_runs_on_sine(spark):
     assert 0 < e < 0.1
     same = A.score_runs(df, {"benchmark": (m1, "forest"), "run": (m1, "forest")}, "id")
     assert A.e_metric(same).first().e_metric == 0.0
+
+
+def test_local_scoring_of_contiguous_chunks(spark):
+    from lonewood.operators.forest import load_model
+
+    X = np.random.default_rng(6).normal(size=(1200, 2))
+    df = points_df(spark, X)
+    m = fit(df, features=["x", "y"], n_trees=8, psi=64, groups=4, assign="contiguous", seed=3)
+    assert len(m.chunk_bounds) == 3 and m.chunk_bounds == [300, 600, 900]
+    again = load_model(spark, m.path)
+    assert again.chunk_bounds == m.chunk_bounds
+    loc = again.score(df, "local", id_col="id")
+    p = again.paths(df, "id")
+    own = p.where(F.col("group") == F.floor(F.col("id") / 300)).groupBy("id").agg((F.sum("path_length") / 8).alias("pm"))
+    d = loc.join(own, "id").select(F.max(F.abs(F.col("path_mean") - F.col("pm"))).alias("d")).first().d
+    assert d < 1e-9 and loc.count() == 1200

@@ -34,7 +34,7 @@ def main():
 
     df = ORD.df(spark, sf)
     spec, pts = FO.prepare(df, ORD.names(), None, ORD.id_col, "drop")
-    pops, pop_col, pts2, _ = FO._populations(pts, 100, 256, 1, 4, "hash")
+    pops, pop_col, pts2, _, _ = FO._populations(pts, 100, 256, 1, 4, "hash")
     sample = FO.sample_trees(pts2, pops, 256, 1, 8.0, pop_col, 8).select("_tree", "_id", "_x0", "_x1")
     grow = sample.mapInArrow(grow_partition_fn(2, 8, 1, 100, to_arrow_schema(NODES_SCHEMA)), NODES_SCHEMA)
     m = FO.fit(df, features=ORD.names(), id_col=ORD.id_col, n_trees=100, psi=256, seed=1)

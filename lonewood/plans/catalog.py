@@ -281,6 +281,10 @@ def q_score_local(spark, sf):
     return _score_out(scores(spark, sf, M_ORD_C, "local"))
 
 
+def q_score_local_contiguous(spark, sf):
+    return _score_out(scores(spark, sf, M_ORD_CC, "local"))
+
+
 def q_score_k_full(spark, sf):
     return _score_out(scores(spark, sf, M_ORD_K, "mean_of_forests"))
 
@@ -557,6 +561,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_product": q_score_product,
     "score_by_tree_agg": q_score_by_tree_agg,
     "score_local": q_score_local,
+    "score_local_contiguous": q_score_local_contiguous,
     "score_point": q_score_point,
     "score_table": q_score_table,
     "score_embeddings": q_score_embeddings,

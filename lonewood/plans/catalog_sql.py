@@ -23,7 +23,7 @@ def _scores_ctes(spec: Spec, combine: str = "forest", p: str = "f", data=None):
     scen = data or spec.scen
     pts = scen.psql().all_rows()
     if combine == "local":
-        pts = f"SELECT id, x, {fs.group_expr()} AS pop FROM ({pts})"
+        pts = f"SELECT q.id, q.x, {fs.group_expr('q.id')} AS pop FROM ({pts}) q"
     ctes = fs.path_ctes(pts, local=(combine == "local"))
     ctes.append((f"{p}_sc", fs.score_select(combine)))
     return ctes
@@ -209,6 +209,7 @@ ORACLE: dict[str, str] = {
                                            f"{rr(f'pow(2.0, -avg(path_length) / {c_factor_py(M_CUST.psi)!r})')} AS score "
                                            f"FROM f_h GROUP BY id"),
     "score_local": scores_sql(M_ORD_C, "local"),
+    "score_local_contiguous": scores_sql(M_ORD_CC, "local"),
     "score_point": scores_sql(M_CUST),
     "score_table": with_sql(_scores_ctes(M_PART), (
         f"SELECT CAST(p.p_retailprice AS DOUBLE) AS x0, CAST(p.p_size AS DOUBLE) AS x1, {rr('s.score')} AS score "

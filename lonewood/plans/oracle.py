@@ -76,10 +76,16 @@ class ForestSQL:
         return c_factor_py(self.psi)
 
     # ------------------------------------------------------------ sampling
-    def group_expr(self) -> str:
+    def group_expr(self, id_ref: str = "id") -> str:
+        """Chunk of a scored row (id column ``id_ref``) under the forest's assignment."""
         k = self.groups
         if self.assign == "hash":
-            return f"CAST(floor({u_sql(str(self.seed), sql_str('g'), 'id')} * {float(k)!r}) AS INTEGER)"
+            return f"CAST(floor({u_sql(str(self.seed), sql_str('g'), id_ref)} * {float(k)!r}) AS INTEGER)"
+        if self.assign == "contiguous":
+            # ids opening chunks 1..k-1: training ranks j * floor(N/k)
+            bounds = (f"SELECT id FROM {self.p}_ix WHERE i > 0 AND i % greatest(1, n // {k}) = 0 "
+                      f"AND i // greatest(1, n // {k}) <= {k - 1}")
+            return f"CAST((SELECT count(*) FROM ({bounds}) b WHERE b.id <= {id_ref}) AS INTEGER)"
         raise ValueError(self.assign)
 
     def sample_ctes(self) -> list[tuple[str, str]]:

@@ -89,8 +89,17 @@ def resolve_features(df: DataFrame, features=None, feature_col: str | None = Non
     return FeatureSpec(list(features), None, 0)
 
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def canonical(df: DataFrame, spec: FeatureSpec, id_col: str, keep: list[str] | None = None) -> DataFrame:
     """Project ``df`` to ``_id, [keep...], _x0.._x{d-1}`` (column pruning reaches the scan)."""
+    dt = {f.name: f.dataType for f in df.schema.fields}.get(id_col)
+    if dt is None:
+        raise KeyError(f"id column {id_col!r} not in {df.columns}")
+    if not isinstance(dt, INTEGRAL):
+        raise TypeError(f"id column {id_col!r} must be an integer type, got {dt}; a table without one can "
+                        "use lonewood.operators.ordering.global_row_index to derive it")
     extra = [F.col(c) for c in (keep or [])]
     return df.select(F.col(id_col).cast("bigint").alias("_id"), *extra, *spec.exprs())
 

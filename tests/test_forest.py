@@ -272,3 +272,9 @@ def test_local_scoring_of_contiguous_chunks(spark):
     own = p.where(F.col("group") == F.floor(F.col("id") / 300)).groupBy("id").agg((F.sum("path_length") / 8).alias("pm"))
     d = loc.join(own, "id").select(F.max(F.abs(F.col("path_mean") - F.col("pm"))).alias("d")).first().d
     assert d < 1e-9 and loc.count() == 1200
+
+
+def test_non_integral_id_is_rejected(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0)], "id string, x double, y double")
+    with pytest.raises(TypeError, match="integer"):
+        fit(df, features=["x", "y"], n_trees=1, psi=2)

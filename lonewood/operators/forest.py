@@ -31,6 +31,9 @@ from .growth import NODES_SCHEMA, grow_partition_fn
 from .sampling import Population, candidates, chunk_hash, contiguous_bounds, group_by_bounds, trim_to_psi
 
 FORMAT_VERSION = 1
+# up to this many groups the per-group sums are separate columns (codegen-friendly
+# combine); above, one array<double> column combined with higher-order functions
+MAX_GROUP_COLUMNS = 64
 # bytes per broadcast block: every Python worker of an executor deserialises its own
 # copy, so a block stays small (8 workers x 64 MB)
 MAX_BLOCK_BYTES = 64 << 20
@@ -148,17 +151,24 @@ class ForestModel:
             base = base.withColumn("_lg", local_group)
         bc = self.broadcast()
         nblocks = len(self.blocks())
-        hnames = ["_hl"] if local_group is not None else [f"_h{g}" for g in range(k)]
+        as_array = local_group is None and k > MAX_GROUP_COLUMNS
+        if local_group is not None:
+            hnames = ["_hl"]
+        elif as_array:
+            hnames = ["_harr"]
+        else:
+            hnames = [f"_h{g}" for g in range(k)]
+        htype = T.ArrayType(T.DoubleType(), False) if as_array else T.DoubleType()
         cur = base
         for bi in range(nblocks):
             last = bi == nblocks - 1
             in_fields = list(cur.schema.fields)
             keep_fields = [f for f in in_fields if not (last and (f.name.startswith("_x") or f.name == "_lg"))
                            and f.name not in hnames]
-            out_schema = T.StructType(keep_fields + [T.StructField(h, T.DoubleType(), False) for h in hnames])
+            out_schema = T.StructType(keep_fields + [T.StructField(h, htype, False) for h in hnames])
             arrow_schema = to_arrow_schema(out_schema)
             keep_names = [f.name for f in keep_fields]
-            fn = _block_fn(bc[bi], d, k, hnames, keep_names, arrow_schema, local_group is not None)
+            fn = _block_fn(bc[bi], d, k, hnames, keep_names, arrow_schema, local_group is not None, as_array)
             cur = cur.mapInArrow(fn, out_schema)
         return cur, hnames
 
@@ -184,20 +194,24 @@ class ForestModel:
             pm = F.col("_hl") / F.lit(T_)
             return out.withColumn("path_mean", pm).withColumn(
                 "score", F.pow(F.lit(2.0), -F.col("path_mean") / c)).drop("_hl")
+        if combine not in ("forest", "mean_of_forests"):
+            raise ValueError("combine must be 'forest', 'mean_of_forests' or 'local'")
         out, hn = self._partials(df)
-        total = F.lit(0.0)
-        for h in hn:
-            total = total + F.col(h)
+        if hn == ["_harr"]:
+            h = F.col("_harr")
+            total = F.aggregate(h, F.lit(0.0), lambda a, b: a + b)
+            per_forest = F.aggregate(F.transform(h, lambda v: F.pow(F.lit(2.0), -(v / F.lit(T_)) / c)),
+                                     F.lit(0.0), lambda a, b: a + b)
+        else:
+            total, per_forest = F.lit(0.0), F.lit(0.0)
+            for name in hn:
+                total = total + F.col(name)
+                per_forest = per_forest + F.pow(F.lit(2.0), -(F.col(name) / F.lit(T_)) / c)
         out = out.withColumn("path_mean", total / F.lit(float(self.n_trees_total)))
         if combine == "forest":
             out = out.withColumn("score", F.pow(F.lit(2.0), -F.col("path_mean") / c))
-        elif combine == "mean_of_forests":
-            s = F.lit(0.0)
-            for h in hn:
-                s = s + F.pow(F.lit(2.0), -(F.col(h) / F.lit(T_)) / c)
-            out = out.withColumn("score", s / F.lit(float(len(hn))))
         else:
-            raise ValueError("combine must be 'forest', 'mean_of_forests' or 'local'")
+            out = out.withColumn("score", per_forest / F.lit(float(self.n_groups)))
         return out.drop(*hn)
 
     def paths(self, df: DataFrame, id_col: str) -> DataFrame:
@@ -239,7 +253,8 @@ class ForestModel:
         return base.mapInArrow(fn, schema)
 
 
-def _block_fn(bc, d: int, k: int, hnames: list[str], keep_names: list[str], arrow_schema, local: bool):
+def _block_fn(bc, d: int, k: int, hnames: list[str], keep_names: list[str], arrow_schema, local: bool,
+              as_array: bool = False):
     def fn(batches):
         pk = bc.value
         for b in batches:
@@ -249,12 +264,18 @@ def _block_fn(bc, d: int, k: int, hnames: list[str], keep_names: list[str], arro
                 h = _local_sums(X, pk, g)[:, None]
             else:
                 h = S.h_sums(X, pk, k)
-            prev = {}
-            for j, name in enumerate(hnames):
-                i = b.schema.get_field_index(name)
-                prev[name] = b.column(i).to_numpy(zero_copy_only=False) if i >= 0 else 0.0
             arrays = [b.column(b.schema.get_field_index(n)) for n in keep_names]
-            arrays += [pa.array(h[:, j] + prev[name]) for j, name in enumerate(hnames)]
+            if as_array:
+                i = b.schema.get_field_index("_harr")
+                if i >= 0:  # partial sums of the previous blocks
+                    h = h + b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                offsets = pa.array(np.arange(0, (h.shape[0] + 1) * k, k, dtype=np.int32))
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.array(h.ravel())))
+            else:
+                for j, name in enumerate(hnames):
+                    i = b.schema.get_field_index(name)
+                    prev = b.column(i).to_numpy(zero_copy_only=False) if i >= 0 else 0.0
+                    arrays.append(pa.array(h[:, j] + prev))
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
     return fn

@@ -71,11 +71,15 @@ def contiguous_bounds(points: DataFrame, n: int, k: int, id_col: str = "_id") ->
 
 
 def group_by_bounds(id_col: Column, bounds: list) -> Column:
-    """Chunk of an id = number of chunk-opening ids <= it."""
-    g = F.lit(0)
-    for b in bounds:
-        g = g + F.when(id_col >= F.lit(b), 1).otherwise(0)
-    return g.cast("int")
+    """Chunk of an id = number of chunk-opening ids <= it (a CASE sum for a few chunks,
+    a filter over one sorted array literal for many)."""
+    if len(bounds) <= 64:
+        g = F.lit(0)
+        for b in bounds:
+            g = g + F.when(id_col >= F.lit(b), 1).otherwise(0)
+        return g.cast("int")
+    arr = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds])
+    return F.size(F.filter(arr, lambda b: b <= id_col)).cast("int")
 
 
 def contiguous_groups(points: DataFrame, n: int, k: int, id_col: str = "_id") -> Column:

@@ -278,3 +278,27 @@ def test_non_integral_id_is_rejected(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0)], "id string, x double, y double")
     with pytest.raises(TypeError, match="integer"):
         fit(df, features=["x", "y"], n_trees=1, psi=2)
+
+
+def test_many_groups_use_array_partials_and_agree(spark, monkeypatch, orders):
+    """Above MAX_GROUP_COLUMNS the per-group sums travel as one array column; scores are
+    the same as with one column per group (also across several broadcast blocks)."""
+    import lonewood.operators.forest as FO
+
+    m = fit(orders, features=["o_totalprice", "doy"], id_col="o_orderkey", n_trees=5, psi=32, seed=4, groups=6)
+    cols = m.score(orders, "mean_of_forests", id_col="o_orderkey").select("o_orderkey", F.col("score").alias("a"),
+                                                                          F.col("path_mean").alias("pa"))
+    monkeypatch.setattr(FO, "MAX_GROUP_COLUMNS", 2)
+    monkeypatch.setattr(FO, "MAX_BLOCK_BYTES", 30_000)
+    m2 = FO.load_model(spark, m.path)
+    assert len(m2.blocks()) > 1
+    arr = m2.score(orders, "mean_of_forests", id_col="o_orderkey").select("o_orderkey", F.col("score").alias("b"),
+                                                                           F.col("path_mean").alias("pb"))
+    j = cols.join(arr, "o_orderkey").select(F.max(F.abs(F.col("a") - F.col("b"))).alias("d"),
+                                             F.max(F.abs(F.col("pa") - F.col("pb"))).alias("dp")).first()
+    assert j.d < 1e-12 and j.dp < 1e-9
+    big = F.col("o_orderkey")
+    from lonewood.operators.sampling import group_by_bounds
+    bounds = list(range(10, 1000, 10))  # 99 bounds -> array path
+    got = orders.select(big, group_by_bounds(big, bounds).alias("g")).collect()
+    assert all(r.g == sum(1 for b in bounds if b <= r.o_orderkey) for r in got)

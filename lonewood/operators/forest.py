@@ -1,8 +1,9 @@
 """Isolation forests as Spark jobs: fit (sample -> grow -> persist) and score.
 
-Training plan (one shuffle):
-    scan(id, features) -> NA policy -> [chunk group] -> skip-sampling candidates
-    -> repartition(P, tree) -> row_number <= psi per tree -> applyInPandas(grow)
+Training plan (two exchanges, both carrying only ~TT * psi' rows whatever N is):
+    scan(id, features) -> NA policy + first sampling hop (one filter, codegen)
+    -> round-robin of the survivors -> mapInArrow(remaining hops) = candidates
+    -> repartition(P, tree) -> row_number <= psi per tree -> mapInArrow(grow whole trees)
     -> nodes written to the shared folder (lineage cut; scores always come from the
        saved model) -> packed on the driver (model only, size-checked) -> broadcast.
 Scoring plan (no shuffle):

@@ -27,9 +27,9 @@ _TWO_52 = 4503599627370496.0
 
 
 def u_py(*parts) -> float:
-    """Python draw; parts are ints or strings."""
+    """Python draw; parts are ints or strings.  (First 13 hex digits = first 52 bits.)"""
     key = ":".join(str(p) for p in parts).encode()
-    return int(hashlib.md5(key).hexdigest()[:13], 16) / _TWO_52
+    return (int.from_bytes(hashlib.md5(key).digest()[:7], "big") >> 4) / _TWO_52
 
 
 def u_col(*parts) -> Column:

@@ -101,49 +101,54 @@ def _pick(values: list, pop: Column) -> Column:
 
 def _hop_fn(pops: list[Population], psi: int, seed: int, margin: float, pop_idx: int | None, arrow_schema,
             keep_names: list[str]):
-    """mapInArrow body for survivors: hops 2, 3, ... until the row passes its last tree.
+    """mapInArrow body for survivors: hops 2, 3, ... until each row passes its last tree.
 
-    Exact (no cap on hops): the walk stops only when the position reaches TT.  Work is
-    bounded by the number of (row, tree) candidates, about TT * psi' per population.
+    Exact (no cap on hops): a row stops only when its position reaches TT.  All rows of
+    a batch advance one hop per round with numpy; only the md5 draw and ``math.log``
+    (the C library's, as in the SQL twin) are per element.  Work is bounded by the
+    number of (row, tree) candidates, about TT * psi' per population.
     """
     import hashlib
 
     import numpy as np
     import pyarrow as pa
 
-    lq = [pp.ln1mp(psi, margin) for pp in pops]
-    tt = [int(pp.trees) for pp in pops]
-    off = [int(pp.offset) for pp in pops]
-    prefix = f"{seed}:"
-
-    def skip(rid: int, k: int, lnq: float) -> int:
-        h = hashlib.md5(f"{prefix}{rid}:{k}".encode()).hexdigest()
-        u = int(h[:13], 16) / 4503599627370496.0
-        return math.floor(math.log(1.0 - u) / lnq)
+    lq_all = np.array([pp.ln1mp(psi, margin) for pp in pops], dtype=np.float64)
+    tt_all = np.array([int(pp.trees) for pp in pops], dtype=np.int64)
+    off_all = np.array([int(pp.offset) for pp in pops], dtype=np.int64)
+    pfx = f"{seed}:".encode()
+    md5 = hashlib.md5
+    log = math.log
 
     def fn(batches):
         for b in batches:
-            if b.num_rows == 0:
+            n = b.num_rows
+            if n == 0:
                 continue
             ids = b.column(b.schema.get_field_index("_id")).to_numpy().astype(np.int64)
-            pos1 = b.column(b.schema.get_field_index("_pos1")).to_numpy().astype(np.int64)
+            last = b.column(b.schema.get_field_index("_pos1")).to_numpy().astype(np.int64)
             pop = (b.column(pop_idx).to_numpy().astype(np.int64) if pop_idx is not None
-                   else np.zeros(b.num_rows, dtype=np.int64))
-            reps, trees = [], []
-            for i in range(b.num_rows):
-                g = int(pop[i])
-                last, lim, lnq, k = int(pos1[i]), tt[g], lq[g], 2
-                mine = [last]
-                while last < lim - 1:
-                    last = last + 1 + skip(int(ids[i]), k, lnq)
-                    k += 1
-                    if last < lim:
-                        mine.append(last)
-                reps.append(len(mine))
-                trees.extend(p + off[g] for p in mine)
-            take = pa.array(np.repeat(np.arange(b.num_rows), reps))
-            cols = [b.column(b.schema.get_field_index(n)).take(take) for n in keep_names]
-            cols.append(pa.array(np.array(trees, dtype=np.int64)))
+                   else np.zeros(n, dtype=np.int64))
+            lim, lnq, off = tt_all[pop], lq_all[pop], off_all[pop]
+            rows, trees = [np.arange(n)], [last + off]  # first hop < TT by the JVM filter
+            active = np.flatnonzero(last < lim - 1)
+            k = 2
+            while active.size:
+                suffix = f":{k}".encode()
+                # u = first 52 bits of md5("seed:id:k"); ln(1 - u) with the C library's log
+                lg = np.array([log(1.0 - (int.from_bytes(md5(pfx + str(i).encode() + suffix)
+                                                          .digest()[:7], "big") >> 4) / 4503599627370496.0)
+                               for i in ids[active].tolist()], dtype=np.float64)
+                new = last[active] + 1 + np.floor(lg / lnq[active]).astype(np.int64)
+                inside = new < lim[active]
+                rows.append(active[inside])
+                trees.append(new[inside] + off[active[inside]])
+                last[active] = new
+                active = active[new < lim[active] - 1]
+                k += 1
+            take = pa.array(np.concatenate(rows))
+            cols = [b.column(b.schema.get_field_index(nm)).take(take) for nm in keep_names]
+            cols.append(pa.array(np.concatenate(trees)))
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
     return fn

@@ -304,8 +304,10 @@ def score_position(train: DataFrame, new: DataFrame, col: str = "score", id_col:
     """For each new point: how many / what fraction of training scores are <= its
     score, and its bin in the fixed histogram.  One global range sort of train U new
     (training rows first on ties) with running counts; no pairs, no broadcast of data."""
+    # training rows carry their own id as tiebreak: a hot training score must not become
+    # one range partition
     t = train.select(F.col(col).cast("double").alias("_s"), F.lit(1).alias("is_train"),
-                     F.lit(0).alias("is_new"), F.lit(None).cast("bigint").alias("_nid"))
+                     F.lit(0).alias("is_new"), F.col(id_col).cast("bigint").alias("_nid"))
     q = new.select(F.col(col).cast("double").alias("_s"), F.lit(0).alias("is_train"),
                    F.lit(1).alias("is_new"), F.col(id_col).cast("bigint").alias("_nid"))
     u = t.unionByName(q)

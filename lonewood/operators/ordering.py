@@ -26,10 +26,20 @@ _LOCAL_BITS = 33
 
 
 def _ranged(df: DataFrame, keys: list, n_parts: int | None) -> DataFrame:
+    """Range partitions sized like the cluster's shuffles (spark.sql.shuffle.partitions),
+    at least one per task slot.
+
+    A last, unique key ``_tb`` (row position in the input scan) splits runs of equal
+    keys -- e.g. a third of all rows being exact copies -- over several range partitions
+    instead of one.  Rows equal on all ``keys`` are interchangeable, so results do not
+    depend on how they are ordered among themselves."""
     spark = df.sparkSession
     shared_dir(spark)
-    P = n_parts or max(1, spark.sparkContext.defaultParallelism)
-    return df.repartitionByRange(P, *keys).sortWithinPartitions(*keys)
+    P = n_parts or max(1, spark.sparkContext.defaultParallelism,
+                       int(spark.conf.get("spark.sql.shuffle.partitions", "1")))
+    keyed = df.withColumn("_tb", F.monotonically_increasing_id())
+    allk = list(keys) + [F.col("_tb")]
+    return keyed.repartitionByRange(P, *allk).sortWithinPartitions(*allk)
 
 
 def _offsets(counts: dict[int, int]) -> list[int]:
@@ -56,7 +66,7 @@ def global_row_index(df: DataFrame, keys: list, index_col: str = "row_index",
     counts = {int(r["_p"]): int(r["n"]) for r in ranged.groupBy(pid.alias("_p")).agg(F.count("*").alias("n")).collect()}
     offs = _offsets(counts)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return ranged.withColumn(index_col, _pick(offs, pid.cast("int")) + local).drop("_mid")
+    return ranged.withColumn(index_col, _pick(offs, pid.cast("int")) + local).drop("_mid", "_tb")
 
 
 def running_counts(df: DataFrame, keys: list, flags: list[str], n_parts: int | None = None,
@@ -103,4 +113,4 @@ def running_counts(df: DataFrame, keys: list, flags: list[str], n_parts: int | N
     for f in flags:
         fo = _offsets({int(r["_p"]): int(r[f"s_{f}"] or 0) for r in totals})
         out = out.withColumn(f"cum_{f}", _pick(fo, F.col("_pid")) + F.col(f"_lcum_{f}"))
-    return out.drop("_pid", "_lidx", *[f"_lcum_{f}" for f in flags])
+    return out.drop("_pid", "_lidx", "_tb", *[f"_lcum_{f}" for f in flags])

@@ -159,3 +159,17 @@ def test_grouped_histogram_per_point(spark):
         assert [per[i][b] for b in range(19)] == counts.tolist()
     d1 = sum(r["density"] for r in h if r["id"] == 1) / 19
     assert abs(d1 - 1.0) < 1e-12
+
+
+def test_range_sort_splits_a_hot_key(spark):
+    """A third of the rows are exact copies: the global index still spreads them over
+    several range partitions and numbers every row exactly once."""
+    from pyspark.sql.functions import spark_partition_id
+
+    rows = [(7, 1.0)] * 3000 + [(i, float(i)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k bigint, v double")
+    ix = global_row_index(df, [F.col("k"), F.col("v")], n_parts=6)
+    got = ix.select("row_index").collect()
+    assert sorted(r.row_index for r in got) == list(range(9000))
+    hot = ix.where((F.col("k") == 7) & (F.col("v") == 1.0)).groupBy(spark_partition_id().alias("p")).count().collect()
+    assert len(hot) >= 2 and max(r["count"] for r in hot) < 3001

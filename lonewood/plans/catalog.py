@@ -28,6 +28,7 @@ from ..operators.sampling import chunk_contiguous, chunk_hash
 from ..session import new_path
 from ..sources import bundle as B
 from ..sources import readers as RD
+from ..sources.points import read_parquet_wallclock
 from .oracle import ForestSQL, PointsSQL
 
 R = 6  # output rounding for engine-dependent doubles
@@ -45,7 +46,7 @@ class Scen:
     index_keys: tuple = ()  # no key in the table: id = global row index in this order
 
     def df(self, spark: SparkSession, sf: str) -> DataFrame:
-        t = spark.read.parquet(f"{sf}/{self.table}.parquet")
+        t = read_parquet_wallclock(spark, f"{sf}/{self.table}.parquet")
         if self.index_keys:
             t = global_row_index(t, [F.col(c) for c in self.index_keys], self.id_col)
         if self.array_col:
@@ -249,7 +250,7 @@ def q_chunk_contiguous(spark, sf):
 
 
 def q_global_row_index(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(*LINE_KEYS)
+    li = read_parquet_wallclock(spark, f"{sf}/lineitem.parquet").select(*LINE_KEYS)
     ix = global_row_index(li, [F.col(c) for c in LINE_KEYS], "row_index")
     return ix.select("row_index", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
@@ -329,7 +330,7 @@ def _cust_bundle(spark, sf) -> B.Bundle:
 
 def q_score_point(spark, sf):
     bnd = _cust_bundle(spark, sf)
-    t = spark.read.parquet(f"{sf}/customer.parquet")
+    t = read_parquet_wallclock(spark, f"{sf}/customer.parquet")
     lit = F.concat(F.lit("("), F.col("c_acctbal").cast("string"), F.lit(", "),
                    F.col("c_nationkey").cast("string"), F.lit(")"))
     arr = RD.parse_point_literal(lit)
@@ -363,7 +364,7 @@ def q_score_table(spark, sf):
     """Score an uploaded headerless CSV with a model trained on the part table."""
     m = model(spark, sf, M_PART)
     path = new_path(spark, "uploads")
-    spark.read.parquet(f"{sf}/part.parquet").select("p_retailprice", F.col("p_size").cast("double")).write.csv(path)
+    read_parquet_wallclock(spark, f"{sf}/part.parquet").select("p_retailprice", F.col("p_size").cast("double")).write.csv(path)
     up = RD.read_points_csv(spark, path, names=["p_retailprice", "p_size"])
     s = m.score(up, id_col="id")
     return s.select(F.col("p_retailprice").alias("x0"), F.col("p_size").alias("x1"), r("score").alias("score"))
@@ -371,20 +372,20 @@ def q_score_table(spark, sf):
 
 def q_csv_points_scan(spark, sf):
     path = new_path(spark, "csv")
-    spark.read.parquet(f"{sf}/customer.parquet").select("c_acctbal", "c_nationkey").write.csv(path)
+    read_parquet_wallclock(spark, f"{sf}/customer.parquet").select("c_acctbal", "c_nationkey").write.csv(path)
     return RD.read_points_csv(spark, path, names=["x0", "x1"]).select("x0", "x1")
 
 
 def q_text_points_parse(spark, sf):
     path = new_path(spark, "text")
-    t = spark.read.parquet(f"{sf}/part.parquet")
+    t = read_parquet_wallclock(spark, f"{sf}/part.parquet")
     t.select(F.concat_ws(",", F.col("p_retailprice").cast("string"), F.col("p_size").cast("string"),
                          F.col("p_name")).alias("value")).write.text(path)
     return RD.read_text_points(spark, path, 2).select("x", "y")
 
 
 def q_point_literal_parse(spark, sf):
-    t = spark.read.parquet(f"{sf}/customer.parquet")
+    t = read_parquet_wallclock(spark, f"{sf}/customer.parquet")
     lit = F.concat(F.lit("(("), F.col("c_acctbal").cast("string"), F.lit(" ,"),
                    F.col("c_nationkey").cast("string"), F.lit(") "))
     arr = RD.parse_point_literal(lit)
@@ -399,7 +400,7 @@ def q_assemble_features(spark, sf):
 
 
 def q_c_factor(spark, sf):
-    t = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_size").cast("bigint").alias("n")).distinct()
+    t = read_parquet_wallclock(spark, f"{sf}/part.parquet").select(F.col("p_size").cast("bigint").alias("n")).distinct()
     return t.select("n", r(c_factor(F.col("n"))).alias("c"))
 
 
@@ -455,7 +456,7 @@ def q_label_layers(spark, sf):
 
 
 def q_mean_var_pop(spark, sf):
-    ev = spark.read.parquet(f"{sf}/events.parquet")
+    ev = read_parquet_wallclock(spark, f"{sf}/events.parquet")
     m = A.mean_var_pop(ev, "value", ["event_type"])
     return m.select("event_type", "n", r("mean").alias("mean"), r("var_pop").alias("var_pop"))
 

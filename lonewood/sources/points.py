@@ -92,6 +92,21 @@ def resolve_features(df: DataFrame, features=None, feature_col: str | None = Non
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+def read_parquet_wallclock(spark, path: str) -> DataFrame:
+    """Read Parquet with its naive (not UTC-adjusted) timestamps as TIMESTAMP_NTZ.
+
+    Spark maps such columns to TIMESTAMP_NTZ by default, but a session with
+    ``spark.sql.parquet.inferTimestampNTZ.enabled=false`` reads them as instants in the
+    session time zone, which shifts derived features (day of year, hour).  An explicit
+    read schema keeps the file's wall-clock meaning whatever the session says."""
+    df = spark.read.parquet(path)
+    if not any(isinstance(f.dataType, T.TimestampType) for f in df.schema.fields):
+        return df
+    fixed = T.StructType([T.StructField(f.name, T.TimestampNTZType(), f.nullable)
+                          if isinstance(f.dataType, T.TimestampType) else f for f in df.schema.fields])
+    return spark.read.schema(fixed).parquet(path)
+
+
 def canonical(df: DataFrame, spec: FeatureSpec, id_col: str, keep: list[str] | None = None) -> DataFrame:
     """Project ``df`` to ``_id, [keep...], _x0.._x{d-1}`` (column pruning reaches the scan)."""
     dt = {f.name: f.dataType for f in df.schema.fields}.get(id_col)

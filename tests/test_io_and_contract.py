@@ -106,3 +106,26 @@ def test_stream_scoring_equals_batch(spark):
     q.awaitTermination()
     got = {r.event_id: r.score for r in spark.read.parquet(out).collect()}
     assert got == batch
+
+
+def test_naive_timestamps_keep_wall_clock_under_any_session(spark):
+    """Naive Parquet timestamps are read as TIMESTAMP_NTZ even when the session would
+    map them to local-time instants; day-of-year features do not depend on the zone."""
+    from pyspark.sql import types as T
+
+    from lonewood.sources.points import read_parquet_wallclock
+
+    path = f"{SF001}/orders.parquet"
+    base = duckdb.sql(f"SELECT sum(dayofyear(o_orderdate)) FROM read_parquet('{path}')").fetchall()[0][0]
+    old_tz = spark.conf.get("spark.sql.session.timeZone")
+    old_ntz = spark.conf.get("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+        df = read_parquet_wallclock(spark, path)
+        assert isinstance(df.schema["o_orderdate"].dataType, T.TimestampNTZType)
+        got = df.select(F.sum(F.dayofyear("o_orderdate"))).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old_tz)
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", old_ntz)
+    assert got == base

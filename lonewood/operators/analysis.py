@@ -34,7 +34,10 @@ def bottom_normals(scores: DataFrame, k: int = 10, score_col: str = "score", id_
 
 def label_layers(scores: DataFrame, k: int = 10, score_col: str = "score", id_col: str = "id") -> DataFrame:
     """P5: layer = 'top' for the k most anomalous, 'bottom' for the k most normal, else
-    'other'.  The 2k labelled ids are broadcast (size bounded by k); bottom wins ties."""
+    'other'.  The 2k labelled ids are broadcast (size bounded by k); bottom wins ties.
+
+    ``scores`` is read three times (top-k, bottom-k, the labelled join): pass a
+    materialised table (written or checkpointed), not a scoring pipeline."""
     top = top_anomalies(scores, k, score_col, id_col).select(F.col(id_col).alias("_lid"), F.lit(2).alias("_rk"))
     bot = bottom_normals(scores, k, score_col, id_col).select(F.col(id_col).alias("_lid"), F.lit(1).alias("_rk"))
     lab = top.unionByName(bot).groupBy("_lid").agg(F.min("_rk").alias("_rk"))

@@ -64,4 +64,21 @@ def score_points(bundle: Bundle, points: DataFrame, combine: str = "forest", id_
     return bundle.model.score(points, combine=combine, id_col=id_col)
 
 
-__all__ = ["Bundle", "save_model", "save_bundle", "load_bundle", "fit_score_save", "score_points", "F"]
+def score_literal(bundle: Bundle, text: str, combine: str = "forest") -> DataFrame:
+    """R10 for one point given as text, e.g. ``"(3.3, 3.3)"``: parsed with
+    ``parse_point_literal`` and scored by the saved model (one row: id 0, the parsed
+    values, path_mean, score)."""
+    from .readers import parse_point_literal
+
+    model = bundle.model
+    spec = model.spec
+    lit = model.spark.createDataFrame([(0, text)], "id bigint, s string")
+    arr = parse_point_literal("s")
+    if spec.array_col:
+        pts = lit.select("id", arr.alias(spec.array_col))
+    else:
+        pts = lit.select("id", *[arr.getItem(i).alias(c) for i, c in enumerate(spec.columns)])
+    return model.score(pts, combine=combine, id_col="id")
+
+
+__all__ = ["Bundle", "save_model", "save_bundle", "load_bundle", "fit_score_save", "score_points", "score_literal", "F"]

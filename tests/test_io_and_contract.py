@@ -129,3 +129,14 @@ def test_naive_timestamps_keep_wall_clock_under_any_session(spark):
         spark.conf.set("spark.sql.session.timeZone", old_tz)
         spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", old_ntz)
     assert got == base
+
+
+def test_score_literal_matches_table_scoring(spark):
+    X = np.random.default_rng(8).normal(size=(500, 2))
+    X[0] = (5.0, -5.0)
+    df = points_df(spark, X)
+    bnd = B.fit_score_save(df, features=["x", "y"], n_trees=30, psi=128, seed=2)
+    one = B.score_literal(bnd, " ((5.0, -5.0)) ").first()
+    saved = {r.id: r.score for r in bnd.scores.collect()}
+    assert one.x == 5.0 and one.y == -5.0
+    assert abs(one.score - saved[0]) < 1e-12

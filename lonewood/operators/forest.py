@@ -144,8 +144,18 @@ class ForestModel:
             return df.repartition(slots)
         return df
 
+    @staticmethod
+    def _check_names(df: DataFrame) -> None:
+        """Scoring appends working columns ``_x<i>``, ``_h<g>``, ``_harr``, ``_hl``, ``_lg``."""
+        import re
+
+        clash = [c for c in df.columns if re.fullmatch(r"_x\d+|_h\d+|_harr|_hl|_lg", c)]
+        if clash:
+            raise ValueError(f"columns {clash} clash with scoring's working columns; rename them first")
+
     def _partials(self, df: DataFrame, local_group: Column | None = None) -> tuple[DataFrame, list[str]]:
         """df + per-group path-length sums ``_h{g}`` (or ``_hl`` for local scoring)."""
+        self._check_names(df)
         d, k = self.d, self.n_groups
         base = self._spread(df).select("*", *self.spec.exprs())
         if local_group is not None:

@@ -302,3 +302,8 @@ def test_many_groups_use_array_partials_and_agree(spark, monkeypatch, orders):
     bounds = list(range(10, 1000, 10))  # 99 bounds -> array path
     got = orders.select(big, group_by_bounds(big, bounds).alias("g")).collect()
     assert all(r.g == sum(1 for b in bounds if b <= r.o_orderkey) for r in got)
+
+
+def test_reserved_column_names_are_reported(spark, model, orders):
+    with pytest.raises(ValueError, match="clash"):
+        model.score(orders.withColumn("_x0", F.lit(1.0)), id_col="o_orderkey")

@@ -75,6 +75,7 @@ class ForestModel:
     chunk_bounds: list | None = None  # contiguous chunks: ids opening chunks 1..k-1
     _blocks: list | None = None
     _bcast: object | None = None
+    _n_nodes: int | None = None  # known from fit's check of the saved table
 
     # ------------------------------------------------------------ basics
     @property
@@ -102,7 +103,7 @@ class ForestModel:
         """The model's node table on the driver; bounded by trees * (2 psi - 1) and checked
         (a metadata count of the saved table) before anything is collected.  Arrow
         transfer (no per-row objects), whatever the session's Arrow setting."""
-        n = self.nodes.count()
+        n = self._n_nodes if self._n_nodes is not None else self.nodes.count()
         if n > MAX_MODEL_NODES:
             raise ValueError(f"model has {n} nodes, above MAX_MODEL_NODES={MAX_MODEL_NODES}: "
                              "use fewer trees or a smaller psi / depth limit")
@@ -414,8 +415,10 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
         nodes = sample.mapInArrow(grower, NODES_SCHEMA)
         nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         saved = spark.read.parquet(f"{path}/nodes")
-        roots = saved.where(F.col("node") == 0).agg(
-            F.count("*").alias("trees"), F.min("size").alias("lo"), F.max("size").alias("hi")).first()
+        # one aggregate over the saved table: every tree full (root size psi) + model size
+        root = F.col("node") == 0
+        roots = saved.agg(F.count_if(root).alias("trees"), F.min(F.when(root, F.col("size"))).alias("lo"),
+                          F.max(F.when(root, F.col("size"))).alias("hi"), F.count("*").alias("n_nodes")).first()
         if roots["trees"] == total and roots["lo"] == psi and roots["hi"] == psi:
             break
         margin *= 2.0  # a tree got fewer than psi candidates: widen p and redraw
@@ -423,6 +426,7 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
         raise RuntimeError("sampling failed to fill every tree")
     model = ForestModel(spark, path, saved, spec, groups, n_trees, psi, limit, int(seed), assign, margin,
                         dict(counts) if assign != "all" else {g: counts[0] for g in range(groups)}, bounds)
+    model._n_nodes = int(roots["n_nodes"])
     model.meta_df().write.mode("overwrite").parquet(f"{path}/meta")
     return model
 

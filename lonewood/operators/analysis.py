@@ -61,7 +61,9 @@ def hist_fixed(scores: DataFrame, col: str = "score", bins: int = 19, lo: float
 
     ``by`` histograms each group separately (e.g. ``by=["id"]`` on per-tree scores gives
     every point's distribution of tree scores): one aggregate keyed by (group, bin), the
-    per-group totals from a second aggregate, each group's empty bins from a sequence."""
+    per-group totals from a second aggregate, each group's empty bins from a sequence.
+    Without ``by`` the data is read once: the per-bin counts (at most ``bins`` rows) are
+    collected and completed with the empty bins."""
     spark = scores.sparkSession
     width = (hi - lo) / bins
     s = F.col(col)
@@ -69,14 +71,17 @@ def hist_fixed(scores: DataFrame, col: str = "score", bins: int = 19, lo: float
     b = F.least(F.floor((s - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
     keys = list(by or [])
     counts = inr.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("count"))
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
     edges = [(F.lit(lo) + F.col("bin") * F.lit(width)).alias("edge_lo"),
              (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("edge_hi")]
     if not keys:
-        total = int(inr.count())
-        dens = cnt / F.lit(float(total) * width) if total > 0 else F.lit(0.0)
-        return all_bins.join(counts, "bin", "left").select("bin", *edges, cnt.alias("count"), dens.alias("density"))
+        # one pass over the data: the per-bin counts (at most `bins` rows) are the result
+        got = {int(r["bin"]): int(r["count"]) for r in counts.collect()}
+        total = sum(got.values())
+        rows = [(b, got.get(b, 0)) for b in range(bins)]
+        res = spark.createDataFrame(rows, "bin int, count bigint")
+        dens = F.col("count") / F.lit(float(total) * width) if total > 0 else F.lit(0.0)
+        return res.select("bin", *edges, "count", dens.alias("density"))
     totals = counts.groupBy(*keys).agg(F.sum("count").alias("_total"))
     # each group's own bins 0..bins-1 (the histogram rows themselves), then its counts
     grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .quality import quality_rules
+from .simhash import simhash_groups
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +14,13 @@ def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "quality.*")
 
 
+def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash_groups(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select("doc_id", "simhash.fingerprint", "simhash.component_id")
+
+
 QUERIES = {
+    "op6_simhash_pivots": op6_simhash_pivots,
     "op7_quality_divergence": op7_quality_divergence,
 }
 

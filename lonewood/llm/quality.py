@@ -108,6 +108,7 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
         F.array(*[F.sum(F.col("c")[i]).cast("double") for i in range(6)]).alias("ref_classes"))
     counts = d.select("ref_lang", F.explode(F.split("t", SPACE)).alias("w")).where("w != ''").groupBy(
         "ref_lang", F.when(F.length("w") <= MAX_COMMON_CHARS, F.col("w")).alias("w")).agg(F.count("*").alias("n"))
+    counts = staged(counts, "quality")  # read twice below
     # row_number() <= n becomes a group limit: each task keeps n words a language before the
     # exchange, so a hot language sends n rows from each task
     ranked = counts.where("w is not null").withColumn("r", F.row_number().over(Window.partitionBy("ref_lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= n_common)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .quality import quality_rules
 from .simhash import simhash_groups
+from .suffixes import remove_repeats
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,13 @@ def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "simhash.fingerprint", "simhash.component_id")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "dedup.*")
+
+
 QUERIES = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_quality_divergence": op7_quality_divergence,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .postings import decontaminate
 from .quality import quality_rules
 from .simhash import simhash_groups
 from .suffixes import remove_repeats
@@ -25,7 +26,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "dedup.*")
 
 
+def op2_postings_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return d.select("doc_id", *[f"leak.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")])
+
+
 QUERIES = {
+    "op2_postings_decontamination": op2_postings_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_quality_divergence": op7_quality_divergence,

@@ -117,10 +117,10 @@ def _forest(fp: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarra
 
 
 def block_keys(n: float, max_bits: int, per_key: int = PER_KEY) -> list[int]:
-    """Bit masks of the join keys for ``n`` fingerprints."""
+    """Bit masks of the join keys for ``n`` fingerprints: two equal blocks at least."""
     if max_bits >= 32:
         raise ValueError("max_bits must be below 32")
-    e = next(e for e in range(1, 65 - max_bits) if n / 2.0 ** (64 * e / (max_bits + e)) <= per_key or comb(max_bits + e + 1, e + 1) > 500)
+    e = next(e for e in range(2, 65 - max_bits) if n / 2.0 ** (64 * e / (max_bits + e)) <= per_key or comb(max_bits + e + 1, e + 1) > 500)
     edges = np.linspace(0, 64, max_bits + e + 1).round().astype(int).tolist()
     blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
     return [sum(c) for c in combinations(blocks, e)]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack_documents
 from .postings import decontaminate
 from .quality import quality_rules
 from .simhash import simhash_groups
 from .suffixes import remove_repeats
+from .tokenfile import read_tokens, write_tokens
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,23 @@ def op2_postings_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[f"leak.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")])
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep=["doc_id"])
+
+
+def op8_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_seekable_tokens": op8_seekable_tokens,
     "op2_postings_decontamination": op2_postings_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op6_simhash_pivots": op6_simhash_pivots,

@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from .common import ranges
 
-CACHE = 400_000
+CACHE = 600_000
+#: Texts are cut in groups of about so many characters.
+GROUP = 1 << 19
 
 _LATIN = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c <= 0xA0 and c != 0x130]
 _LETTERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
@@ -32,6 +35,19 @@ _PATTERNS = {
 }
 
 
+class _Numbers(dict):
+    """Numbers pieces in the order of their first look-up; ``new`` collects unknown ones."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     def __init__(self, path: str, cache: int = CACHE):
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,65 +57,75 @@ class Encoder:
         self.lower = self.tokenizer.normalizer is not None
         self.find = re.compile(_PATTERNS["words" if self.lower else "spaces"]).findall
         self.limit = cache
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.first, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        n, m = len(self.known), len(pieces)
-        # pieces that start with a space keep apart when joined; words keep apart by a space
-        joint = [p for p in pieces if p[0].isalpha()] if self.lower else [p for p in pieces if p[0] == " " and len(p) > 1 and p[1].isalpha()]
-        found = []
+    def _learn(self) -> None:
+        """Encodes the new pieces.  Pieces that start with a space stay apart when joined, and
+        words stay apart by a space, so most are encoded many at a time."""
+        new, self.known.new = self.known.new, []
+        n = len(self.known) - len(new)
+        while len(self.known) > len(self.first):
+            self.first, self.size = np.concatenate([self.first] * 2), np.concatenate([self.size] * 2)
+        by = 0 if self.lower else 1
+        joint = [i for i, p in enumerate(new) if len(p) > by and p[by].isalpha() and (not by or p[0] == " ")]
+        rest = sorted(set(range(len(new))).difference(joint)) if len(joint) < len(new) else []
         for lo in range(0, len(joint), 2000):
-            part = joint[lo:lo + 2000]
-            e = self.tokenizer.encode((" " if self.lower else "").join(part), add_special_tokens=False)
-            ids, words = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
-            sizes = np.bincount(words, minlength=len(part))
-            if len(sizes) != len(part):
+            at = joint[lo:lo + 2000]
+            e = self.tokenizer.encode((" " if self.lower else "").join([new[i] for i in at]), add_special_tokens=False)
+            sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(at))
+            if len(sizes) != len(at):
                 raise ValueError("the tokenizer cuts words in another way")
-            found.append((part, ids, sizes))
-        rest = sorted(set(pieces) - set(joint)) if len(joint) < m else []
+            self._store(n + np.array(at), np.array(e.ids, np.uint32), sizes)
         if rest:
-            e = [x.ids for x in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
-            found.append((rest, np.array([i for x in e for i in x], np.uint32), np.array([len(x) for x in e], np.int64)))
-        while n + m > len(self.first):
-            self.first, self.size = np.concatenate([self.first] * 2), np.concatenate([self.size] * 2)
-        for part, ids, sizes in found:
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat] * 2)
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.size[n:n + len(part)] = sizes
-            self.first[n:n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += len(ids)
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
-            n += len(part)
+            e = [x.ids for x in self.tokenizer.encode_batch([new[i] for i in rest], add_special_tokens=False)]
+            self._store(n + np.array(rest), np.array([i for x in e for i in x], np.uint32), np.array([len(x) for x in e], np.int64))
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat] * 2)
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.size[at] = sizes
+        self.first[at] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def _forget(self) -> None:
+        """Keeps the older half of the cache: words seen early are the frequent ones."""
+        half = self.limit // 2
+        self.known = _Numbers(islice(self.known.items(), half))
+        size = self.size[:half].copy()
+        self.flat = np.concatenate([self.flat[ranges(self.first[:half], size)], np.zeros(1 << 18, np.uint32)])
+        self.first[:half] = np.cumsum(size) - size
+        self.used = int(size.sum())
 
     def _cached(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces, counts = [], []
-        for t in texts:
-            p = self.find(t.lower() if self.lower else t)
-            pieces += p
-            counts.append(len(p))
-        new = set(pieces).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.limit and self.known:
-                self._clear()
-                new = set(pieces)
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size[at]
-        ids = self.flat[ranges(self.first[at], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)])
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        all_ids, all_counts, lo = [], [], 0
+        sizes = np.cumsum([len(t) for t in texts])
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + GROUP, "right")))
+            pieces, cuts = [], [0]
+            for t in texts[lo:hi]:
+                pieces += self.find(t.lower() if self.lower else t)
+                cuts.append(len(pieces))
+            if len(self.known) > self.limit:
+                self._forget()
+            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            if self.known.new:
+                self._learn()
+            size = self.size[at]
+            all_ids.append(self.flat[ranges(self.first[at], size)])
+            all_counts.append(np.diff(np.concatenate([[0], np.cumsum(size)])[cuts]))
+            lo = hi
+        return np.concatenate(all_ids), np.concatenate(all_counts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         plain = [_PLAIN.fullmatch(t) is not None for t in texts]
         if all(plain):
-            return self._cached(texts) if texts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            return self._cached(texts)
         ids, counts = self._cached([t for t, p in zip(texts, plain, strict=True) if p])
         ends = np.cumsum(counts)
         whole = (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))

@@ -3,7 +3,8 @@
 A byte goes if a ``length``-byte string covers it that also starts in a document of
 smaller id.  Judged on the input text, within documents, by these steps:
 
-1. ``blocks``: documents are written in blocks of about ``BLOCK_BYTES`` of text.
+1. ``blocks``: documents are written in blocks of about ``BLOCK_BYTES`` of text, one file
+   each; later steps move file names and read the text in place.
 2. Every ``length``-byte window has a minimizer, the least hash among its ``GRAM``-byte
    grams.  Equal windows have equal minimizers, so they meet under one key; consecutive
    windows with one minimizer make one snippet.  Each block sends its distinct minimizers
@@ -12,7 +13,8 @@ smaller id.  Judged on the input text, within documents, by these steps:
 3. For shared minimizers each block sends its distinct snippets with the least document id
    of each.  A bucket (``shard``) sorts the suffixes of its snippets by induced sorting and
    computes permuted common prefixes; suffixes that share ``length`` bytes form a group,
-   whose least document id is the answer for each of its windows.
+   whose least document id is the answer for each of its windows.  (A minimizer with one
+   snippet in all blocks needs no sorting: its windows are in no other.)
    A minimizer that occurs more than ``HOT`` times can have any number of different
    snippets.  Its windows are sent one by one and dealt out by the whole window, so no
    shard gathers them.
@@ -29,19 +31,22 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import new_path
 from .common import ranges, ready, shuffle_partitions, staged, utf8
+from .files import NewFile, read_file
 from .sais import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 20
 HOT = 4096
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 STEP = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
@@ -120,11 +125,11 @@ def _unpack(blob: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (block, bytes, data): whole rows of ``docs``, with their text and id once more as
+    """Rows (block, bytes, path): files of whole rows of ``docs``, with their text and id as
     first two columns."""
-    own = docs.columns
+    folder = new_path(docs.sparkSession, "blocks")
     cols = [F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("__id"),
-            F.struct(*[F.col(f"`{c}`") for c in own if c != text] or [F.lit(0).alias("none")]).alias("__row")]
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("none")]).alias("__row")]
 
     def run(batches):
         from pyspark import TaskContext
@@ -132,8 +137,11 @@ def blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYT
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(held)], pa.binary())],
-                                              names=["block", "bytes", "data"])
+            path = f"{folder}/{part:06d}-{seq:06d}.arrow"
+            f = NewFile(path)
+            f.write(_pack(held))
+            f.close()
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([path])], names=["block", "bytes", "path"])
 
         for b in batches:
             _, offs = utf8(b.column(0))
@@ -149,15 +157,31 @@ def blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYT
         if held:
             yield flush()
 
-    return staged(docs.select(*cols).mapInArrow(run, "block long, bytes long, data binary"), "suffixes")
+    return staged(docs.select(*cols).mapInArrow(run, "block long, bytes long, path string"), "suffixes")
 
 
-def _texts(data: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    t = _unpack(data).combine_chunks()
+def _texts(path: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    t = _unpack(read_file(path)).combine_chunks()
     raw, offs = utf8(t.column(0))
     return t, raw, offs, t.column(1).to_numpy().astype(np.int64)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as byte planes of their differences, which compress well."""
+    return np.ascontiguousarray(np.diff(x.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T)
+    return np.cumsum(planes.view("<u4").ravel(), dtype=np.uint32)
+
+
+def address(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 32-bit number in it) of minimizers.  Two minimizers with one address only make
+    snippets that are compared in vain."""
+    return (key % np.uint64(buckets)).astype(np.int64), ((key * _MIX[0]) >> np.uint64(32)).astype(np.uint32)
+
+
 # --- step 2: minimizers that several documents have ----------------------------------------
 
 
@@ -167,15 +191,15 @@ def _keys(length: int, gram: int, buckets: int):
 
     def run(batches):
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, raw, offs, ids = _texts(data)
+            for block, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, raw, offs, ids = _texts(path)
                 key, _, _, doc = snippets(raw, offs, length, gram)
                 if not len(key):
                     continue
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((key, bucket))
-                key, bucket, who = key[order], bucket[order], ids[doc[order]]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                bucket, number = address(key, buckets)
+                order = np.lexsort((number, bucket))
+                bucket, number, who = bucket[order], number[order], ids[doc[order]]
+                first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (bucket[1:] != bucket[:-1])]))
                 n = np.diff(np.concatenate([first, [len(key)]]))
                 one = np.minimum.reduceat(who, first) == np.maximum.reduceat(who, first)
                 times = np.where(one, -n, n).astype(np.int32)
@@ -183,7 +207,7 @@ def _keys(length: int, gram: int, buckets: int):
                 at = first[cuts[:-1]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(at), block, np.int64)),
-                    pa.array([key[first[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    pa.array([pack_numbers(number[first[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array([times[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 ], names=["bucket", "block", "keys", "times"])
 
@@ -196,7 +220,7 @@ def _shared(hot: int):
 
     def run(bucket: pa.Table) -> pa.Table:
         block = bucket.column("block").to_numpy()
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in bucket.column("keys")]
+        keys = [unpack_numbers(x.as_py()) for x in bucket.column("keys")]
         times = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in bucket.column("times")])
         sizes = np.array([len(k) for k in keys])
         every = np.concatenate(keys)
@@ -215,9 +239,10 @@ def _shared(hot: int):
             at += m
             if mine.any():
                 out["block"].append(b)
-                out["cool"].append(k[mine == 1].tobytes())
-                out["hot"].append(k[mine == 2].tobytes())
-        return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["cool"], pa.binary()), pa.array(out["hot"], pa.binary())], names=["block", "cool", "hot"])
+                out["cool"].append(pack_numbers(k[mine == 1]))
+                out["hot"].append(pack_numbers(k[mine == 2]))
+        where = pa.array([bucket.column("bucket")[0].as_py()] * len(out["block"]), pa.int32())
+        return pa.table([pa.array(out["block"], pa.int64()), where, pa.array(out["cool"], pa.binary()), pa.array(out["hot"], pa.binary())], names=["block", "bucket", "cool", "hot"])
 
     return run
 
@@ -225,52 +250,60 @@ def _shared(hot: int):
 # --- step 3: snippets and suffix arrays ---------------------------------------------------
 
 
-def _sent(length: int, gram: int, buckets: int):
-    """Of each block, for each bucket: its distinct snippets of shared minimizers with the
-    least id of each; and in the row of bucket -1, where they occur."""
+def outgoing(raw: np.ndarray, offs: np.ndarray, shared: list[dict], length: int, gram: int, buckets: int):
+    """What a block sends, bucket by bucket.  Returns (places, texts, begin, which, doc): bucket
+    and distinct snippets of each message; and every occurrence: where it begins, its number
+    among all snippets in the order of the messages, and its document."""
+    key, start, count, doc = snippets(raw, offs, length, gram)
+    place, number = address(key, buckets)
+    code = place.astype(np.uint64) << np.uint64(32) | number
 
-    def member(key, blobs):
-        have = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs]))
+    def member(kind: str) -> np.ndarray:
+        have = np.sort(np.concatenate([np.uint64(x["bucket"]) << np.uint64(32) | unpack_numbers(x[kind]) for x in shared] or [np.zeros(0, np.uint64)]))
         if not len(have):
-            return np.zeros(len(key), bool)
-        return have[np.minimum(np.searchsorted(have, key), len(have) - 1)] == key
+            return np.zeros(len(code), bool)
+        return have[np.minimum(np.searchsorted(have, code), len(have) - 1)] == code
+
+    c, h = member("cool"), member("hot")
+    whole = raw.tobytes()
+    digest = xxhash.xxh64_intdigest
+    single = ranges(start[h], count[h])
+    place = np.concatenate([place[c], np.array([digest(whole[a:a + length]) % buckets for a in single.tolist()], np.int64)])
+    begin = np.concatenate([start[c], single])
+    windows = np.concatenate([count[c], np.ones(len(single), np.int64)])
+    doc = np.concatenate([doc[c], np.repeat(doc[h], count[h])])
+    order = np.argsort(place, kind="stable")
+    place, begin, windows, doc = place[order], begin[order], windows[order], doc[order]
+    which = np.empty(len(place), np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]) if len(place) else np.zeros(1, np.int64)
+    places, texts, before = [], [], 0
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        seen: dict[bytes, int] = {}
+        which[lo:hi] = [seen.setdefault(whole[a:a + w + length - 1], len(seen)) for a, w in zip(begin[lo:hi].tolist(), windows[lo:hi].tolist(), strict=True)]
+        which[lo:hi] += before
+        before += len(seen)
+        places.append(int(place[lo]))
+        texts.append(list(seen))
+    return places, texts, begin, which, doc
+
+
+def _sent(length: int, gram: int, buckets: int):
+    """Of each block, for each bucket: its distinct snippets with the least id of each."""
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for block, data, cool, hot in zip(*[batch.column(c).to_pylist() for c in ("block", "data", "cool", "hot")], strict=True):
-                _, raw, offs, ids = _texts(data)
-                key, start, count, doc = snippets(raw, offs, length, gram)
-                c, h = member(key, cool), member(key, hot)
-                place = [(key[c] % np.uint64(buckets)).astype(np.int64)]
-                begin, windows, who = [start[c]], [count[c]], [ids[doc[c]]]
-                single = ranges(start[h], count[h])
-                whole = raw.tobytes()
-                digest = xxhash.xxh64_intdigest
-                place.append(np.array([digest(whole[a:a + length]) % buckets for a in single.tolist()], np.int64))
-                begin.append(single)
-                windows.append(np.ones(len(single), np.int64))
-                who.append(np.repeat(ids[doc[h]], count[h]))
-                place, begin, windows, who = map(np.concatenate, (place, begin, windows, who))
-                order = np.argsort(place, kind="stable")
-                place, begin, windows, who = place[order], begin[order], windows[order], who[order]
-                rows = {"block": [block], "bucket": [-1], "sizes": [b""], "ids": [b""], "data": [b""], "begin": [begin.astype(np.int64).tobytes()], "which": [b""]}
-                which = np.empty(len(place), np.int64)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]) if len(place) else np.zeros(1, np.int64)
-                seen_before = 0
-                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    seen: dict[bytes, int] = {}
-                    for i, (a, w) in enumerate(zip(begin[lo:hi].tolist(), windows[lo:hi].tolist(), strict=True), lo):
-                        which[i] = seen.setdefault(whole[a:a + w + length - 1], len(seen))
-                    least = np.full(len(seen), NO_ID)
-                    np.minimum.at(least, which[lo:hi], who[lo:hi])
-                    which[lo:hi] += seen_before
-                    seen_before += len(seen)
-                    for name, x in (("block", block), ("bucket", int(place[lo])), ("sizes", np.array([len(x) for x in seen], np.int64).tobytes()),
-                                    ("ids", least.tobytes()), ("data", b"".join(seen)), ("begin", b""), ("which", b"")):
-                        rows[name].append(x)
-                rows["which"][0] = which.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(rows["block"], pa.int64()), pa.array(rows["bucket"], pa.int32())] + [
-                    pa.array(rows[x], pa.binary()) for x in ("sizes", "ids", "data", "begin", "which")], names=list(rows))
+            for block, path, shared in zip(*[batch.column(c).to_pylist() for c in ("block", "path", "shared")], strict=True):
+                _, raw, offs, ids = _texts(path)
+                places, texts, _, which, doc = outgoing(raw, offs, shared, length, gram, buckets)
+                least = np.full(sum(map(len, texts)), NO_ID)
+                np.minimum.at(least, which, ids[doc])
+                at = 0
+                for place, mine in zip(places, texts, strict=True):
+                    sizes = np.array([len(x) for x in mine], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([place], pa.int32())] + [pa.array([squeeze(x)], pa.binary()) for x in (
+                        sizes.tobytes(), least[at:at + len(mine)].tobytes(), b"".join(mine))], names=["block", "bucket", "sizes", "ids", "data"])
+                    at += len(mine)
 
     return run
 
@@ -305,19 +338,38 @@ def window_owners(texts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.
     return owner[where], counts
 
 
-def _shard(length: int):
+def owners_of(texts: list[bytes], ids: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``window_owners``; only snippets whose minimizer others have too are sorted."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    counts = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(ids, counts)
+    # the first window's minimizer: the least of its gram hashes
+    head = np.frombuffer(b"".join(x[:length] for x in texts), np.uint8).reshape(-1, length)
+    key = gram_hashes(head.ravel(), gram)
+    at = np.arange(len(texts))[:, None] * length + np.arange(length - gram + 1)
+    key = key[at].min(axis=1)
+    _, where, n = np.unique(key, return_inverse=True, return_counts=True)
+    several = np.flatnonzero((n[where] > 1) & (counts > 0))
+    if len(several):
+        first = np.cumsum(counts) - counts
+        owner[ranges(first[several], counts[several])] = window_owners([texts[i] for i in several.tolist()], ids[several], length)[0]
+    return owner, counts
+
+
+def _shard(length: int, gram: int):
     """Of a bucket: for each block and each of its snippets, runs of windows with one owner."""
 
     def run(bucket: pa.Table) -> pa.Table:
+        grow, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         seen: dict[bytes, int] = {}
         which, least = [], []
         for sizes, ids, data in zip(*[bucket.column(c).to_pylist() for c in ("sizes", "ids", "data")], strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+            ends, data = np.cumsum(np.frombuffer(grow(sizes), np.int32)).tolist(), grow(data)
             which.append(np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64))
-            least.append(np.frombuffer(ids, np.int64))
+            least.append(np.frombuffer(grow(ids), np.int64))
         own = np.full(len(seen), NO_ID)
         np.minimum.at(own, np.concatenate(which), np.concatenate(least))
-        owner, counts = window_owners(list(seen), own, length)
+        owner, counts = owners_of(list(seen), own, length, gram)
         first = np.cumsum(counts) - counts
         new = np.zeros(len(owner), bool)
         new[first] = True
@@ -329,9 +381,9 @@ def _shard(length: int):
         out = {"counts": [], "runs": [], "owners": []}
         for w in which:
             pick = ranges(run_first[w], run_count[w])
-            out["counts"].append(run_count[w].astype(np.int32).tobytes())
-            out["runs"].append(run_n[pick].astype(np.int32).tobytes())
-            out["owners"].append(run_id[pick].tobytes())
+            out["counts"].append(squeeze(run_count[w].astype(np.int32).tobytes()))
+            out["runs"].append(squeeze(run_n[pick].astype(np.int32).tobytes()))
+            out["owners"].append(squeeze(run_id[pick].tobytes()))
         return pa.table([bucket.column("block").combine_chunks(), bucket.column("bucket").combine_chunks()] + [pa.array(x, pa.binary()) for x in out.values()],
                         names=["block", "bucket", *out])
 
@@ -359,20 +411,22 @@ def covered(total: int, offs: np.ndarray, ids: np.ndarray, begin: np.ndarray, wh
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut(own: T.StructType, text: str, length: int):
+def _cut(own: T.StructType, text: str, length: int, gram: int, buckets: int):
     schema = to_arrow_schema(T.StructType([*own.fields, T.StructField("dedup", _RESULT)]))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for data, begin, which, answers in zip(*[batch.column(c).to_pylist() for c in ("data", "begin", "which", "answers")], strict=True):
-                t, raw, offs, ids = _texts(data)
+            for path, shared, answers in zip(*[batch.column(c).to_pylist() for c in ("path", "shared", "answers")], strict=True):
+                t, raw, offs, ids = _texts(path)
                 gone = np.zeros(len(raw), bool)
                 if answers:
+                    _, _, begin, which, _ = outgoing(raw, offs, shared, length, gram, buckets)
                     answers.sort(key=lambda x: x["bucket"])
-                    counts, runs, owners = (np.concatenate([np.frombuffer(x[k], kind) for x in answers]).astype(np.int64) for k, kind in (("counts", np.int32), ("runs", np.int32), ("owners", np.int64)))
-                    gone = covered(len(raw), offs, ids, np.frombuffer(begin, np.int64), np.frombuffer(which, np.int64), counts, runs, owners, length)
+                    counts, runs, owners = (np.concatenate([np.frombuffer(grow(x[k]), kind) for x in answers]).astype(np.int64) for k, kind in (("counts", np.int32), ("runs", np.int32), ("owners", np.int64)))
+                    gone = covered(len(raw), offs, ids, begin, which, counts, runs, owners, length)
                 kept = raw[~gone].tobytes()
                 before = np.concatenate([[0], np.cumsum(gone)])
                 removed = before[offs[1:]] - before[offs[:-1]]
@@ -421,17 +475,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stored = blocks(docs, text, doc_id, block_bytes)
     total = stored.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), ceil(total / bucket_bytes))
-    keys = stored.select("block", "data").mapInArrow(_keys(length, gram, buckets), "bucket int, block long, keys binary, times binary")
-    shared = keys.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(hot), "block long, cool binary, hot binary")
-    shared = shared.groupBy("block").agg(F.collect_list("cool").alias("cool"), F.collect_list("hot").alias("hot"))
-    sent = staged(stored.select("block", "data").join(shared, "block").mapInArrow(
-        _sent(length, gram, buckets), "block long, bucket int, sizes binary, ids binary, data binary, begin binary, which binary"), "suffixes")
-    answers = sent.where("bucket >= 0").select("block", "bucket", "sizes", "ids", "data").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
-        _shard(length), "block long, bucket int, counts binary, runs binary, owners binary")
+    keys = stored.select("block", "path").mapInArrow(_keys(length, gram, buckets), "bucket int, block long, keys binary, times binary")
+    shared = keys.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(hot), "block long, bucket int, cool binary, hot binary")
+    shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "cool", "hot")).alias("shared"))
+    todo = staged(stored.select("block", "path").join(shared, "block", "left"), "suffixes")
+    sent = todo.where("shared is not null").repartition(shuffle_partitions(spark), "block").mapInArrow(
+        _sent(length, gram, buckets), "block long, bucket int, sizes binary, ids binary, data binary")
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
+        _shard(length, gram), "block long, bucket int, counts binary, runs binary, owners binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "runs", "owners")).alias("answers"))
-    places = sent.where("bucket = -1").select("block", "begin", "which")
-    own = T.StructType([f for f in docs.schema.fields if f.name != text] + [f for f in docs.schema.fields if f.name == text])
-    own = T.StructType([next(f for f in own if f.name == c) for c in docs.columns])
-    run, schema = _cut(own, text, length)
-    return stored.select("block", "data").join(places.join(answers, "block"), "block", "left").select(
-        "data", "begin", "which", "answers").mapInArrow(run, schema)
+    own = T.StructType([docs.schema[c] for c in docs.columns])
+    run, schema = _cut(own, text, length, gram, buckets)
+    # rows are small, the work behind each is not: as many tasks as for any shuffle
+    return todo.join(answers, "block", "left").repartition(shuffle_partitions(spark), "block").select("path", "shared", "answers").mapInArrow(run, schema)

@@ -11,13 +11,11 @@ Ids are little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 from .common import ready, shuffle_partitions, staged
+from .files import NewFile, filesystem
 from .tokens import encoder
 
 # Fixed values of the file format.
@@ -38,20 +37,11 @@ FILE_IDS = 1 << 25
 LEVEL = 3
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder under ``spark.checkpoint.dir`` (a path or a URI)."""
-    return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
-
-
 class Writer:
-    """Writes one file under a temporary name; ``close`` gives it its own in one step, so a
-    reader sees whole files only and a repeated task replaces its own result."""
+    """Writes one file."""
 
     def __init__(self, path: str):
-        self.fs, self.path = filesystem(path)
-        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        self.temporary = f"{self.path}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = NewFile(path)
         self.squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
         self.frames: list[tuple[int, int, int]] = []
         self.ids: list[int | None] = []
@@ -77,7 +67,6 @@ class Writer:
         entries = np.array(self.frames, "<u4").reshape(-1, 3).tobytes()
         self.out.write(struct.pack("<II", SEEK_TABLE, len(entries) + 9) + entries + struct.pack("<IBI", len(self.frames), 0x80, SEEKABLE))
         self.out.close()
-        self.fs.move(self.temporary, self.path)
 
 
 class TokenFile:

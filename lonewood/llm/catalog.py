@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html import extract_text
 from .packing import pack_documents
 from .postings import decontaminate
 from .quality import quality_rules
 from .simhash import simhash_groups
 from .suffixes import remove_repeats
 from .tokenfile import read_tokens, write_tokens
+from .warc import read_warc, write_warc
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +49,17 @@ def op8_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(table(spark, sf_dir, "pages"))).drop("url")
+
+
 QUERIES = {
+    "op3_template_removal": op3_template_removal,
+    "op5_warc_roundtrip": op5_warc_roundtrip,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_seekable_tokens": op8_seekable_tokens,
     "op2_postings_decontamination": op2_postings_decontamination,
@@ -56,4 +68,12 @@ QUERIES = {
     "op7_quality_divergence": op7_quality_divergence,
 }
 
-ORACLE: dict[str, str] = {}
+OP5_SQL = """
+WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT d.page_id, payload_bytes, payload_digest, CASE WHEN d.page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN d.page_id <> first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+ORACLE: dict[str, str] = {"op5_warc_roundtrip": OP5_SQL}

@@ -21,7 +21,7 @@ class NewFile:
         self.fs, self.path = filesystem(path)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)
 
     def write(self, data: bytes) -> None:
         self.out.write(data)

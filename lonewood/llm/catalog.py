@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .html import extract_text
@@ -12,6 +13,7 @@ from .quality import quality_rules
 from .simhash import simhash_groups
 from .suffixes import remove_repeats
 from .tokenfile import read_tokens, write_tokens
+from .toxicity import THRESHOLD, held_out, toxicity, train
 from .warc import read_warc, write_warc
 
 
@@ -57,7 +59,16 @@ def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op9_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxicity.score")
+    return d.select("doc_id", held_out("doc_id").alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"),
+                    F.size("toxicity.offending").alias("n_offending"))
+
+
 QUERIES = {
+    "op9_noisy_or_toxicity": op9_noisy_or_toxicity,
     "op3_template_removal": op3_template_removal,
     "op5_warc_roundtrip": op5_warc_roundtrip,
     "op4_best_fit_packing": op4_best_fit_packing,

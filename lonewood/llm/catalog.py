@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_turns
 from .common import table
 from .html import extract_text
 from .packing import pack_documents
@@ -51,6 +52,11 @@ def op8_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+def op1_chat_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = chat_turns(table(spark, sf_dir, "conversations"))
+    return t.select(F.col("conv").cast("long").alias("conv_id"), "turn", "piece", "role", "n_lines", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -68,6 +74,7 @@ def op9_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_viterbi": op1_chat_viterbi,
     "op9_noisy_or_toxicity": op9_noisy_or_toxicity,
     "op3_template_removal": op3_template_removal,
     "op5_warc_roundtrip": op5_warc_roundtrip,

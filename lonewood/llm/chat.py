@@ -35,6 +35,8 @@ N_ROLES = len(ROLES)
 STATES = 2 * N_ROLES  # role r: r begins a turn, N_ROLES + r goes on
 LENGTHS = (0, 20, 40, 80, 160, 320, 640, 1280)
 TRUST = 0.97
+#: Share of speaker markers among the later lines of turns.
+LATER = 1e-5
 BLOCK_BYTES = 4 << 20
 
 # Spellings of the roles.
@@ -102,7 +104,7 @@ class Hmm:
         self.row = np.concatenate([self.row, self.row])
         # a marker in the text: on the first line of a turn, hardly ever on a later one
         first = np.concatenate([0.5 * (np.full((N_ROLES, N_ROLES), other) + np.eye(N_ROLES) * (trust - other)), np.full((N_ROLES, 1), 0.5)], axis=1)
-        later = np.concatenate([np.full((N_ROLES, N_ROLES), 0.001 / N_ROLES), np.full((N_ROLES, 1), 0.999)], axis=1)
+        later = np.concatenate([np.full((N_ROLES, N_ROLES), LATER / N_ROLES), np.full((N_ROLES, 1), 1 - LATER)], axis=1)
         self.text = np.log(np.concatenate([first, later]))
         # inside a row a new turn needs a reason: a marker
         stay, turn = np.log(0.99), np.log(0.01)

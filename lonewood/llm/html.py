@@ -1,12 +1,10 @@
 """Main text of web pages by removal of the site's template.
 
 1. Every page is parsed into elements.  Each element has a hash of its subtree (tags,
-   classes and text) and one of its skeleton (tags and classes; equal neighbours count
-   once).
-2. Spark counts on how many pages of a host each hash occurs.  A subtree outside the article
-   that recurs, by hash or skeleton, on many pages of its host is template and goes.  In the
-   article that holds for containers with equal text only: a paragraph is content even if
-   other pages have it too.
+   classes and text).
+2. Spark counts on how many pages of a host each hash occurs.  A subtree that recurs on many
+   pages of its host is template and goes.  In the article that holds for containers only: a
+   paragraph is content even if other pages have it too.
 3. Elements that are never main text by their tag or class (menus, headers, footers,
    sidebars, notices, adverts, forms, reader comments) go on any site, also one of a single
    page.
@@ -53,12 +51,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "key", "parts", "skeleton", "first", "main", "dropped")
+    __slots__ = ("tag", "key", "parts", "first", "main", "dropped")
 
     def __init__(self, tag: str, key: str, first: int, main: bool, dropped: bool):
         self.tag, self.key, self.first, self.main, self.dropped = tag, key, first, main, dropped
         self.parts: list[bytes] = []
-        self.skeleton: list[bytes] = []
 
 
 def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool]], set[int]]:
@@ -79,20 +76,12 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
 
     def close() -> None:
         e = stack.pop()
-        body = f"{e.tag}\t{e.key}\t".encode()
-        exact = xxhash.xxh64_intdigest(body + b"\0".join(e.parts), 1) >> 1
-        shape = xxhash.xxh64_intdigest(body + b"\0".join(e.skeleton), 2) >> 1
-        up = stack[-1]
-        up.parts.append(exact.to_bytes(8, "little"))
-        child = shape.to_bytes(8, "little")
-        if not up.skeleton or up.skeleton[-1] != child:
-            up.skeleton.append(child)
+        subtree = xxhash.xxh64_intdigest(f"{e.tag}\t{e.key}\t".encode("utf-8", "surrogatepass") + b"\0".join(e.parts)) >> 1
+        stack[-1].parts.append(subtree.to_bytes(8, "little"))
         if e.tag in ("html", "body") or e.tag in MAIN or (e.main and e.tag in PROSE):
             return
-        hashes.add(exact)
-        if not e.main:
-            hashes.add(shape)
-        if exact in templates or (not e.main and shape in templates):
+        hashes.add(subtree)
+        if subtree in templates:
             del blocks[e.first:]
 
     def leave(index: int) -> None:

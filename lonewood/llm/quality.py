@@ -96,7 +96,7 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(2.0 * x / (x + y))).otherwise(0.0 * x)
 
     terms = F.zip_with(share(p), share(q), lambda x, y: (part(x, y) + part(y, x)) / 2)
-    return F.sqrt(F.greatest(total(terms), F.lit(0.0)))
+    return let(total(terms), lambda d: F.sqrt(F.when(d < 0, 0.0).otherwise(d)))
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common: int = N_COMMON) -> DataFrame:

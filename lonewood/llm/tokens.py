@@ -3,7 +3,7 @@
 A byte-pair tokenizer cuts a text into pieces by a fixed pattern and encodes each piece for
 itself.  ``Encoder`` cuts with the same pattern, encodes every distinct piece once with the
 tokenizers library and looks the others up, which gives the same ids in a fraction of the
-time.  Its pattern covers texts of ASCII and Latin letters (up to U+024F); any other text
+time.  Its pattern covers texts of ASCII and Latin letters (up to U+017F); any other text
 goes to the library whole.  The cache is bounded, so memory does not grow with the text.
 """
 
@@ -22,7 +22,7 @@ CACHE = 600_000
 #: Texts are cut in groups of about so many characters.
 GROUP = 1 << 19
 
-_LATIN = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c <= 0xA0 and c != 0x130]
+_LATIN = [chr(c) for c in range(0x21, 0x180) if not 0x7F <= c <= 0xA0 and c != 0x130]
 _LETTERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
 _PLAIN = re.compile("[\\t\\n\\r " + "".join(map(re.escape, _LATIN)) + "]*")

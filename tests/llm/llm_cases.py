@@ -1,5 +1,8 @@
+"""Cases that the tests of this folder share."""
+
 import pytest
 
+SF001 = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from lonewood.llm.catalog import ORACLE, QUERIES
-from tests.conftest import SF001
+from llm_cases import SF001
 
 
 def test_one_query_per_operator():

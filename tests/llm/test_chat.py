@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lonewood.llm.chat import N_ROLES, STATES, Counts, Hmm, chat_turns, line_marker, observe, role_number
-from tests.llm.conftest import ODD
+from llm_cases import ODD
 
 ROWS = "conv_id long, turn long, role string, text string"
 

@@ -2,11 +2,10 @@ import numpy as np
 
 import corpus_pipeline
 from lonewood.llm.common import staged
-from tests.conftest import SF001
-from tests.llm.conftest import DOCS, ODD
-from tests.llm.test_postings import expected as leaks
-from tests.llm.test_simhash import classes, slow_fingerprint
-from tests.llm.test_suffixes import expected as repeats
+from llm_cases import DOCS, ODD, SF001, make_docs  # noqa: F401
+from test_postings import expected as leaks
+from test_simhash import classes, slow_fingerprint
+from test_suffixes import expected as repeats
 
 
 def test_stages_follow_each_other(spark):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lonewood.llm.postings import build_index, decontaminate, search, words_of
-from tests.llm.conftest import DOCS, ODD
+from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}

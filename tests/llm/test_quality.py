@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from lonewood.llm.quality import MAX_COMMON_CHARS, N_COMMON, js_distance, language_references, quality_rules
-from tests.llm.conftest import DOCS, ODD
+from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

@@ -4,7 +4,7 @@ import xxhash
 
 from lonewood.llm.components import connected_components
 from lonewood.llm.simhash import _forest, block_keys, fingerprint, near_links, pivot_table, pivots, simhash_groups
-from tests.llm.conftest import DOCS, ODD
+from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 
 def slow_fingerprint(text):

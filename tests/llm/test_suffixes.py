@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from lonewood.llm import sais
 from lonewood.llm.suffixes import remove_repeats
-from tests.llm.conftest import DOCS, ODD
+from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 
 @settings(max_examples=200, deadline=None)

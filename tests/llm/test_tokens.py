@@ -15,7 +15,7 @@ from lonewood.llm import tokenfile
 from lonewood.llm.packing import best_fit, pack, pack_documents
 from lonewood.llm.tokenfile import TokenFile, Writer, read_tokens, write_tokens
 from lonewood.llm.tokens import Encoder
-from tests.llm.conftest import DOCS, ODD
+from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 TRICKY = ["", " ", "  a  b\n\n c ", "it's we'll I'D 'S ''s !!'s", "x²½ ªº 12a3", "tab\there\r\n\x0b\x0c x", "İstanbul ß", "<|endoftext|> hi<|startoftext|>", "é é", "a\xa0b\x85c", "'s", "a_b__c", "x 's 't"]

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from lonewood.llm.toxicity import fit_noisy_or, held_out, toxicity, train
-from tests.llm.conftest import DOCS, ODD
+from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 
 def corpus(n=1200):

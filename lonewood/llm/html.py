@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, staged
+from .common import ready, staged, tidy
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
@@ -173,7 +173,7 @@ def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_p
                 found += hashes
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
 
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")).mapInArrow(run, "host string, hash long")
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")).mapInArrow(tidy(run), "host string, hash long")
     counts = staged(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {int(min_pages)} or hash = -1"), "html")
     total = counts.where("hash = -1").select("host", F.col("n").alias("pages"))
     return counts.where("hash <> -1").join(total, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ready, shuffle_partitions, staged
+from .common import ready, shuffle_partitions, staged, tidy
 from .tokens import encoder
 
 LIMIT = 2048
@@ -72,7 +72,7 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", keep: list[str]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), row.alias("row")).mapInArrow(run, out)
+    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), row.alias("row")).mapInArrow(tidy(run), out)
 
 
 def best_fit(counts: dict[int, int], limit: int) -> np.ndarray:
@@ -151,7 +151,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, length: str = "length") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n))], names=["row", "length", "part", "place"])
             seen += n
 
-    sorted_ = staged(ranged.sortWithinPartitions(F.desc("length"), "tie").select("row", "length").mapInArrow(number, numbered), "packing")
+    sorted_ = staged(ranged.sortWithinPartitions(F.desc("length"), "tie").select("row", "length").mapInArrow(tidy(number), numbered), "packing")
     sizes = {r["part"]: r["n"] for r in sorted_.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before = np.zeros(max(sizes, default=0) + 2, np.int64)
     for p, n in sizes.items():
@@ -174,7 +174,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, length: str = "length") -> DataF
             columns += [pa.array(plan[k, 2] + i // plan[k, 3]), pa.array(plan[k, 4] + i % plan[k, 3] * plan[k, 1])]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return sorted_.mapInArrow(place, out)
+    return sorted_.mapInArrow(tidy(place), out)
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, limit: int = LIMIT, end: int | None = END, ids: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ready, staged, utf8
+from .common import ready, staged, tidy, utf8
 from .suffixes import _pack, _unpack
 
 WINDOW = 10
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
         if rows:
             yield flush()
 
-    return staged(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), row.alias("row")).mapInArrow(run, _INDEX), "postings")
+    return staged(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), row.alias("row")).mapInArrow(tidy(run), _INDEX), "postings")
 
 
 class Windows:
@@ -242,11 +242,11 @@ def search(index: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         mine = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == k).distinct()
         windows = Windows([(r["item"], r["t"].encode()) for r in mine.toLocalIterator()], window)
         block = spark.sparkContext.broadcast(windows)
-        counted = index.select("n_words", "terms", "sizes").mapInArrow(_counts(block), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = index.select("n_words", "terms", "sizes").mapInArrow(tidy(_counts(block)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         rarity = np.zeros(len(windows.vocabulary) + 1, np.int64)
         for r in counted.toLocalIterator():
             rarity[r["word"]] = r["n"]
-        parts.append(index.select("shard", "n_words", "terms", "sizes", "postings").mapInArrow(_hits(block, spark.sparkContext.broadcast(rarity), slop), _HITS))
+        parts.append(index.select("shard", "n_words", "terms", "sizes", "postings").mapInArrow(tidy(_hits(block, spark.sparkContext.broadcast(rarity), slop)), _HITS))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -310,4 +310,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 columns = [mine.field(f.name).cast(f.type) if f.name != "leak" else pa.array(leaks, f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return index.select("shard", "rows", "n_words").join(by_shard, "shard", "left").select("rows", "n_words", "hits").mapInArrow(run, out)
+    return index.select("shard", "rows", "n_words").join(by_shard, "shard", "left").select("rows", "n_words", "hits").mapInArrow(tidy(run), out)

@@ -141,16 +141,22 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"),
                         histogram(w).alias("histogram"))
 
+    def verdict(m: Column) -> Column:
+        """From the measures of a document to its struct."""
+        n, r = m["words"]["n_words"], m["words"]["n_repeat_words"]
+        near = F.struct(
+            F.when(m["n"] >= min_chars, js_distance(m["characters"]["classes"].cast("array<double>"), F.col("ref_classes"))).alias("classes"),
+            F.when(n >= min_words, js_distance(m["words"]["histogram"], F.col("ref_counts"))).alias("words"))
+        failed = (n < 10) | (100 * r > 20 * n)
+        return let(near, lambda d: F.struct(
+            n.alias("n_words"), (m["n"] - m["characters"]["classes"][3]).alias("word_chars"), m["characters"]["symbols"].alias("n_symbols"),
+            m["repeated_lines"].alias("n_dup_lines"), r.alias("n_repeat_words"), failed.alias("base_failed"),
+            d["classes"].alias("class_distance"), d["words"].alias("word_distance"),
+            (~failed & (F.coalesce(d["classes"], F.lit(0.0)) <= max_class_distance) & (F.coalesce(d["words"], F.lit(0.0)) <= max_word_distance)).alias("kept")))
+
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    d = d.select("__d", "ref_classes", "ref_counts", let(words_of(t), by_words).alias("__w"), characters(t).alias("__c"),
-                 _length(t).alias("__n"),
-                 let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("__l"))
-    n, r = F.col("__w.n_words"), F.col("__w.n_repeat_words")
-    d = d.select("__d", n.alias("n_words"), (F.col("__n") - F.col("__c.classes")[3]).alias("word_chars"), F.col("__c.symbols").alias("n_symbols"),
-                 F.col("__l").alias("n_dup_lines"), r.alias("n_repeat_words"), ((n < 10) | (100 * r > 20 * n)).alias("base_failed"),
-                 F.when(F.col("__n") >= min_chars, js_distance(F.col("__c.classes").cast("array<double>"), F.col("ref_classes"))).alias("class_distance"),
-                 F.when(n >= min_words, js_distance(F.col("__w.histogram"), F.col("ref_counts"))).alias("word_distance"))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
-    verdict = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                       "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
-    return d.select(*[F.col("__d")[c].alias(c) for c in own], verdict.alias("quality"))
+    measures = F.struct(let(words_of(t), by_words).alias("words"), characters(t).alias("characters"), _length(t).alias("n"),
+                        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("repeated_lines"))
+    # one expression from text to struct: a filter on a field, which the optimizer moves below
+    # the projection, copies it once and not once for every field
+    return d.select(*[F.col("__d")[c].alias(c) for c in own], let(measures, verdict).alias("quality"))

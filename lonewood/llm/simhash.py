@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, staged, utf8
+from .common import ready, staged, tidy, utf8
 from .components import connected_components
 
 SHINGLE = 4
@@ -224,7 +224,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = N_
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(signed)]))
     keyed = tabled.select("fp", "pivots", keys.alias("key")).select("key.k", "key.v", "fp", "pivots")
     sorted_ = keyed.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
-    found = staged(sorted_.mapInArrow(_bucket_links(max_bits, n_pivots, chunk), "a long, b long, k int, v long, chunk int, fps binary"), "simhash")
+    found = staged(sorted_.mapInArrow(tidy(_bucket_links(max_bits, n_pivots, chunk)), "a long, b long, k int, v long, chunk int, fps binary"), "simhash")
     links = found.where("chunk is null").select("a", "b").distinct()
     chunks = found.where("chunk is not null").select("k", "v", "chunk", "fps")
     # pairs of chunk numbers first (a few bytes each), their fingerprints afterwards
@@ -232,7 +232,7 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = N_
     pairs = number.withColumnRenamed("chunk", "i").join(number.withColumnRenamed("chunk", "j"), ["k", "v"]).where("i <= j")
     pairs = pairs.join(chunks.select("k", "v", F.col("chunk").alias("i"), F.col("fps").alias("x")), ["k", "v", "i"])
     pairs = pairs.join(chunks.select("k", "v", F.col("chunk").alias("j"), F.col("fps").alias("y")), ["k", "v", "j"])
-    return links.union(pairs.select("x", "y").mapInArrow(_chunk_links(max_bits, n_pivots), "a long, b long"))
+    return links.union(pairs.select("x", "y").mapInArrow(tidy(_chunk_links(max_bits, n_pivots)), "a long, b long"))
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,

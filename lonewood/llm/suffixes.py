@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import new_path
-from .common import ranges, ready, shuffle_partitions, staged, utf8
+from .common import ranges, ready, shuffle_partitions, staged, tidy, utf8
 from .files import NewFile, read_file
 from .sais import common_prefixes, suffix_array
 
@@ -157,7 +157,7 @@ def blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYT
         if held:
             yield flush()
 
-    return staged(docs.select(*cols).mapInArrow(run, "block long, bytes long, path string"), "suffixes")
+    return staged(docs.select(*cols).mapInArrow(tidy(run), "block long, bytes long, path string"), "suffixes")
 
 
 def _texts(path: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -475,16 +475,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stored = blocks(docs, text, doc_id, block_bytes)
     total = stored.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), ceil(total / bucket_bytes))
-    keys = stored.select("block", "path").mapInArrow(_keys(length, gram, buckets), "bucket int, block long, keys binary, times binary")
+    keys = stored.select("block", "path").mapInArrow(tidy(_keys(length, gram, buckets)), "bucket int, block long, keys binary, times binary")
     shared = keys.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(hot), "block long, bucket int, cool binary, hot binary")
     shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "cool", "hot")).alias("shared"))
     todo = staged(stored.select("block", "path").join(shared, "block", "left"), "suffixes")
     sent = todo.where("shared is not null").repartition(shuffle_partitions(spark), "block").mapInArrow(
-        _sent(length, gram, buckets), "block long, bucket int, sizes binary, ids binary, data binary")
+        tidy(_sent(length, gram, buckets)), "block long, bucket int, sizes binary, ids binary, data binary")
     answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         _shard(length, gram), "block long, bucket int, counts binary, runs binary, owners binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "runs", "owners")).alias("answers"))
     own = T.StructType([docs.schema[c] for c in docs.columns])
     run, schema = _cut(own, text, length, gram, buckets)
     # rows are small, the work behind each is not: as many tasks as for any shuffle
-    return todo.join(answers, "block", "left").repartition(shuffle_partitions(spark), "block").select("path", "shared", "answers").mapInArrow(run, schema)
+    return todo.join(answers, "block", "left").repartition(shuffle_partitions(spark), "block").select("path", "shared", "answers").mapInArrow(tidy(run), schema)

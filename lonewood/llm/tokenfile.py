@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from .common import ready, shuffle_partitions, staged
+from .common import ready, shuffle_partitions, staged, tidy
 from .files import NewFile, filesystem
 from .tokens import encoder
 
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
         if writer is not None:
             yield done()
 
-    files = staged(ranged.select("id", "text").mapInArrow(run, "part int, file int, path string, n_docs long, n_ids long"), "tokens")
+    files = staged(ranged.select("id", "text").mapInArrow(tidy(run), "part int, file int, path string, n_docs long, n_ids long"), "tokens")
     # one row per file of millions of ids: their running total is made here
     rows, start = [], 0
     for r in files.orderBy("part", "file").toLocalIterator():
@@ -180,4 +180,4 @@ def read_tokens(files: DataFrame, ids: bool = False) -> DataFrame:
                         out = {c: [] for c in out}
 
     spread = files.select("path", "start").repartition(shuffle_partitions(files.sparkSession), "path")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))

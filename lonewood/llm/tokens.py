@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from .common import ranges
 
-CACHE = 600_000
+CACHE = 300_000
 #: Texts are cut in groups of about so many characters.
 GROUP = 1 << 19
 

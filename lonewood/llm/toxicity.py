@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, staged
+from .common import ready, staged, tidy
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 8192
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     n, t = sizes["n"] or 0, sizes["toxic"] or 0
     if not 0 < t < n:  # one label only: its share is all there is to learn
         return Model([], np.zeros(0), 0.0, (t + 0.5) / (n + 1.0))
-    seen = sample.mapInArrow(_found, "label int, feature string").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("a"))
+    seen = sample.mapInArrow(tidy(_found), "label int, feature string").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("a"))
 
     def cell(k: Column, expected: Column) -> Column:
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     g = 2 * (cell(a, m * t / n) + cell(m - a, m * (n - t) / n) + cell(t - a, (n - m) * t / n) + cell(n - t - m + a, (n - m) * (n - t) / n))
     chosen = seen.where((m >= MIN_DOCS) & (a / m > t / n)).withColumn("g", g).where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "feature").limit(max_features)
     model = Model([r["feature"] for r in chosen.collect()], np.zeros(0), 0.0, 0.0)
-    bags = sample.mapInArrow(_bags(spark.sparkContext.broadcast(model)), "label int, sizes array<int>, ids array<int>").toArrow()
+    bags = sample.mapInArrow(tidy(_bags(spark.sparkContext.broadcast(model))), "label int, sizes array<int>, ids array<int>").toArrow()
     sizes, ids = bags.column("sizes").combine_chunks(), bags.column("ids").combine_chunks()
     per = sizes.flatten().to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(n), sizes.value_lengths().to_numpy())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from .common import ready, shuffle_partitions, staged
+from .common import ready, shuffle_partitions, staged, tidy
 from .files import NewFile, filesystem
 
 MIN_BYTES = 100
@@ -162,7 +162,7 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         if out is not None:
             yield done()
 
-    return staged(rows.mapInArrow(run, "path string, n_records long"), "warc")
+    return staged(rows.mapInArrow(tidy(run), "path string, n_records long"), "warc")
 
 
 def read_warc(files: DataFrame, payload: bool = False) -> DataFrame:
@@ -191,4 +191,4 @@ def read_warc(files: DataFrame, payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), columns.values(), strict=True)], names=list(columns))
 
     return files.select("path").repartition(shuffle_partitions(spark), "path").mapInArrow(
-        run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payload else ""))
+        tidy(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payload else ""))

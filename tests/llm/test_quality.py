@@ -78,3 +78,8 @@ def test_no_python_in_the_plan_and_clashing_names(spark, make_docs):
     assert not re.search("Python|Arrow|Pandas", plan)
     assert d.columns == ["doc_id", "text", "lang", "n_words", "ref_lang", "quality"] and d.count() == len(corpus())
     assert quality_rules(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_filter_on_the_verdict_computes_it_once(make_docs):
+    d = quality_rules(make_docs(corpus())).where("quality.kept").select("doc_id")
+    assert d._jdf.queryExecution().executedPlan().toString().count("[a-z]+") == 1

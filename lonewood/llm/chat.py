@@ -309,7 +309,8 @@ def chat_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "
     spark = ready(conversations.sparkSession)
     rows = conversations.select(F.col(conv_id).cast("string").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).alias("text"))
     stored = _sorted_blocks(rows, block_bytes)
-    counted = staged(stored.mapInArrow(tidy(_count), "part int, seq int, flat array<long>, convs array<string>, roles array<int>"), "chat")
+    many = shuffle_partitions(spark)  # few rows, with a block of work behind each
+    counted = staged(stored.repartition(many, "path").mapInArrow(tidy(_count), "part int, seq int, flat array<long>, convs array<string>, roles array<int>"), "chat")
     total = np.array(counted.agg(*[F.sum(F.col("flat")[k]) for k in range(Counts.SIZE)]).first(), dtype=object)
     total = np.array([int(x or 0) for x in total], np.int64)
     # what happens between blocks: a conversation begins, or goes on from the block before
@@ -327,8 +328,7 @@ def chat_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "
         if r["r"] >= 0 and r["r2"] >= 0:
             after[r["r"], r["r2"]] += r["n"]
     shared = spark.sparkContext.broadcast(Hmm(total))
-    many = shuffle_partitions(spark)
     edges = stored.repartition(many, "path").mapInArrow(tidy(_edges(shared)), "conv string, part int, seq int, last boolean, begin binary, go binary")
     borders = edges.groupBy("conv").applyInArrow(_borders, "part int, seq int, last boolean, before int, end int")
     borders = borders.groupBy("part", "seq").agg(F.collect_list(F.struct("last", "before", "end")).alias("borders"))
-    return stored.join(borders, ["part", "seq"], "left").repartition(many, "path").select("path", "borders").mapInArrow(tidy(_decode(shared)), _TURNS)
+    return stored.join(borders.hint("shuffle_merge"), ["part", "seq"], "left").repartition(many).select("path", "borders").mapInArrow(tidy(_decode(shared)), _TURNS)

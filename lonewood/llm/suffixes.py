@@ -475,16 +475,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stored = blocks(docs, text, doc_id, block_bytes)
     total = stored.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), ceil(total / bucket_bytes))
-    keys = stored.select("block", "path").mapInArrow(tidy(_keys(length, gram, buckets)), "bucket int, block long, keys binary, times binary")
+    # Tables of blocks have few rows with much work or large values behind each: they are dealt
+    # out by number, and their joins never broadcast (the estimate would be that of the rows).
+    many = shuffle_partitions(spark)
+    keys = stored.select("block", "path").repartition(buckets, "block").mapInArrow(tidy(_keys(length, gram, buckets)), "bucket int, block long, keys binary, times binary")
     shared = keys.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(hot), "block long, bucket int, cool binary, hot binary")
     shared = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "cool", "hot")).alias("shared"))
-    todo = staged(stored.select("block", "path").join(shared, "block", "left"), "suffixes")
-    sent = todo.where("shared is not null").repartition(shuffle_partitions(spark), "block").mapInArrow(
+    todo = staged(stored.select("block", "path").join(shared.hint("shuffle_merge"), "block", "left"), "suffixes")
+    sent = todo.where("shared is not null").repartition(many, "block").mapInArrow(
         tidy(_sent(length, gram, buckets)), "block long, bucket int, sizes binary, ids binary, data binary")
     answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         _shard(length, gram), "block long, bucket int, counts binary, runs binary, owners binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "runs", "owners")).alias("answers"))
     own = T.StructType([docs.schema[c] for c in docs.columns])
     run, schema = _cut(own, text, length, gram, buckets)
-    # rows are small, the work behind each is not: as many tasks as for any shuffle
-    return todo.join(answers, "block", "left").repartition(shuffle_partitions(spark), "block").select("path", "shared", "answers").mapInArrow(tidy(run), schema)
+    joined = todo.join(answers.hint("shuffle_merge"), "block", "left").select("path", "shared", "answers")
+    return joined.repartition(many).mapInArrow(tidy(run), schema)

@@ -33,7 +33,7 @@ from .suffixes import _pack, _unpack
 
 WINDOW = 10
 SLOP = 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of test text that are searched at once: what each broadcast is bounded by.
 BLOCK_BYTES = 8 << 20
 
@@ -45,11 +45,17 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_TABLE).split()
 
 
-def invert(words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, length of each posting list, positions list by list)."""
-    seen: dict[bytes, int] = {}
-    ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int32)
-    return list(seen), np.bincount(ids, minlength=len(seen)).astype(np.int32), np.argsort(ids, kind="stable").astype(np.int32)
+class Numbers(dict):
+    """Numbers words in the order of their first look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def invert(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(length of the posting list of each of ``n`` words, positions list by list)."""
+    return np.bincount(ids, minlength=n).astype(np.int32), np.argsort(ids, kind="stable").astype(np.int32)
 
 
 _INDEX = "shard long, rows binary, n_words binary, terms binary, sizes binary, postings binary"
@@ -61,15 +67,17 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     ready(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    # a text that is kept is sent once, within its row
+    columns = [row.alias("row")] if text in keep else [row.alias("row"), F.col(text).alias("text")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, rows, words, counts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, seq, rows, ids, counts, size, terms = TaskContext.get().partitionId(), 0, [], [], [], 0, Numbers()
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def flush():
-            terms, sizes, at = invert(words)
+            sizes, at = invert(np.concatenate(ids) if ids else np.zeros(0, np.int32), len(terms))
             gaps = np.diff(at, prepend=np.int32(0))
             first = np.cumsum(sizes) - sizes
             gaps[first] = at[first]
@@ -78,25 +86,25 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
                 names=["shard", "rows", "n_words", "terms", "sizes", "postings"])
 
         for b in batches:
-            data, offs = utf8(b.column(0))
-            raw = data.tobytes()
+            data, offs = utf8(b.column(0).field(text) if text in keep else b.column(1))
+            raw = memoryview(data)
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + shard_bytes - size, "right")) - 1)
-                rows.append(b.slice(lo, hi - lo).select([1]))
+                rows.append(b.slice(lo, hi - lo).select([0]))
                 for s, e in zip(offs[lo:hi].tolist(), offs[lo + 1:hi + 1].tolist(), strict=True):
-                    mine = words_of(raw[s:e])
+                    mine = words_of(raw[s:e].tobytes())
                     counts.append(len(mine))
-                    words += mine
+                    ids.append(np.fromiter(map(terms.__getitem__, mine), np.int32, len(mine)))
                 size += int(offs[hi] - offs[lo])
                 lo = hi
                 if size >= shard_bytes or lo < b.num_rows:
                     yield flush()
-                    rows, words, counts, size, seq = [], [], [], 0, seq + 1
+                    rows, ids, counts, size, terms, seq = [], [], [], 0, Numbers(), seq + 1
         if rows:
             yield flush()
 
-    return staged(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), row.alias("row")).mapInArrow(tidy(run), _INDEX), "postings")
+    return staged(docs.select(*columns).mapInArrow(tidy(run), _INDEX), "postings")
 
 
 class Windows:

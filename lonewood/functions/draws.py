@@ -64,32 +64,19 @@ def c_factor_py(n) -> float:
     """Average unsuccessful-search path length of a BST with n keys; 0 for n <= 1."""
     if n <= 1:
         return 0.0
-    return 2.0 * (math.log(n - 1) + EULER_GAMMA) - 2.0 * (n - 1.0) / (n * 1.0)
-
-
-def c_factor_np(n):
-    import numpy as np
-
-    n = np.asarray(n, dtype=np.float64)
-    out = np.zeros_like(n)
-    m = n > 1
-    nm = n[m]
-    out[m] = 2.0 * (np.log(nm - 1.0) + EULER_GAMMA) - 2.0 * (nm - 1.0) / (nm * 1.0)
-    return out
+    return 2.0 * (math.log(n - 1) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
 def c_factor(n: Column) -> Column:
     """Column form of c(n); guarded so ln is never evaluated at n <= 1."""
     nd = n.cast("double")
     safe = F.when(nd > 1, nd).otherwise(F.lit(2.0))
-    val = F.lit(2.0) * (F.log(safe - F.lit(1.0)) + F.lit(EULER_GAMMA)) - F.lit(2.0) * (
-        safe - F.lit(1.0)
-    ) / (safe * F.lit(1.0))
+    val = F.lit(2.0) * (F.log(safe - F.lit(1.0)) + F.lit(EULER_GAMMA)) - F.lit(2.0) * (safe - F.lit(1.0)) / safe
     return F.when(nd > 1, val).otherwise(F.lit(0.0))
 
 
 def c_factor_sql(n: str) -> str:
     return (
         f"(CASE WHEN CAST({n} AS DOUBLE) > 1 THEN 2.0 * (ln(CAST({n} AS DOUBLE) - 1.0) + {EULER_GAMMA!r})"
-        f" - 2.0 * (CAST({n} AS DOUBLE) - 1.0) / (CAST({n} AS DOUBLE) * 1.0) ELSE 0.0 END)"
+        f" - 2.0 * (CAST({n} AS DOUBLE) - 1.0) / CAST({n} AS DOUBLE) ELSE 0.0 END)"
     )

@@ -52,17 +52,8 @@ def branch_numbers(branch, init_root=0) -> Column:
     )
 
 
-def parent_of(node) -> Column:
-    node = _c(node).cast("bigint")
-    return F.when(node > 0, F.floor((node - F.lit(1)) / F.lit(2)).cast("bigint"))
 
 
-def side_of(node) -> Column:
-    node = _c(node).cast("bigint")
-    return F.when(node > 0, F.when(node % 2 == 1, F.lit("L")).otherwise(F.lit("R")))
-
-
-# ---------------------------------------------------------------- SQL twins
 def branch_string_sql(node: str, depth: str) -> str:
     return (f"array_to_string(list_transform(range(1, {depth} + 1), lambda i: CASE WHEN "
             f"(({node} + 1) >> ({depth} - i)) & 1 = 0 THEN 'L' ELSE 'R' END), '')")

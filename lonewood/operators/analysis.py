@@ -34,16 +34,38 @@ def bottom_normals(scores: DataFrame, k: int = 10, score_col: str = "score", id_
 
 def label_layers(scores: DataFrame, k: int = 10, score_col: str = "score", id_col: str = "id") -> DataFrame:
     """P5: layer = 'top' for the k most anomalous, 'bottom' for the k most normal, else
-    'other'.  The 2k labelled ids are broadcast (size bounded by k); bottom wins ties.
+    'other'; bottom wins ties.  The two k-th (score, id) pairs are the limits every row is
+    compared with: no join, and any k.
 
-    ``scores`` is read three times (top-k, bottom-k, the labelled join): pass a
-    materialised table (written or checkpointed), not a scoring pipeline."""
-    top = top_anomalies(scores, k, score_col, id_col).select(F.col(id_col).alias("_lid"), F.lit(2).alias("_rk"))
-    bot = bottom_normals(scores, k, score_col, id_col).select(F.col(id_col).alias("_lid"), F.lit(1).alias("_rk"))
-    lab = top.unionByName(bot).groupBy("_lid").agg(F.min("_rk").alias("_rk"))
-    out = scores.join(F.broadcast(lab), scores[id_col] == lab["_lid"], "left")
-    layer = F.when(F.col("_rk") == 1, "bottom").when(F.col("_rk") == 2, "top").otherwise("other")
-    return out.withColumn("layer", layer).drop("_lid", "_rk")
+    ``scores`` is read three times (top-k, bottom-k, the labels): pass a materialised table
+    (written or checkpointed), not a scoring pipeline."""
+    s, i = F.col(score_col), F.col(id_col)
+    top = top_anomalies(scores, k, score_col, id_col).agg(F.min(F.struct(s.alias("s"), (-i).alias("i"))).alias("x")).first()["x"]
+    low = bottom_normals(scores, k, score_col, id_col).agg(F.max(F.struct(s.alias("s"), i.alias("i"))).alias("x")).first()["x"]
+    layer = F.lit("other")
+    if top is not None:
+        is_top = (s > F.lit(top["s"])) | ((s == F.lit(top["s"])) & (i <= F.lit(-top["i"])))
+        is_low = (s < F.lit(low["s"])) | ((s == F.lit(low["s"])) & (i <= F.lit(low["i"])))
+        layer = F.when(is_low, "bottom").when(is_top, "top").otherwise("other")
+    return scores.withColumn("layer", layer)
+
+
+# ------------------------------------------------------------------ R5 / R7 / R8
+def per_tree_scores(paths: DataFrame, c_psi: float) -> DataFrame:
+    """``paths`` (one row per point and tree) with that tree's score 2^(-h / c)."""
+    return paths.withColumn("score", F.pow(F.lit(2.0), -F.col("path_length") / F.lit(c_psi)))
+
+
+def product_scores(paths: DataFrame, n_trees: int, c_psi: float) -> DataFrame:
+    """(id, score), the product over trees of 2^(-h / n_trees / c), combined map-side."""
+    f = F.pow(F.lit(2.0), -F.col("path_length") / F.lit(float(n_trees)) / F.lit(c_psi))
+    return paths.groupBy("id").agg(F.product(f).alias("score"))
+
+
+def mean_path_scores(paths: DataFrame, c_psi: float) -> DataFrame:
+    """(id, path_mean, score) from the mean path length over trees."""
+    agg = paths.groupBy("id").agg(F.avg("path_length").alias("path_mean"))
+    return agg.withColumn("score", F.pow(F.lit(2.0), -F.col("path_mean") / F.lit(c_psi)))
 
 
 # ------------------------------------------------------------------ A4
@@ -91,87 +113,77 @@ def hist_fixed(scores: DataFrame, col: str = "score", bins: int = 19, lo: float
 
 
 # ------------------------------------------------------------------ exact quantiles
-def _order_stats(vals: DataFrame, lo: float, hi: float, below: int, ranks: list[int], buckets: int,
-                 max_collect: int, count_in: int) -> dict[int, float]:
-    """Values at 0-based global ``ranks`` (all inside [lo, hi], ``below`` values < lo).
-
-    Distributed selection: bucket the bracket by value (one aggregate, ``buckets`` rows
-    to the driver), keep the buckets spanning the wanted ranks, repeat; finish by
-    collecting at most ``max_collect`` values.  No sort of the column, nothing written.
-    """
-    v = F.col("_v")
-    inb = vals.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
-    if lo == hi:
-        return {r: lo for r in ranks}
-    if count_in <= max_collect:
-        got = sorted(r["_v"] for r in inb.select("_v").collect())
-        return {r: got[r - below] for r in ranks}
-    # bucket index is monotone in v (monotone float ops), so every bucket is a value
-    # range; integer columns keep their exact values in the bracket and the collect
-    vd = v.cast("double")
-    b = F.least(F.floor((vd - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * F.lit(float(buckets))),
-                F.lit(buckets - 1)).cast("int")
-    hist = sorted(inb.groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("_v").alias("mn"),
-                                                F.max("_v").alias("mx")).collect(), key=lambda r: r["b"])
-    out, cum = {}, below
-    spans = []  # (first rank, last rank, lo, hi, below, count) per bucket
-    for r in hist:
-        spans.append((cum, cum + r["n"] - 1, r["mn"], r["mx"], cum, r["n"]))
-        cum += r["n"]
-    # group wanted ranks by the bucket that holds them; adjacent wanted ranks in adjacent
-    # buckets are refined together
-    todo: dict[tuple, list[int]] = {}
-    for rk in ranks:
-        for s0, s1, mn, mx, bl, n in spans:
-            if s0 <= rk <= s1:
-                todo.setdefault((mn, mx, bl, n), []).append(rk)
-                break
-    for (mn, mx, bl, n), rks in todo.items():
-        if n == count_in and mn == lo and mx == hi:  # no progress (pathological spacing): collect
-            got = sorted(r["_v"] for r in inb.select("_v").collect())
-            out.update({rk: got[rk - below] for rk in rks})
-            continue
-        out.update(_order_stats(vals, mn, mx, bl, rks, buckets, max_collect, n))
-    return out
-
-
-def order_statistics(df: DataFrame, col: str, ranks: list[int], buckets: int = 4096,
-                     max_collect: int = 100_000) -> dict[int, object]:
-    """Exact values at 0-based ``ranks`` of a numeric column (NULLs ignored), by
-    distributed bucket refinement; integer columns stay exact."""
-    vals = df.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull())
-    st = vals.agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+def _between(lo, hi, n: int) -> list:
+    """About ``n`` ordered values from ``lo`` to ``hi``, both included."""
+    if isinstance(lo, int):
+        return sorted({lo + (hi - lo) * j // n for j in range(n + 1)})
+    return sorted({min(hi, max(lo, lo * (1 - j / n) + hi * (j / n))) for j in range(n + 1)} | {lo, hi})
+
+
+def order_statistics(df: DataFrame, col: str, ranks, buckets: int = 4096) -> list:
+    """Exact values at 0-based ``ranks`` of a numeric column (NULLs and NaNs ignored), in the
+    order of ``ranks``: a list, or a function from the number of values to one.
+
+    Distributed selection: one aggregate counts the values between given limits, and keeps
+    the least and the greatest of each interval; the intervals that hold a wanted rank are
+    cut again, all of them in the same next aggregate.  About ``buckets`` rows a level go to
+    the driver, never values of the column; nothing is sorted or written.  Every interval
+    is cut at its own least and greatest value, so each level makes progress."""
+    spark = df.sparkSession
+    ship_package(spark)
+    whole = isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    vals = df.select(F.col(col).cast("bigint" if whole else "double").alias("v")).where(F.col("v").isNotNull())
+    if not whole:
+        vals = vals.where(~F.isnan("v"))
+    st = vals.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     n = int(st["n"])
+    ranks = list(ranks(n) if callable(ranks) else ranks)
     if any(r < 0 or r >= n for r in ranks):
         raise ValueError(f"ranks must lie in [0, {n})")
-    if not ranks:
-        return {}
-    return _order_stats(vals, st["lo"], st["hi"], 0, sorted(set(ranks)), buckets, max_collect, n)
-
-
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], tiebreak: str | None = None,
-                    buckets: int = 4096, max_collect: int = 100_000) -> list[float]:
-    """Linear-interpolation quantiles (type 7, as numpy / quantile_cont), exact.
-
-    Order statistics are found by distributed bucket refinement (``_order_stats``):
-    a few single-column aggregates, each returning at most ``buckets`` rows."""
-    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    st = vals.agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
-    n = int(st["n"])
-    if n == 0:
+    found: dict[int, object] = {}
+    todo = {(st["lo"], st["hi"], 0): sorted(set(ranks))} if ranks else {}  # (least, greatest, rank of the least)
+    while todo:
+        for (lo, hi, _), wanted in list(todo.items()):
+            if lo == hi:
+                found.update(dict.fromkeys(wanted, lo))
+        todo = {k: w for k, w in todo.items() if k[0] != k[1]}
+        if not todo:
+            break
+        each = max(2, buckets // len(todo))
+        edges = np.unique(np.concatenate([np.array(_between(lo, hi, each), np.int64 if whole else np.float64) for lo, hi, _ in todo]))
+        limits = spark.sparkContext.broadcast(edges)
+
+        @F.arrow_udf("int")
+        def interval(v: pa.Array) -> pa.Array:
+            return pa.array((np.searchsorted(limits.value, v.to_numpy(zero_copy_only=False), "right") - 1).astype(np.int32))
+
+        cells = sorted(vals.groupBy(interval("v").alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(),
+                       key=lambda r: r["b"])
+        below, spans = 0, []
+        for r in cells:
+            spans.append((below, r["lo"], r["hi"]))
+            below += r["n"]
+        starts = np.array([s[0] for s in spans])
+        left, todo = [r for w in todo.values() for r in w], {}
+        for rank in left:
+            first, lo, hi = spans[int(np.searchsorted(starts, rank, "right")) - 1]
+            todo.setdefault((lo, hi, first), []).append(rank)
+    return [found[r] for r in ranks]
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], buckets: int = 4096) -> list[float]:
+    """Linear-interpolation quantiles (type 7, as numpy / quantile_cont), exact."""
+    vals = df.select(F.col(col).cast("double").alias("_v"))
+    size = []
+
+    def ranks(n: int) -> list[int]:
+        size.append(n)
+        return [r for q in qs for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))] if n else []
+
+    got = order_statistics(vals, "_v", ranks, buckets)
+    if not size[0]:
         return [float("nan")] * len(qs)
-    need = set()
-    for q in qs:
-        h = (n - 1) * q
-        need.update({int(math.floor(h)), int(math.ceil(h))})
-    got = _order_stats(vals, float(st["lo"]), float(st["hi"]), 0, sorted(need), buckets, max_collect, n)
-    got = {k: float(v) for k, v in got.items()}
-    out = []
-    for q in qs:
-        h = (n - 1) * q
-        a, b = int(math.floor(h)), int(math.ceil(h))
-        out.append(got[a] + (h - a) * (got[b] - got[a]))
-    return out
+    return [a + ((size[0] - 1) * q - math.floor((size[0] - 1) * q)) * (b - a) for q, a, b in zip(qs, got[::2], got[1::2])]
 
 
 # ------------------------------------------------------------------ A7
@@ -186,14 +198,14 @@ def fd_bins(n: int, q25: float, q75: float, lo: float, hi: float, max_bins: int
     return int(max(1, min(max_bins, math.ceil(rng / width))))
 
 
-def hist_fd(scores: DataFrame, col: str = "score", max_bins: int = 50, tiebreak: str | None = None) -> DataFrame:
+def hist_fd(scores: DataFrame, col: str = "score", max_bins: int = 50) -> DataFrame:
     """Adaptive-width density histogram (Freedman-Diaconis, exact quartiles)."""
     spark = scores.sparkSession
     st = scores.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     n, lo, hi = int(st["n"]), st["lo"], st["hi"]
     if n == 0:
         return spark.createDataFrame([], "bin int, edge_lo double, edge_hi double, count bigint, density double")
-    q25, q75 = exact_quantiles(scores, col, [0.25, 0.75], tiebreak)
+    q25, q75 = exact_quantiles(scores, col, [0.25, 0.75])
     nb = fd_bins(n, q25, q75, lo, hi, max_bins)
     rng = hi - lo
     width = rng / nb if rng > 0 else 1.0
@@ -275,6 +287,12 @@ def score_runs(df: DataFrame, runs: dict, id_col: str, round_to: int | None = No
     return cur.select(F.col(id_col).cast("bigint").alias("id"), *cols)
 
 
+def series_total(a: DataFrame, b: DataFrame, key: str, col: str) -> DataFrame:
+    """A5: element-wise total of two series by ``key`` (equi-join)."""
+    x, y = a.select(key, F.col(col).alias("_a")), b.select(key, F.col(col).alias("_b"))
+    return x.join(y, key).select(key, (F.col("_a") + F.col("_b")).alias(col))
+
+
 def rel_diff(aligned: DataFrame) -> DataFrame:
     """Per point (100 (run - bench) / bench)^2 and its root."""
     pct = F.lit(100.0) * (F.col("run") - F.col("benchmark")) / F.col("benchmark")
@@ -295,8 +313,7 @@ def max_abs_pct_diff(diff_tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         u = u.unionByName(p)
     per = u.groupBy("series").agg(F.sqrt(F.max("rel_diff_sq")).alias("max_abs_pct_diff"))
-    overall = u.agg(F.sqrt(F.max("rel_diff_sq")).alias("max_abs_pct_diff")).select(
-        F.lit("*").alias("series"), "max_abs_pct_diff")
+    overall = per.agg(F.max("max_abs_pct_diff").alias("max_abs_pct_diff")).select(F.lit("*").alias("series"), "max_abs_pct_diff")
     return per.unionByName(overall)
 
 

@@ -5,19 +5,20 @@ Training plan (two exchanges, both carrying only ~TT * psi' rows whatever N is):
     -> round-robin of the survivors -> mapInArrow(remaining hops) = candidates
     -> repartition(P, tree) -> row_number <= psi per tree -> mapInArrow(grow whole trees)
     -> nodes written to the shared folder (lineage cut; scores always come from the
-       saved model) -> packed on the driver (model only, size-checked) -> broadcast.
+       saved model) -> packed and broadcast block by block.
 Scoring plan (no shuffle):
-    scan -> mapInArrow(descend all trees of a block) [-> next block] -> Column maths.
+    scan -> Arrow function of the feature columns (descend all trees of a block), one for
+    each block -> Column maths.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +29,15 @@ from ..functions.draws import c_factor_py
 from ..session import new_path, shared_dir, ship_package
 from ..sources.points import FeatureSpec, apply_na, canonical, resolve_features
 from . import scoring as S
-from .growth import NODES_SCHEMA, grow_partition_fn
+from .growth import NODES_SCHEMA, grow_by_levels, grow_partition_fn
 from .sampling import Population, candidates, chunk_hash, contiguous_bounds, group_by_bounds, trim_to_psi
 
 FORMAT_VERSION = 1
-# up to this many groups the per-group sums are separate columns (codegen-friendly
-# combine); above, one array<double> column combined with higher-order functions
-MAX_GROUP_COLUMNS = 64
 # bytes per broadcast block: every Python worker of an executor deserialises its own
 # copy, so a block stays small (8 workers x 64 MB)
 MAX_BLOCK_BYTES = 64 << 20
-# hard bound on the model the driver packs for scoring (~40 bytes per packed node)
-MAX_MODEL_NODES = 50_000_000
+# rows of candidates or samples for one task of training
+ROWS_PER_TASK = 32_768
 
 META_SCHEMA = T.StructType([
     T.StructField("group", T.IntegerType(), False),
@@ -74,8 +72,6 @@ class ForestModel:
     n_rows: dict = field(default_factory=dict)
     chunk_bounds: list | None = None  # contiguous chunks: ids opening chunks 1..k-1
     _blocks: list | None = None
-    _bcast: object | None = None
-    _n_nodes: int | None = None  # known from fit's check of the saved table
 
     # ------------------------------------------------------------ basics
     @property
@@ -99,31 +95,25 @@ class ForestModel:
         return self.spark.createDataFrame(rows, META_SCHEMA)
 
     # ------------------------------------------------------------ packing
-    def node_pandas(self) -> pd.DataFrame:
-        """The model's node table on the driver; bounded by trees * (2 psi - 1) and checked
-        (a metadata count of the saved table) before anything is collected.  Arrow
-        transfer (no per-row objects), whatever the session's Arrow setting."""
-        n = self._n_nodes if self._n_nodes is not None else self.nodes.count()
-        if n > MAX_MODEL_NODES:
-            raise ValueError(f"model has {n} nodes, above MAX_MODEL_NODES={MAX_MODEL_NODES}: "
-                             "use fewer trees or a smaller psi / depth limit")
-        return self.nodes.toArrow().to_pandas()
-
-    def blocks(self) -> list:
+    def blocks(self) -> list[Block]:
+        """The model as broadcast blocks of at most ``MAX_BLOCK_BYTES`` packed bytes: whole
+        forests, or a part of one that is larger.  Blocks are read, packed and broadcast
+        one after another, so the driver holds one at a time whatever the model's size."""
+        ship_package(self.spark)
         if self._blocks is None:
-            nodes = self.node_pandas()
-            sizes = nodes.groupby("tree").size()
-            parts = S.block_split([(int(t), S.bytes_per_tree(self.limit, int(n))) for t, n in sizes.items()],
-                                  MAX_BLOCK_BYTES)
-            self._blocks = [S.pack(nodes[nodes["tree"].isin(b)], self.limit) for b in parts]
+            trees = [(int(r["group"]), int(r["tree"]), S.bytes_per_tree(self.limit, int(r["n"]))) for r in
+                     self.nodes.groupBy("group", "tree").agg(F.count("*").alias("n")).orderBy("tree").collect()]
+            self._blocks = []
+            for part, whole in S.block_split(trees, MAX_BLOCK_BYTES):
+                nodes = self.nodes.where(F.col("tree").between(part[0][1], part[-1][1])).toArrow().to_pandas()
+                self._blocks.append(Block(part[0][0], whole, self.spark.sparkContext.broadcast(S.pack(nodes, self.limit))))
         return self._blocks
 
-    def broadcast(self) -> list:
-        """One broadcast variable per block: a scoring pass holds one block in memory."""
-        ship_package(self.spark)
-        if self._bcast is None:
-            self._bcast = [self.spark.sparkContext.broadcast(b) for b in self.blocks()]
-        return self._bcast
+    def release(self) -> None:
+        """Drops the broadcast blocks; the next scoring makes them anew."""
+        for b in self._blocks or []:
+            b.packed.unpersist()
+        self._blocks = None
 
     # ------------------------------------------------------------ scoring
     def group_of(self, df: DataFrame, id_col: str) -> Column:
@@ -134,104 +124,61 @@ class ForestModel:
             return group_by_bounds(F.col(id_col).cast("bigint"), self.chunk_bounds)
         raise ValueError("local scoring needs chunked forests (assign='hash' or 'contiguous') or group_col=")
 
-    def _spread(self, df: DataFrame) -> DataFrame:
-        """Scoring costs rows x trees x depth: an input with fewer splits than task slots
-        (small files) is spread over the slots first.  Inputs at scale have far more
-        splits than slots and are left untouched (no shuffle)."""
-        if df.isStreaming:
-            return df
-        slots = self.spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            return df.repartition(slots)
-        return df
-
-    @staticmethod
-    def _check_names(df: DataFrame) -> None:
-        """Scoring appends working columns ``_x<i>``, ``_h<g>``, ``_harr``, ``_hl``, ``_lg``."""
-        import re
-
-        clash = [c for c in df.columns if re.fullmatch(r"_x\d+|_h\d+|_harr|_hl|_lg", c)]
-        if clash:
-            raise ValueError(f"columns {clash} clash with scoring's working columns; rename them first")
-
-    def _partials(self, df: DataFrame, local_group: Column | None = None) -> tuple[DataFrame, list[str]]:
-        """df + per-group path-length sums ``_h{g}`` (or ``_hl`` for local scoring)."""
-        self._check_names(df)
-        d, k = self.d, self.n_groups
-        base = self._spread(df).select("*", *self.spec.exprs())
-        if local_group is not None:
-            base = base.withColumn("_lg", local_group)
-        bc = self.broadcast()
-        nblocks = len(self.blocks())
-        as_array = local_group is None and k > MAX_GROUP_COLUMNS
-        if local_group is not None:
-            hnames = ["_hl"]
-        elif as_array:
-            hnames = ["_harr"]
-        else:
-            hnames = [f"_h{g}" for g in range(k)]
-        htype = T.ArrayType(T.DoubleType(), False) if as_array else T.DoubleType()
-        cur = base
-        for bi in range(nblocks):
-            last = bi == nblocks - 1
-            in_fields = list(cur.schema.fields)
-            keep_fields = [f for f in in_fields if not (last and (f.name.startswith("_x") or f.name == "_lg"))
-                           and f.name not in hnames]
-            out_schema = T.StructType(keep_fields + [T.StructField(h, htype, False) for h in hnames])
-            arrow_schema = to_arrow_schema(out_schema)
-            keep_names = [f.name for f in keep_fields]
-            fn = _block_fn(bc[bi], d, k, hnames, keep_names, arrow_schema, local_group is not None, as_array)
-            cur = cur.mapInArrow(fn, out_schema)
-        return cur, hnames
-
     def score(self, df: DataFrame, combine: str = "forest", group_col: str | None = None,
-              id_col: str | None = None, prefix: str = "") -> DataFrame:
+              id_col: str | None = None, prefix: str = "", spread: int | None = None) -> DataFrame:
         """Append ``{prefix}path_mean`` and ``{prefix}score`` to ``df``.
 
         combine: 'forest' (all trees one ensemble), 'mean_of_forests' (per-group score,
-        then arithmetic mean over groups), 'local' (only the row's own group).
-        Several models can score the same scan by chaining calls with distinct prefixes.
+        then arithmetic mean over groups), 'local' (only the row's own group; NULL for rows
+        of no or an unknown group).  Several models can score the same scan by chaining
+        calls with distinct prefixes.
+
+        The trees are walked in scalar Arrow functions of the feature columns: no other
+        column goes to Python, unused ones are not read, and filters on others reach the
+        scan.  ``spread`` deals the rows over that many partitions first (a small file is
+        one split, and scoring costs rows x trees x depth); by default rows stay in place.
         """
-        out = self._score(df, combine, group_col, id_col)
-        if prefix:
-            out = out.withColumnRenamed("path_mean", f"{prefix}path_mean").withColumnRenamed("score", f"{prefix}score")
-        return out
-
-    def _score(self, df: DataFrame, combine: str, group_col: str | None, id_col: str | None) -> DataFrame:
-        T_ = float(self.trees_per_group)
-        c = F.lit(self.c_psi)
+        names = (f"{prefix}path_mean", f"{prefix}score")
+        clash = [n for n in names if n in df.columns]
+        if clash:
+            raise ValueError(f"the input already has columns {clash}: rename them or give a prefix")
+        if spread:
+            df = df.repartition(spread)
+        xs = self.spec.exprs()
+        T_, c = float(self.trees_per_group), self.c_psi
+        own = uuid.uuid4().hex
+        blocks = self.blocks()
         if combine == "local":
-            g = F.col(group_col) if group_col else self.group_of(df, id_col)
-            out, _ = self._partials(df, local_group=g.cast("int"))
-            pm = F.col("_hl") / F.lit(T_)
-            return out.withColumn("path_mean", pm).withColumn(
-                "score", F.pow(F.lit(2.0), -F.col("path_mean") / c)).drop("_hl")
-        if combine not in ("forest", "mean_of_forests"):
-            raise ValueError("combine must be 'forest', 'mean_of_forests' or 'local'")
-        out, hn = self._partials(df)
-        if hn == ["_harr"]:
-            h = F.col("_harr")
-            total = F.aggregate(h, F.lit(0.0), lambda a, b: a + b)
-            per_forest = F.aggregate(F.transform(h, lambda v: F.pow(F.lit(2.0), -(v / F.lit(T_)) / c)),
-                                     F.lit(0.0), lambda a, b: a + b)
+            g = (F.col(group_col) if group_col else self.group_of(df, id_col)).cast("int")
+            hs = [_local_sum(b.packed)(g, *xs) for b in blocks]
+            known = g.between(0, self.n_groups - 1)
+            path = F.when(known, _added([F.col(f"_{own}_{i}") for i in range(len(hs))]) / F.lit(T_))
+            score = F.pow(F.lit(2.0), -path / F.lit(c))
+        elif combine == "forest":
+            hs = [_path_sum(b.packed)(*xs) for b in blocks]
+            path = _added([F.col(f"_{own}_{i}") for i in range(len(hs))]) / F.lit(float(self.n_trees_total))
+            score = F.pow(F.lit(2.0), -path / F.lit(c))
+        elif combine == "mean_of_forests":
+            hs = [_forest_sums(b.packed, T_, c)(*xs) if b.whole else _path_sum(b.packed)(*xs) for b in blocks]
+            col = [F.col(f"_{own}_{i}") for i in range(len(hs))]
+            parts: dict[int, list[Column]] = {}  # forests larger than a block
+            for b, h in zip(blocks, col):
+                if not b.whole:
+                    parts.setdefault(b.group, []).append(h)
+            sums = [_added(p) for p in parts.values()]
+            path = _added([h["paths"] for b, h in zip(blocks, col) if b.whole] + sums) / F.lit(float(self.n_trees_total))
+            score = _added([h["scores"] for b, h in zip(blocks, col) if b.whole] +
+                           [F.pow(F.lit(2.0), -(v / F.lit(T_)) / F.lit(c)) for v in sums]) / F.lit(float(self.n_groups))
         else:
-            total, per_forest = F.lit(0.0), F.lit(0.0)
-            for name in hn:
-                total = total + F.col(name)
-                per_forest = per_forest + F.pow(F.lit(2.0), -(F.col(name) / F.lit(T_)) / c)
-        out = out.withColumn("path_mean", total / F.lit(float(self.n_trees_total)))
-        if combine == "forest":
-            out = out.withColumn("score", F.pow(F.lit(2.0), -F.col("path_mean") / c))
-        else:
-            out = out.withColumn("score", per_forest / F.lit(float(self.n_groups)))
-        return out.drop(*hn)
+            raise ValueError("combine must be 'forest', 'mean_of_forests' or 'local'")
+        walked = df.select("*", *[h.alias(f"_{own}_{i}") for i, h in enumerate(hs)])
+        return walked.select(*[F.col(f"`{n}`") for n in df.columns], path.alias(names[0]), score.alias(names[1]))
 
     def paths(self, df: DataFrame, id_col: str) -> DataFrame:
         """Long form (id, group, tree, path_length, leaf): one row per point and tree."""
         d = self.d
-        bc = self.broadcast()
-        nblocks = len(self.blocks())
-        base = self._spread(df).select(F.col(id_col).cast("bigint").alias("_id"), *self.spec.exprs())
+        blocks = self.blocks()
+        base = df.select(F.col(id_col).cast("bigint").alias("_id"), *self.spec.exprs())
         schema = T.StructType([
             T.StructField("id", T.LongType(), False),
             T.StructField("group", T.IntegerType(), False),
@@ -246,8 +193,8 @@ class ForestModel:
             for b in batches:
                 X = S.matrix_from_batch(b, d)
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                for bi in range(nblocks):
-                    pk = bc[bi].value
+                for block in blocks:
+                    pk = block.packed.value
                     for r0, r1 in S.row_chunks(X.shape[0]):
                         Xr = X[r0:r1]
                         for t0, t1 in S.tree_chunks(Xr.shape[0], pk.tree_ids.shape[0]):
@@ -265,51 +212,58 @@ class ForestModel:
         return base.mapInArrow(fn, schema)
 
 
-def _block_fn(bc, d: int, k: int, hnames: list[str], keep_names: list[str], arrow_schema, local: bool,
-              as_array: bool = False):
-    def fn(batches):
-        pk = bc.value
-        for b in batches:
-            X = S.matrix_from_batch(b, d)
-            if local:
-                g = b.column(b.schema.get_field_index("_lg")).to_numpy(zero_copy_only=False).astype(np.int64)
-                h = _local_sums(X, pk, g)[:, None]
-            else:
-                h = S.h_sums(X, pk, k)
-            arrays = [b.column(b.schema.get_field_index(n)) for n in keep_names]
-            if as_array:
-                i = b.schema.get_field_index("_harr")
-                if i >= 0:  # partial sums of the previous blocks
-                    h = h + b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                offsets = pa.array(np.arange(0, (h.shape[0] + 1) * k, k, dtype=np.int32))
-                arrays.append(pa.ListArray.from_arrays(offsets, pa.array(h.ravel())))
-            else:
-                for j, name in enumerate(hnames):
-                    i = b.schema.get_field_index(name)
-                    prev = b.column(i).to_numpy(zero_copy_only=False) if i >= 0 else 0.0
-                    arrays.append(pa.array(h[:, j] + prev))
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
-
-    return fn
-
-
-def _local_sums(X: np.ndarray, pk: S.PackedTrees, g: np.ndarray) -> np.ndarray:
-    """Path-length sum over the trees of each row's own group only."""
-    out = np.zeros(X.shape[0])
-    for gi in np.unique(g):
-        rows = np.nonzero(g == gi)[0]
-        t0 = int(np.searchsorted(pk.groups, gi, side="left"))
-        t1 = int(np.searchsorted(pk.groups, gi, side="right"))
-        if t1 <= t0:
-            continue
-        for r0, r1 in S.row_chunks(rows.shape[0]):
-            rr = rows[r0:r1]
-            Xg = X[rr]
-            for a, b in S.tree_chunks(Xg.shape[0], t1 - t0):
-                out[rr] += pk.leaf_value[S.descend(Xg, pk, t0 + a, t0 + b)].sum(axis=1)
+@dataclass
+class Block:
+    """A part of the model: whole forests from ``group`` on, or a part of that forest."""
+
+    group: int
+    whole: bool
+    packed: object  # broadcast variable of PackedTrees
+
+
+def _added(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
     return out
 
 
+def _matrix(columns) -> np.ndarray:
+    return np.ascontiguousarray(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in columns]))
+
+
+def _path_sum(packed):
+    """Sum of path lengths over all trees of a block."""
+
+    @F.arrow_udf("double")
+    def path_sum(*xs: pa.Array) -> pa.Array:
+        return pa.array(S.path_sums(_matrix(xs), packed.value))
+
+    return path_sum
+
+
+def _forest_sums(packed, trees: float, c: float):
+    """Of a block of whole forests: the sum of path lengths, and of the forests' scores."""
+
+    @F.arrow_udf("struct<paths: double, scores: double>")
+    def forest_sums(*xs: pa.Array) -> pa.Array:
+        paths, scores = S.forest_sums(_matrix(xs), packed.value, trees, c)
+        return pa.StructArray.from_arrays([pa.array(paths), pa.array(scores)], names=["paths", "scores"])
+
+    return forest_sums
+
+
+def _local_sum(packed):
+    """Sum of path lengths over the block's trees of the row's own group."""
+
+    @F.arrow_udf("double")
+    def local_sum(*columns: pa.Array) -> pa.Array:
+        g = columns[0].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array(S.local_sums(_matrix(columns[1:]), packed.value, g))
+
+    return local_sum
+
+
 # ================================================================= fit
 def default_limit(psi: int) -> int:
     return int(math.ceil(math.log2(psi)))
@@ -318,7 +272,7 @@ def default_limit(psi: int) -> int:
 def prepare(df: DataFrame, features=None, feature_col=None, id_col: str = "id", na: str = "drop",
             dim: int | None = None):
     spec = resolve_features(df, features, feature_col, dim)
-    pts = canonical(apply_na(df, spec, na), spec, id_col)
+    pts = canonical(apply_na(df, spec, na, id_col), spec, id_col)
     return spec, pts
 
 
@@ -330,8 +284,7 @@ def assign_groups(pts: DataFrame, groups: int, assign: str, seed: int):
         pts = pts.withColumn("_g", chunk_hash(pts, groups, seed))
     elif assign == "contiguous":
         # ids are unique (fit's contract), so rank boundaries are id boundaries
-        n = pts.count()
-        bounds = contiguous_bounds(pts, n, groups)
+        bounds = contiguous_bounds(pts, groups)
         pts = pts.withColumn("_g", group_by_bounds(F.col("_id"), bounds))
     else:
         raise ValueError("assign must be 'all', 'hash' or 'contiguous'")
@@ -339,23 +292,29 @@ def assign_groups(pts: DataFrame, groups: int, assign: str, seed: int):
     return pts, counts, bounds
 
 
+def sample_partitions(trees: int, psi: int) -> int:
+    """Tasks for the samples of all trees: by their rows, and a tree each at most."""
+    return max(1, min(trees, math.ceil(trees * psi / ROWS_PER_TASK)))
+
+
 def sample_trees(pts: DataFrame, pops: list[Population], psi: int, seed: int, margin: float,
                  pop_col: str | None, n_parts: int) -> DataFrame:
-    cands = candidates(pts, pops, psi, seed, margin, pop_col)
+    cands = candidates(pts, pops, psi, seed, margin, pop_col, ROWS_PER_TASK)
     return trim_to_psi(cands, psi, seed, n_parts)
 
 
 def tree_samples(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
                  n_trees: int = 100, psi: int = 256, seed: int = 0, groups: int = 1, assign: str = "all",
-                 na: str = "drop", margin: float = 8.0, dim: int | None = None) -> DataFrame:
-    """F1 on its own: (group, tree, id) of every tree's psi-row sample."""
-    spark = df.sparkSession
+                 na: str = "drop", margin: float = 8.0, dim: int | None = None, with_features: bool = False) -> DataFrame:
+    """F1 on its own: (group, tree, id) of every tree's psi-row sample, and on request the
+    features as an array ``x``."""
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
     pops, pop_col, pts, _counts, _bounds = _populations(pts, n_trees, psi, seed, groups, assign)
-    n_parts = max(1, min(groups * n_trees, spark.sparkContext.defaultParallelism))
+    n_parts = sample_partitions(groups * n_trees, psi)
     s = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts)
     return s.select((F.col("_tree") / F.lit(n_trees)).cast("int").alias("group"),
-                    F.col("_tree").cast("int").alias("tree"), F.col("_id").alias("id"))
+                    F.col("_tree").cast("int").alias("tree"), F.col("_id").alias("id"),
+                    *([F.array(*[F.col(f"_x{i}") for i in range(spec.d)]).alias("x")] if with_features else []))
 
 
 def _populations(pts: DataFrame, n_trees: int, psi: int, seed: int, groups: int, assign: str):
@@ -378,13 +337,17 @@ def _populations(pts: DataFrame, n_trees: int, psi: int, seed: int, groups: int,
 def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
         n_trees: int = 100, psi: int = 256, limit: int | None = None, seed: int = 0, groups: int = 1,
         assign: str = "all", na: str = "drop", margin: float = 8.0, path: str | None = None,
-        dim: int | None = None, strict_ids: bool = False) -> ForestModel:
+        dim: int | None = None, strict_ids: bool = False, growth: str = "task") -> ForestModel:
     """Train ``groups`` forests of ``n_trees`` trees each on sub-samples of ``psi`` rows.
 
     assign='all'       : every forest samples from all rows (one forest of groups*n_trees trees)
     assign='hash'      : rows are split into ``groups`` chunks by a keyed draw of the id
     assign='contiguous': chunks of consecutive ids (global row index, two passes)
 
+    growth='task'      : a task grows whole trees; its memory holds at least one sample of psi rows
+    growth='levels'    : every level of all trees is one Spark aggregate over the samples, for
+                         samples too large for a task; the trees are the same
+
     Ids must be unique.  A duplicate that lands in a sample always raises; with
     ``strict_ids=True`` uniqueness is checked over all rows first (one aggregation on
     the id column, partial counts map-side, so a hot duplicated id cannot overload a task).
@@ -393,6 +356,8 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     ship_package(spark)
     if psi < 2:
         raise ValueError("psi must be >= 2")
+    if growth not in ("task", "levels"):
+        raise ValueError("growth must be 'task' or 'levels'")
     if n_trees < 1 or groups < 1:
         raise ValueError("n_trees and groups must be >= 1")
     limit = default_limit(psi) if limit is None else int(limit)
@@ -405,20 +370,23 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
             raise ValueError(f"id {dup[0]['_id']} occurs more than once: the id column must be unique")
     pops, pop_col, pts, counts, bounds = _populations(pts, n_trees, psi, seed, groups, assign)
     total = groups * n_trees
-    n_parts = max(1, min(total, spark.sparkContext.defaultParallelism))
+    n_parts = sample_partitions(total, psi)
     path = path or new_path(spark, "models")
     grower = grow_partition_fn(spec.d, limit, seed, n_trees, to_arrow_schema(NODES_SCHEMA))
     cols = ["_tree", "_id"] + [f"_x{i}" for i in range(spec.d)]
     for attempt in range(4):
         # the sample stays hash-partitioned by tree: each task grows whole trees
         sample = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts).select(*cols)
-        nodes = sample.mapInArrow(grower, NODES_SCHEMA)
+        if growth == "levels":
+            nodes = grow_by_levels(sample, spec.d, limit, seed, n_trees)
+        else:
+            nodes = sample.mapInArrow(grower, NODES_SCHEMA)
         nodes.write.mode("overwrite").parquet(f"{path}/nodes")
         saved = spark.read.parquet(f"{path}/nodes")
-        # one aggregate over the saved table: every tree full (root size psi) + model size
+        # one aggregate over the saved table: every tree full (root size psi)
         root = F.col("node") == 0
         roots = saved.agg(F.count_if(root).alias("trees"), F.min(F.when(root, F.col("size"))).alias("lo"),
-                          F.max(F.when(root, F.col("size"))).alias("hi"), F.count("*").alias("n_nodes")).first()
+                          F.max(F.when(root, F.col("size"))).alias("hi")).first()
         if roots["trees"] == total and roots["lo"] == psi and roots["hi"] == psi:
             break
         margin *= 2.0  # a tree got fewer than psi candidates: widen p and redraw
@@ -426,7 +394,6 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
         raise RuntimeError("sampling failed to fill every tree")
     model = ForestModel(spark, path, saved, spec, groups, n_trees, psi, limit, int(seed), assign, margin,
                         dict(counts) if assign != "all" else {g: counts[0] for g in range(groups)}, bounds)
-    model._n_nodes = int(roots["n_nodes"])
     model.meta_df().write.mode("overwrite").parquet(f"{path}/meta")
     return model
 

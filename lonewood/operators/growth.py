@@ -17,9 +17,12 @@ a constant feature leaves an empty (size 0) left leaf.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.draws import u_py
+from ..functions.draws import u_col, u_py
+from ..session import new_path
 
 NODES_SCHEMA = T.StructType([
     T.StructField("group", T.IntegerType(), False),
@@ -74,7 +77,7 @@ def grow_level_wise(tree: np.ndarray, ids: np.ndarray, X: np.ndarray, limit: int
         raise ValueError(f"duplicate ids in the sample of tree {int(t_s[1:][dup][0])}: the id column must be unique")
     node = np.zeros(tree.shape[0], dtype=np.int64)
     rows = np.arange(tree.shape[0])
-    span = np.int64(1) << np.int64(limit + 1)
+    key = tree.astype(np.int64)  # of each row: its node, numbered in the order (tree, node)
 
     def emit(tr, nd, dep, sz, ft, th, lf):
         out["tree"].append(tr)
@@ -88,7 +91,6 @@ def grow_level_wise(tree: np.ndarray, ids: np.ndarray, X: np.ndarray, limit: int
     for depth in range(limit + 1):
         if rows.shape[0] == 0:
             break
-        key = tree[rows] * span + node[rows]
         o = np.argsort(key, kind="stable")
         rows, key = rows[o], key[o]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -124,7 +126,7 @@ def grow_level_wise(tree: np.ndarray, ids: np.ndarray, X: np.ndarray, limit: int
                 emit(s_tree[empty], 2 * s_node[empty] + side, np.full(e, depth + 1), np.zeros(e, dtype=np.int64),
                      np.full(e, -1), np.full(e, np.nan), np.ones(e, dtype=bool))
         node[r_idx] = 2 * node[r_idx] + np.where(go_left, 1, 2)
-        rows = r_idx
+        rows, key = r_idx, 2 * seg + np.where(go_left, 0, 1)
     return {k: np.concatenate(v) if v else np.array([]) for k, v in out.items()}
 
 
@@ -156,3 +158,51 @@ def grow_partition_fn(d: int, limit: int, seed: int, trees_per_group: int, arrow
         ], schema=arrow_schema)
 
     return fn
+
+
+def grow_by_levels(sample: DataFrame, d: int, limit: int, seed: int, trees_per_group: int) -> DataFrame:
+    """The same trees (bit for bit) from Spark aggregates, one level at a time, for samples
+    that no single task could hold.
+
+    A level is one map-side combined aggregate of (rows, min and max of the drawn feature)
+    by node, and one join that moves the rows to the children.  Rows of leaves drop out.
+    Each level is written to the shared folder, so a lost executor repeats one level.
+    """
+    spark = sample.sparkSession
+
+    def staged(df: DataFrame) -> DataFrame:
+        path = new_path(spark, "growth")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    x = F.array(*[F.col(f"_x{i}") for i in range(d)])
+    feature = F.floor(u_col(seed, "q", F.col("tree"), F.col("node")) * F.lit(float(d))).cast("int")
+    rows = staged(sample.select(F.col("_tree").cast("int").alias("tree"), F.lit(0).cast("bigint").alias("node"), x.alias("x"), F.col("_id").alias("id")))
+    dup = rows.groupBy("tree", "id").count().where("count > 1").select("tree").limit(1).collect()
+    if dup:
+        raise ValueError(f"duplicate ids in the sample of tree {dup[0]['tree']}: the id column must be unique")
+    levels = []
+    none = [F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold")]
+    for depth in range(limit + 1):
+        drawn = rows.withColumn("feature", feature)
+        v = F.element_at("x", F.col("feature") + 1)
+        counts = drawn.groupBy("tree", "node", "feature").agg(F.count("*").alias("size"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        draw = u_col(seed, "p", F.col("tree"), F.col("node"))
+        nodes = staged(counts.select("tree", "node", "size", "feature", (F.col("lo") + draw * (F.col("hi") - F.col("lo"))).alias("threshold"),
+                                     ((F.col("size") > 1) & F.lit(depth < limit)).alias("split")))
+        levels.append(nodes.where("not split").select("tree", "node", F.lit(depth).alias("depth"), "size", *none, F.lit(True).alias("is_leaf")))
+        inner = nodes.where("split")
+        levels.append(inner.select("tree", "node", F.lit(depth).alias("depth"), "size", "feature", "threshold", F.lit(False).alias("is_leaf")))
+        moved = rows.join(inner.drop("size", "split"), ["tree", "node"])
+        right = F.when(F.element_at("x", F.col("feature") + 1) < F.col("threshold"), 1).otherwise(2)
+        rows = staged(moved.select("tree", (F.col("node") * 2 + right).cast("bigint").alias("node"), "x", "id"))
+        # a side that got no rows is a leaf of size 0
+        sides = inner.select("tree", F.explode(F.array(F.col("node") * 2 + 1, F.col("node") * 2 + 2)).alias("node"))
+        empty = sides.join(rows.select("tree", "node").distinct(), ["tree", "node"], "left_anti")
+        levels.append(empty.select("tree", "node", F.lit(depth + 1).alias("depth"), F.lit(0).cast("bigint").alias("size"), *none, F.lit(True).alias("is_leaf")))
+        if rows.isEmpty():
+            break
+    out = levels[0]
+    for part in levels[1:]:
+        out = out.unionByName(part)
+    return out.select((F.col("tree") / F.lit(trees_per_group)).cast("int").alias("group"), *[F.col(f.name).cast(f.dataType) for f in NODES_SCHEMA.fields[1:]])

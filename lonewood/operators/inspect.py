@@ -35,6 +35,17 @@ def with_branch_numbers(branches: DataFrame, init_root: int = 0, branch_col: str
     return branches.withColumn("numbers", branch_numbers(branch_col, init_root))
 
 
+def node_vertices(nodes: DataFrame) -> DataFrame:
+    """T4 from the node table, whose rows are the vertices: no shuffle."""
+    return nodes.select("tree", "node", F.concat(F.lit("t"), F.col("tree").cast("string"), F.lit(":"), F.col("node").cast("string")).alias("name"))
+
+
+def node_edges(nodes: DataFrame) -> DataFrame:
+    """T5 from the node table: every node but the root with its parent and side; no shuffle."""
+    side = F.when(F.col("node") % 2 == 1, "L").otherwise("R")
+    return nodes.where("node > 0").select("tree", F.shiftright(F.col("node") - 1, 1).alias("parent"), F.col("node").alias("child"), side.alias("side"))
+
+
 def vertices(branches: DataFrame, prefix_col=None, init_root: int = 0) -> DataFrame:
     """T4: distinct node numbers over all branches of a tree, with a display name."""
     b = branches if "numbers" in branches.columns else with_branch_numbers(branches, init_root)
@@ -72,11 +83,13 @@ def tree_stats(nodes: DataFrame) -> DataFrame:
 
 
 def split_children(nodes: DataFrame) -> DataFrame:
-    """Each internal node with the sizes of its two children (left: x < threshold)."""
-    p = nodes.where(~F.col("is_leaf")).select("tree", "node", "depth", "size", "feature", "threshold").alias("p")
-    lc = nodes.select("tree", "node", "size").alias("l")
-    rc = nodes.select("tree", "node", "size").alias("r")
-    j = (p.join(lc, (F.col("l.tree") == F.col("p.tree")) & (F.col("l.node") == F.col("p.node") * 2 + 1))
-         .join(rc, (F.col("r.tree") == F.col("p.tree")) & (F.col("r.node") == F.col("p.node") * 2 + 2)))
-    return j.select("p.tree", "p.node", "p.depth", "p.size", "p.feature", "p.threshold",
-                    F.col("l.size").alias("left_size"), F.col("r.size").alias("right_size"))
+    """Each internal node with the sizes of its two children (left: x < threshold).  A
+    node counts for itself and, by side, for its parent: one aggregate, no join."""
+    at = F.explode(F.array(F.col("node"), F.when(F.col("node") > 0, F.shiftright(F.col("node") - 1, 1))))
+    n = nodes.select("tree", F.col("node").alias("own"), "depth", "size", "feature", "threshold", "is_leaf", at.alias("node")).where("node is not null")
+    self_ = (F.col("own") == F.col("node"))
+    g = n.groupBy("tree", "node").agg(
+        *[F.max(F.when(self_, F.col(c))).alias(c) for c in ("depth", "size", "feature", "threshold", "is_leaf")],
+        F.max(F.when(~self_ & (F.col("own") % 2 == 1), F.col("size"))).alias("left_size"),
+        F.max(F.when(~self_ & (F.col("own") % 2 == 0), F.col("size"))).alias("right_size"))
+    return g.where("not is_leaf").select("tree", "node", "depth", "size", "feature", "threshold", "left_size", "right_size")

@@ -20,23 +20,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package, shared_dir
+from ..session import partitions_for, shared_dir, ship_package
 
 _LOCAL_BITS = 33
 
 
 def _ranged(df: DataFrame, keys: list, n_parts: int | None) -> DataFrame:
-    """Range partitions sized like the cluster's shuffles (spark.sql.shuffle.partitions),
-    at least one per task slot.
+    """Range partitions sized by the data.
 
     A last, unique key ``_tb`` (row position in the input scan) splits runs of equal
     keys -- e.g. a third of all rows being exact copies -- over several range partitions
     instead of one.  Rows equal on all ``keys`` are interchangeable, so results do not
     depend on how they are ordered among themselves."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    P = n_parts or max(1, spark.sparkContext.defaultParallelism,
-                       int(spark.conf.get("spark.sql.shuffle.partitions", "1")))
+    shared_dir(df.sparkSession)
+    P = n_parts or partitions_for(df)
     keyed = df.withColumn("_tb", F.monotonically_increasing_id())
     allk = list(keys) + [F.col("_tb")]
     return keyed.repartitionByRange(P, *allk).sortWithinPartitions(*allk)

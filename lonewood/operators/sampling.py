@@ -44,10 +44,6 @@ class Population:
         p = self.p(psi, margin)
         return float("-inf") if p >= 1.0 else math.log(1.0 - p)
 
-    def k_hops(self, psi: int, margin: float) -> int:
-        mu = self.trees * self.p(psi, margin)
-        return int(min(self.trees, math.ceil(mu + 10.0 * math.sqrt(mu) + 10.0)))
-
 
 def chunk_hash(points: DataFrame, k: int, seed: int, id_col: str = "_id") -> Column:
     """Group of a row under hash assignment: floor(u(seed,'g',id) * k)."""
@@ -60,36 +56,18 @@ def chunk_contiguous(index_col: Column, n: int, k: int) -> Column:
     return F.least(F.floor(index_col / F.lit(step)), F.lit(k - 1)).cast("int")
 
 
-def contiguous_bounds(points: DataFrame, n: int, k: int, id_col: str = "_id") -> list:
-    """The k-1 ids that open chunks 1..k-1 (exact order statistics at ranks j * floor(N/k))."""
+def contiguous_bounds(points: DataFrame, k: int, id_col: str = "_id") -> list:
+    """The k-1 ids that open chunks 1..k-1 (exact order statistics at ranks j * floor(N/k)),
+    by distributed selection: a few aggregates of the id column for all of them together."""
     from .analysis import order_statistics
 
-    step = max(1, n // k)
-    ranks = [j * step for j in range(1, k) if j * step < n]
-    got = order_statistics(points, id_col, ranks)
-    return [got[r] for r in ranks]
+    return order_statistics(points, id_col, lambda n: [j * max(1, n // k) for j in range(1, k) if j * max(1, n // k) < n])
 
 
 def group_by_bounds(id_col: Column, bounds: list) -> Column:
-    """Chunk of an id = number of chunk-opening ids <= it (a CASE sum for a few chunks,
-    a filter over one sorted array literal for many)."""
-    if len(bounds) <= 64:
-        g = F.lit(0)
-        for b in bounds:
-            g = g + F.when(id_col >= F.lit(b), 1).otherwise(0)
-        return g.cast("int")
-    arr = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= id_col)).cast("int")
-
-
-def contiguous_groups(points: DataFrame, n: int, k: int, id_col: str = "_id") -> Column:
-    """Group of each row under contiguous assignment, without ranking every row.
-
-    With unique ids, chunk j (j >= 1) starts at the id of rank j * floor(N/k); the k-1
-    boundary ids are exact order statistics found by distributed bucket refinement (a
-    few single-column aggregates, nothing sorted or written), and a row's group is the
-    number of boundaries <= its id -- the same groups as the global-index formula."""
-    return group_by_bounds(F.col(id_col), contiguous_bounds(points, n, k, id_col))
+    """Chunk of an id = number of chunk-opening ids <= it."""
+    arr = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    return F.when(id_col.isNotNull(), F.size(F.filter(arr, lambda b: b <= id_col))).cast("int")
 
 
 def _pick(values: list, pop: Column) -> Column:
@@ -155,7 +133,7 @@ def _hop_fn(pops: list[Population], psi: int, seed: int, margin: float, pop_idx:
 
 
 def candidates(points: DataFrame, pops: list[Population], psi: int, seed: int, margin: float,
-               pop_col: str | None = None) -> DataFrame:
+               pop_col: str | None = None, rows_per_task: int = 32_768) -> DataFrame:
     """Rows of ``points`` exploded to (tree, row) candidate pairs; adds ``_tree``.
 
     The first hop of every row is one JVM expression (codegen, pushed next to the scan):
@@ -173,10 +151,10 @@ def candidates(points: DataFrame, pops: list[Population], psi: int, seed: int, m
     tt = _pick([int(pp.trees) for pp in pops], pop).cast("bigint")
     first = F.floor(F.log(F.lit(1.0) - u_col(seed, F.col("_id"), 1)) / ln1mp).cast("bigint")
     survivors = points.withColumn("_pos1", first).where(F.col("_pos1") < tt)
-    # survivors (about min(N, TT * psi') rows) spread round-robin over the task slots for
-    # the hop walk -- not by id, so even a (forbidden) hot duplicate id cannot pile up
-    slots = points.sparkSession.sparkContext.defaultParallelism
-    survivors = survivors.repartition(max(1, slots))
+    # survivors (about min(N, TT * psi') rows, TT * psi' hops) go round-robin over tasks by
+    # their expected number -- not by id, so even a (forbidden) hot duplicate id cannot pile up
+    hops = sum(pp.trees * pp.p(psi, margin) * pp.n for pp in pops)
+    survivors = survivors.repartition(max(1, math.ceil(hops / rows_per_task)))
     keep = [f for f in points.schema.fields]
     out_schema = T.StructType(keep + [T.StructField("_tree", T.LongType(), False)])
     pop_idx = survivors.columns.index(pop_col) if pop_col else None

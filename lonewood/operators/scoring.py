@@ -8,8 +8,8 @@ each Arrow batch of rows descends all trees of the block together with numpy:
     h    <- value[node] = depth + c(size)
 
 No shuffle, no row ever leaves its partition.  The broadcast is bounded by the model
-(T * (2*psi - 1) nodes), never by the data; models above ``max_block_nodes`` are
-scored in several tree blocks whose partial sums are added column-wise.
+(T * (2*psi - 1) nodes), never by the data; large models are several tree blocks whose
+sums are added column-wise.
 """
 
 from __future__ import annotations
@@ -114,21 +114,26 @@ def pack(nodes, limit: int) -> PackedTrees:
         lv[idx] = np.repeat(value[lf], span)
         ld[idx] = np.repeat(depth[lf], span)
         return PackedTrees(uniq, groups, int(limit), True, f_d, t_d, lv, None, ld)
-    # compact layout: slot = row of the sorted node table
+    # compact layout: slot = row of the sorted node table.  Heap numbers fill 63 bits at deep
+    # limits, so a node's key is its tree's place and its number's place among all numbers
     n = len(nodes)
-    key = tree * (1 << 40) + heap
+    numbers = np.unique(heap)
+    key = tpos * len(numbers) + np.searchsorted(numbers, heap)
 
     def lookup(t, h):
-        pos = np.minimum(np.searchsorted(key, t * (1 << 40) + h), n - 1)
-        return np.where(key[pos] == t * (1 << 40) + h, pos, -1)
+        at = np.minimum(np.searchsorted(numbers, h), len(numbers) - 1)
+        want = t * len(numbers) + at
+        pos = np.minimum(np.searchsorted(key, want), n - 1)
+        return np.where((numbers[at] == h) & (key[pos] == want), pos, -1)
 
     idx = np.arange(n)
-    left = np.where(is_leaf, idx, lookup(tree, 2 * heap + 1))
-    right = np.where(is_leaf, idx, lookup(tree, 2 * heap + 2))
+    inner = np.where(is_leaf, 0, heap)  # a leaf's children would not fit
+    left = np.where(is_leaf, idx, lookup(tpos, 2 * inner + 1))
+    right = np.where(is_leaf, idx, lookup(tpos, 2 * inner + 2))
     if (left < 0).any() or (right < 0).any():
         raise ValueError("node table is not closed: an internal node misses a child")
     thr_c = np.where(is_leaf, np.inf, thr)
-    roots = lookup(uniq, np.zeros_like(uniq))
+    roots = lookup(np.arange(len(uniq)), np.zeros_like(uniq))
     return PackedTrees(uniq, groups, int(limit), False, np.where(is_leaf, 0, feat), thr_c,
                        np.where(is_leaf, value, 0.0), heap, depth.astype(np.int32), roots.astype(np.int64),
                        left.astype(np.int64), right.astype(np.int64))
@@ -176,41 +181,69 @@ def matrix_from_batch(batch: pa.RecordBatch, d: int) -> np.ndarray:
     return np.ascontiguousarray(np.column_stack(cols))
 
 
-def h_sums(X: np.ndarray, pk: PackedTrees, n_groups: int, group_base: int = 0) -> np.ndarray:
-    """Sum of path lengths per group -> (B, n_groups).
+def path_sums(X: np.ndarray, pk: PackedTrees, t0: int = 0, t1: int | None = None) -> np.ndarray:
+    """Sum of path lengths over the trees t0..t1-1 of the block, for every row.
 
     Tree chunks outside, row chunks inside: one chunk of the model stays in cache while
     every row of the batch descends it."""
-    B = X.shape[0]
-    out = np.zeros((B, n_groups), dtype=np.float64)
-    nt = pk.tree_ids.shape[0]
-    g = pk.groups - group_base
+    out = np.zeros(X.shape[0])
+    t1 = pk.tree_ids.shape[0] if t1 is None else t1
     step = max(1, CELLS_PER_STEP // ROWS_PER_STEP)
-    for t0 in range(0, nt, step):
-        t1 = min(nt, t0 + step)
-        gg = g[t0:t1]
-        cut = np.flatnonzero(np.r_[True, gg[1:] != gg[:-1]])
-        for r0, r1 in row_chunks(B):
-            vals = pk.leaf_value[descend(X[r0:r1], pk, t0, t1)]
-            if cut.shape[0] == 1:
-                out[r0:r1, gg[0]] += vals.sum(axis=1)
-            else:
-                sums = np.add.reduceat(vals, cut, axis=1)
-                for j, c in enumerate(cut):
-                    out[r0:r1, gg[c]] += sums[:, j]
+    for a in range(t0, t1, step):
+        b = min(t1, a + step)
+        for r0, r1 in row_chunks(X.shape[0]):
+            out[r0:r1] += pk.leaf_value[descend(X[r0:r1], pk, a, b)].sum(axis=1)
     return out
 
 
-def block_split(tree_sizes: list[tuple[int, int]], max_nodes: int) -> list[list[int]]:
-    """Split trees (tree, size) into consecutive blocks whose sizes add up to at most
-    ``max_nodes`` (a block holds at least one tree)."""
-    blocks, cur, cur_n = [], [], 0
-    for t, n in tree_sizes:
-        if cur and cur_n + n > max_nodes:
-            blocks.append(cur)
-            cur, cur_n = [], 0
-        cur.append(t)
-        cur_n += n
-    if cur:
-        blocks.append(cur)
-    return blocks
+def forest_sums(X: np.ndarray, pk: PackedTrees, trees: float, c: float) -> tuple[np.ndarray, np.ndarray]:
+    """Over the whole forests of the block: sum of path lengths, sum of forest scores."""
+    paths, scores = np.zeros(X.shape[0]), np.zeros(X.shape[0])
+    cuts = np.flatnonzero(np.r_[True, pk.groups[1:] != pk.groups[:-1], True])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        h = path_sums(X, pk, a, b)
+        paths += h
+        scores += np.power(2.0, -(h / trees) / c)
+    return paths, scores
+
+
+def local_sums(X: np.ndarray, pk: PackedTrees, g: np.ndarray) -> np.ndarray:
+    """Sum of path lengths over the trees of each row's own group only."""
+    out = np.zeros(X.shape[0])
+    for gi in np.unique(g):
+        t0, t1 = (int(np.searchsorted(pk.groups, gi, side)) for side in ("left", "right"))
+        if t1 > t0:
+            rows = np.flatnonzero(g == gi)
+            out[rows] = path_sums(X[rows], pk, t0, t1)
+    return out
+
+
+def block_split(trees: list[tuple[int, int, int]], max_bytes: int) -> list[tuple[list, bool]]:
+    """Cuts trees (group, tree, bytes), in order, into blocks of at most ``max_bytes`` (one
+    tree at least): (trees of the block, whether it holds whole groups)."""
+    groups: list[list] = []
+    for t in trees:
+        if not groups or groups[-1][0][0] != t[0]:
+            groups.append([])
+        groups[-1].append(t)
+    out: list[tuple[list, bool]] = []
+    room = 0
+    for g in groups:
+        size = sum(t[2] for t in g)
+        if size > max_bytes:
+            part, n = [], 0
+            for t in g:
+                if part and n + t[2] > max_bytes:
+                    out.append((part, False))
+                    part, n = [], 0
+                part.append(t)
+                n += t[2]
+            out.append((part, False))
+            room = 0
+        elif out and out[-1][1] and size <= room:
+            out[-1][0].extend(g)
+            room -= size
+        else:
+            out.append((list(g), True))
+            room = max_bytes - size
+    return out

@@ -47,8 +47,11 @@ class Scen:
 
     def df(self, spark: SparkSession, sf: str) -> DataFrame:
         t = read_parquet_wallclock(spark, f"{sf}/{self.table}.parquet")
-        if self.index_keys:
-            t = global_row_index(t, [F.col(c) for c in self.index_keys], self.id_col)
+        if self.index_keys:  # only the keys and features go through the sort
+            keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(self.index_keys)]
+            t = t.select(*keys, *[F.expr(e).alias(n) for n, e in self.feats])
+            t = global_row_index(t, [F.col(f"_k{i}") for i in range(len(keys))], self.id_col)
+            return t.select(self.id_col, *self.names())
         if self.array_col:
             return t.select(F.col(self.id_col), F.col(self.array_col))
         return t.select(F.col(self.id_col), *[F.expr(e).alias(n) for n, e in self.feats])
@@ -118,6 +121,8 @@ M_CUST = Spec(CUST, 100, 256, 3)
 M_PART = Spec(PART, 100, 256, 5)
 M_EVT = Spec(EVT, 100, 256, 13)
 M_EMB = Spec(EMB, 50, 128, 17)
+M_LINE = Spec(LINE, 20, 256, 19)
+FD_BINS = 5000
 
 _MODELS: dict = {}
 
@@ -150,8 +155,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def ranked_scores(spark, sf, spec, combine="forest", data=None) -> DataFrame:
-    s = scores(spark, sf, spec, combine, data)
-    return materialize(s.withColumn("rscore", F.round("score", RK)))
+    """Scores with the rounded score as ordering key; ``materialize`` it for several passes."""
+    return scores(spark, sf, spec, combine, data).withColumn("rscore", F.round("score", RK))
 
 
 def paths(spark, sf, spec: Spec) -> DataFrame:
@@ -179,14 +184,10 @@ def q_tree_nodes(spark, sf):
 
 def q_root_splits(spark, sf):
     s = M_ORD
-    m = model(spark, sf, s)
-    smp = tree_samples(s.scen.df(spark, sf), **{k: v for k, v in s.fit_args().items() if k != "limit"})
-    data = s.scen.df(spark, sf).select(F.col(s.scen.id_col).cast("bigint").alias("id"),
-                                       F.array(*[F.col(n).cast("double") for n in s.scen.names()]).alias("x"))
-    roots = m.nodes.where(F.col("node") == 0).select("tree", "feature", "threshold", "size")
-    j = smp.join(data, "id").join(roots, "tree")
+    smp = tree_samples(s.scen.df(spark, sf), with_features=True, **{k: v for k, v in s.fit_args().items() if k != "limit"})
+    roots = model(spark, sf, s).nodes.where(F.col("node") == 0).select("tree", "feature", "threshold")
     xq = F.element_at(F.col("x"), F.col("feature") + 1)
-    return j.groupBy("tree", "feature", "threshold").agg(
+    return smp.join(roots, "tree").groupBy("tree", "feature", "threshold").agg(
         F.min(xq).alias("lo"), F.max(xq).alias("hi"), F.count("*").alias("n")).select(
         F.col("tree").cast("bigint").alias("tree"), F.col("feature").cast("bigint").alias("feature"),
         "threshold", "lo", "hi", "n")
@@ -291,25 +292,17 @@ def q_score_k_full(spark, sf):
 
 
 def q_score_per_tree(spark, sf):
-    m = model(spark, sf, M_CUST)
-    p = paths(spark, sf, M_CUST)
-    return p.select("id", F.col("tree").cast("bigint").alias("tree"),
-                    r(F.pow(F.lit(2.0), -F.col("path_length") / F.lit(m.c_psi))).alias("score"))
+    p = A.per_tree_scores(paths(spark, sf, M_CUST), model(spark, sf, M_CUST).c_psi)
+    return p.select("id", F.col("tree").cast("bigint").alias("tree"), r("score").alias("score"))
 
 
 def q_score_product(spark, sf):
     m = model(spark, sf, M_CUST)
-    p = paths(spark, sf, M_CUST)
-    f = F.pow(F.lit(2.0), -F.col("path_length") / F.lit(float(m.n_trees_total)) / F.lit(m.c_psi))
-    return p.groupBy("id").agg(r(F.product(f)).alias("score"))
+    return A.product_scores(paths(spark, sf, M_CUST), m.n_trees_total, m.c_psi).select("id", r("score").alias("score"))
 
 
 def q_score_by_tree_agg(spark, sf):
-    m = model(spark, sf, M_CUST)
-    p = paths(spark, sf, M_CUST)
-    agg = p.groupBy("id").agg(F.avg("path_length").alias("path_mean"))
-    return agg.select("id", r("path_mean").alias("path_mean"),
-                      r(F.pow(F.lit(2.0), -F.col("path_mean") / F.lit(m.c_psi))).alias("score"))
+    return _score_out(A.mean_path_scores(paths(spark, sf, M_CUST), model(spark, sf, M_CUST).c_psi))
 
 
 def q_score_embeddings(spark, sf):
@@ -333,10 +326,8 @@ def q_score_point(spark, sf):
     t = read_parquet_wallclock(spark, f"{sf}/customer.parquet")
     lit = F.concat(F.lit("("), F.col("c_acctbal").cast("string"), F.lit(", "),
                    F.col("c_nationkey").cast("string"), F.lit(")"))
-    arr = RD.parse_point_literal(lit)
-    pts = t.select(F.col("c_custkey").cast("bigint").alias("id"), arr.getItem(0).alias("c_acctbal"),
-                   arr.getItem(1).alias("c_nationkey"))
-    return _score_out(B.score_points(bnd, pts, id_col="id"))
+    pts = t.select(F.col("c_custkey").cast("bigint").alias("id"), lit.alias("point"))
+    return _score_out(B.score_literals(bnd, pts, "point"))
 
 
 def q_bundle_scores_roundtrip(spark, sf):
@@ -353,11 +344,15 @@ def q_fit_score_save(spark, sf):
 
 
 def q_model_roundtrip(spark, sf):
+    """Nodes, thresholds and meta of a model that was written and read again."""
     m = model(spark, sf, M_ORD)
     m2 = B.save_model(m, new_path(spark, "models"))
-    return m2.nodes.groupBy("tree").agg(F.count("*").alias("n_nodes"),
-                                        F.sum("size").alias("size_sum")).select(
-        F.col("tree").cast("bigint").alias("tree"), "n_nodes", "size_sum")
+    n = m2.nodes.groupBy("tree").agg(F.count("*").alias("n_nodes"), F.sum("size").alias("size_sum"),
+                                     F.sum(F.floor(F.col("threshold") * 1000).cast("bigint")).alias("threshold_sum"),
+                                     F.sum(F.col("feature").cast("bigint") * F.col("node")).alias("feature_sum"))
+    meta = [F.lit(int(v)).cast("bigint").alias(k) for k, v in (
+        ("psi", m2.psi), ("depth_limit", m2.limit), ("n_rows", m2.n_rows[0]), ("seed", m2.seed), ("n_features", m2.d))]
+    return n.select(F.col("tree").cast("bigint").alias("tree"), "n_nodes", "size_sum", "threshold_sum", "feature_sum", *meta)
 
 
 def q_score_table(spark, sf):
@@ -426,17 +421,17 @@ def q_branch_numbers(spark, sf):
 
 
 def q_tree_vertices(spark, sf):
-    v = I.vertices(_branches(spark, sf))
+    v = I.node_vertices(model(spark, sf, M_CUST).nodes)
     return v.select(F.col("tree").cast("bigint").alias("tree"), "node", "name")
 
 
 def q_tree_edges(spark, sf):
-    e = I.edges(_branches(spark, sf))
+    e = I.node_edges(model(spark, sf, M_CUST).nodes)
     return e.select(F.col("tree").cast("bigint").alias("tree"), "parent", "child", "side")
 
 
 def q_tree_max_node(spark, sf):
-    mx = I.max_node(I.vertices(_branches(spark, sf)))
+    mx = I.max_node(I.node_vertices(model(spark, sf, M_CUST).nodes))
     return mx.select(F.col("tree").cast("bigint").alias("tree"), "max_node", "n_vertices")
 
 
@@ -451,7 +446,7 @@ def q_bottom_normals(spark, sf):
 
 
 def q_label_layers(spark, sf):
-    s = ranked_scores(spark, sf, M_ORD)
+    s = materialize(ranked_scores(spark, sf, M_ORD))
     return A.label_layers(s, 10, "rscore", "id").select("id", r("score").alias("score"), "layer")
 
 
@@ -470,16 +465,55 @@ def q_hist_tree_scores(spark, sf):
     m = model(spark, sf, M_CUST)
     p = paths(spark, sf, M_CUST).select(
         F.round(F.pow(F.lit(2.0), -F.col("path_length") / F.lit(m.c_psi)), RK).alias("s"))
-    return _hist_out(A.hist_fixed(materialize(p), "s", 19, 0.0, 1.0))
+    return _hist_out(A.hist_fixed(p, "s", 19, 0.0, 1.0))
 
 
 def q_hist_scores_fd(spark, sf):
-    s = ranked_scores(spark, sf, M_ORD)
-    return _hist_out(A.hist_fd(s, "rscore", 50, "id"))
+    s = materialize(ranked_scores(spark, sf, M_ORD))
+    return _hist_out(A.hist_fd(s, "rscore", 50))
+
+
+def q_hist_scores_fd_rule(spark, sf):
+    """The bin rule itself: a limit that it does not reach."""
+    s = materialize(ranked_scores(spark, sf, M_ORD))
+    return _hist_out(A.hist_fd(s, "rscore", FD_BINS))
+
+
+def q_hist_point_tree_scores(spark, sf):
+    """Every customer's own distribution of tree scores."""
+    p = A.per_tree_scores(paths(spark, sf, M_CUST), model(spark, sf, M_CUST).c_psi)
+    h = A.hist_fixed(p.withColumn("s", F.round("score", RK)), "s", 19, 0.0, 1.0, by=["id"])
+    return h.select("id", F.col("bin").cast("bigint").alias("bin"), "count", r("density").alias("density"))
+
+
+def q_saved_runs_aligned(spark, sf):
+    """Two runs that were scored and saved apart, joined by id."""
+    runs = []
+    for spec in (M_ORD_B, M_ORD_R):
+        path = new_path(spark, "runs")
+        ranked_scores(spark, sf, spec).select("id", "rscore").write.parquet(path)
+        runs.append(spark.read.parquet(path))
+    return A.align_runs(*runs, "id", "rscore")
+
+
+def q_series_total(spark, sf):
+    """Two series by nation added up: balances of customers and of suppliers."""
+    c = read_parquet_wallclock(spark, f"{sf}/customer.parquet").groupBy(F.col("c_nationkey").cast("bigint").alias("nationkey")).agg(F.sum("c_acctbal").alias("balance"))
+    s = read_parquet_wallclock(spark, f"{sf}/supplier.parquet").groupBy(F.col("s_nationkey").cast("bigint").alias("nationkey")).agg(F.sum("s_acctbal").alias("balance"))
+    return A.series_total(c, s, "nationkey", "balance").select("nationkey", r("balance", 2).alias("balance"))
+
+
+def q_score_lineitem(spark, sf):
+    return _score_out(scores(spark, sf, M_LINE))
+
+
+def q_tree_nodes_by_level(spark, sf):
+    """The forest of ``tree_nodes``, grown level by level with Spark aggregates."""
+    return _nodes_out(fit(M_ORD.scen.df(spark, sf), growth="levels", **M_ORD.fit_args()).nodes)
 
 
 def q_kde_scores(spark, sf):
-    s = ranked_scores(spark, sf, M_ORD)
+    s = materialize(ranked_scores(spark, sf, M_ORD))
     k = A.kde(s, "rscore", 100, 3.0)
     return k.select(F.col("grid_index").cast("bigint").alias("grid_index"), r("x").alias("x"),
                     r("density").alias("density"))
@@ -488,7 +522,7 @@ def q_kde_scores(spark, sf):
 def _aligned(spark, sf, run_spec: Spec, combine: str = "forest") -> DataFrame:
     """(id, benchmark, run): both runs score one scan of orders, no join."""
     runs = {"benchmark": (model(spark, sf, M_ORD_B), "forest"), "run": (model(spark, sf, run_spec), combine)}
-    return materialize(A.score_runs(ORD.df(spark, sf), runs, ORD.id_col, RK))
+    return A.score_runs(ORD.df(spark, sf), runs, ORD.id_col, RK)
 
 
 def q_score_rel_diff(spark, sf):
@@ -515,7 +549,7 @@ def q_scores_by_benchmark_rank(spark, sf):
 
 
 def q_score_position(spark, sf):
-    train = ranked_scores(spark, sf, M_ORD)
+    train = materialize(ranked_scores(spark, sf, M_ORD))
     new = materialize(scores(spark, sf, M_ORD, data=LINE_NEW).withColumn("rscore", F.round("score", RK)))
     pos = A.score_position(train, new, "rscore", "id", 19)
     return pos.select(F.col("rscore").alias("score"), "n_train_le", r("frac_train_le").alias("frac_train_le"),
@@ -527,7 +561,7 @@ def q_stream_score_events(spark, sf):
     from ..streaming.scoring import replay_as_stream, score_stream, write_scores
 
     m = model(spark, sf, M_EVT)
-    stream = replay_as_stream(spark, EVT.df(spark, sf), n_files=4)
+    stream = replay_as_stream(spark, EVT.df(spark, sf))
     out = new_path(spark, "stream-sinks")
     q = write_scores(score_stream(m, stream, id_col=EVT.id_col), out)
     q.awaitTermination()
@@ -567,6 +601,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_table": q_score_table,
     "score_embeddings": q_score_embeddings,
     "score_events": q_score_events,
+    "score_lineitem": q_score_lineitem,
+    "tree_nodes_by_level": q_tree_nodes_by_level,
+    "saved_runs_aligned": q_saved_runs_aligned,
+    "series_total": q_series_total,
+    "hist_scores_fd_rule": q_hist_scores_fd_rule,
+    "hist_point_tree_scores": q_hist_point_tree_scores,
     "stream_score_events": q_stream_score_events,
     "fit_score_save": q_fit_score_save,
     "c_factor": q_c_factor,

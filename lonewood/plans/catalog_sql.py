@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.draws import c_factor_py, c_factor_sql, sql_str, u_sql
 from ..functions.paths import branch_numbers_sql, branch_string_sql, node_at_path_sql
-from .catalog import (CUST, LINE_KEYS, LINE_NEW, M_CUST, M_EMB, M_EVT, M_ORD, M_ORD_B, M_ORD_C, M_ORD_CC, M_ORD_K,
+from .catalog import (CUST, FD_BINS, LINE_KEYS, LINE_NEW, M_CUST, M_EMB, M_EVT, M_LINE, M_ORD, M_ORD_B, M_ORD_C, M_ORD_CC, M_ORD_K,
                       M_ORD_R, M_PART, ORD, RK, R, Spec)
 from .oracle import with_sql
 
@@ -97,7 +97,7 @@ def hist_fixed_sql(ctes, src: str, col: str, bins: int = 19, lo: float = 0.0, hi
     return with_sql(ctes, final)
 
 
-def fd_sql() -> str:
+def fd_sql(limit: int = 50) -> str:
     ctes = _ranked(M_ORD, "f")
     ctes += [
         ("st", "SELECT count(*) AS n, min(rscore) AS lo, max(rscore) AS hi FROM f_rk"),
@@ -109,8 +109,8 @@ def fd_sql() -> str:
                "(SELECT v FROM rk WHERE i = CAST(ceil(h75) AS BIGINT)) AS b75, h25, h75 FROM qp"),
         ("qq", "SELECT a25 + (h25 - floor(h25)) * (b25 - a25) AS q25, a75 + (h75 - floor(h75)) * (b75 - a75) AS q75 FROM qv"),
         ("fw", "SELECT st.*, 2.0 * (q75 - q25) / pow(CAST(n AS DOUBLE), 1.0 / 3.0) AS w FROM st, qq"),
-        ("nb", "SELECT n, lo, hi, CAST(CASE WHEN hi - lo <= 0 THEN 1 WHEN w <= 0 THEN 50 "
-               "ELSE greatest(1, least(50, ceil((hi - lo) / w))) END AS INTEGER) AS nb FROM fw"),
+        ("nb", "SELECT n, lo, hi, CAST(CASE WHEN hi - lo <= 0 THEN 1 WHEN w <= 0 THEN "
+               f"{limit} ELSE greatest(1, least({limit}, ceil((hi - lo) / w))) END AS INTEGER) AS nb FROM fw"),
         ("hb", "SELECT CAST(least(floor((f_rk.rscore - nb.lo) / (CASE WHEN nb.hi - nb.lo > 0 THEN nb.hi - nb.lo ELSE 1.0 END)"
                " * CAST(nb.nb AS DOUBLE)), nb.nb - 1) AS INTEGER) AS bin FROM f_rk, nb"),
         ("hc", "SELECT bin, count(*) AS count FROM hb GROUP BY bin"),
@@ -119,7 +119,7 @@ def fd_sql() -> str:
     final = (f"SELECT CAST(r.bin AS BIGINT) AS bin, {rr(f'nb.lo + r.bin * {width}')} AS edge_lo, "
              f"{rr(f'nb.lo + (r.bin + 1) * {width}')} AS edge_hi, CAST(coalesce(hc.count, 0) AS BIGINT) AS count, "
              f"{rr(f'coalesce(hc.count, 0) / (nb.n * {width})')} AS density "
-             f"FROM nb, (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) r LEFT JOIN hc USING (bin) "
+             f"FROM nb, (SELECT CAST(range AS INTEGER) AS bin FROM range({limit})) r LEFT JOIN hc USING (bin) "
              f"WHERE r.bin < nb.nb")
     return with_sql(ctes, final)
 
@@ -168,13 +168,20 @@ ORACLE: dict[str, str] = {
     "assemble_features": ("SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(2 AS BIGINT) AS n_values, "
                           "CAST(o_totalprice AS DOUBLE) AS x0, CAST(dayofyear(o_orderdate) AS DOUBLE) AS x1 FROM orders"),
     "model_roundtrip": nodes_sql(M_ORD, "SELECT CAST(tree AS BIGINT) AS tree, count(*) AS n_nodes, "
-                                        "CAST(sum(size) AS BIGINT) AS size_sum FROM f_nodes GROUP BY tree"),
+                                        "CAST(sum(size) AS BIGINT) AS size_sum, "
+                                        "CAST(sum(CAST(floor(threshold * 1000) AS BIGINT)) AS BIGINT) AS threshold_sum, "
+                                        "CAST(sum(CAST(feature AS BIGINT) * node) AS BIGINT) AS feature_sum, "
+                                        f"CAST({M_ORD.psi} AS BIGINT) AS psi, CAST({M_ORD.sql('f').L} AS BIGINT) AS depth_limit, "
+                                        "(SELECT count(*) FROM orders) AS n_rows, "
+                                        f"CAST({M_ORD.seed} AS BIGINT) AS seed, CAST({len(ORD.feats)} AS BIGINT) AS n_features "
+                                        "FROM f_nodes GROUP BY tree"),
     "bundle_scores_roundtrip": scores_sql(M_CUST),
-    "split_children": nodes_sql(M_ORD, "SELECT CAST(p.tree AS BIGINT) AS tree, p.node, p.size, "
-                                       "CAST(p.feature AS BIGINT) AS feature, p.threshold, l.size AS left_size, "
-                                       "r.size AS right_size FROM f_nodes p JOIN f_nodes l ON l.tree = p.tree AND "
-                                       "l.node = 2 * p.node + 1 JOIN f_nodes r ON r.tree = p.tree AND "
-                                       "r.node = 2 * p.node + 2 WHERE NOT p.is_leaf"),
+    "split_children": nodes_sql(M_ORD, (
+        "SELECT CAST(tree AS BIGINT) AS tree, k AS node, max(size) FILTER (s = 0) AS size, "
+        "CAST(max(feature) FILTER (s = 0) AS BIGINT) AS feature, max(threshold) FILTER (s = 0) AS threshold, "
+        "max(size) FILTER (s = 1 AND node % 2 = 1) AS left_size, max(size) FILTER (s = 1 AND node % 2 = 0) AS right_size "
+        "FROM (SELECT *, CASE WHEN s = 0 THEN node ELSE (node - 1) // 2 END AS k FROM f_nodes, (VALUES (0), (1)) v(s) "
+        "WHERE s = 0 OR node > 0) GROUP BY tree, k HAVING NOT bool_and(is_leaf) FILTER (s = 0)")),
     "chunk_hash": (f"SELECT CAST(o_orderkey AS BIGINT) AS id, "
                    f"CAST(floor({u_sql('11', sql_str('g'), 'o_orderkey')} * 4.0) AS BIGINT) AS \"group\" FROM orders"),
     "chunk_contiguous": ("SELECT id, CAST(least(floor(i / greatest(1, n // 4)), 3) AS BIGINT) AS \"group\" FROM "
@@ -216,6 +223,20 @@ ORACLE: dict[str, str] = {
         f"FROM part p JOIN f_sc s ON s.id = p.p_partkey")),
     "score_embeddings": scores_sql(M_EMB),
     "score_events": scores_sql(M_EVT),
+    "score_lineitem": scores_sql(M_LINE),
+    "tree_nodes_by_level": nodes_sql(M_ORD, f"SELECT {NODES_OUT} FROM f_nodes"),
+    "saved_runs_aligned": with_sql(_aligned(M_ORD_R), "SELECT id, benchmark, run FROM al"),
+    "series_total": ("SELECT nationkey, round(c.balance + s.balance, 2) AS balance FROM "
+                     "(SELECT CAST(c_nationkey AS BIGINT) AS nationkey, sum(c_acctbal) AS balance FROM customer GROUP BY 1) c JOIN "
+                     "(SELECT CAST(s_nationkey AS BIGINT) AS nationkey, sum(s_acctbal) AS balance FROM supplier GROUP BY 1) s USING (nationkey)"),
+    "hist_scores_fd_rule": fd_sql(FD_BINS),
+    "hist_point_tree_scores": with_sql(
+        M_CUST.sql("f").path_ctes(CUST.psql().all_rows()) + [
+            ("pts_s", f"SELECT id, CAST(least(floor(round(pow(2.0, -path_length / {c_factor_py(M_CUST.psi)!r}), {RK}) * 19.0), 18) AS BIGINT) AS bin FROM f_h"),
+            ("pc", "SELECT id, bin, count(*) AS count FROM pts_s GROUP BY id, bin"),
+            ("pt", "SELECT id, sum(count) AS total FROM pc GROUP BY id")],
+        f"SELECT t.id, r.bin, CAST(coalesce(pc.count, 0) AS BIGINT) AS count, {rr('coalesce(pc.count, 0) / (t.total * (1.0 / 19))')} AS density "
+        f"FROM pt t CROSS JOIN (SELECT CAST(range AS BIGINT) AS bin FROM range(19)) r LEFT JOIN pc ON pc.id = t.id AND pc.bin = r.bin"),
     "stream_score_events": scores_sql(M_EVT),
     "fit_score_save": with_sql(_ranked(M_CUST, "f"), "SELECT id, round(score, 6) AS score FROM f_rk "
                                                      "ORDER BY rscore DESC, id ASC LIMIT 10"),

@@ -36,6 +36,21 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/lonewood/{kind}/{uuid.uuid4().hex}"
 
 
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(df, partition_bytes: int = PARTITION_BYTES) -> int:
+    """Partitions for a shuffle of ``df`` by the optimizer's size estimate (no job runs);
+    ``spark.sql.shuffle.partitions`` where there is no estimate, and at least that many
+    once the data is larger than one partition each."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size >= 1 << 50:  # unknown, or a product of estimates
+        return usual
+    # files hold columns compressed: about a third of their size in a shuffle
+    return max(1, min(usual, 1 + 3 * size // (4 << 20)), 3 * size // partition_bytes)
+
+
 def local_fs_path(path: str) -> str | None:
     """Filesystem path for file: URIs (used only to list written files in tests)."""
     if path.startswith("file:"):

@@ -64,21 +64,31 @@ def score_points(bundle: Bundle, points: DataFrame, combine: str = "forest", id_
     return bundle.model.score(points, combine=combine, id_col=id_col)
 
 
-def score_literal(bundle: Bundle, text: str, combine: str = "forest") -> DataFrame:
-    """R10 for one point given as text, e.g. ``"(3.3, 3.3)"``: parsed with
-    ``parse_point_literal`` and scored by the saved model (one row: id 0, the parsed
-    values, path_mean, score)."""
-    from .readers import parse_point_literal
-
-    model = bundle.model
-    spec = model.spec
-    lit = model.spark.createDataFrame([(0, text)], "id bigint, s string")
-    arr = parse_point_literal("s")
+def score_literals(bundle: Bundle, df: DataFrame, col: str, combine: str = "forest", id_col: str = "id") -> DataFrame:
+    """The rows of ``df`` (id, point literal in ``col``) as points, scored by the saved
+    model: id, the parsed values, path_mean, score.  A literal that is no point of the
+    model's dimension is an error."""
+    from .readers import point_columns
+
+    spec = bundle.model.spec
     if spec.array_col:
-        pts = lit.select("id", arr.alias(spec.array_col))
+        values = point_columns(F.col(col), [f"v{i}" for i in range(spec.dim)])
+        pts = df.select(id_col, F.array(*values).alias(spec.array_col))
     else:
-        pts = lit.select("id", *[arr.getItem(i).alias(c) for i, c in enumerate(spec.columns)])
-    return model.score(pts, combine=combine, id_col="id")
+        pts = df.select(id_col, *point_columns(F.col(col), spec.columns))
+    return bundle.model.score(pts, combine=combine, id_col=id_col)
 
 
-__all__ = ["Bundle", "save_model", "save_bundle", "load_bundle", "fit_score_save", "score_points", "score_literal", "F"]
+def score_literal(bundle: Bundle, text: str, combine: str = "forest") -> DataFrame:
+    """R10 for one point given as text, e.g. ``"(3.3, 3.3)"`` (id 0), with its place among the
+    training scores: the number and share of them that are not above its own."""
+    lit = bundle.model.spark.createDataFrame([(0, text)], "id bigint, s string")
+    one = score_literals(bundle, lit, "s", combine)
+    train = bundle.scores.select(F.col("score").alias("_t"))
+    # one new score: a count with a broadcast of one row, not a sort of the training scores
+    place = train.join(F.broadcast(one.select(F.col("score").alias("_s"))), F.col("_t") <= F.col("_s"), "left_semi").agg(F.count("*").alias("n_train_le"))
+    total = bundle.scores.agg(F.count("*").alias("_n"))
+    return one.join(F.broadcast(place)).join(F.broadcast(total)).withColumn("frac_train_le", F.col("n_train_le") / F.greatest("_n", F.lit(1))).drop("_n")
+
+
+__all__ = ["Bundle", "save_model", "save_bundle", "load_bundle", "fit_score_save", "score_points", "score_literal", "score_literals"]

@@ -119,13 +119,16 @@ def canonical(df: DataFrame, spec: FeatureSpec, id_col: str, keep: list[str] | N
     return df.select(F.col(id_col).cast("bigint").alias("_id"), *extra, *spec.exprs())
 
 
-def apply_na(df: DataFrame, spec: FeatureSpec, na: str) -> DataFrame:
-    """NA policy on the raw table (before projection, so the predicate reaches the scan)."""
+def apply_na(df: DataFrame, spec: FeatureSpec, na: str, id_col: str) -> DataFrame:
+    """NA policy on the raw table (before projection, so the predicates reach the scan).  Rows
+    without an id cannot be drawn: they are dropped, or an error under 'fail'."""
+    has_id = F.col(id_col).isNotNull()
     if na == "drop":
-        return df.where(spec.valid_expr())
+        return df.where(has_id & spec.valid_expr())
     if na == "keep":
-        return df
+        return df.where(has_id)
     if na == "fail":
-        bad = F.when(~spec.valid_expr(), F.raise_error(F.lit("NULL or NaN feature in training data")))
+        bad = F.when(~spec.valid_expr(), F.raise_error(F.lit("NULL or NaN feature in training data"))).when(
+            ~has_id, F.raise_error(F.lit("NULL id in training data")))
         return df.where(bad.isNull())
     raise ValueError("na must be 'drop', 'fail' or 'keep'")

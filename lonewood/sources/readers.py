@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 
 def read_points_csv(spark: SparkSession, path: str, n_features: int | None = None,
-                    names: list[str] | None = None, id_col: str = "id") -> DataFrame:
+                    names: list[str] | None = None, id_col: str = "id", strict: bool = False) -> DataFrame:
     """Headerless, comma-separated numeric file -> ``id`` + double columns.
 
-    Unparsable cells (a header line, text) become NULL (PERMISSIVE mode).  Rows carry no
+    Unparsable cells (a header line, text) become NULL, missing cells too, surplus cells are
+    left out; with ``strict`` any such row is an error when it is read.  Rows carry no
     key in the file, so ``id`` is ``monotonically_increasing_id()`` of the scan: unique
     and stable for a given set of files and split size.
     """
@@ -26,7 +27,8 @@ def read_points_csv(spark: SparkSession, path: str, n_features: int | None = Non
             raise ValueError("give names= or n_features=")
         names = [f"x{i}" for i in range(n_features)]
     schema = T.StructType([T.StructField(n, T.DoubleType(), True) for n in names])
-    df = spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE").csv(path)
+    df = spark.read.schema(schema).option("header", "false").option("mode", "FAILFAST" if strict else "PERMISSIVE").option(
+        "enforceSchema", "true").csv(path)
     return df.select(F.monotonically_increasing_id().alias(id_col), *names)
 
 
@@ -57,6 +59,17 @@ def parse_point_literal(col) -> Column:
     return F.transform(F.split(inner, ","), lambda v: F.trim(v).try_cast("double"))
 
 
+def point_columns(col, names: list[str]) -> list[Column]:
+    """The columns ``names`` from a point literal; a literal with another number of values, or
+    a value that is no number, is an error."""
+    text = col if isinstance(col, Column) else F.col(col)
+    arr = parse_point_literal(text)
+    bad = (F.size(arr) != len(names)) | F.exists(arr, lambda v: v.isNull()) | arr.isNull()
+    message = F.concat(F.lit(f"not a point of {len(names)} numbers: "), F.coalesce(text, F.lit("NULL")))
+    checked = F.when(bad, F.raise_error(message).cast("array<double>")).otherwise(arr)
+    return [F.get(checked, i).alias(n) for i, n in enumerate(names)]
+
+
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
     """Numeric columns -> one array<double> column (the N x d matrix row)."""
     return df.withColumn(out, F.array(*[F.col(c).cast("double") for c in features]))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.forest import ForestModel
-from ..session import new_path
+from ..session import new_path, partitions_for
 
 
 def score_stream(model: ForestModel, stream: DataFrame, combine: str = "forest", id_col: str | None = None,
@@ -35,9 +35,10 @@ def write_scores(scored: DataFrame, path: str, checkpoint: str | None = None,
     return w.start(path)
 
 
-def replay_as_stream(spark: SparkSession, df: DataFrame, n_files: int = 4, max_files_per_trigger: int = 1) -> DataFrame:
-    """Write ``df`` as ``n_files`` Parquet files and open them as a file stream (tests,
-    back-fills): every file becomes one micro-batch."""
+def replay_as_stream(spark: SparkSession, df: DataFrame, n_files: int | None = None, max_files_per_trigger: int = 1) -> DataFrame:
+    """Write ``df`` as Parquet files (``n_files``, by default as many as its size asks for) and
+    open them as a file stream (tests, back-fills): ``max_files_per_trigger`` files become
+    one micro-batch."""
     src = new_path(spark, "stream-sources")
-    df.repartition(n_files).write.parquet(src)
+    df.repartition(n_files or partitions_for(df)).write.parquet(src)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(src)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import points_df
+from conftest import gauss, points_df
 from lonewood.operators import analysis as A
 from lonewood.operators import inspect as I
 from lonewood.operators.forest import fit
@@ -42,7 +42,7 @@ def test_running_counts(spark, scores):
 
 def test_exact_quantiles(scores):
     df, vals = scores
-    q = A.exact_quantiles(df, "score", [0.0, 0.25, 0.5, 0.75, 1.0], "id")
+    q = A.exact_quantiles(df, "score", [0.0, 0.25, 0.5, 0.75, 1.0])
     assert np.allclose(q, np.quantile(vals, [0.0, 0.25, 0.5, 0.75, 1.0]), rtol=0, atol=1e-12)
 
 
@@ -71,7 +71,7 @@ def test_fixed_histogram_has_empty_bins_and_closed_last_bin(spark):
 
 def test_fd_histogram_and_kde(scores):
     df, vals = scores
-    h = A.hist_fd(df, "score", tiebreak="id").collect()
+    h = A.hist_fd(df, "score").collect()
     assert sum(r["count"] for r in h) == len(vals)
     width = h[0].edge_hi - h[0].edge_lo
     assert abs(sum(r.density for r in h) * width - 1.0) < 1e-9
@@ -128,13 +128,13 @@ def test_inspection_tables(spark):
     assert all(r.node == 1 and r.depth == 1 for r in lk) and len(lk) == 5
 
 
-@pytest.mark.parametrize("max_collect,buckets", [(100_000, 4096), (50, 8), (10, 2)])
-def test_exact_quantiles_by_refinement(spark, max_collect, buckets):
+@pytest.mark.parametrize("buckets", [4096, 8, 2])
+def test_exact_quantiles_by_refinement(spark, buckets):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), rng.exponential(size=500) * 1e6])
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id bigint, score double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = A.exact_quantiles(df, "score", qs, buckets=buckets, max_collect=max_collect)
+    got = A.exact_quantiles(df, "score", qs, buckets=buckets)
     assert got == list(np.quantile(vals, qs))
 
 
@@ -142,8 +142,49 @@ def test_order_statistics_on_large_integers(spark):
     base = 2 ** 60
     ids = [base + 7 * i for i in range(5000)]
     df = spark.createDataFrame([(v,) for v in ids], "v bigint")
-    got = A.order_statistics(df, "v", [0, 1, 2499, 4999], buckets=16, max_collect=100)
-    assert got == {0: ids[0], 1: ids[1], 2499: ids[2499], 4999: ids[4999]}
+    assert A.order_statistics(df, "v", [0, 1, 2499, 4999], buckets=16) == [ids[0], ids[1], ids[2499], ids[4999]]
+
+
+def test_order_statistics_over_overflowing_ranges(spark):
+    """hi - lo is no finite double (no 64-bit integer): the selection still narrows down."""
+    rng = np.random.default_rng(4)
+    wide = np.concatenate([rng.normal(size=3000), [-1.7e308, 1.7e308, 5e-324, 0.0]])
+    df = spark.createDataFrame([(float(v),) for v in wide], "v double")
+    assert A.order_statistics(df, "v", [0, 1, 1500, 3002, 3003]) == [np.sort(wide)[r] for r in (0, 1, 1500, 3002, 3003)]
+    ints = [-(2 ** 63), 2 ** 63 - 1, *range(2000)]
+    df = spark.createDataFrame([(v,) for v in ints], "v bigint")
+    assert A.order_statistics(df, "v", [0, 1000, 2001], buckets=8) == [sorted(ints)[r] for r in (0, 1000, 2001)]
+
+
+def test_order_statistics_jobs_do_not_grow_with_ranks(spark):
+    """64 chunk boundaries take as many aggregates as 8."""
+    df = spark.createDataFrame([(int(v),) for v in np.random.default_rng(5).integers(0, 10 ** 12, 20000)], "v bigint")
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for k in (8, 64):
+        spark.sparkContext.setJobGroup(f"ranks-{k}", "")
+        got = A.order_statistics(df, "v", lambda n: [j * n // k for j in range(1, k)], buckets=1024)
+        jobs[k] = len(tracker.getJobIdsForGroup(f"ranks-{k}"))
+        assert len(got) == k - 1 and got == sorted(got)
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert jobs[64] <= jobs[8] + 6, jobs  # a level more at most: fewer cuts for each
+
+
+def test_vertices_and_edges_of_the_node_table(spark):
+    X = gauss(300, [0, 0], 2)
+    nodes = fit(points_df(spark, X), features=["x", "y"], n_trees=4, psi=32, seed=3).nodes
+    br = I.leaf_branches(nodes)
+    assert sorted(I.node_vertices(nodes).collect()) == sorted(I.vertices(br).collect())
+    assert sorted(I.node_edges(nodes).collect()) == sorted(I.edges(br).collect())
+    want = {(r.tree, r.node): r.size for r in nodes.collect()}
+    sc = I.split_children(nodes).collect()
+    assert len(sc) == nodes.where("not is_leaf").count()
+    assert all((r.left_size, r.right_size, r.size) == (want[r.tree, 2 * r.node + 1], want[r.tree, 2 * r.node + 2], want[r.tree, r.node]) for r in sc)
+
+
+def test_series_total_and_runs(spark):
+    a = spark.createDataFrame([(1, 1.5), (2, 2.0)], "k int, v double")
+    b = spark.createDataFrame([(2, 10.0), (1, 20.0), (3, 1.0)], "k int, v double")
+    assert sorted(map(tuple, A.series_total(a, b, "k", "v").collect())) == [(1, 21.5), (2, 12.0)]
 
 
 def test_grouped_histogram_per_point(spark):

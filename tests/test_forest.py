@@ -1,5 +1,7 @@
 """Sampling, growth and scoring: invariants, edge cases, layout independence, behaviour."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -280,30 +282,114 @@ def test_non_integral_id_is_rejected(spark):
         fit(df, features=["x", "y"], n_trees=1, psi=2)
 
 
-def test_many_groups_use_array_partials_and_agree(spark, monkeypatch, orders):
-    """Above MAX_GROUP_COLUMNS the per-group sums travel as one array column; scores are
-    the same as with one column per group (also across several broadcast blocks)."""
+def test_blocks_of_any_size_agree(spark, monkeypatch, orders):
+    """Whole forests in a block, several of them, and forests cut over blocks: same scores."""
     import lonewood.operators.forest as FO
 
-    m = fit(orders, features=["o_totalprice", "doy"], id_col="o_orderkey", n_trees=5, psi=32, seed=4, groups=6)
-    cols = m.score(orders, "mean_of_forests", id_col="o_orderkey").select("o_orderkey", F.col("score").alias("a"),
-                                                                          F.col("path_mean").alias("pa"))
-    monkeypatch.setattr(FO, "MAX_GROUP_COLUMNS", 2)
-    monkeypatch.setattr(FO, "MAX_BLOCK_BYTES", 30_000)
-    m2 = FO.load_model(spark, m.path)
-    assert len(m2.blocks()) > 1
-    arr = m2.score(orders, "mean_of_forests", id_col="o_orderkey").select("o_orderkey", F.col("score").alias("b"),
-                                                                           F.col("path_mean").alias("pb"))
-    j = cols.join(arr, "o_orderkey").select(F.max(F.abs(F.col("a") - F.col("b"))).alias("d"),
-                                             F.max(F.abs(F.col("pa") - F.col("pb"))).alias("dp")).first()
-    assert j.d < 1e-12 and j.dp < 1e-9
-    big = F.col("o_orderkey")
+    m = fit(orders, features=["o_totalprice", "doy"], id_col="o_orderkey", n_trees=5, psi=32, seed=4, groups=6, assign="hash")
+    want = {}
+    for size, whole in ((64 << 20, {True}), (30_000, {True}), (3_000, {False})):
+        monkeypatch.setattr(FO, "MAX_BLOCK_BYTES", size)
+        m2 = FO.load_model(spark, m.path)
+        assert {b.whole for b in m2.blocks()} == whole and (len(m2.blocks()) > 1) == (size < 1 << 20)
+        for combine in ("forest", "mean_of_forests", "local"):
+            got = m2.score(orders, combine, id_col="o_orderkey").orderBy("o_orderkey").select("path_mean", "score").toPandas().to_numpy()
+            assert np.allclose(got, want.setdefault(combine, got), rtol=1e-12)
+        m2.release()
+
+
+def test_bounds_of_many_chunks(orders):
     from lonewood.operators.sampling import group_by_bounds
-    bounds = list(range(10, 1000, 10))  # 99 bounds -> array path
-    got = orders.select(big, group_by_bounds(big, bounds).alias("g")).collect()
-    assert all(r.g == sum(1 for b in bounds if b <= r.o_orderkey) for r in got)
 
+    for bounds in ([], [500], list(range(10, 1000, 10))):
+        got = orders.select("o_orderkey", group_by_bounds(F.col("o_orderkey"), bounds).alias("g")).collect()
+        assert all(r.g == sum(1 for b in bounds if b <= r.o_orderkey) for r in got)
+
+
+def test_scoring_reads_and_sends_what_it_needs(spark, model):
+    """Only id and features are read, a filter on the id reaches the scan, planning runs no
+    job, and columns of any name survive."""
+    wide = spark.read.parquet(f"{SF001}/orders.parquet").withColumn("doy", F.dayofyear("o_orderdate"))
+    model.blocks()
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    grouped = wide.groupBy("o_orderkey").agg(F.max("o_totalprice").alias("o_totalprice"), F.max("doy").alias("doy"))
+    model.score(grouped, id_col="o_orderkey")
+    assert len(tracker.getJobIdsForGroup()) == before
+    q = model.score(wide, id_col="o_orderkey").where("o_orderkey < 100").select("o_orderkey", "score")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
+    assert {c.split(":")[0] for c in schema.split(",")} == {"o_orderkey", "o_totalprice", "o_orderdate"}
+    assert "LessThan(o_orderkey,100)" in plan
+    odd = model.score(wide.withColumn("_xtra", F.lit("kept")).withColumn("_x0", F.lit(1)).withColumn("_h0", F.lit(2)), id_col="o_orderkey").first()
+    assert (odd._xtra, odd._x0, odd._h0) == ("kept", 1, 2)
+
+
+def test_unknown_groups_have_no_score(spark, orders):
+    m = fit(orders, features=["o_totalprice", "doy"], id_col="o_orderkey", n_trees=3, psi=16, seed=4, groups=2, assign="hash")
+    d = orders.limit(1).crossJoin(spark.createDataFrame([(0,), (2,), (-1,), (None,)], "g int"))
+    got = {r.g: r.score for r in m.score(d, "local", group_col="g").collect()}
+    assert got[2] is None and got[-1] is None and got[None] is None and 0 < got[0] < 1
+
+
+def test_null_ids_are_no_rows(spark, orders):
+    args = dict(features=["o_totalprice", "doy"], id_col="o_orderkey", n_trees=3, psi=16, seed=4)
+    nulls = orders.unionByName(orders.limit(50).withColumn("o_orderkey", F.lit(None).cast("bigint")))
+    a, b = fit(orders, **args), fit(nulls, **args)
+    assert a.n_rows == b.n_rows and a.nodes.orderBy("tree", "node").collect() == b.nodes.orderBy("tree", "node").collect()
+    with pytest.raises(Exception, match="NULL id"):
+        fit(nulls, na="fail", **args)
+
+
+@pytest.mark.parametrize("limit", [40, 57, 62])
+@pytest.mark.parametrize("kind", ["normal", "constant", "tied"])
+def test_deep_limits(spark, limit, kind):
+    """Trees and scores at limits where heap numbers fill all bits."""
+    from lonewood.operators.growth import grow_level_wise, grow_tree
+    from lonewood.operators.scoring import pack, path_sums
 
-def test_reserved_column_names_are_reported(spark, model, orders):
-    with pytest.raises(ValueError, match="clash"):
-        model.score(orders.withColumn("_x0", F.lit(1.0)), id_col="o_orderkey")
+    rng = np.random.default_rng(3)
+    X = {"normal": rng.normal(size=(64, 2)), "constant": np.ones((8, 2)), "tied": rng.integers(0, 2, (64, 2)).astype(float)}[kind]
+    trees = 100
+    tree = np.repeat(np.arange(trees), len(X))
+    r = grow_level_wise(tree, np.tile(np.arange(len(X)), trees), np.tile(X, (trees, 1)), limit, 5)
+    got = {}
+    for t, n, d, s, f, th, leaf in zip(*(r[k].tolist() for k in ("tree", "node", "depth", "size", "feature", "threshold", "is_leaf"))):
+        got.setdefault(t, []).append((n, d, s, None if leaf else f, None if leaf else th, leaf))
+    want = {t: grow_tree(t, X, limit, 5) for t in range(trees)}
+    assert {t: sorted(v, key=lambda x: x[0]) for t, v in got.items()} == {t: sorted(v, key=lambda x: x[0]) for t, v in want.items()}
+    import pandas as pd
+
+    nodes = pd.DataFrame({k: r[k] for k in ("tree", "node", "depth", "size", "feature", "threshold", "is_leaf")}).assign(group=0)
+    nodes.loc[nodes.is_leaf, "feature"] = np.nan
+    slow = np.zeros(len(X))
+    from lonewood.functions.draws import c_factor_py
+
+    for t in range(trees):
+        by = {n[0]: n for n in want[t]}
+        for i, x in enumerate(X):
+            n = by[0]
+            while not n[5]:
+                n = by[2 * n[0] + (1 if x[n[3]] < n[4] else 2)]
+            slow[i] += n[1] + c_factor_py(n[2])
+    assert np.allclose(path_sums(X, pack(nodes, limit)), slow)
+
+
+def test_names_of_results_are_not_overwritten(spark, model, orders):
+    for name in ("score", "path_mean"):
+        with pytest.raises(ValueError, match="already has"):
+            model.score(orders.withColumn(name, F.lit(1.0)), id_col="o_orderkey")
+    both = model.score(orders.withColumn("score", F.lit(-1.0)), id_col="o_orderkey", prefix="new_").first()
+    assert both.score == -1.0 and 0 < both.new_score < 1
+
+
+@pytest.mark.parametrize("limit", [None, 0, 3, 15])
+def test_level_wise_growth_gives_the_same_trees(spark, limit):
+    rng = np.random.default_rng(9)
+    X = np.column_stack([rng.normal(size=400), rng.integers(0, 3, 400), np.ones(400)])
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "id bigint, a double, b double, c double")
+    args = dict(features=["a", "b", "c"], n_trees=6, psi=100, seed=2, groups=2, assign="hash", limit=limit)
+    one, two = (fit(df, growth=g, **args).nodes.orderBy("tree", "node").collect() for g in ("task", "levels"))
+    assert one == two
+    with pytest.raises(ValueError):
+        fit(df, growth="other", **args)

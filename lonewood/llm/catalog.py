@@ -1,10 +1,12 @@
-"""Registered queries of this subpackage and their SQL twins (where SQL can express them)."""
+"""Registered queries of this subpackage: one per operator, with production parameters, over
+its whole table.  Their SQL twins are in ``catalog_sql``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog_sql import ORACLE as ORACLE
 from .chat import chat_turns
 from .common import table
 from .html import extract_text
@@ -19,8 +21,8 @@ from .warc import read_warc, write_warc
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = quality_rules(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "quality.*")
+    d = quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+    return d.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_postings_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    return d.select("doc_id", *[f"leak.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")])
+    return d.select("doc_id", *[f"leak.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
 
 
 def tokenizer(name: str) -> str:
@@ -85,13 +87,3 @@ QUERIES = {
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_quality_divergence": op7_quality_divergence,
 }
-
-OP5_SQL = """
-WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT d.page_id, payload_bytes, payload_digest, CASE WHEN d.page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN d.page_id <> first THEN first END AS refers_to
-FROM d LEFT JOIN f USING (payload_digest)
-"""
-
-ORACLE: dict[str, str] = {"op5_warc_roundtrip": OP5_SQL}

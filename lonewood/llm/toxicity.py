@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, staged, tidy
+from .common import ready, shuffle_partitions, staged, tidy
 
 MAX_TRAIN = 20_000
 MAX_FEATURES = 8192
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(max_train)  # max_train rows of two numbers: small enough to broadcast
     d = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = staged(d.join(F.broadcast(drawn), "id").select("label", "text"), "toxicity").repartition(max(1, spark.sparkContext.defaultParallelism))
+    sample = staged(d.join(F.broadcast(drawn), "id").select("label", "text"), "toxicity").repartition(shuffle_partitions(spark))
     sizes = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     n, t = sizes["n"] or 0, sizes["toxic"] or 0
     if not 0 < t < n:  # one label only: its share is all there is to learn

@@ -11,7 +11,10 @@ published configurations (psi 256):
   case4  8 forests x 800 trees on 8 hash chunks, mean of forest scores
   case5  800 trees, per-tree scores multiplied (long (id, tree) form, product per id)
   case6  8 forests x 100 trees on 8 hash chunks, each row scored by its own forest
-plus 100-tree forests on orders, events, embeddings (64-d) and lineitem (4-d, id derived).
+on the published data (pub_case1..6: 4 000 normal points around (10, 1), one moved to
+(3.3, 3.3), seeded) and on a table (case1..6), plus 100-tree forests on orders, events,
+embeddings (64-d) and lineitem (4-d, id derived), 8 contiguous chunks of orders, the global
+row index of lineitem, and the position of new scores among the training scores.
 The six cases run BENCH_TRIALS times (default 3); their figures are the mean, with the
 population variance (the published statistics) computed by the library's own A4
 operator over a (case, phase, trial, seconds) timings table.
@@ -45,8 +48,10 @@ def main() -> None:
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lonewood-bench-"))
 
+    from lonewood.operators import analysis as A
     from lonewood.operators.forest import fit
-    from lonewood.plans.catalog import CUST, EMB, EVT, LINE, ORD
+    from lonewood.operators.ordering import global_row_index
+    from lonewood.plans.catalog import CUST, EMB, EVT, LINE, LINE_KEYS, ORD, Scen
 
     # the cases need 8 chunks of >= psi rows: customer (15 000 rows at sf0.1, closest to the
     # published 4 000 points) when it is large enough, orders otherwise
@@ -55,6 +60,12 @@ def main() -> None:
     def cust():
         return case_scen.df(spark, sf_dir)
 
+    pub = Scen("published", "id", (("x", "x"), ("y", "y")))
+
+    def published():
+        moved = F.col("id") == 0
+        return spark.range(4000).select("id", F.when(moved, 3.3).otherwise(F.randn(10) + 10.0).alias("x"), F.when(moved, 3.3).otherwise(F.randn(1) + 1.0).alias("y"))
+
     times: dict[str, float] = {}
     points: dict[str, int] = {}
     errors: dict[str, str] = {}
@@ -77,11 +88,9 @@ def main() -> None:
         m.blocks()  # model packed for broadcast: end of the assembly phase
         t1 = time.time()
         if product:
-            p = m.paths(df, scen.id_col)
-            f = F.pow(F.lit(2.0), -F.col("path_length") / F.lit(float(m.n_trees_total)) / F.lit(m.c_psi))
-            out = p.groupBy("id").agg(F.product(f).alias("score"))
-        else:
-            out = m.score(df, combine=combine, id_col=scen.id_col)
+            out = A.product_scores(m.paths(df.repartition(int(cpus)), scen.id_col), m.n_trees_total, m.c_psi)
+        else:  # the tables are small files, one split each: spread over the cores
+            out = m.score(df, combine=combine, id_col=scen.id_col, spread=int(cpus))
         out.write.format("noop").mode("overwrite").save()
         t2 = time.time()
         times[name] = round(t2 - t0, 3)
@@ -118,12 +127,13 @@ def main() -> None:
             for phase in ("total", "fit", "score"):
                 key = name if phase == "total" else f"{name}_{phase}"
                 timings.append((name, phase, trial, float(times[key])))
-    from lonewood.operators.analysis import mean_var_pop
+    for name, args in cases.items():
+        run(f"pub_{name}", published, pub, **args)
 
     tdf = spark.createDataFrame(timings or [("none", "total", 0, 0.0)],
                                 "case string, phase string, trial int, seconds double")
     stats = {}
-    for r in mean_var_pop(tdf, "seconds", ["case", "phase"]).collect():
+    for r in A.mean_var_pop(tdf, "seconds", ["case", "phase"]).collect():
         key = r["case"] if r["phase"] == "total" else f"{r['case']}_{r['phase']}"
         times[key] = round(r["mean"], 3)
         stats[key] = {"mean": round(r["mean"], 4), "var_pop": round(r["var_pop"], 6), "n": r["n"]}
@@ -133,6 +143,22 @@ def main() -> None:
     # lineitem has no key: its id is the global row index (range sort + checkpoint), timed
     run("lineitem_forest", lambda: LINE.df(spark, sf_dir), LINE, n_trees=100)
 
+    run("contiguous_forest", lambda: ORD.df(spark, sf_dir), ORD, "mean_of_forests", n_trees=50, groups=8, assign="contiguous")
+
+    def timed(name, make):
+        try:
+            t0 = time.time()
+            make().write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as ex:
+            errors[name] = f"{type(ex).__name__}: {str(ex)[:300]}"
+
+    timed("row_index", lambda: global_row_index(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE_KEYS), [F.col(c) for c in LINE_KEYS]))
+    m = fit(ORD.df(spark, sf_dir), id_col=ORD.id_col, features=ORD.names(), n_trees=100, psi=256, seed=1)
+    train = m.score(ORD.df(spark, sf_dir)).select(F.col(ORD.id_col).alias("id"), "score").checkpoint()
+    new = m.score(cust().select(F.col(case_scen.id_col).alias("id"), *[F.col(a).cast("double").alias(b) for a, b in zip(case_scen.names(), ORD.names())])).select("id", "score")
+    timed("score_position", lambda: A.score_position(train, new))
+
     times.pop("none", None)
     stats.pop("none", None)
     headline = [k for k in times if not k.endswith("_fit") and not k.endswith("_score")]

@@ -4,6 +4,8 @@ Every random choice in the engine is a pure function of integer/string keys:
 
     u(k1, k2, ...) = int(md5("k1:k2:...")[:13 hex digits], 16) / 2**52   in [0, 1)
 
+and where a choice needs two draws, the next 13 digits of the same digest are the second.
+
 The same value is produced by the Spark Column form (JVM md5, whole-stage codegen),
 the Python form (hashlib, used inside grouped-map tasks) and the SQL text form
 (DuckDB oracle).  Keys are only ever integers or short strings, never doubles, so
@@ -32,18 +34,24 @@ def u_py(*parts) -> float:
     return (int.from_bytes(hashlib.md5(key).digest()[:7], "big") >> 4) / _TWO_52
 
 
-def u_col(*parts) -> Column:
+def two_u_py(*parts) -> tuple[float, float]:
+    """Both draws of one digest."""
+    d = hashlib.md5(":".join(str(p) for p in parts).encode()).digest()
+    return (int.from_bytes(d[:7], "big") >> 4) / _TWO_52, (int.from_bytes(d[:13], "big") & ((1 << 52) - 1)) / _TWO_52
+
+
+def u_col(*parts, second: bool = False) -> Column:
     """Spark Column draw; parts are Columns (integral) or python str/int literals."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     cols = [c.cast("string") for c in cols]
-    hexpart = F.substring(F.md5(F.concat_ws(":", *cols)), 1, 13)
+    hexpart = F.substring(F.md5(F.concat_ws(":", *cols)), 14 if second else 1, 13)
     return F.conv(hexpart, 16, 10).cast("bigint") / F.lit(_TWO_52)
 
 
-def u_sql(*parts: str) -> str:
+def u_sql(*parts: str, second: bool = False) -> str:
     """DuckDB SQL text draw; parts are SQL expressions (integral) or quoted literals."""
     return (
-        "(CAST('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 13) AS BIGINT)"
+        "(CAST('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + f")), {14 if second else 1}, 13) AS BIGINT)"
         " / CAST(4503599627370496.0 AS DOUBLE))"
     )
 

@@ -37,7 +37,7 @@ FORMAT_VERSION = 1
 # copy, so a block stays small (8 workers x 64 MB)
 MAX_BLOCK_BYTES = 64 << 20
 # rows of candidates or samples for one task of training
-ROWS_PER_TASK = 32_768
+ROWS_PER_TASK = 8_192
 
 META_SCHEMA = T.StructType([
     T.StructField("group", T.IntegerType(), False),

@@ -6,8 +6,10 @@ trees of a task are grown together, level by level (``grow_level_wise``);
 ``grow_tree`` is the plain recursive definition it must equal.  Split choices are keyed
 draws:
 
-    feature   q = floor(u(seed, 'q', tree, node) * d)
-    threshold p = min_q + u(seed, 'p', tree, node) * (max_q - min_q)
+    feature   q = floor(u(seed, 's', tree, node) * d)
+    threshold p = min_q + u'(seed, 's', tree, node) * (max_q - min_q)
+
+(u and u' are the two draws of one digest).
 
 Rows with x_q < p go to the left child 2*node+1, all others (ties, NaN) to the right
 child 2*node+2.  A node is a leaf when depth >= limit or it holds <= 1 row; a split on
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.draws import u_col, u_py
+from ..functions.draws import two_u_py, u_col
 from ..session import new_path
 
 NODES_SCHEMA = T.StructType([
@@ -47,11 +49,12 @@ def grow_tree(tree: int, X: np.ndarray, limit: int, seed: int) -> list[tuple]:
         if depth >= limit or size <= 1:
             out.append((node, depth, size, None, None, True))
             continue
-        q = int(u_py(seed, "q", tree, node) * d)
+        uq, up = two_u_py(seed, "s", tree, node)
+        q = int(uq * d)
         col = X[idx, q]
         lo = float(col.min())
         hi = float(col.max())
-        p = lo + u_py(seed, "p", tree, node) * (hi - lo)
+        p = lo + up * (hi - lo)
         go_left = col < p
         out.append((node, depth, size, q, p, False))
         stack.append((2 * node + 2, depth + 1, idx[~go_left]))
@@ -106,8 +109,8 @@ def grow_level_wise(tree: np.ndarray, ids: np.ndarray, X: np.ndarray, limit: int
         if not split.any():
             break
         s_tree, s_node, s_start, s_cnt = n_tree[split], n_node[split], starts[split], counts[split]
-        q = np.array([int(u_py(seed, "q", int(t), int(n)) * d) for t, n in zip(s_tree, s_node)], dtype=np.int64)
-        up = np.array([u_py(seed, "p", int(t), int(n)) for t, n in zip(s_tree, s_node)], dtype=np.float64)
+        draws = np.array([two_u_py(seed, "s", t, n) for t, n in zip(s_tree.tolist(), s_node.tolist())], dtype=np.float64)
+        q, up = (draws[:, 0] * d).astype(np.int64), draws[:, 1]
         # rows of splitting nodes, with their node's position in the split arrays
         seg = np.repeat(np.arange(s_start.shape[0]), s_cnt)
         r_idx = rows[np.concatenate([np.arange(a, a + c) for a, c in zip(s_start, s_cnt)])]
@@ -176,7 +179,7 @@ def grow_by_levels(sample: DataFrame, d: int, limit: int, seed: int, trees_per_g
         return spark.read.schema(df.schema).parquet(path)
 
     x = F.array(*[F.col(f"_x{i}") for i in range(d)])
-    feature = F.floor(u_col(seed, "q", F.col("tree"), F.col("node")) * F.lit(float(d))).cast("int")
+    feature = F.floor(u_col(seed, "s", F.col("tree"), F.col("node")) * F.lit(float(d))).cast("int")
     rows = staged(sample.select(F.col("_tree").cast("int").alias("tree"), F.lit(0).cast("bigint").alias("node"), x.alias("x"), F.col("_id").alias("id")))
     dup = rows.groupBy("tree", "id").count().where("count > 1").select("tree").limit(1).collect()
     if dup:
@@ -187,7 +190,7 @@ def grow_by_levels(sample: DataFrame, d: int, limit: int, seed: int, trees_per_g
         drawn = rows.withColumn("feature", feature)
         v = F.element_at("x", F.col("feature") + 1)
         counts = drawn.groupBy("tree", "node", "feature").agg(F.count("*").alias("size"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-        draw = u_col(seed, "p", F.col("tree"), F.col("node"))
+        draw = u_col(seed, "s", F.col("tree"), F.col("node"), second=True)
         nodes = staged(counts.select("tree", "node", "size", "feature", (F.col("lo") + draw * (F.col("hi") - F.col("lo"))).alias("threshold"),
                                      ((F.col("size") > 1) & F.lit(depth < limit)).alias("split")))
         levels.append(nodes.where("not split").select("tree", "node", F.lit(depth).alias("depth"), "size", *none, F.lit(True).alias("is_leaf")))

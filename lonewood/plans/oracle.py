@@ -137,12 +137,12 @@ class ForestSQL:
         for e in range(L + 1):
             out.append((f"{p}_n{e}", f"SELECT tree, node, count(*) AS size FROM {p}_l{e} GROUP BY tree, node"))
             if e < L:
-                qd = u_sql(str(s), sql_str("q"), "tree", "node")
+                qd = u_sql(str(s), sql_str("s"), "tree", "node")
                 out.append((f"{p}_sq{e}", f"SELECT tree, node, CAST(floor({qd} * {float(d)!r}) AS INTEGER) AS q "
                                           f"FROM {p}_n{e} WHERE size > 1"))
                 out.append((f"{p}_mm{e}", f"SELECT l.tree, l.node, min(l.x[s.q + 1]) AS lo, max(l.x[s.q + 1]) AS hi "
                                           f"FROM {p}_l{e} l JOIN {p}_sq{e} s USING (tree, node) GROUP BY l.tree, l.node"))
-                pd_ = u_sql(str(s), sql_str("p"), "tree", "node")
+                pd_ = u_sql(str(s), sql_str("s"), "tree", "node", second=True)
                 out.append((f"{p}_sp{e}", f"SELECT s.tree, s.node, s.q, m.lo + {pd_} * (m.hi - m.lo) AS thr "
                                           f"FROM {p}_sq{e} s JOIN {p}_mm{e} m USING (tree, node)"))
                 out.append((f"{p}_l{e + 1}", f"SELECT l.tree, l.id, l.x, CASE WHEN l.x[s.q + 1] < s.thr "

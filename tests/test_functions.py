@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lonewood.functions.draws import c_factor, c_factor_py, c_factor_sql, u_col, u_py, u_sql
+from lonewood.functions.draws import c_factor, c_factor_py, c_factor_sql, two_u_py, u_col, u_py, u_sql
 from lonewood.functions.paths import (branch_numbers, branch_numbers_sql, branch_string, branch_string_sql,
                                       node_at_path, node_at_path_sql)
 from lonewood.sources.readers import parse_point_literal, parse_text_points
@@ -33,6 +33,10 @@ def test_draws_agree_in_python_spark_duckdb(spark):
     dd = [r[0] for r in duckdb.sql(f"SELECT {u_sql('s', 'i', 'k')} FROM (VALUES {vals}) t(s, i, k)").fetchall()]
     assert py == sp == dd
     assert all(0.0 <= u < 1.0 for u in py)
+    both = [two_u_py(*k) for k in keys]
+    sp = [r.u for r in df.select(u_col(F.col("s"), F.col("i"), F.col("k"), second=True).alias("u")).collect()]
+    dd = [r[0] for r in duckdb.sql(f"SELECT {u_sql('s', 'i', 'k', second=True)} FROM (VALUES {vals}) t(s, i, k)").fetchall()]
+    assert [a for a, _ in both] == py and [b for _, b in both] == sp == dd and not set(sp) & set(py)
 
 
 def test_branch_and_node_arithmetic(spark):

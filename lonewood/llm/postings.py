@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ready, staged, tidy, utf8
+from ..session import new_path
+from .common import ready, shuffle_partitions, staged, tidy, utf8
+from .files import NewFile, read_file
 from .suffixes import _pack, _unpack
 
 WINDOW = 10
@@ -58,13 +60,15 @@ def invert(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(ids, minlength=n).astype(np.int32), np.argsort(ids, kind="stable").astype(np.int32)
 
 
-_INDEX = "shard long, rows binary, n_words binary, terms binary, sizes binary, postings binary"
+_INDEX = "shard long, path string, n_words binary, terms binary, sizes binary, postings binary"
 
 
 def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The stored index of ``docs``: one row per shard, with the columns ``keep`` (default:
-    all) of its documents.  Null texts have no words."""
+    """The stored index of ``docs``: one row per shard.  The columns ``keep`` (default: all) of
+    its documents are in a file of the shard's (``path``), which no shuffle moves.  Null texts
+    have no words."""
     ready(docs.sparkSession)
+    folder = new_path(docs.sparkSession, "shards")
     keep = docs.columns if keep is None else keep
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     # a text that is kept is sent once, within its row
@@ -81,9 +85,13 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
             gaps = np.diff(at, prepend=np.int32(0))
             first = np.cumsum(sizes) - sizes
             gaps[first] = at[first]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64())] + [pa.array([x], pa.binary()) for x in (
-                _pack(rows), np.array(counts, np.int64).tobytes(), squeeze(b"\n".join(terms)), squeeze(sizes.tobytes()), squeeze(gaps.tobytes()))],
-                names=["shard", "rows", "n_words", "terms", "sizes", "postings"])
+            path = f"{folder}/{part:06d}-{seq:06d}.arrow"
+            f = NewFile(path)
+            f.write(_pack(rows))
+            f.close()
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([path])] + [pa.array([x], pa.binary()) for x in (
+                np.array(counts, np.int64).tobytes(), squeeze(b"\n".join(terms)), squeeze(sizes.tobytes()), squeeze(gaps.tobytes()))],
+                names=["shard", "path", "n_words", "terms", "sizes", "postings"])
 
         for b in batches:
             data, offs = utf8(b.column(0).field(text) if text in keep else b.column(1))
@@ -300,7 +308,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     def run(batches):
         none = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            for rows, n_words, hits in zip(*[batch.column(c).to_pylist() for c in ("rows", "n_words", "hits")], strict=True):
+            for path, n_words, hits in zip(*[batch.column(c).to_pylist() for c in ("path", "n_words", "hits")], strict=True):
                 found: dict[int, list] = {}
                 for h in hits or []:
                     found.setdefault(h["place"], []).append(h)
@@ -312,10 +320,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                                       "contaminated": bool(spans), "n_near": near, "spans": [{"begin": a, "end": b} for a, b in spans]})
                     else:
                         leaks.append({"n_words": n, "n_hit": 0, "n_items": 0, "items_sha256": none, "contaminated": False, "n_near": 0, "spans": []})
-                mine = _unpack(rows).combine_chunks().column(0)
+                mine = _unpack(read_file(path)).combine_chunks().column(0)
                 mine = mine.combine_chunks() if isinstance(mine, pa.ChunkedArray) else mine
                 mine = mine.chunk(0) if isinstance(mine, pa.ChunkedArray) else mine
                 columns = [mine.field(f.name).cast(f.type) if f.name != "leak" else pa.array(leaks, f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return index.select("shard", "rows", "n_words").join(by_shard, "shard", "left").select("rows", "n_words", "hits").mapInArrow(tidy(run), out)
+    joined = index.select("shard", "path", "n_words").join(by_shard.hint("shuffle_merge"), "shard", "left").select("path", "n_words", "hits")
+    # few rows with a shard of work behind each: as many tasks as for any shuffle
+    return joined.repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(tidy(run), out)

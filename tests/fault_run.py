@@ -8,6 +8,7 @@ import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -48,24 +49,20 @@ faulty = FO.fit(orders, **args)
 FO.grow_partition_fn = original
 faulty_nodes = sorted(tuple(r) for r in faulty.nodes.collect())
 
-orig_block = FO._block_fn
-
-
-def flaky_block(*a, **k):
-    inner = orig_block(*a, **k)
-
-    def fn(batches):
+def flaky_path_sum(packed):
+    @F.arrow_udf("double")
+    def path_sum(*xs: pa.Array) -> pa.Array:
         from pyspark import TaskContext
 
         tc = TaskContext.get()
         if tc.attemptNumber() == 0 and tc.partitionId() == 1:
             raise RuntimeError("injected failure: executor lost during scoring")
-        yield from inner(batches)
+        return pa.array(FO.S.path_sums(FO._matrix(xs), packed.value))
 
-    return fn
+    return path_sum
 
 
-FO._block_fn = flaky_block
-faulty_scores = {r.o_orderkey: r.score for r in faulty.score(orders, id_col="o_orderkey").collect()}
+FO._path_sum = flaky_path_sum
+faulty_scores = {r.o_orderkey: r.score for r in faulty.score(orders, id_col="o_orderkey", spread=4).collect()}
 print(json.dumps({"nodes_equal": clean_nodes == faulty_nodes, "scores_equal": clean_scores == faulty_scores,
                   "n_nodes": len(clean_nodes), "n_scores": len(clean_scores)}))

@@ -43,10 +43,12 @@ def main():
     shows = {
         "fit: sample + grow (4 hash chunks x 100 trees)": grow,
         "score (forest)": m.score(df, id_col=ORD.id_col),
+        "score (wide table, filter on the id, two columns kept)": m.score(
+            spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_doy", F.dayofyear("o_orderdate"))).where("o_orderkey < 10").select("o_orderkey", "score"),
         "score_runs (two models, one scan)": A.score_runs(df, {"a": (m, "forest"), "b": (m2, "forest")}, ORD.id_col),
         "label_layers": A.label_layers(scored, 10),
         "top_anomalies": A.top_anomalies(scored, 10),
-        "paths -> product per id": m.paths(df, ORD.id_col).groupBy("id").agg(F.product("path_length")),
+        "paths -> product per id": A.product_scores(m.paths(df, ORD.id_col), m.n_trees_total, m.c_psi),
     }
     for title, d in shows.items():
         print(f"### {title}\n```\n{tree(d)}```\n")

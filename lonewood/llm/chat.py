@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 from .common import ready, shuffle_partitions, staged, tidy
-from .files import NewFile, read_file
-from .suffixes import _pack, _unpack
+from .files import NewFile, pack_rows, read_file, task_name, unpack_table
 
 ROLES = ("system", "user", "assistant")
 N_ROLES = len(ROLES)
@@ -173,9 +172,9 @@ def _sorted_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            path = f"{folder}/{part:06d}-{seq:06d}.arrow"
+            path = f"{folder}/{task_name()}-{seq:06d}.arrow"
             f = NewFile(path)
-            f.write(_pack(held))
+            f.write(pack_rows(held))
             f.close()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([path])], names=["part", "seq", "path"])
 
@@ -195,7 +194,7 @@ def _sorted_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
 def _conversations(path: str) -> list[tuple[object, list[tuple]]]:
     """Runs of rows (turn, role, text) of one conversation, in order."""
     out: list[tuple[object, list[tuple]]] = []
-    t = _unpack(read_file(path))
+    t = unpack_table(read_file(path))
     for conv, *row in zip(*[c.to_pylist() for c in t.columns], strict=True):
         if not out or out[-1][0] != conv:
             out.append((conv, []))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 
 
@@ -13,9 +14,18 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 
+def task_name() -> str:
+    """Partition and attempt of the running task.  Attempts never share a file: a table row
+    names the file of the attempt that wrote it, also if an input comes in another order the
+    second time or two attempts run side by side."""
+    from pyspark import TaskContext
+
+    return f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+
+
 class NewFile:
     """A stream under a temporary name; ``close`` gives the file its own name in one step, so
-    readers see whole files only and a repeated task replaces its own result."""
+    readers see whole files only."""
 
     def __init__(self, path: str):
         self.fs, self.path = filesystem(path)
@@ -35,3 +45,22 @@ def read_file(path: str) -> bytes:
     fs, path = filesystem(path)
     with fs.open_input_file(path) as f:
         return f.read()
+
+
+def pack_rows(batches: list[pa.RecordBatch]) -> bytes:
+    """An Arrow stream of whole rows, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        for b in batches:
+            w.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks()
+
+
+def unpack_rows(blob: bytes) -> pa.StructArray:
+    """The rows of a stream with one struct column."""
+    rows = unpack_table(blob).column(0)
+    return rows.chunk(0) if rows.num_chunks else pa.array([], rows.type)

@@ -30,8 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import new_path
 from .common import ready, shuffle_partitions, staged, tidy, utf8
-from .files import NewFile, read_file
-from .suffixes import _pack, _unpack
+from .files import NewFile, pack_rows, read_file, task_name, unpack_rows
 
 WINDOW = 10
 SLOP = 20
@@ -85,9 +84,9 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
             gaps = np.diff(at, prepend=np.int32(0))
             first = np.cumsum(sizes) - sizes
             gaps[first] = at[first]
-            path = f"{folder}/{part:06d}-{seq:06d}.arrow"
+            path = f"{folder}/{task_name()}-{seq:06d}.arrow"
             f = NewFile(path)
-            f.write(_pack(rows))
+            f.write(pack_rows(rows))
             f.close()
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([path])] + [pa.array([x], pa.binary()) for x in (
                 np.array(counts, np.int64).tobytes(), squeeze(b"\n".join(terms)), squeeze(sizes.tobytes()), squeeze(gaps.tobytes()))],
@@ -320,9 +319,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                                       "contaminated": bool(spans), "n_near": near, "spans": [{"begin": a, "end": b} for a, b in spans]})
                     else:
                         leaks.append({"n_words": n, "n_hit": 0, "n_items": 0, "items_sha256": none, "contaminated": False, "n_near": 0, "spans": []})
-                mine = _unpack(read_file(path)).combine_chunks().column(0)
-                mine = mine.combine_chunks() if isinstance(mine, pa.ChunkedArray) else mine
-                mine = mine.chunk(0) if isinstance(mine, pa.ChunkedArray) else mine
+                mine = unpack_rows(read_file(path))
                 columns = [mine.field(f.name).cast(f.type) if f.name != "leak" else pa.array(leaks, f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 

@@ -2,7 +2,8 @@
 
 1. A fingerprint per document: 64 majority bits over the XXH64 values of its word shingles.
 2. Equal fingerprints collapse to one row (a group of exact copies of any size is one row
-   after map-side aggregation).  For each distinct fingerprint its Hamming distances to
+   after map-side aggregation); the documents themselves are in block files and stay there.
+   For each distinct fingerprint its Hamming distances to
    ``N_PIVOTS`` reference fingerprints are stored.
 3. Two fingerprints within ``max_bits`` differ by at most ``max_bits`` in every pivot
    coordinate (triangle inequality), so a larger coordinate difference discards a pair;
@@ -27,10 +28,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ready, staged, tidy, utf8
+from ..session import new_path
+from .common import ready, shuffle_partitions, staged, tidy, utf8
+from .files import NewFile, pack_rows, read_file, unpack_rows
 from .components import connected_components
 
 SHINGLE = 4
@@ -40,6 +45,7 @@ N_PIVOTS = 16
 PER_KEY = 8
 SMALL = 32
 CHUNK = 4096
+BLOCK_BYTES = 8 << 20
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -69,17 +75,50 @@ def majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
-    """Column of fingerprints as signed 64-bit integers; null texts are empty."""
-
-    @F.arrow_udf("long")
-    def of(column: pa.Array) -> pa.Array:
-        data, offs = utf8(column)
-        raw = data.tobytes()
-        out = [fingerprint(raw[a:b], shingle) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        return pa.array(np.array(out, np.uint64).view(np.int64))
-
-    return of(text)
+def block_path(folder: str, block: int) -> str:
+    """File of a block; its number is the task attempt's, then that of the block in it."""
+    return f"{folder}/{block >> 24}-{block & 0xFFFFFF}.arrow"
+
+
+def fingerprints(docs: DataFrame, folder: str, text: str, doc_id: str, keep: list[str], shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, place, fp, no_id, id) of every document, fp as signed 64-bit integer; null texts
+    are empty.  The columns ``keep`` go to files of about ``block_bytes`` of text, ``block``
+    and ``place`` say where; no later step moves them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    columns = [row.alias("row"), F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id")] + ([] if text in keep else [F.col(text).alias("text")])
+    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("fp", T.LongType()),
+                        T.StructField("no_id", T.BooleanType()), T.StructField("id", docs.schema[doc_id].dataType)])
+    schema = to_arrow_schema(out)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held, size, n = TaskContext.get().taskAttemptId() << 24, [], 0, 0
+
+        def flush() -> None:
+            f = NewFile(block_path(folder, block))
+            f.write(pack_rows(held))
+            f.close()
+
+        for b in batches:
+            data, offs = utf8(b.column(0).field(text) if text in keep else b.column(3))
+            raw, lo = memoryview(data), 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + block_bytes - size, "right")) - 1)
+                held.append(b.slice(lo, hi - lo).select([0]))
+                fp = [fingerprint(raw[x:y].tobytes(), shingle) for x, y in zip(offs[lo:hi].tolist(), offs[lo + 1:hi + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(hi - lo, block, np.int64)), pa.array(np.arange(n, n + hi - lo, dtype=np.int32)), pa.array(np.array(fp, np.uint64).view(np.int64)),
+                    b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)], schema=schema)
+                size, n = size + int(offs[hi] - offs[lo]), n + hi - lo
+                lo = hi
+                if size >= block_bytes or lo < b.num_rows:
+                    flush()
+                    block, held, size, n = block + 1, [], 0, 0
+        if held:
+            flush()
+
+    return docs.select(*columns).mapInArrow(tidy(run), out)
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -244,18 +283,36 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Null and empty texts have fingerprint 0 and are linked like any other.  Repeated rows
     share a component and one of them is first.  Null ids come after all others: a component
     of null ids only has a null component_id.  An empty table gives an empty result."""
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    marked = staged(docs.select(row, F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("uid")).alias("rep"),
-                                fingerprints(F.col(text), shingle).alias("fp")), "simhash")
-    distinct = staged(marked.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "simhash")
+    if "simhash" in keep:
+        raise ValueError("the input has a column named simhash")
+    folder = new_path(spark, "blocks")
+    marked = staged(fingerprints(docs, folder, text, doc_id, keep, shingle), "simhash")
+    rep = F.struct("no_id", "id", "block", "place")
+    distinct = staged(marked.groupBy("fp").agg(F.min(rep).alias("rep"), F.count("*").alias("n")), "simhash")
     roots = connected_components(near_links(distinct, max_bits))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("m"), F.max("n").alias("most"))
     # only fingerprints of several rows or links need the join: the others are their own class
     shared = least.where("m > 1 or most > 1").join(rooted.select("fp", "root"), "root").select(F.col("fp").alias("shared_fp"), "least")
-    out = marked.join(shared, marked["fp"] == shared["shared_fp"], "left").withColumn("least", F.coalesce("least", "rep"))
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.struct(
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"),
-        (F.col("least.uid") == F.col("rep.uid")).alias("first")).alias("simhash"))
+    decided = marked.join(shared, marked["fp"] == shared["shared_fp"], "left").withColumn("least", F.coalesce("least", rep))
+    result = F.struct("place", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"),
+                      ((F.col("least.block") == F.col("block")) & (F.col("least.place") == F.col("place"))).alias("first"))
+    by_block = decided.groupBy("block").agg(F.sort_array(F.collect_list(result)).alias("results"))
+    found = T.StructType(by_block.schema["results"].dataType.elementType.fields[1:])
+    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField("simhash", found)])
+    schema = to_arrow_schema(out)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, results in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                r = results.values
+                rows = unpack_rows(read_file(block_path(folder, block)))
+                columns = [rows.field(c).cast(schema.field(c).type) for c in keep]
+                kind = schema.field("simhash").type
+                columns.append(pa.StructArray.from_arrays([r.field(f.name).cast(f.type) for f in kind], fields=list(kind)))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    # few rows with a block of documents behind each: as many tasks as for any shuffle
+    return by_block.repartition(shuffle_partitions(spark)).mapInArrow(tidy(run), out)

@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import new_path
 from .common import ranges, ready, shuffle_partitions, staged, tidy, utf8
-from .files import NewFile, read_file
+from .files import NewFile, pack_rows, read_file, task_name, unpack_table
 from .sais import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -109,19 +109,7 @@ def snippets(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return np.concatenate(keys), start, np.concatenate(counts), np.searchsorted(offs, start, "right") - 1
 
 
-# --- blocks: an Arrow stream of whole rows, compressed -------------------------------------
-
-
-def _pack(batches: list[pa.RecordBatch]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        for b in batches:
-            w.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+# --- blocks ------------------------------------------------------------------------------
 
 
 def blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -137,9 +125,9 @@ def blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYT
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            path = f"{folder}/{part:06d}-{seq:06d}.arrow"
+            path = f"{folder}/{task_name()}-{seq:06d}.arrow"
             f = NewFile(path)
-            f.write(_pack(held))
+            f.write(pack_rows(held))
             f.close()
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([path])], names=["block", "bytes", "path"])
 
@@ -161,7 +149,7 @@ def blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYT
 
 
 def _texts(path: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    t = _unpack(read_file(path)).combine_chunks()
+    t = unpack_table(read_file(path))
     raw, offs = utf8(t.column(0))
     return t, raw, offs, t.column(1).to_numpy().astype(np.int64)
 

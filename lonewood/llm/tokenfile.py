@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 from .common import ready, shuffle_partitions, staged, tidy
-from .files import NewFile, filesystem
+from .files import NewFile, filesystem, task_name
 from .tokens import encoder
 
 # Fixed values of the file format.
@@ -130,7 +130,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
         last = np.array([] if end is None else [end], np.uint32)
 
         def done():
-            name = f"{folder}/part-{part:06d}-{number:06d}.zst"
+            name = f"{folder}/part-{task_name()}-{number:06d}.zst"
             writer.close()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([name]), pa.array([len(writer.ids)], pa.int64()),
                                                pa.array([writer.n_ids], pa.int64())], names=["part", "file", "path", "n_docs", "n_ids"])
@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             ends = np.cumsum(counts)
             for i, s, t in zip(b.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                 if writer is None:
-                    writer = Writer(f"{folder}/part-{part:06d}-{number:06d}.zst")
+                    writer = Writer(f"{folder}/part-{task_name()}-{number:06d}.zst")
                 writer.add(i, np.concatenate([flat[s:t], last]))
                 if writer.n_ids >= file_ids:
                     yield done()

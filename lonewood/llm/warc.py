@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 from .common import ready, shuffle_partitions, staged, tidy
-from .files import NewFile, filesystem
+from .files import NewFile, filesystem, task_name
 
 MIN_BYTES = 100
 FILE_BYTES = 256 << 20
@@ -138,12 +138,10 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
         "id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, out, size, n = TaskContext.get().partitionId(), 0, None, 0, 0
+        number, out, size, n = 0, None, 0, 0
 
         def path():
-            return f"{folder}/part-{part:06d}-{number:06d}.warc.gz"
+            return f"{folder}/part-{task_name()}-{number:06d}.warc.gz"
 
         def done():
             out.close()

@@ -418,8 +418,10 @@ def _cut(own: T.StructType, text: str, length: int, gram: int, buckets: int):
                 kept = raw[~gone].tobytes()
                 before = np.concatenate([[0], np.cumsum(gone)])
                 removed = before[offs[1:]] - before[offs[:-1]]
+                opens = np.zeros(len(gone) + 1, bool)
+                opens[offs] = True  # a document begins
                 edge = gone.copy()
-                edge[1:] &= ~gone[:-1] | np.isin(np.arange(1, len(gone)), offs)
+                edge[1:] &= ~gone[:-1] | opens[1:-1]
                 spans = np.concatenate([[0], np.cumsum(edge)])
                 spans = spans[offs[1:]] - spans[offs[:-1]]
                 ends = np.cumsum(np.diff(offs) - removed).tolist()

@@ -28,7 +28,7 @@ MAX_COMMON_CHARS = 8
 MIN_CHARS = 200
 MIN_WORDS = 60
 MAX_CLASS_DISTANCE = 0.29
-MAX_WORD_DISTANCE = 0.32
+MAX_WORD_DISTANCE = 0.33
 WINDOW = 5
 
 SPACE = r"[\x20\x09-\x0D]+"

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lonewood.llm.quality import MAX_COMMON_CHARS, N_COMMON, js_distance, language_references, quality_rules
+from lonewood.llm.quality import MAX_CLASS_DISTANCE, MAX_COMMON_CHARS, MAX_WORD_DISTANCE, N_COMMON, js_distance, language_references, quality_rules
 from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,7 +58,7 @@ def test_counts_and_distances_by_brute_force(make_docs):
         d2 = js([w.count(x) for x in common] + [sum(x not in common for x in w)], ref_words) if len(w) >= 60 else None
         for have, want in ((g.class_distance, d1), (g.word_distance, d2)):
             assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9)
-        assert g.kept == (not g.base_failed and (d1 or 0) <= 0.29 and (d2 or 0) <= 0.32)
+        assert g.kept == (not g.base_failed and (d1 or 0) <= MAX_CLASS_DISTANCE and (d2 or 0) <= MAX_WORD_DISTANCE)
 
 
 def test_languages_have_their_own_references(spark):

@@ -11,6 +11,8 @@ import pyarrow.fs as pafs
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:/"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 

@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return base.rstrip("/")
+    # a path without a scheme means the cluster's default file system, not the driver's disk
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
@@ -52,7 +54,7 @@ def partitions_for(df, partition_bytes: int = PARTITION_BYTES) -> int:
 
 
 def local_fs_path(path: str) -> str | None:
-    """Filesystem path for file: URIs (used only to list written files in tests)."""
+    """Path of a file: URI on the driver's disk; None for any other file system."""
     if path.startswith("file:"):
         return path[len("file:"):]
     if "://" in path:

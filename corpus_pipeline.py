@@ -25,8 +25,9 @@ from lonewood.llm.suffixes import remove_repeats
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality_rules(docs).where("quality.kept").select(*docs.columns)
+    """Rejected documents go.  Copies of a text, which only the next stage removes, count once
+    in the references they are judged by."""
+    return quality_rules(docs, distinct=True).where("quality.kept").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

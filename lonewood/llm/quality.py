@@ -8,7 +8,8 @@ Jensen-Shannon distance (square root of the divergence, base 2, so 0 to 1):
   most ``MAX_COMMON_CHARS`` characters, and all other words.
 
 References are sums over all documents of the language (``lang``; null is a language of
-its own).  A distance counts only for documents long enough to estimate it
+its own), or with ``distinct`` over its different texts, so that copies of one text have the
+weight of one.  A distance counts only for documents long enough to estimate it
 (``min_chars``, ``min_words``): short texts get the benefit of the doubt.
 
 Null and empty texts have no words: all counts 0, both distances null, base_failed true,
@@ -99,12 +100,17 @@ def js_distance(p: Column, q: Column) -> Column:
     return let(total(terms), lambda d: F.sqrt(F.when(d < 0, 0.0).otherwise(d)))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common: int = N_COMMON) -> DataFrame:
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common: int = N_COMMON, distinct: bool = False) -> DataFrame:
     """One row per language: ``ref_lang``, ``ref_classes`` (summed character classes),
     ``ref_words`` (most frequent words, ties by the word) and ``ref_counts`` (their counts
-    and that of all other words)."""
+    and that of all other words).  ``distinct``: equal texts of a language count once."""
     d = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    classes = d.select("ref_lang", characters(F.col("t"))["classes"].alias("c")).groupBy("ref_lang").agg(
+    by_text = d.select("ref_lang", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), characters(F.col("t"))["classes"].alias("c"))
+    if distinct:
+        # grouping keys only: every task drops its copies before the exchange, and the classes
+        # need no text there
+        by_text, d = by_text.distinct(), d.distinct()
+    classes = by_text.groupBy("ref_lang").agg(
         F.array(*[F.sum(F.col("c")[i]).cast("double") for i in range(6)]).alias("ref_classes"))
     counts = d.select("ref_lang", F.explode(F.split("t", SPACE)).alias("w")).where("w != ''").groupBy(
         "ref_lang", F.when(F.length("w") <= MAX_COMMON_CHARS, F.col("w")).alias("w")).agg(F.count("*").alias("n"))
@@ -122,10 +128,11 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", references: DataFrame | None = None,
                   n_common: int = N_COMMON, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
-                  max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+                  max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, distinct: bool = False) -> DataFrame:
     """``docs`` with one more column ``quality``: a struct of n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept."""
-    refs = staged(references if references is not None else language_references(docs, text, lang, n_common), "quality")
+    n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
+    ``distinct``: copies of a text count once in the references."""
+    refs = staged(references if references is not None else language_references(docs, text, lang, n_common, distinct), "quality")
     own = list(docs.columns)
     t = F.coalesce(F.col("__d")[text], F.lit(""))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__d")).join(

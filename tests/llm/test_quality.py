@@ -1,8 +1,10 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from corpus_pipeline import quality_stage
 from lonewood.llm.quality import MAX_CLASS_DISTANCE, MAX_COMMON_CHARS, MAX_WORD_DISTANCE, N_COMMON, js_distance, language_references, quality_rules
 from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
@@ -83,3 +85,16 @@ def test_no_python_in_the_plan_and_clashing_names(spark, make_docs):
 def test_a_filter_on_the_verdict_computes_it_once(make_docs):
     d = quality_rules(make_docs(corpus())).where("quality.kept").select("doc_id")
     assert d._jdf.queryExecution().executedPlan().toString().count("[a-z]+") == 1
+
+
+def test_copies_do_not_become_the_reference_of_the_stage(spark, make_docs):
+    rng = random.Random(1)
+    common = "the of and to in a is that for it was on with as by at".split()
+    clean = [" ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("etaoinshrdlu", k=6)) for _ in range(120)) for _ in range(40)]
+    junk = [" ".join(rng.choice(common) + rng.choice("&%$#") * 5 for _ in range(120)) for _ in range(4)]
+    rows = list(enumerate(clean + junk))
+    copies = [(100 + i, junk[0]) for i in range(22)]
+    want = set(range(40))
+    assert {r.doc_id for r in quality_stage(spark, make_docs(rows), None).collect()} == want
+    assert {r.doc_id for r in quality_stage(spark, make_docs(rows + copies).repartition(5), None).collect()} == want
+    assert language_references(make_docs(rows + copies), distinct=True).collect() == language_references(make_docs(rows), distinct=True).collect()

@@ -2,8 +2,9 @@
 
 1. Every page is parsed into elements.  Each element has a hash of its subtree (tags,
    classes and text).
-2. Spark counts on how many pages of a host each hash occurs.  A subtree that recurs on many
-   pages of its host is template and goes.  In the article that holds for containers only: a
+2. Spark counts on how many different pages of a host each hash occurs (equal html is one
+   page).  A subtree that recurs on many pages of its host is template and goes.  In the
+   article that holds for containers only, and only if they hold less than half of its text: a
    paragraph is content even if other pages have it too.
 3. Elements that are never main text by their tag or class (menus, headers, footers,
    sidebars, notices, adverts, forms, reader comments) go on any site, also one of a single
@@ -63,6 +64,7 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
     without those in ``templates``; and the hashes of all elements that may be template."""
     blocks: list[tuple[str, bool]] = []
     hashes: set[int] = set()
+    cuts: list[tuple[int, int]] = []  # blocks of template elements
     stack = [Element("", "", 0, False, False)]
     text: list[str] = []
 
@@ -81,8 +83,8 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
         if e.tag in ("html", "body") or e.tag in MAIN or (e.main and e.tag in PROSE):
             return
         hashes.add(subtree)
-        if subtree in templates:
-            del blocks[e.first:]
+        if subtree in templates and e.first < len(blocks):
+            cuts.append((e.first, len(blocks)))
 
     def leave(index: int) -> None:
         flush()
@@ -144,7 +146,14 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
         text.append(entities.unescape(page[at:]))
     leave(1)
     flush()
-    return blocks, hashes
+    gone, at = set(), len(blocks)
+    for first, last in reversed(cuts):  # a cut lies in or before those that closed after it
+        gone.update(range(first, min(last, at)))
+        at = min(at, first)
+    article = {i for i in gone if blocks[i][1]}
+    if 2 * sum(len(blocks[i][0]) for i in article) > sum(len(line) for line, main in blocks if main):
+        gone -= article  # pages that share their article have no template there
+    return [b for i, b in enumerate(blocks) if i not in gone] if gone else blocks, hashes
 
 
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
@@ -159,21 +168,22 @@ def host_of(url: Column) -> Column:
 
 
 def site_templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): hashes of subtrees on at least ``min_pages`` pages of the host and
-    ``min_share`` of them.  As many hashes a host as one page has elements, divided by the
+    """(host, templates): hashes of subtrees on at least ``min_pages`` different pages of the
+    host and ``min_share`` of them; pages of equal html are one.  As many hashes a host as one page has elements, divided by the
     share, at most."""
     ready(pages.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, found = [], []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hashes = parse(page)[1] | {-1}  # -1 counts the pages themselves
-                hosts += [host] * len(hashes)
-                found += hashes
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
-
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")).mapInArrow(tidy(run), "host string, hash long")
+            digests, found = [], []
+            for page in b.column(1).to_pylist():
+                digests.append(xxhash.xxh3_128_digest(page.encode("utf-8", "surrogatepass")))
+                found.append(sorted(parse(page)[1] | {-1}))  # -1 counts the pages themselves
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["host", "digest", "hashes"])
+
+    seen = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")).mapInArrow(tidy(run), "host string, digest binary, hashes array<long>")
+    # copies go in their own task first; a row has only the numbers of a page
+    seen = seen.distinct().select("host", F.explode("hashes").alias("hash"))
     counts = staged(seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"n >= {int(min_pages)} or hash = -1"), "html")
     total = counts.where("hash = -1").select("host", F.col("n").alias("pages"))
     return counts.where("hash <> -1").join(total, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
@@ -183,7 +193,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", keep: l
     """The columns ``keep`` of ``pages`` (default: all but the html), text and n_chars.
 
     Null and empty html has the text "".  Pages without a host are one host "".  Repeated rows
-    are pages of their own.  An empty table gives an empty result."""
+    have a text each, but are one page of their host's template.  An empty table gives an empty result."""
     keep = [c for c in pages.columns if c != html] if keep is None else keep
     if {"text", "n_chars"} & set(keep):
         raise ValueError("the input has a column named text or n_chars")

@@ -45,6 +45,21 @@ def test_paragraphs_of_articles_stay(spark):
     assert sorted(x.text for x in r) == sorted(f"Same\nSame line\n{i}" for i in range(10))
 
 
+def test_copies_of_a_page_are_one_page_of_the_host(spark):
+    own = "<div><ul><li>first of {0}</li><li>second {0}</li></ul></div><table><tr><td>cell {0}</td></tr></table>"
+    for wrap in ("<article><h1>T</h1>{}</article>", "<section>{}</section>"):
+        same = [(i, f"http://h/{i}", wrap.format(own.format("x"))) for i in range(5)]
+        rows = same + [(i, f"http://h/{i}", wrap.format(own.format(i))) for i in range(5, 12)]
+        r = {x.page_id: x.text for x in extract_text(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+        assert all(r[i].endswith("first of {0}\nsecond {0}\ncell {0}".format("x" if i < 5 else i)) for i in range(12)), r
+
+
+def test_near_copies_keep_their_article(spark):
+    page = "<div class='top'>Menu</div><div class='w'><article><h1>T</h1><div><ul><li>A long list of own words</li></ul></div></article></div><p>Seen {} times</p>"
+    r = extract_text(spark.createDataFrame([(i, "http://h/", page.format(i)) for i in range(10)], PAGES)).collect()
+    assert {x.text for x in r} == {"T\nA long list of own words"}
+
+
 def test_templates_are_bounded_and_names_may_clash(spark):
     d = spark.createDataFrame(site(20), PAGES)
     t = site_templates(d).collect()

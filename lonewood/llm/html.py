@@ -31,7 +31,9 @@ SALTS = 8
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|select|object|canvas|audio|video|head"
+RAW = "script|style|textarea|title"  # to the end of the page if unclosed, as in HTML
+#: Without main text from their start to their end tag; an unclosed one is no element.
+SKIPPED = "noscript|template|iframe|svg|math|select|object|canvas|audio|video"
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 NEVER = frozenset("nav footer aside form menu dialog button fieldset datalist".split())
@@ -44,8 +46,11 @@ MARKS = frozenset("""ad ads advert adverts advertisement advertisements advertis
     breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login share sharing
     social related recommended comment comments commentlist disqus replies pagination pager toolbar widget widgets contentinfo complementary search""".split())
 
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z) | <(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z) | <(?P<raw>{RAW})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))
     | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)> | <[!?/][^>]*> | </?[a-zA-Z][^>]*>""", re.S | re.I | re.X)
+_SKIPPED = re.compile(rf"""<!--.*?(?:-->|\Z) | <(?P<raw>{RAW})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))
+    | <(?P<end>/?)(?P<tag>{SKIPPED})(?=[\s/>])(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I | re.X)
+_SKIPPED_TAGS = frozenset(SKIPPED.split("|"))
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -59,6 +64,24 @@ class Element:
         self.parts: list[bytes] = []
 
 
+def skipped(page: str) -> dict[int, int]:
+    """Where the ``SKIPPED`` elements of a page end, by where they start: each end tag closes
+    the last open element of its name."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _SKIPPED.finditer(page):
+        if m["tag"] is None:
+            continue
+        starts = opened.setdefault(m["tag"].lower(), [])
+        if not m["end"] and m["attrs"].endswith("/"):
+            ends[m.start()] = m.end()
+        elif not m["end"]:
+            starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
 def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool]], set[int]]:
     """(blocks, hashes) of a page: blocks of text, each with whether it lies in the article,
     without those in ``templates``; and the hashes of all elements that may be template."""
@@ -92,7 +115,9 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
             close()
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    ends: dict[int, int] | None = None
+    tokens = _TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         if m.start() > at:
             piece = entities.unescape(page[at:m.start()])
             text.append(piece)
@@ -103,6 +128,14 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "head":
+            continue  # no element: its end tag may be missing, and what it holds has no text
+        if tag in _SKIPPED_TAGS:
+            ends = skipped(page) if ends is None else ends
+            if not m["end"] and m.start() in ends:
+                at = ends[m.start()]
+                tokens = _TOKEN.finditer(page, at)
+            continue
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:

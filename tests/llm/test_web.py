@@ -25,6 +25,18 @@ def test_main_text():
     assert main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_unclosed_elements_lose_no_text():
+    assert main_text("<html><head><meta charset=utf-8><title>x</title><body><article><p>text</p></article>") == "text"
+    assert main_text("<html><head><title>x</title><style>p{}</style><p>text</p>") == "text"
+    for tag in ("object", "noscript", "select", "svg", "audio", "video", "canvas", "iframe", "math", "template"):
+        assert main_text(f"<article><p>a</p><{tag} x='1'><p>b</p></article>") == "a\nb"
+        assert main_text(f"<p>a</p><{tag}>no</{tag}><p>b</p><{tag}><p>c</p><{tag} y>no<{tag}>no</{tag}></{tag}><p>d</p>") == "a\nb\nc\nd"
+        assert main_text(f"<p>a</p><{tag}/><p>b</p></{tag}><!-- <{tag}> --><script><{tag}></script><{tag}>no</{tag}><p>c</p>") == "a\nb\nc"
+    for tag in ("script", "style", "textarea", "title"):
+        assert main_text(f"<p>a</p><{tag}><p>b</p>") == "a"
+    assert main_text("<video-player><p>a</p></video-player><p>b</p>") == "a\nb"
+
+
 def site(n=10, host="h.example"):
     body = "<div class='x{0}'><p>Welcome to our site, page by page</p></div><div><p>Own text {0}</p><p>Shared line</p></div><section><h3>Also here</h3><p>All the same</p></section>"
     return [(i, f"https://{host}/{i}", "<html><body>" + body.format(i) + "</body></html>") for i in range(n)]

@@ -8,7 +8,8 @@
    paragraph is content even if other pages have it too.
 3. Elements that are never main text by their tag or class (menus, headers, footers,
    sidebars, notices, adverts, forms, reader comments) go on any site, also one of a single
-   page.
+   page.  By its class none goes that is or has an ``article`` or ``main``, nor a heading or
+   paragraph of the article.
 4. The blocks that stay, those in ``article`` or ``main`` if the page has one, are the text.
 """
 
@@ -41,10 +42,17 @@ MAIN = frozenset(("article", "main"))
 #: Text blocks: content wherever the article has them.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead pre blockquote figcaption caption b i em strong a span br q code summary".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-#: Words in class, id or role that mark what is never main text.
+#: Paragraphs and headings: never dropped by their class in the article.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Classes, ids and roles that mark what is never main text; also several of them joined, or
+#: with words of ``PLACES``.
 MARKS = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation
     breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login share sharing
     social related recommended comment comments commentlist disqus replies pagination pager toolbar widget widgets contentinfo complementary search""".split())
+#: Words that a mark may be joined with ("sidebar-left", "site-footer", "widget-area").
+PLACES = frozenset("site page main global primary secondary top bottom area list box bar wrap wrapper container block section slot inner item items link links".split())
+#: Sides: only after a mark; before it they name a layout ("left-sidebar").
+SIDES = frozenset(("left", "right"))
 
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z) | <(?P<raw>{RAW})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))
     | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)> | <[!?/][^>]*> | </?[a-zA-Z][^>]*>""", re.S | re.I | re.X)
@@ -57,13 +65,20 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "key", "parts", "first", "main", "dropped")
+    __slots__ = ("tag", "key", "parts", "first", "main", "dropped", "marked", "holds")
 
-    def __init__(self, tag: str, key: str, first: int, main: bool, dropped: bool):
+    def __init__(self, tag: str, key: str, first: int, main: bool, dropped: bool, marked: bool = False, holds: bool = False):
         self.tag, self.key, self.first, self.main, self.dropped = tag, key, first, main, dropped
+        self.marked, self.holds = marked, holds  # by its class; it is or has an article
         self.parts: list[bytes] = []
 
 
+def is_mark(token: str) -> bool:
+    """Whether a class, id or role is a mark, alone or with other words."""
+    words = _WORD.findall(token)
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in PLACES or (i and w in SIDES) for i, w in enumerate(words))
+
+
 def skipped(page: str) -> dict[int, int]:
     """Where the ``SKIPPED`` elements of a page end, by where they start: each end tag closes
     the last open element of its name."""
@@ -88,6 +103,7 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
     blocks: list[tuple[str, bool]] = []
     hashes: set[int] = set()
     cuts: list[tuple[int, int]] = []  # blocks of template elements
+    marked: list[tuple[int, int]] = []  # blocks of elements dropped by their class
     stack = [Element("", "", 0, False, False)]
     text: list[str] = []
 
@@ -103,6 +119,9 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
         e = stack.pop()
         subtree = xxhash.xxh64_intdigest(f"{e.tag}\t{e.key}\t".encode("utf-8", "surrogatepass") + b"\0".join(e.parts)) >> 1
         stack[-1].parts.append(subtree.to_bytes(8, "little"))
+        stack[-1].holds |= e.holds
+        if e.marked and not e.holds and e.first < len(blocks):
+            marked.append((e.first, len(blocks)))
         if e.tag in ("html", "body") or e.tag in MAIN or (e.main and e.tag in PROSE):
             return
         hashes.add(subtree)
@@ -167,28 +186,38 @@ def parse(page: str, templates: frozenset[int] = frozenset()) -> tuple[list[tupl
                 text.append("" if tag == "wbr" else " ")
             continue
         marks = {a[0].lower(): a[1].strip("\"'").lower() for a in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-        words = {w for v in marks.values() for w in _WORD.findall(v)}
         up = stack[-1]
         main = up.main or tag in MAIN or marks.get("role") == "main"
-        never = tag in NEVER or (tag == "header" and not up.main) or bool(words & MARKS and tag not in ("html", "body"))
+        never = tag in NEVER or (tag == "header" and not up.main)
+        holds = (tag in MAIN or marks.get("role") == "main") and not (up.dropped or never)
+        mark = not holds and tag not in ("html", "body") and not (up.main and tag in LINES) and any(is_mark(w) for v in marks.values() for w in v.split())
         if tag in BLOCKS or not m["attrs"].endswith("/"):
-            if never and tag not in BLOCKS:
+            if (never or mark) and tag not in BLOCKS:
                 flush()
-            stack.append(Element(tag, marks.get("class", ""), len(blocks), main, up.dropped or never))
+            stack.append(Element(tag, marks.get("class", ""), len(blocks), main, up.dropped or never, mark, holds))
     if at < len(page):
         text.append(entities.unescape(page[at:]))
     leave(1)
     flush()
-    gone, at = set(), len(blocks)
-    for first, last in reversed(cuts):  # a cut lies in or before those that closed after it
-        gone.update(range(first, min(last, at)))
-        at = min(at, first)
+    off = _covered(marked, len(blocks))
+    gone = _covered(cuts, len(blocks)) - off
     article = {i for i in gone if blocks[i][1]}
-    if 2 * sum(len(blocks[i][0]) for i in article) > sum(len(line) for line, main in blocks if main):
+    if 2 * sum(len(blocks[i][0]) for i in article) > sum(len(line) for i, (line, main) in enumerate(blocks) if main and i not in off):
         gone -= article  # pages that share their article have no template there
+    gone |= off
     return [b for i, b in enumerate(blocks) if i not in gone] if gone else blocks, hashes
 
 
+def _covered(cuts: list[tuple[int, int]], at: int) -> set[int]:
+    """Blocks in ``cuts``: of elements in the order of their ends, so one lies in or before
+    those after it."""
+    out: set[int] = set()
+    for first, last in reversed(cuts):
+        out.update(range(first, min(last, at)))
+        at = min(at, first)
+    return out
+
+
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     blocks, _ = parse(page or "", templates)
     inside = any(main for _, main in blocks)

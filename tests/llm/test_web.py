@@ -37,6 +37,17 @@ def test_unclosed_elements_lose_no_text():
     assert main_text("<video-player><p>a</p></video-player><p>b</p>") == "a\nb"
 
 
+def test_classes_of_wrappers_lose_no_text():
+    for wrap in ("<div class='site-content no-sidebar'>{}</div>", "<div class='with-sidebar'>{}</div>", "<div class='left-sidebar'>{}</div>", "<div class='sidebar'>{}</div>"):
+        assert main_text(wrap.format("<article><p>text</p></article><div class='sidebar'>x</div>")) == "text"
+    assert main_text("<div class='left-sidebar'><p>text</p></div><div class='no-sidebar'>more</div>") == "text\nmore"
+    assert main_text("<article class='post comments-open'><h2 id='related'>head</h2><p class='notice-text'>text<p class='notice'>more</article>") == "head\ntext\nmore"
+    assert main_text("<div class='sidebar' role='main'><p>text</p></div><p>out</p>") == "text"
+    for name in ("ad", "x ads", "sidebar-left", "site-footer", "widget_area", "Comment-List", "ad-1", "cookie-notice", "main-nav"):
+        assert main_text(f"<article><p>a</p><div class='{name}'><div><p>no</p></div>no</div><p>b</p></article>") == "a\nb"
+        assert main_text(f"<p>a</p><div id='{name}'><div class=ad><p>no</p></div>no</div><p>b</p>") == "a\nb"
+
+
 def site(n=10, host="h.example"):
     body = "<div class='x{0}'><p>Welcome to our site, page by page</p></div><div><p>Own text {0}</p><p>Shared line</p></div><section><h3>Also here</h3><p>All the same</p></section>"
     return [(i, f"https://{host}/{i}", "<html><body>" + body.format(i) + "</body></html>") for i in range(n)]

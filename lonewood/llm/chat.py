@@ -62,16 +62,16 @@ def line_marker(line: str) -> tuple[int, str]:
     return _ROLE[next(g for g in m.groups() if g).lower()], line[m.end():]
 
 
-def observe(rows: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, list[str]]:
-    """Lines of (role, text) rows.  Columns: row, row begins, row's marker, line's marker,
-    length class, question."""
+def observe(rows: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    """Lines of (role, text) rows, whole and without their marker.  Columns: row, row begins,
+    row's marker, line's marker, length class, question."""
     out, lines = [], []
     for i, (role, text) in enumerate(rows):
         marker = role_number(role)
         for k, line in enumerate((text or "").split("\n")):
             mine, rest = line_marker(line)
             out.append((i, k == 0, marker, mine, int(np.searchsorted(LENGTHS, len(rest), "left")), rest.rstrip().endswith("?")))
-            lines.append(rest)
+            lines.append((line, rest))
     return np.array(out, np.int64).reshape(-1, 6), lines
 
 
@@ -283,6 +283,8 @@ def _decode(shared):
                     x, lines = observe([(r, t) for _, r, t in rows])
                     border = known.get(k)
                     states = model.decode(x, border["before"] if border else None, border["end"] if border else None)
+                    # a marker is one only where a turn of its role begins; elsewhere it is text
+                    lines = [rest if s == mine else line for (line, rest), s, mine in zip(lines, states.tolist(), x[:, 3].tolist(), strict=True)]
                     first = np.flatnonzero(states < N_ROLES)
                     row = x[first, 0]
                     piece = np.arange(len(first)) - np.searchsorted(row, row)

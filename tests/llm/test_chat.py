@@ -72,6 +72,16 @@ def test_markers_inside_a_text_begin_turns(spark):
     assert [(r.piece, r.role, r.n_lines) for r in sorted(out, key=lambda r: r.piece)] == [(0, "user", 1), (1, "assistant", 2), (2, "user", 1)]
 
 
+def test_markers_that_begin_no_turn_of_their_role_are_text(spark):
+    long = "it is a long answer with many words " * 5
+    rows = talk() + [(c, 0, "user", "what is it like to be there?") for c in (900, 901)]
+    rows += [(900, 1, "assistant", f"{long}\nContext: {long}"), (901, 1, "assistant", f"Question: {long}\n{long}"), (902, 0, "user", "User: what is it like to be there?")]
+    got = {(r.conv, r.turn, r.piece): r.rendered for r in chat_turns(spark.createDataFrame(rows, ROWS)).collect() if r.conv >= "900"}
+    assert got["900", 1, 0] == f"<|assistant|>\n{long}\nContext: {long.strip()}\n<|end|>\n"
+    assert got["901", 1, 0] == f"<|assistant|>\nQuestion: {long}\n{long.strip()}\n<|end|>\n"
+    assert got["902", 0, 0] == "<|user|>\nwhat is it like to be there?\n<|end|>\n"
+
+
 def test_conversations_over_many_blocks(spark):
     rows = [(1 if c < 30 else c, 100 * c + t, r if (c + t) % 3 else None, x) for c, t, r, x in talk()]
     df = spark.createDataFrame(rows, ROWS)

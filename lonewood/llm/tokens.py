@@ -4,7 +4,8 @@ A byte-pair tokenizer cuts a text into pieces by a fixed pattern and encodes eac
 itself.  ``Encoder`` cuts with the same pattern, encodes every distinct piece once with the
 tokenizers library and looks the others up, which gives the same ids in a fraction of the
 time.  Its pattern covers texts of ASCII and Latin letters (up to U+017F); any other text
-goes to the library whole.  The cache is bounded, so memory does not grow with the text.
+goes to the library whole, and so does a text with the string of an added token, which the
+library finds before it cuts.  The cache is bounded, so memory does not grow with the text.
 """
 
 from __future__ import annotations
@@ -49,12 +50,17 @@ class _Numbers(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, cache: int = CACHE):
+    """``special``: strings of special tokens in a text become their ids, as the library does
+    by default; otherwise they are ordinary text."""
+
+    def __init__(self, path: str, cache: int = CACHE, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.lower = self.tokenizer.normalizer is not None
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content} if special else ()
+        self.added = sorted({t.lower() if self.lower else t for t in added})
         self.find = re.compile(_PATTERNS["words" if self.lower else "spaces"]).findall
         self.limit = cache
         self.known = _Numbers()
@@ -121,9 +127,14 @@ class Encoder:
             lo = hi
         return np.concatenate(all_ids), np.concatenate(all_counts)
 
+    def _has_added(self, text: str) -> bool:
+        """Whether an added token's string is in the text, in any case if the library lowers it."""
+        text = text.lower() if self.lower and self.added else text
+        return any(t in text for t in self.added)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [_PLAIN.fullmatch(t) is not None and not self._has_added(t) for t in texts]
         if all(plain):
             return self._cached(texts)
         ids, counts = self._cached([t for t, p in zip(texts, plain, strict=True) if p])
@@ -143,5 +154,5 @@ def encoder(path: str) -> Encoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special=True)
     return _ENCODERS[path]

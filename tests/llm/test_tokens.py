@@ -36,6 +36,21 @@ def test_ids_equal_the_library(name, texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library(name, texts)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_ids_equal_the_library_unchanged(spark, make_docs, name):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    texts = TRICKY + [f"{a}{t.content.upper() if k else t.content}{a}b c" for t in plain.get_added_tokens_decoder().values() for a in ("", " ", "a", "é", "日 ") for k in (0, 1)]
+    texts += ["a <|endoftext|> b", "<|endoftext|", "endoftext <| endoftext |>", "a <|endoftext|><|endoftext|>\n", "some words"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = Encoder(path, cache=50, special=True).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    packed = pack_documents(make_docs(texts), path, keep=["doc_id"], ids=True).collect()
+    assert {r.doc_id: r.ids[:-1] for r in packed} == dict(enumerate(want))
+    stored = read_tokens(write_tokens(make_docs(texts), path), ids=True).collect()
+    assert {r.doc_id: r.ids[:-1] for r in stored} == dict(enumerate(want))
+
+
 def slow_best_fit(lengths, limit):
     gaps = []
     for n in sorted(lengths, reverse=True):

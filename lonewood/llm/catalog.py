@@ -3,14 +3,16 @@ its whole table.  Their SQL twins are in ``catalog_sql``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog_sql import ORACLE as ORACLE
 from .chat import chat_turns
-from .common import table
+from .common import let, table
+from .fim import fill_in_middle, restored
 from .html import extract_text
 from .packing import pack_documents
+from .periodic import periodic_runs
 from .postings import decontaminate
 from .quality import quality_rules
 from .simhash import simhash_groups
@@ -75,7 +77,42 @@ def op9_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size("toxicity.offending").alias("n_offending"))
 
 
+def with_periodic_tail(text: Column, doc_id: Column) -> Column:
+    """The contract's texts: in a tenth of the documents the words from a place on repeat."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+
+    def tail(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, place(i).cast("int"))), " ")
+
+    return F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(""))).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", with_periodic_tail(F.col("text"), F.col("doc_id")).alias("text"))
+    r = periodic_runs(d, keep=["doc_id"]).select("doc_id", "periodic.*")
+    top = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    return (r.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "fim.*")
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "op1_chat_viterbi": op1_chat_viterbi,
     "op9_noisy_or_toxicity": op9_noisy_or_toxicity,
     "op3_template_removal": op3_template_removal,

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import new_path, ship_package
 
@@ -60,6 +62,25 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def with_struct(docs: DataFrame, keep: list[str] | None, name: str, kind: T.StructType, inputs: list[Column], body: Callable[..., pa.Array]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) and a struct ``name`` of type ``kind``,
+    which ``body`` makes from Arrow arrays of ``inputs``, batch by batch."""
+    keep = docs.columns if keep is None else keep
+    if name in keep:
+        raise ValueError(f"the input has a column named {name}")
+    ready(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, kind)])
+    schema = to_arrow_schema(out)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [b.column(0).field(c).cast(schema.field(c).type) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, body(*b.columns[1:])], schema=schema)
+
+    return docs.select(row.alias("row"), *[c.alias(f"in{i}") for i, c in enumerate(inputs)]).mapInArrow(tidy(run), out)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow column without copying each value;
     nulls count as empty."""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import give_back, ready, utf8
+from .common import utf8, with_struct
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM = 90  # of 100: the rest of the documents stays plain
@@ -156,31 +156,23 @@ def fill_in_middle(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     markers is plain.  The draws depend on the id alone: repeated rows have equal results, and
     a null id draws as "".  A very long text is held whole, its chunks beside it.  Other
     columns may have any name but ``fim``.  An empty table gives an empty result."""
-    ready(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    if "fim" in keep:
-        raise ValueError("the input has a column named fim")
     kind = to_arrow_type(FIM)
     held = {}
 
-    @F.arrow_udf(FIM)
-    def fim(texts: pa.Array, ids: pa.Array) -> pa.Array:
+    def body(texts: pa.Array, ids: pa.Array) -> pa.Array:
         summary = held.setdefault("summary", Summaries())
         raw, offs = utf8(texts)
         ends = chunk_ends(raw)
         data, rows = raw.tobytes(), []
         cuts = np.searchsorted(ends, np.stack([offs[:-1] + WINDOW, np.maximum(offs[1:], offs[:-1] + WINDOW)]))
         for key, lo, hi, a, b in zip(ids.to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), *cuts.tolist(), strict=True):
-            body = data[lo:hi]
-            units = Units(pieces(body, (ends[a:b] - lo).tolist()), summary)
-            rows.append((units.n, *rearranged(body, units, draws(key or "", seed))))
+            one = data[lo:hi]
+            units = Units(pieces(one, (ends[a:b] - lo).tolist()), summary)
+            rows.append((units.n, *rearranged(one, units, draws(key or "", seed))))
         columns = zip(*rows, strict=True) if rows else [[]] * len(kind)
-        out = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-        del raw, data, rows
-        give_back()
-        return out
+        return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], fim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`").cast("string")).alias("fim"))
+    return with_struct(docs, keep, "fim", FIM, [F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`").cast("string")], body)
 
 
 def restored(output: Column, form: Column) -> Column:

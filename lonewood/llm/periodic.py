@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import give_back, ranges, ready, utf8
+from .common import ranges, utf8, with_struct
 
 MIN_LENGTH = 12
 SHORT = 8  # lags below are compared directly
@@ -175,14 +175,9 @@ def periodic_runs(docs: DataFrame, text: str = "text", keep: list[str] | None =
     held whole, as numbers of its words; two runs may share words, and equal starts are ordered by
     period.  Other columns may have any name but ``periodic``.  An empty table gives an empty
     result."""
-    ready(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    if "periodic" in keep:
-        raise ValueError("the input has a column named periodic")
     kind = to_arrow_type(PERIODIC)
 
-    @F.arrow_udf(PERIODIC)
-    def periodic(texts: pa.Array) -> pa.Array:
+    def body(texts: pa.Array) -> pa.Array:
         raw, offs = utf8(texts)
         data, n_words, counts, flat, short = raw.tobytes(), [], [0], [], []
         for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
@@ -196,9 +191,6 @@ def periodic_runs(docs: DataFrame, text: str = "text", keep: list[str] | None =
         element = kind.field("runs").type.value_type
         structs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(3)], fields=list(element))
         lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), structs, type=kind.field("runs").type)
-        out = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), lists, pa.array(short, pa.string())], fields=list(kind))
-        del raw, data, short
-        give_back()
-        return out
+        return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), lists, pa.array(short, pa.string())], fields=list(kind))
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], periodic(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("periodic"))
+    return with_struct(docs, keep, "periodic", PERIODIC, [F.coalesce(F.col(f"`{text}`"), F.lit(""))], body)

@@ -11,6 +11,7 @@ from .chat import chat_turns
 from .common import let, table
 from .fim import fill_in_middle, restored
 from .html import extract_text
+from .minhash import minhash_groups
 from .packing import pack_documents
 from .periodic import periodic_runs
 from .postings import decontaminate
@@ -104,6 +105,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def op12_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = minhash_groups(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select("doc_id", "minhash.n_shingles", "minhash.component_id", (F.col("doc_id") == F.col("minhash.component_id")).alias("kept"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "fim.*")
     return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -112,6 +118,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_minhash_components": op12_minhash_components,
     "op13_fill_in_middle": op13_fill_in_middle,
     "op1_chat_viterbi": op1_chat_viterbi,
     "op9_noisy_or_toxicity": op9_noisy_or_toxicity,

@@ -70,6 +70,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m
 """
 
+OP12 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM d),
+c AS MATERIALIZED (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT id, n, unnest(s) AS x FROM c),
+i AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * k >= 80 * (na + nb - k)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id, id AS root FROM c UNION SELECT u.b, r.root FROM r JOIN u ON r.id = u.a WHERE r.root < u.b),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, coalesce(m.root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON m.id = c.id
+"""
+
 OP13 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
 u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || x[k:k + 7] AS BIGINT)) AS h FROM d),
@@ -83,4 +97,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
 FROM s
 """
 
-ORACLE: dict[str, str] = {"op2_postings_decontamination": OP2, "op5_warc_roundtrip": OP5, "op7_quality_divergence": OP7, "op13_fill_in_middle": OP13}
+ORACLE: dict[str, str] = {"op2_postings_decontamination": OP2, "op5_warc_roundtrip": OP5, "op7_quality_divergence": OP7, "op12_minhash_components": OP12, "op13_fill_in_middle": OP13}

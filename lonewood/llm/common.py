@@ -33,6 +33,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, rows: int = 1000, heavy: int = 4096) -> DataFrame:
+    """Inner join of ``many`` (any number of rows of a key) with ``one`` (few of a key) in which
+    no key is one task's: a key with over ``rows`` rows is dealt out by a hash of the column
+    ``by``, and its rows of ``one`` go to each part.
+
+    Keys to deal out are those above ``rows`` or the share 1 / ``heavy`` of all rows, so there are
+    ``heavy`` at most, and only they are broadcast.  ``many`` is read twice and should be a
+    written table."""
+    total = many.count()
+    limit = max(rows, total // heavy)
+    if total <= limit:
+        return many.join(one, key)
+    parts = many.groupBy(key).agg(F.ceil(F.count("*") / limit).cast("int").alias("__parts")).where("__parts > 1")
+    parts = F.broadcast(staged(parts, "heavy"))
+    dealt = many.join(parts, key, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), "__parts")).cast("int"))
+    copies = one.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    return dealt.drop("__parts").join(copies.drop("__parts"), [key, "__part"]).drop("__part")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -11,18 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread_join, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """large: every neighbour above u points to the least of u and its neighbours.
-    small: u and its neighbours below point to the least of them."""
+    small: u and its neighbours below point to the least of them.
+    The neighbours of one node may be in many tasks."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    joined = spread_join(both, least, "a", "b")
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = staged(edges.select("a", "b").where("a <> b").distinct(), "components")
     seen = None
     while True:
-        now = staged(_star(_star(now, True), False), "components")
+        now = staged(_star(staged(_star(now, True), "components"), False), "components")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -11,9 +11,10 @@
 3. Candidates whose signatures agree too little are discarded, the others are confirmed on
    their whole sets.
 4. Confirmed links give components (alternating large-star and small-star).  What the hubs
-   did not settle is settled now: in values with several components each set outside the
-   value's largest one is compared with all sets of the other components, first by signature,
-   then on the whole sets.  Pairs in one component need no test.
+   did not settle is settled now: components that share a large value are a family, and each
+   set outside its family's largest component is compared with all sets of the family, on the
+   whole sets, in packs; only links that connect components are written.  Pairs in one
+   component need no test.
 
 A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS, 4e-9 at 0.8.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import new_path
-from .common import ready, shuffle_partitions, spread_join, staged, tidy, utf8
+from .common import ranges, ready, shuffle_partitions, spread_join, staged, tidy, utf8
 from .components import connected_components
 from .files import NewFile, pack_rows, read_file, unpack_table
 
@@ -42,12 +43,15 @@ BANDS = 64
 ROWS = 6
 SMALL = 6
 PIECE = 1024
+PACK = 512  # sets compared with as many others at once
+OFTEN = 64
 BLOCK_BYTES = 8 << 20
 WORDS = 1 << 20  # hashes of words a task remembers
 SEED = 12
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _COLUMNS = 128  # shingles hashed together
+_SLICE = 4096  # columns of a matrix
 
 
 class WordHashes(dict):
@@ -346,10 +350,35 @@ def _rest(floor: int):
     return run
 
 
+def whole_sets(keys: DataFrame, distinct: DataFrame, folder: str, shingle: int) -> DataFrame:
+    """(key, shingles) of the distinct ``keys``, from the first document of each in its block."""
+    wanted = keys.join(distinct.select("key", "least"), "key")
+    by_block = wanted.groupBy(F.col("least.block").alias("block")).agg(F.collect_list(F.struct(F.col("least.place").alias("place"), "key")).alias("wanted"))
+
+    def sets_of(batches) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, offs = utf8(unpack_table(read_file(block_path(folder, block))).column("text"))
+                for lo in range(0, len(rows), 256):
+                    some = rows[lo:lo + 256]
+                    sets = [shingle_set(data[offs[r["place"]]:offs[r["place"] + 1]].tobytes(), hashes, shingle).tobytes() for r in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in some], pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+
+    return by_block.repartition(shuffle_partitions(keys.sparkSession)).mapInArrow(tidy(sets_of), "key binary, shingles binary")
+
+
+def links_of(links: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Links between keys (a written table) as links between their first documents."""
+    least = distinct.select("key", "least")
+    links = spread_join(links, least.select(F.col("key").alias("a"), F.col("least").alias("p")), "a", "b")
+    links = links.join(least.select(F.col("key").alias("b"), F.col("least").alias("q")), "b")
+    return staged(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "minhash")
+
+
 def confirmed(pairs: DataFrame, distinct: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
     """Links (a, b: first documents) of the candidate pairs (a, b: keys; a written table) that
     are as similar as they must be: by their signatures, then on their whole sets."""
-    spark = pairs.sparkSession
     floor = floor_of(percent, BANDS * ROWS)
     signature = distinct.select(F.col("key").alias("a"), F.col("signature").alias("x"))
     near = spread_join(pairs, signature, "a", "b")
@@ -363,20 +392,7 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, folder: str, shingle: int,
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
     near = staged(near.select("a", "b", "x", "y").mapInArrow(tidy(close), _PAIRS), "minhash")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct.select("key", "least"), "key")
-    by_block = wanted.groupBy(F.col("least.block").alias("block")).agg(F.collect_list(F.struct(F.col("least.place").alias("place"), "key")).alias("wanted"))
-
-    def sets_of(batches) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, offs = utf8(unpack_table(read_file(block_path(folder, block))).column("text"))
-                for lo in range(0, len(rows), 256):
-                    some = rows[lo:lo + 256]
-                    sets = [shingle_set(data[offs[r["place"]]:offs[r["place"] + 1]].tobytes(), hashes, shingle).tobytes() for r in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in some], pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
-
-    sets = staged(by_block.repartition(shuffle_partitions(spark)).mapInArrow(tidy(sets_of), "key binary, shingles binary"), "minhash")
+    sets = staged(whole_sets(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), distinct, folder, shingle), "minhash")
     both = spread_join(near, sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a", "b")
     both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -386,31 +402,104 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, folder: str, shingle: int,
             hit = [similar(p, q, percent) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    links = staged(both.select("a", "b", "x", "y").mapInArrow(tidy(check), _PAIRS), "minhash")
-    least = distinct.select("key", "least")
-    links = spread_join(links, least.select(F.col("key").alias("a"), F.col("least").alias("p")), "a", "b")
-    links = links.join(least.select(F.col("key").alias("b"), F.col("least").alias("q")), "b")
-    return staged(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "minhash")
+    return links_of(staged(both.select("a", "b", "x", "y").mapInArrow(tidy(check), _PAIRS), "minhash"), distinct)
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``: shingles that
+    many of both have by matrix products, the others one by one."""
+    ex, ey = np.concatenate(x), np.concatenate(y)
+    every = np.unique(ex)
+    at = np.searchsorted(every, ey)
+    known = at < len(every)
+    known[known] = every[at[known]] == ey[known]
+    ex, rx = np.searchsorted(every, ex), np.repeat(np.arange(len(x)), [len(v) for v in x])
+    ey, ry = at[known], np.repeat(np.arange(len(y)), [len(v) for v in y])[known]
+    dx, dy = np.bincount(ex, minlength=len(every)), np.bincount(ey, minlength=len(every))
+    out = np.zeros((len(x), len(y)), np.int64)
+    often = dx * dy > OFTEN
+    number = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), _SLICE):
+        sides = []
+        for e, r, n in ((ex, rx, len(x)), (ey, ry, len(y))):
+            use = often[e] & (number[e] >= lo) & (number[e] < lo + _SLICE)
+            m = np.zeros((n, _SLICE), np.float32)
+            m[r[use], number[e[use]] - lo] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    rare = ~often[ex]
+    ex, rx = ex[rare], rx[rare]
+    order = np.argsort(ey, kind="stable")
+    first = np.searchsorted(ey[order], np.arange(len(every)))
+    counts = dy[ex]
+    other = ry[order][ranges(first[ex], counts)]
+    out += np.bincount(np.repeat(rx, counts) * len(y) + other, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _rest(percent: int):
+    """Over rows of two lists of sets: links between sets of different components, as many as
+    connect all that they connect."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = row["outside"], row["inside"]
+                sets = [[np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (x, y)]
+                common = common_counts(*sets)
+                size = np.add.outer(*[[len(v) for v in side] for side in sets])
+                roots = [np.array([m["root"] for m in side]) for side in (x, y)]
+                hit = (100 * common >= percent * (size - common)) & (roots[0][:, None] != roots[1][None])
+                parent: dict[int, int] = {}
+
+                def find(r: int) -> int:
+                    while parent.get(r, r) != r:
+                        r = parent[r]
+                    return r
+
+                a, b = [], []
+                for i, j in zip(*(v.tolist() for v in np.nonzero(hit)), strict=True):
+                    p, q = find(int(roots[0][i])), find(int(roots[1][j]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        a.append(x[i]["key"])
+                        b.append(y[j]["key"])
+                yield _ordered(a, b)
+
+    return run
+
 
+def unsettled_links(members: DataFrame, distinct: DataFrame, roots: DataFrame, folder: str, shingle: int, percent: int, pack: int) -> DataFrame | None:
+    """Links (a, b: keys) that connect all linked sets of different components with a large
+    value in common; None if no such value has several components.
 
-def _unsettled(members: DataFrame, distinct: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share a large value."""
-    of_key = distinct.join(roots, distinct["least"] == roots["node"], "left").select("key", "signature", F.xxhash64(F.coalesce("root", "least")).alias("root"))
-    rooted = staged(members.join(of_key.drop("signature"), "key"), "minhash")
-    counts = rooted.groupBy("value", "root").agg(F.count("*").alias("n"))
+    Components that meet in a value are a family.  Each set outside its family's largest
+    component is compared with all sets of the family, pack by pack."""
+    of_key = distinct.join(roots, distinct["least"] == roots["node"], "left").select("key", F.xxhash64(F.coalesce("root", "least")).alias("root"))
+    rooted = staged(members.join(of_key, "key"), "minhash")
+    counts = staged(rooted.groupBy("value", "root").agg(F.count("*").alias("n")), "minhash")
     largest = counts.groupBy("value").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("components")).where("components > 1")
-    largest = largest.select("value", F.col("most.root").alias("largest"))
-    open_ = staged(spread_join(rooted, largest, "value", "key").join(of_key.select("key", "signature"), "key"), "minhash")
-    one = F.struct("key", "root", "signature")
-    packs = open_.groupBy("value", "piece").agg(F.collect_list(one).alias("inside"), F.collect_list(F.when(F.col("root") != F.col("largest"), one)).alias("outside"))
-    packs = staged(packs, "minhash")  # as many rows as a piece, at most, in each list
-    outside = packs.where(F.size("outside") > 0).select("value", "outside")
-    sides = spread_join(packs.select("value", "piece", "inside"), outside, "value", "piece", rows=4)
-    return sides.select("outside", "inside").mapInArrow(tidy(_rest(floor_of(percent, BANDS * ROWS))), _PAIRS)
+    meet = spread_join(counts, largest.select("value", F.col("most.root").alias("b")), "value", "root").select(F.col("root").alias("a"), "b")
+    meet = staged(meet.where("a <> b").distinct(), "minhash")
+    if meet.isEmpty():
+        return None
+    above = connected_components(meet)
+    family = staged(above.union(above.select("root", "root").distinct()).toDF("root", "family"), "minhash")
+    in_family = staged(spread_join(staged(rooted.select("key", "root").distinct(), "minhash"), family, "root", "key"), "minhash")
+    sizes = in_family.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family")
+    sizes = sizes.agg(F.max(F.struct("n", "root")).alias("most"), F.ceil(F.sum("n") / pack).alias("packs"))
+    dealt = spread_join(in_family, sizes.select("family", F.col("most.root").alias("largest"), "packs"), "family", "key")
+    dealt = dealt.select("key", "family", "root", "largest", F.pmod(F.xxhash64("key"), "packs").alias("pack"))
+    one = F.struct("key", "root", "shingles")
+    packs = dealt.join(whole_sets(in_family.select("key"), distinct, folder, shingle), "key").groupBy("family", "pack")
+    packs = staged(packs.agg(F.collect_list(one).alias("inside"), F.collect_list(F.when(F.col("root") != F.col("largest"), one)).alias("outside")), "minhash")
+    outside = packs.where(F.size("outside") > 0).select("family", "outside")
+    sides = spread_join(packs.select("family", "pack", "inside"), outside, "family", "pack", rows=4)
+    return staged(sides.select("outside", "inside").mapInArrow(tidy(_rest(percent)), _PAIRS).distinct(), "minhash")
 
 
 def minhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT,
-                   keep: list[str] | None = None, small: int = SMALL, piece_rows: int = PIECE) -> DataFrame:
+                   keep: list[str] | None = None, small: int = SMALL, piece_rows: int = PIECE, pack: int = PACK) -> DataFrame:
     """The columns ``keep`` of ``docs`` (default: all) and a struct ``minhash``: n_shingles,
     component_id (least doc_id of the component) and first (true for one row of each
     component, of least doc_id).  Documents are linked if their sets of word shingles have at
@@ -443,10 +532,9 @@ def minhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     tested = staged(ordered.union(near).distinct(), "minhash")
     links = confirmed(tested, distinct, folder, shingle, percent)
     roots = staged(connected_components(links), "minhash")
-    more = staged(_unsettled(members, distinct, roots, percent).distinct().join(tested, ["a", "b"], "left_anti"), "minhash")
-    if not more.isEmpty():
-        links = links.union(confirmed(more, distinct, folder, shingle, percent))
-        roots = staged(connected_components(links), "minhash")
+    more = unsettled_links(members, distinct, roots, folder, shingle, percent, pack)
+    if more is not None and not more.isEmpty():
+        roots = staged(connected_components(links.union(links_of(more, distinct))), "minhash")
     component = distinct.join(roots, distinct["least"] == roots["node"], "left").select("key", F.coalesce("root", "least").alias("c"))
     found = sets.select("block", "key").join(component, "key", "left")
     by_block = found.groupBy("block").agg(F.collect_list(F.struct("key", F.col("c.id").alias("id"), F.col("c.block").alias("at"), "c.place")).alias("components"))

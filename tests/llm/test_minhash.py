@@ -50,11 +50,11 @@ def check(got, rows, **options):
     assert {i: sorted(v, key=repr) for i, v in have.items()} == {i: sorted(v, key=repr) for i, v in want.items()}
 
 
-@pytest.mark.parametrize("small, piece", [(6, 1024), (2, 8)])
-def test_groups_by_brute_force(make_docs, small, piece):
-    texts = [t for s in range(6) for t in family(3, s)] + ODD + family(40, 77) + family(2, 8) + ["A  b", "a B", "a b a", "one", "ONE"]
+@pytest.mark.parametrize("small, piece, pack", [(6, 1024, 512), (2, 8, 5)])
+def test_groups_by_brute_force(make_docs, small, piece, pack):
+    texts = [t for s in range(6) for t in family(3, s)] + ODD + family(40, 77) + family(30, 78, words=120, edits=7) + family(2, 8) + ["A  b", "a B", "a b a", "one", "ONE"]
     rows = list(enumerate(texts))[::-1]
-    got = minhash_groups(make_docs(rows).repartition(4), small=small, piece_rows=piece).collect()
+    got = minhash_groups(make_docs(rows).repartition(4), small=small, piece_rows=piece, pack=pack).collect()
     check(got, rows)
     classes = {(r.minhash.component_id, r.minhash.n_shingles > 0) for r in got}
     assert sum(r.minhash.first for r in got) == len(classes) and all(r.doc_id == r.minhash.component_id for r in got if r.minhash.first)
@@ -97,6 +97,15 @@ def test_sets_and_signatures():
     assert 0.67 * 384 < floor_of(80, 384) < 0.69 * 384
 
 
+def test_intersections_by_brute_force(monkeypatch):
+    rng = np.random.default_rng(4)
+    for often, columns in ((64, 4096), (0, 16), (3, 7)):
+        monkeypatch.setattr(minhash, "OFTEN", often)
+        monkeypatch.setattr(minhash, "_SLICE", columns)
+        x, y = ([np.unique(rng.integers(0, 60, int(rng.integers(1, 50))).astype(np.uint64)) for _ in range(n)] for n in (9, 14))
+        assert minhash.common_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_words_remembered_are_bounded(monkeypatch):
     monkeypatch.setattr(minhash, "WORDS", 3)
     h = WordHashes()

@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.draws import c_factor_py
 from ..session import new_path, shared_dir, ship_package
+from ..sources import versions
 from ..sources.points import FeatureSpec, apply_na, canonical, resolve_features
 from . import scoring as S
 from .growth import NODES_SCHEMA, grow_by_levels, grow_partition_fn
@@ -36,8 +37,8 @@ FORMAT_VERSION = 1
 # bytes per broadcast block: every Python worker of an executor deserialises its own
 # copy, so a block stays small (8 workers x 64 MB)
 MAX_BLOCK_BYTES = 64 << 20
-# rows of candidates or samples for one task of training
-ROWS_PER_TASK = 32_768
+# of the candidates or samples of one task of training; above about 10 MB tasks are no faster
+TASK_BYTES = 16 << 20
 
 META_SCHEMA = T.StructType([
     T.StructField("group", T.IntegerType(), False),
@@ -292,17 +293,31 @@ def assign_groups(pts: DataFrame, groups: int, assign: str, seed: int):
     return pts, counts, bounds
 
 
-def sample_partitions(trees: int, psi: int) -> int:
-    """Tasks for the samples of all trees: by their rows, and a tree each at most."""
-    return max(1, min(trees, math.ceil(trees * psi / ROWS_PER_TASK)))
+def rows_per_task(d: int) -> int:
+    """Rows of id, tree and ``d`` features for one task of training."""
+    return max(1024, TASK_BYTES // (8 * (d + 2)))
+
+
+def sample_partitions(spark: SparkSession, trees: int, psi: int, d: int) -> int:
+    """Tasks for the samples of all trees: at least as many as run side by side, more if the
+    rows ask for it, and a tree each at most."""
+    slots = spark.sparkContext.defaultParallelism
+    return max(1, min(trees, max(slots, math.ceil(trees * psi / rows_per_task(d)))))
 
 
 def sample_trees(pts: DataFrame, pops: list[Population], psi: int, seed: int, margin: float,
-                 pop_col: str | None, n_parts: int) -> DataFrame:
-    cands = candidates(pts, pops, psi, seed, margin, pop_col, ROWS_PER_TASK)
+                 pop_col: str | None, n_parts: int, d: int) -> DataFrame:
+    cands = candidates(pts, pops, psi, seed, margin, pop_col, rows_per_task(d), min(n_parts, pts.sparkSession.sparkContext.defaultParallelism))
     return trim_to_psi(cands, psi, seed, n_parts)
 
 
+def grow_samples(sample: DataFrame, d: int, limit: int, seed: int, n_trees: int, n_parts: int) -> DataFrame:
+    """Trees from samples (``_tree``, ``_id``, features): a task grows whole trees."""
+    grower = grow_partition_fn(d, limit, seed, n_trees, to_arrow_schema(NODES_SCHEMA))
+    cols = ["_tree", "_id"] + [f"_x{i}" for i in range(d)]
+    return sample.select(*cols).repartition(n_parts, "_tree").mapInArrow(grower, NODES_SCHEMA)
+
+
 def tree_samples(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
                  n_trees: int = 100, psi: int = 256, seed: int = 0, groups: int = 1, assign: str = "all",
                  na: str = "drop", margin: float = 8.0, dim: int | None = None, with_features: bool = False) -> DataFrame:
@@ -310,8 +325,8 @@ def tree_samples(df: DataFrame, features=None, feature_col: str | None = None, i
     features as an array ``x``."""
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
     pops, pop_col, pts, _counts, _bounds = _populations(pts, n_trees, psi, seed, groups, assign)
-    n_parts = sample_partitions(groups * n_trees, psi)
-    s = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts)
+    n_parts = sample_partitions(df.sparkSession, groups * n_trees, psi, spec.d)
+    s = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts, spec.d)
     return s.select((F.col("_tree") / F.lit(n_trees)).cast("int").alias("group"),
                     F.col("_tree").cast("int").alias("tree"), F.col("_id").alias("id"),
                     *([F.array(*[F.col(f"_x{i}") for i in range(spec.d)]).alias("x")] if with_features else []))
@@ -370,13 +385,13 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
             raise ValueError(f"id {dup[0]['_id']} occurs more than once: the id column must be unique")
     pops, pop_col, pts, counts, bounds = _populations(pts, n_trees, psi, seed, groups, assign)
     total = groups * n_trees
-    n_parts = sample_partitions(total, psi)
+    n_parts = sample_partitions(spark, total, psi, spec.d)
     path = path or new_path(spark, "models")
     grower = grow_partition_fn(spec.d, limit, seed, n_trees, to_arrow_schema(NODES_SCHEMA))
     cols = ["_tree", "_id"] + [f"_x{i}" for i in range(spec.d)]
     for attempt in range(4):
         # the sample stays hash-partitioned by tree: each task grows whole trees
-        sample = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts).select(*cols)
+        sample = sample_trees(pts, pops, psi, seed, margin, pop_col, n_parts, spec.d).select(*cols)
         if growth == "levels":
             nodes = grow_by_levels(sample, spec.d, limit, seed, n_trees)
         else:
@@ -399,6 +414,8 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
 
 
 def load_model(spark: SparkSession, path: str) -> ForestModel:
+    """The model saved at ``path``: its last version if it has versions."""
+    path = versions.resolve(spark, path)
     meta = spark.read.parquet(f"{path}/meta").orderBy("group").collect()
     if not meta:
         raise ValueError(f"no model meta under {path}")

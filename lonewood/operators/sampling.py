@@ -133,7 +133,7 @@ def _hop_fn(pops: list[Population], psi: int, seed: int, margin: float, pop_idx:
 
 
 def candidates(points: DataFrame, pops: list[Population], psi: int, seed: int, margin: float,
-               pop_col: str | None = None, rows_per_task: int = 32_768) -> DataFrame:
+               pop_col: str | None = None, rows_per_task: int = 32_768, least_tasks: int = 1) -> DataFrame:
     """Rows of ``points`` exploded to (tree, row) candidate pairs; adds ``_tree``.
 
     The first hop of every row is one JVM expression (codegen, pushed next to the scan):
@@ -154,7 +154,7 @@ def candidates(points: DataFrame, pops: list[Population], psi: int, seed: int, m
     # survivors (about min(N, TT * psi') rows, TT * psi' hops) go round-robin over tasks by
     # their expected number -- not by id, so even a (forbidden) hot duplicate id cannot pile up
     hops = sum(pp.trees * pp.p(psi, margin) * pp.n for pp in pops)
-    survivors = survivors.repartition(max(1, math.ceil(hops / rows_per_task)))
+    survivors = survivors.repartition(max(1, least_tasks, math.ceil(hops / rows_per_task)))
     keep = [f for f in points.schema.fields]
     out_schema = T.StructType(keep + [T.StructField("_tree", T.LongType(), False)])
     pop_idx = survivors.columns.index(pop_col) if pop_col else None

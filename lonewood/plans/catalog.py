@@ -569,6 +569,49 @@ def q_stream_score_events(spark, sf):
     return _score_out(s.select(F.col(EVT.id_col).cast("bigint").alias("id"), "path_mean", "score"))
 
 
+M_EVT_F = Spec(EVT, 40, 128, 23)  # a forest that follows the events as they come
+
+
+def _bottom_points(spark, sf, spec: Spec) -> DataFrame:
+    from ..operators.forest import prepare
+
+    return prepare(spec.scen.df(spark, sf), spec.scen.names(), None, spec.scen.id_col)[1]
+
+
+def q_merged_samples(spark, sf):
+    """Samples of five parts of orders, merged in two steps: the sample of all orders."""
+    from ..operators.sketch import bottom_samples, level_for, merged
+
+    s = M_ORD
+    points = _bottom_points(spark, sf, s)
+    level = level_for(points.count(), s.psi)
+    part = [bottom_samples(points.where(F.pmod(F.col("_id"), F.lit(5)) == k), s.n_trees, s.psi, s.seed, level) for k in range(5)]
+    every = merged([merged(part[:2], s.psi), merged(part[2:], s.psi)], s.psi)
+    return every.select(F.col("_tree").alias("tree"), F.col("_id").alias("id"))
+
+
+def _follow_events(spark, sf):
+    from ..streaming.refit import Refit, refit_stream
+    from ..streaming.scoring import replay_as_stream
+
+    s = M_EVT_F
+    refit = Refit(new_path(spark, "followed"), tuple(s.scen.names()), None, s.scen.id_col, s.n_trees, s.psi, None, s.seed)
+    refit_stream(replay_as_stream(spark, s.scen.df(spark, sf), n_files=4), refit).awaitTermination()
+    return refit.model(spark)
+
+
+def q_stream_refit_events(spark, sf):
+    """Trees of the last version, after the events came in four micro-batches."""
+    return _nodes_out(_follow_events(spark, sf).nodes)
+
+
+def q_stream_refit_scores(spark, sf):
+    """All events scored with the last version."""
+    s = M_EVT_F
+    out = _follow_events(spark, sf).score(s.scen.df(spark, sf))
+    return _score_out(out.select(F.col(s.scen.id_col).cast("bigint").alias("id"), "path_mean", "score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_points_scan": q_csv_points_scan,
     "text_points_parse": q_text_points_parse,
@@ -608,6 +651,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist_scores_fd_rule": q_hist_scores_fd_rule,
     "hist_point_tree_scores": q_hist_point_tree_scores,
     "stream_score_events": q_stream_score_events,
+    "merged_samples": q_merged_samples,
+    "stream_refit_events": q_stream_refit_events,
+    "stream_refit_scores": q_stream_refit_scores,
     "fit_score_save": q_fit_score_save,
     "c_factor": q_c_factor,
     "node_at_path": q_node_at_path,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from ..functions.draws import c_factor_py, c_factor_sql, sql_str, u_sql
 from ..functions.paths import branch_numbers_sql, branch_string_sql, node_at_path_sql
-from .catalog import (CUST, FD_BINS, LINE_KEYS, LINE_NEW, M_CUST, M_EMB, M_EVT, M_LINE, M_ORD, M_ORD_B, M_ORD_C, M_ORD_CC, M_ORD_K,
+from .catalog import (CUST, FD_BINS, LINE_KEYS, LINE_NEW, M_CUST, M_EMB, M_EVT, M_EVT_F, M_LINE, M_ORD, M_ORD_B, M_ORD_C, M_ORD_CC, M_ORD_K,
                       M_ORD_R, M_PART, ORD, RK, R, Spec)
-from .oracle import with_sql
+from .oracle import BottomSQL, with_sql
 
 
 def rr(e: str, n: int = R) -> str:
@@ -17,6 +17,10 @@ def nodes_sql(spec: Spec, final: str, p: str = "f") -> str:
     return with_sql(spec.sql(p).growth_ctes(), final)
 
 
+def _bottom(spec: Spec) -> BottomSQL:
+    return BottomSQL(spec.scen.psql(), spec.n_trees, spec.psi, spec.seed)
+
+
 def _scores_ctes(spec: Spec, combine: str = "forest", p: str = "f", data=None):
     """CTEs ending in ``{p}_sc`` (id, path_mean, score) for the rows of ``data``."""
     fs = spec.sql(p)
@@ -238,6 +242,10 @@ ORACLE: dict[str, str] = {
         f"SELECT t.id, r.bin, CAST(coalesce(pc.count, 0) AS BIGINT) AS count, {rr('coalesce(pc.count, 0) / (t.total * (1.0 / 19))')} AS density "
         f"FROM pt t CROSS JOIN (SELECT CAST(range AS BIGINT) AS bin FROM range(19)) r LEFT JOIN pc ON pc.id = t.id AND pc.bin = r.bin"),
     "stream_score_events": scores_sql(M_EVT),
+    "merged_samples": with_sql(_bottom(M_ORD).sample_ctes(), "SELECT tree, id FROM f_sample"),
+    "stream_refit_events": with_sql(_bottom(M_EVT_F).growth_ctes(), f"SELECT {NODES_OUT} FROM f_nodes"),
+    "stream_refit_scores": with_sql([*_bottom(M_EVT_F).path_ctes(M_EVT_F.scen.psql().all_rows()), ("f_sc", _bottom(M_EVT_F).score_select())],
+                                    f"SELECT id, {rr('path_mean')} AS path_mean, {rr('score')} AS score FROM f_sc"),
     "fit_score_save": with_sql(_ranked(M_CUST, "f"), "SELECT id, round(score, 6) AS score FROM f_rk "
                                                      "ORDER BY rscore DESC, id ASC LIMIT 10"),
     "c_factor": f"SELECT n, {rr(c_factor_sql('n'))} AS c FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part)",

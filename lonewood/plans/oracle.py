@@ -15,6 +15,7 @@ import math
 from dataclasses import dataclass
 
 from ..functions.draws import c_factor_py, c_factor_sql, sql_double, sql_str, u_sql
+from ..operators.sketch import LEVELS, hit_probability, key_range
 
 
 def _d(x) -> str:
@@ -210,6 +211,36 @@ class ForestSQL:
         raise ValueError(combine)
 
 
+@dataclass
+class BottomSQL(ForestSQL):
+    """A forest on mergeable samples: per tree the psi rows of least key (``operators.sketch``),
+    by its own choice of level."""
+
+    def sample_ctes(self) -> list[tuple[str, str]]:
+        p, s, psi, T = self.p, str(self.seed), self.psi, self.total
+        need = psi + 8 * math.sqrt(psi) + 8
+        level = " + ".join(f"CAST(n >= {need * 16 ** (j + 1)!r} AS INTEGER)" for j in range(1, LEVELS))  # one below what rows ask for
+        out = [(f"{p}_pts", f"SELECT id, x, 0 AS pop FROM ({self.pts.valid_rows()})"),
+               (f"{p}_lv", f"SELECT {level} AS lv FROM (SELECT count(*) AS n FROM {p}_pts)")]
+        consts = ", ".join(f"({j}, {math.log1p(-hit_probability(j))!r}::DOUBLE, {key_range(j)[0]!r}::DOUBLE, {key_range(j)[1]!r}::DOUBLE)" for j in range(1, LEVELS + 1))
+        out.append((f"{p}_js", f"SELECT * FROM (VALUES {consts}) t(j, lq, low, width) WHERE j >= (SELECT lv FROM {p}_lv)"))
+        out.append((f"{p}_hit", f"SELECT * FROM (SELECT q.id, c.*, CAST(floor(ln(1.0 - {u_sql(s, sql_str('b'), 'c.j', 'q.id', '1')}) / c.lq) AS BIGINT) AS s1 "
+                                f"FROM {p}_pts q, {p}_js c) WHERE s1 < {T}"))
+        hop = u_sql(s, sql_str("b"), "h.j", "h.id", "r.k")
+        out.append((f"{p}_hop", f"SELECT h.*, r.k, CASE WHEN r.k = 1 THEN h.s1 ELSE CAST(floor(ln(1.0 - {hop}) / h.lq) AS BIGINT) END AS sk "
+                                f"FROM {p}_hit h JOIN (SELECT range AS k FROM range(1, {T + 1})) r ON r.k <= {T} - h.s1"))
+        out.append((f"{p}_pos", f"SELECT id, j, low, width, sum(sk + 1) OVER (PARTITION BY id, j ORDER BY k) - 1 AS tree FROM {p}_hop"))
+        key = f"low + width * {u_sql(s, sql_str('c'), 'j', 'id', 'CAST(tree AS BIGINT)')}"
+        low, width = key_range(0)
+        every = f"{low!r}::DOUBLE + {width!r}::DOUBLE * {u_sql(s, sql_str('c'), '0', 'id', 'tree')}"
+        out.append((f"{p}_keys", f"SELECT id, CAST(tree AS BIGINT) AS tree, {key} AS key FROM {p}_pos WHERE tree < {T} UNION ALL "
+                                 f"SELECT id, tree, {every} FROM {p}_pts, (SELECT range AS tree FROM range({T})) WHERE (SELECT lv FROM {p}_lv) = 0"))
+        out.append((f"{p}_least", f"SELECT id, tree, min(key) AS key FROM {p}_keys GROUP BY id, tree"))
+        out.append((f"{p}_sample", f"SELECT l.tree, l.id, q.x FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY key, id) AS rn FROM {p}_least) l "
+                                   f"JOIN {p}_pts q USING (id) WHERE l.rn <= {psi}"))
+        return out
+
+
 def with_sql(ctes: list[tuple[str, str]], final: str) -> str:
     seen = {}
     for name, body in ctes:
@@ -219,4 +250,4 @@ def with_sql(ctes: list[tuple[str, str]], final: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in seen.items()) + "\n" + final
 
 
-__all__ = ["PointsSQL", "ForestSQL", "with_sql", "sql_double"]
+__all__ = ["PointsSQL", "ForestSQL", "BottomSQL", "with_sql", "sql_double"]

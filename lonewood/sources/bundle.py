@@ -1,5 +1,6 @@
 """Model bundles: ``{path}/nodes``, ``{path}/meta``, ``{path}/data``, ``{path}/scores``
-as Parquet in a shared folder.  Nothing passes through the driver except the model's
+as Parquet in a shared folder.  ``save_model`` and ``save_bundle`` write a new version under
+the path (``versions``), so a reader never meets half a bundle.  Nothing passes through the driver except the model's
 own node table when it is packed for scoring."""
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.forest import ForestModel, fit, load_model
 from ..session import new_path
+from . import versions
 
 
 @dataclass
@@ -22,22 +24,28 @@ class Bundle:
 
 
 def save_model(model: ForestModel, path: str) -> ForestModel:
-    """Write the node and meta tables (overwrite) and return the model re-read."""
-    if path.rstrip("/") != model.path.rstrip("/"):
-        model.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        model.meta_df().write.mode("overwrite").parquet(f"{path}/meta")
+    """Write the node and meta tables as a new version of ``path`` and return the model
+    re-read.  Until the version is committed readers have the old one."""
+    _write(model, versions.new_folder(path), path)
     return load_model(model.spark, path)
 
 
+def _write(model: ForestModel, folder: str, path: str, **tables: DataFrame) -> None:
+    model.nodes.write.parquet(f"{folder}/nodes")
+    model.meta_df().write.parquet(f"{folder}/meta")
+    for name, table in tables.items():
+        table.write.parquet(f"{folder}/{name}")
+    versions.commit(model.spark, path, folder)
+
+
 def save_bundle(model: ForestModel, data: DataFrame, scores: DataFrame, path: str) -> Bundle:
-    """Model + training data + their scores under one folder."""
-    model = save_model(model, path)
-    data.write.mode("overwrite").parquet(f"{path}/data")
-    scores.write.mode("overwrite").parquet(f"{path}/scores")
+    """Model + training data + their scores as one new version of ``path``."""
+    _write(model, versions.new_folder(path), path, data=data, scores=scores)
     return load_bundle(model.spark, path)
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
+    path = versions.resolve(spark, path)
     model = load_model(spark, path)
     return Bundle(model, spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/scores"), path)
 

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import io
+import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -48,6 +50,125 @@ def test_classes_of_wrappers_lose_no_text():
         assert main_text(f"<p>a</p><div id='{name}'><div class=ad><p>no</p></div>no</div><p>b</p>") == "a\nb"
 
 
+ARTICLE = "<h1>Head</h1><p>First line</p><p>Second line</p>"
+PLAIN = "Head\nFirst line\nSecond line"
+
+
+def test_wrappers_lose_no_article():
+    a = f"<article>{ARTICLE}</article>"
+    for page in (f"<form id=aspnetForm>{a}</form>", f"<form><nav>m</nav><main>{ARTICLE}</main><footer>f</footer></form>", f"<form id=f><h1>Head</h1>{ARTICLE[13:]}</form>",
+                 f"<nav><ul><li>m</ul>{a}", f"<aside>side{a}", f"<button>go{a}", f"<body><nav>m<aside>x{a}<footer>f</footer></body>", f"<header>{a}</header>",
+                 f"<div><nav>m{a}</div><p>out</p>", f"<nav>{a}</nav>", f"<fieldset>{a}</fieldset>", f"<div class=sidebar>{a}</div>", f"<span class=ad>x{a}"):
+        assert main_text(page) == PLAIN, page
+    assert main_text("<form><label>Name<input></label></form><p>text</p>") == "text"
+    assert main_text(f"<aside><article><p>teaser</p></article></aside>{a}") == PLAIN
+    assert main_text(f"<nav><article><p>teaser</p></article></nav><header>{a}</header>") == PLAIN  # the larger one
+
+
+def test_comments_and_teasers_go():
+    a = f"<article>{ARTICLE}</article>"
+    for extra in ("<div id='comments' class='comments-area'><ol><li><article class='comment-body'>reader<p>says</p></article></ol></div>",
+                  "<section class='related-posts'><article><p>teaser</p></article></section>", "<article class='comment'><p>reader</p></article>",
+                  "<div class='post-comments'><p>reader</p></div>", "<div class='related-articles'><p>more</p></div>", "<section class='comments'><article><p>x</p></article></section>"):
+        assert main_text(a + extra) == PLAIN, extra
+        assert main_text(f"<article>{ARTICLE}{extra}</article>") == PLAIN, extra
+        assert main_text(f"<main>{ARTICLE}{extra}</main>") == PLAIN, extra
+    assert main_text(f"<main>{a}<article><p>next</p></article></main>") == PLAIN + "\nnext"
+
+
+def test_adverts_inside_the_article_go():
+    assert main_text("<article><p>a</p><p class='ad'>buy</p><p>b <span class='ad'>buy <b>now</b></span> c</p></article>") == "a\nb c"
+    assert main_text("<article><p>a <span class='ads'>buy<p>b</p></article>") == "a\nb"
+    assert main_text("<article><div class='entry-header'><h1>t</h1></div><div class='header'>x</div><p class='sponsored'>s</p></article>") == "t\nx"
+    assert main_text("<p>a <a class='share'>share</a> b</p>") == "a b"
+
+
+class Slow(HTMLParser):
+    """Main text of plain pages by another way: a tree, then a walk."""
+
+    GO = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "script", "style", "title", "head", "header"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.now = ["", {}, None, []]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "ul", "div", "article") and self.now[0] == "p":
+            self.now = self.now[2]
+        node = [tag, dict(attrs), self.now, []]
+        self.now[3].append(node)
+        if tag not in ("br", "meta", "img", "input", "link", "hr"):
+            self.now = node
+
+    def handle_endtag(self, tag):
+        x = self.now
+        while x is not None and x[0] != tag:
+            if x[0] in ("article", "div", "body", "nav", "ul") and tag not in ("article", "div", "body", "html", "nav", "ul"):
+                return
+            x = x[2]
+        if x is not None:
+            self.now = x[2] or self.root
+
+    def handle_data(self, data):
+        self.now[3].append(data)
+
+    def text(self):
+        lines, line = [], []
+
+        def end():
+            t = " ".join("".join(line).split())
+            line.clear()
+            if t:
+                lines.append(t)
+
+        def walk(node, inside):
+            for x in node[3]:
+                if isinstance(x, str):
+                    if inside:
+                        line.append(x)
+                    continue
+                if x[0] in self.GO or "ad" in (x[1].get("class") or "").split():
+                    if inside:
+                        end()
+                    continue
+                block = x[0] not in ("b", "i", "a", "em", "span", "br")
+                if block:
+                    end()
+                if x[0] == "br" and inside:
+                    line.append(" ")
+                walk(x, inside or x[0] in ("article", "main"))
+                if block:
+                    end()
+
+        walk(self.root, False)
+        return "\n".join(lines)
+
+
+def slow_text(page):
+    p = Slow()
+    p.feed(page)
+    p.close()
+    return p.text()
+
+
+def test_given_pages_by_another_implementation(spark):
+    """On pages with an article whose own parts no host repeats."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in extract_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    whole = [r for r in rows if r.html and "<article>" in r.html]
+    assert len(whole) > 0.9 * len(rows)
+    assert [got[r.page_id] for r in whole] == [slow_text(r.html) for r in whole]
+
+
+def test_broken_pages_keep_their_article():
+    rng = random.Random(7)
+    parts = ["<nav>m</nav>", "<nav><ul><li>m", "<aside>s", "<div class=ad>buy</div>", "<form>f</form>", "<button>go", "<!-- c -->", "<div class='sidebar'>s</div>", "<p>out", "</div>", "<header>h</header>"]
+    tails = ["<footer>f</footer>", "<div class=comments><article>r</article></div>", "</p>", "<aside>x</aside>", "</body></html>", "<nav>m"]
+    for _ in range(400):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 4))) + f"<article>{ARTICLE}</article>" + "".join(rng.choices(tails, k=rng.randint(0, 3)))
+        assert main_text(page) == PLAIN, page
+
+
 def site(n=10, host="h.example"):
     body = "<div class='x{0}'><p>Welcome to our site, page by page</p></div><div><p>Own text {0}</p><p>Shared line</p></div><section><h3>Also here</h3><p>All the same</p></section>"
     return [(i, f"https://{host}/{i}", "<html><body>" + body.format(i) + "</body></html>") for i in range(n)]
@@ -90,8 +211,10 @@ def test_templates_are_bounded_and_names_may_clash(spark):
     assert site_templates(spark.createDataFrame([], PAGES)).count() == extract_text(spark.createDataFrame([], PAGES)).count() == 0
     clash = d.selectExpr("page_id as host", "url", "html", "page_id as templates")
     assert sorted(x.host for x in extract_text(clash).collect()) == list(range(20))
+    more = d.selectExpr("page_id", "url", "html", "1 as text", "2 as n_chars", "3 as `a.b`")
+    assert {(x["a.b"], x.n_chars == len(x.text)) for x in extract_text(more).collect()} == {(3, True)}
     with pytest.raises(ValueError):
-        extract_text(d.withColumnRenamed("page_id", "text"))
+        extract_text(d.withColumnRenamed("page_id", "text"), keep=["text"])
 
 
 def test_hosts(spark):

@@ -24,7 +24,7 @@ from .warc import read_warc, write_warc
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+    d = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "quality.*")
     return d.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
@@ -63,7 +63,7 @@ def op1_chat_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import new_path
-from .common import ready, shuffle_partitions, staged, tidy, utf8
+from .common import ready, shuffle_partitions, spread_join, staged, tidy, utf8
 from .files import NewFile, pack_rows, read_file, unpack_rows
 from .components import connected_components
 
@@ -292,11 +292,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rep = F.struct("no_id", "id", "block", "place")
     distinct = staged(marked.groupBy("fp").agg(F.min(rep).alias("rep"), F.count("*").alias("n")), "simhash")
     roots = connected_components(near_links(distinct, max_bits))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = staged(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "simhash")
     least = rooted.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("m"), F.max("n").alias("most"))
     # only fingerprints of several rows or links need the join: the others are their own class
-    shared = least.where("m > 1 or most > 1").join(rooted.select("fp", "root"), "root").select(F.col("fp").alias("shared_fp"), "least")
-    decided = marked.join(shared, marked["fp"] == shared["shared_fp"], "left").withColumn("least", F.coalesce("least", rep))
+    shared = spread_join(rooted.select("fp", "root"), least.where("m > 1 or most > 1"), "root", "fp").select("fp", "least")
+    decided = spread_join(marked, shared, "fp", F.struct("block", "place"), how="left").withColumn("least", F.coalesce("least", rep))
     result = F.struct("place", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"),
                       ((F.col("least.block") == F.col("block")) & (F.col("least.place") == F.col("place"))).alias("first"))
     by_block = decided.groupBy("block").agg(F.sort_array(F.collect_list(result)).alias("results"))

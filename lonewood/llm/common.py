@@ -34,23 +34,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: str | Column, rows: int = 1000, heavy: int = 4096,
-                how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+                how: str = "inner", counts: DataFrame | None = None, hint: str = "") -> DataFrame:
     """Join of ``many`` (any number of rows of a key) with ``one`` (few of a key) in which no key
     is one task's: a key with over ``rows`` rows is dealt out by a hash of ``by``, and its rows
     of ``one`` go to each part.
 
     Keys to deal out are those above ``rows`` or the share 1 / ``heavy`` of all rows, so there are
     ``heavy`` at most, and only they are broadcast.  ``counts`` are rows (key, n) of ``many``; without
-    them it is read twice and should be a written table."""
+    them it is read twice and should be a written table.  ``hint``: of the join, for ``one``."""
+    hinted = (lambda d: d.hint(hint)) if hint else (lambda d: d)
     total = many.count() if counts is None else counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(rows, int(total) // heavy)
     if total <= limit:
-        return many.join(one, key, how)
+        return many.join(hinted(one), key, how)
     counts = many.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     parts = F.broadcast(staged(counts.select(key, F.ceil(F.col("n") / limit).cast("int").alias("__parts")).where("__parts > 1"), "heavy"))
     dealt = many.join(parts, key, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), "__parts")).cast("int"))
     copies = one.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
-    return dealt.drop("__parts").join(copies.drop("__parts"), [key, "__part"], how).drop("__part")
+    return dealt.drop("__parts").join(hinted(copies.drop("__parts")), [key, "__part"], how).drop("__part")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -43,11 +43,14 @@ BANDS = 64
 ROWS = 6
 SMALL = 6
 PIECE = 1024
+HUB_MINIMA = 128  # minima by which a piece's candidates are found; all of them decide afterwards
 PACK = 512  # sets compared with as many others at once
 OFTEN = 64
 BLOCK_BYTES = 8 << 20
 WORDS = 1 << 20  # hashes of words a task remembers
 SEED = 12
+#: Tables of all sets grow with the documents: they are merged at any size, never broadcast.
+MERGE = "merge"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _COLUMNS = 128  # shingles hashed together
@@ -352,7 +355,7 @@ def _rest(floor: int):
 
 def whole_sets(keys: DataFrame, distinct: DataFrame, folder: str, shingle: int) -> DataFrame:
     """(key, shingles) of the distinct ``keys``, from the first document of each in its block."""
-    wanted = keys.join(distinct.select("key", "least"), "key")
+    wanted = keys.join(distinct.select("key", "least").hint(MERGE), "key")
     by_block = wanted.groupBy(F.col("least.block").alias("block")).agg(F.collect_list(F.struct(F.col("least.place").alias("place"), "key")).alias("wanted"))
 
     def sets_of(batches) -> Iterator[pa.RecordBatch]:
@@ -371,8 +374,8 @@ def whole_sets(keys: DataFrame, distinct: DataFrame, folder: str, shingle: int)
 def links_of(links: DataFrame, distinct: DataFrame) -> DataFrame:
     """Links between keys (a written table) as links between their first documents."""
     least = distinct.select("key", "least")
-    links = spread_join(links, least.select(F.col("key").alias("a"), F.col("least").alias("p")), "a", "b")
-    links = links.join(least.select(F.col("key").alias("b"), F.col("least").alias("q")), "b")
+    links = spread_join(links, least.select(F.col("key").alias("a"), F.col("least").alias("p")), "a", "b", hint=MERGE)
+    links = links.join(least.select(F.col("key").alias("b"), F.col("least").alias("q")).hint(MERGE), "b")
     return staged(links.select(F.col("p").alias("a"), F.col("q").alias("b")), "minhash")
 
 
@@ -381,9 +384,9 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, folder: str, shingle: int,
     are as similar as they must be: by their signatures, then on their whole sets."""
     floor = floor_of(percent, BANDS * ROWS)
     signature = distinct.select(F.col("key").alias("a"), F.col("signature").alias("x"))
-    near = spread_join(pairs, signature, "a", "b")
+    near = spread_join(pairs, signature, "a", "b", hint=MERGE)
     other = distinct.select(F.col("key").alias("b"), F.col("signature").alias("y"))
-    near = near.join(other, "b")
+    near = near.join(other.hint(MERGE), "b")
 
     def close(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -393,8 +396,8 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, folder: str, shingle: int,
 
     near = staged(near.select("a", "b", "x", "y").mapInArrow(tidy(close), _PAIRS), "minhash")
     sets = staged(whole_sets(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), distinct, folder, shingle), "minhash")
-    both = spread_join(near, sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a", "b")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    both = spread_join(near, sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a", "b", hint=MERGE)
+    both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")).hint(MERGE), "b")
 
     def check(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -476,7 +479,7 @@ def unsettled_links(members: DataFrame, distinct: DataFrame, roots: DataFrame, f
     Components that meet in a value are a family.  Each set outside its family's largest
     component is compared with all sets of the family, pack by pack."""
     of_key = distinct.join(roots, distinct["least"] == roots["node"], "left").select("key", F.xxhash64(F.coalesce("root", "least")).alias("root"))
-    rooted = staged(members.join(of_key, "key"), "minhash")
+    rooted = staged(members.join(of_key.hint(MERGE), "key"), "minhash")
     counts = staged(rooted.groupBy("value", "root").agg(F.count("*").alias("n")), "minhash")
     largest = counts.groupBy("value").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("components")).where("components > 1")
     meet = spread_join(counts, largest.select("value", F.col("most.root").alias("b")), "value", "root").select(F.col("root").alias("a"), "b")
@@ -491,7 +494,7 @@ def unsettled_links(members: DataFrame, distinct: DataFrame, roots: DataFrame, f
     dealt = spread_join(in_family, sizes.select("family", F.col("most.root").alias("largest"), "packs"), "family", "key")
     dealt = dealt.select("key", "family", "root", "largest", F.pmod(F.xxhash64("key"), "packs").alias("pack"))
     one = F.struct("key", "root", "shingles")
-    packs = dealt.join(whole_sets(in_family.select("key"), distinct, folder, shingle), "key").groupBy("family", "pack")
+    packs = dealt.join(whole_sets(in_family.select("key"), distinct, folder, shingle).hint(MERGE), "key").groupBy("family", "pack")
     packs = staged(packs.agg(F.collect_list(one).alias("inside"), F.collect_list(F.when(F.col("root") != F.col("largest"), one)).alias("outside")), "minhash")
     outside = packs.where(F.size("outside") > 0).select("family", "outside")
     sides = spread_join(packs.select("family", "pack", "inside"), outside, "family", "pack", rows=4)
@@ -526,8 +529,9 @@ def minhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ranged = banded.repartitionByRange(parts, "value", "k1", "k2").sortWithinPartitions("value", "k1", "k2")
     shared = staged(ranged.mapInArrow(tidy(_shared_values(small, piece_rows)), _SHARED), "minhash")
     members = shared.where("key is not null").select("value", "piece", "key")
-    pieces = members.join(distinct.select("key", "signature"), "key").select("piece", "key", "signature").repartition("piece").sortWithinPartitions("piece", "key")
-    near = pieces.mapInArrow(tidy(_hubs(floor_of(percent, BANDS * ROWS))), _PAIRS)
+    short = distinct.select("key", F.substring("signature", 1, HUB_MINIMA).alias("signature"))
+    pieces = members.join(short.hint(MERGE), "key").select("piece", "key", "signature").repartition("piece").sortWithinPartitions("piece", "key")
+    near = pieces.mapInArrow(tidy(_hubs(floor_of(percent, HUB_MINIMA))), _PAIRS)
     ordered = shared.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tested = staged(ordered.union(near).distinct(), "minhash")
     links = confirmed(tested, distinct, folder, shingle, percent)
@@ -536,7 +540,7 @@ def minhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if more is not None and not more.isEmpty():
         roots = staged(connected_components(links.union(links_of(more, distinct))), "minhash")
     component = distinct.join(roots, distinct["least"] == roots["node"], "left").select("key", F.coalesce("root", "least").alias("c"))
-    found = sets.select("block", "key").join(component, "key", "left")
+    found = sets.select("block", "key").join(component.hint(MERGE), "key", "left")
     by_block = found.groupBy("block").agg(F.collect_list(F.struct("key", F.col("c.id").alias("id"), F.col("c.block").alias("at"), "c.place")).alias("components"))
     id_type = docs.schema[doc_id].dataType
     kind = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("component_id", id_type), T.StructField("first", T.BooleanType())])

@@ -17,7 +17,8 @@ spark.sparkContext.setLogLevel("OFF")
 import lonewood.llm.common as common  # noqa: E402
 from lonewood.llm import catalog  # noqa: E402
 
-names = ["op2_postings_decontamination", "op10_suffix_dedup", "op6_simhash_pivots", "op5_warc_roundtrip", "op8_seekable_tokens", "op4_best_fit_packing", "op1_chat_viterbi"]
+names = ["op2_postings_decontamination", "op10_suffix_dedup", "op6_simhash_pivots", "op5_warc_roundtrip", "op8_seekable_tokens", "op4_best_fit_packing", "op1_chat_viterbi",
+         "op11_periodic_runs", "op12_minhash_components", "op13_fill_in_middle"]
 
 
 def results():
@@ -46,7 +47,7 @@ def flaky(run):
     return failing
 
 
-for module in ("chat", "packing", "postings", "simhash", "suffixes", "tokenfile", "warc"):
+for module in ("chat", "common", "minhash", "packing", "postings", "simhash", "suffixes", "tokenfile", "warc"):
     setattr(sys.modules[f"lonewood.llm.{module}"], "tidy", flaky)
 faulty = results()
 print(json.dumps({n: [len(clean[n]), clean[n] == faulty[n]] for n in names}))

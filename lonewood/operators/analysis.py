@@ -187,32 +187,35 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], buckets: int = 409
 
 
 # ------------------------------------------------------------------ A7
-def fd_bins(n: int, q25: float, q75: float, lo: float, hi: float, max_bins: int = 50) -> int:
-    """Freedman-Diaconis bin count: ceil(range / (2 IQR n^(-1/3))), clamped to [1, max_bins]."""
+def fd_bins(n: int, q25: float, q75: float, lo: float, hi: float, max_bins: int | None = 50) -> int:
+    """Freedman-Diaconis bin count: ceil(range / (2 IQR n^(-1/3))), clamped to [1, max_bins]
+    (None: no limit).  Without an interquartile range the rule gives no width: ``max_bins``,
+    or 50."""
     rng = hi - lo
     if rng <= 0:
         return 1
     width = 2.0 * (q75 - q25) / (n ** (1.0 / 3.0))
     if width <= 0:
-        return max_bins
-    return int(max(1, min(max_bins, math.ceil(rng / width))))
+        return max_bins or 50
+    bins = max(1, math.ceil(rng / width))
+    return bins if max_bins is None else min(max_bins, bins)
 
 
-def hist_fd(scores: DataFrame, col: str = "score", max_bins: int = 50) -> DataFrame:
+def hist_fd(scores: DataFrame, col: str = "score", max_bins: int | None = 50) -> DataFrame:
     """Adaptive-width density histogram (Freedman-Diaconis, exact quartiles)."""
     spark = scores.sparkSession
     st = scores.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     n, lo, hi = int(st["n"]), st["lo"], st["hi"]
     if n == 0:
-        return spark.createDataFrame([], "bin int, edge_lo double, edge_hi double, count bigint, density double")
+        return spark.createDataFrame([], "bin bigint, edge_lo double, edge_hi double, count bigint, density double")
     q25, q75 = exact_quantiles(scores, col, [0.25, 0.75])
     nb = fd_bins(n, q25, q75, lo, hi, max_bins)
     rng = hi - lo
     width = rng / nb if rng > 0 else 1.0
     s = F.col(col)
-    b = F.least(F.floor((s - F.lit(lo)) / F.lit(rng if rng > 0 else 1.0) * F.lit(float(nb))), F.lit(nb - 1)).cast("int")
+    b = F.least(F.floor((s - F.lit(lo)) / F.lit(rng if rng > 0 else 1.0) * F.lit(float(nb))), F.lit(nb - 1)).cast("bigint")
     counts = scores.where(s.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("count"))
-    all_bins = spark.range(nb).select(F.col("id").cast("int").alias("bin"))
+    all_bins = spark.range(nb).select(F.col("id").alias("bin"))
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
     return all_bins.join(counts, "bin", "left").select(
         "bin",

@@ -122,7 +122,6 @@ M_PART = Spec(PART, 100, 256, 5)
 M_EVT = Spec(EVT, 100, 256, 13)
 M_EMB = Spec(EMB, 50, 128, 17)
 M_LINE = Spec(LINE, 20, 256, 19)
-FD_BINS = 5000
 
 _MODELS: dict = {}
 
@@ -476,7 +475,7 @@ def q_hist_scores_fd(spark, sf):
 def q_hist_scores_fd_rule(spark, sf):
     """The bin rule itself: a limit that it does not reach."""
     s = materialize(ranked_scores(spark, sf, M_ORD))
-    return _hist_out(A.hist_fd(s, "rscore", FD_BINS))
+    return _hist_out(A.hist_fd(s, "rscore", None))
 
 
 def q_hist_point_tree_scores(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.draws import c_factor_py, c_factor_sql, sql_str, u_sql
 from ..functions.paths import branch_numbers_sql, branch_string_sql, node_at_path_sql
-from .catalog import (CUST, FD_BINS, LINE_KEYS, LINE_NEW, M_CUST, M_EMB, M_EVT, M_EVT_F, M_LINE, M_ORD, M_ORD_B, M_ORD_C, M_ORD_CC, M_ORD_K,
+from .catalog import (CUST, LINE_KEYS, LINE_NEW, M_CUST, M_EMB, M_EVT, M_EVT_F, M_LINE, M_ORD, M_ORD_B, M_ORD_C, M_ORD_CC, M_ORD_K,
                       M_ORD_R, M_PART, ORD, RK, R, Spec)
 from .oracle import BottomSQL, with_sql
 
@@ -101,7 +101,8 @@ def hist_fixed_sql(ctes, src: str, col: str, bins: int = 19, lo: float = 0.0, hi
     return with_sql(ctes, final)
 
 
-def fd_sql(limit: int = 50) -> str:
+def fd_sql(limit: int | None = 50) -> str:
+    bins = "ceil((hi - lo) / w)" if limit is None else f"least({limit}, ceil((hi - lo) / w))"
     ctes = _ranked(M_ORD, "f")
     ctes += [
         ("st", "SELECT count(*) AS n, min(rscore) AS lo, max(rscore) AS hi FROM f_rk"),
@@ -114,17 +115,16 @@ def fd_sql(limit: int = 50) -> str:
         ("qq", "SELECT a25 + (h25 - floor(h25)) * (b25 - a25) AS q25, a75 + (h75 - floor(h75)) * (b75 - a75) AS q75 FROM qv"),
         ("fw", "SELECT st.*, 2.0 * (q75 - q25) / pow(CAST(n AS DOUBLE), 1.0 / 3.0) AS w FROM st, qq"),
         ("nb", "SELECT n, lo, hi, CAST(CASE WHEN hi - lo <= 0 THEN 1 WHEN w <= 0 THEN "
-               f"{limit} ELSE greatest(1, least({limit}, ceil((hi - lo) / w))) END AS INTEGER) AS nb FROM fw"),
+               f"{limit or 50} ELSE greatest(1, {bins}) END AS BIGINT) AS nb FROM fw"),
         ("hb", "SELECT CAST(least(floor((f_rk.rscore - nb.lo) / (CASE WHEN nb.hi - nb.lo > 0 THEN nb.hi - nb.lo ELSE 1.0 END)"
-               " * CAST(nb.nb AS DOUBLE)), nb.nb - 1) AS INTEGER) AS bin FROM f_rk, nb"),
+               " * CAST(nb.nb AS DOUBLE)), nb.nb - 1) AS BIGINT) AS bin FROM f_rk, nb"),
         ("hc", "SELECT bin, count(*) AS count FROM hb GROUP BY bin"),
     ]
     width = "(CASE WHEN nb.hi - nb.lo > 0 THEN (nb.hi - nb.lo) / nb.nb ELSE 1.0 END)"
-    final = (f"SELECT CAST(r.bin AS BIGINT) AS bin, {rr(f'nb.lo + r.bin * {width}')} AS edge_lo, "
-             f"{rr(f'nb.lo + (r.bin + 1) * {width}')} AS edge_hi, CAST(coalesce(hc.count, 0) AS BIGINT) AS count, "
+    final = (f"SELECT nb.bin, {rr(f'nb.lo + nb.bin * {width}')} AS edge_lo, "
+             f"{rr(f'nb.lo + (nb.bin + 1) * {width}')} AS edge_hi, CAST(coalesce(hc.count, 0) AS BIGINT) AS count, "
              f"{rr(f'coalesce(hc.count, 0) / (nb.n * {width})')} AS density "
-             f"FROM nb, (SELECT CAST(range AS INTEGER) AS bin FROM range({limit})) r LEFT JOIN hc USING (bin) "
-             f"WHERE r.bin < nb.nb")
+             f"FROM (SELECT *, unnest(range(nb)) AS bin FROM nb) nb LEFT JOIN hc USING (bin)")
     return with_sql(ctes, final)
 
 
@@ -233,7 +233,7 @@ ORACLE: dict[str, str] = {
     "series_total": ("SELECT nationkey, round(c.balance + s.balance, 2) AS balance FROM "
                      "(SELECT CAST(c_nationkey AS BIGINT) AS nationkey, sum(c_acctbal) AS balance FROM customer GROUP BY 1) c JOIN "
                      "(SELECT CAST(s_nationkey AS BIGINT) AS nationkey, sum(s_acctbal) AS balance FROM supplier GROUP BY 1) s USING (nationkey)"),
-    "hist_scores_fd_rule": fd_sql(FD_BINS),
+    "hist_scores_fd_rule": fd_sql(None),
     "hist_point_tree_scores": with_sql(
         M_CUST.sql("f").path_ctes(CUST.psql().all_rows()) + [
             ("pts_s", f"SELECT id, CAST(least(floor(round(pow(2.0, -path_length / {c_factor_py(M_CUST.psi)!r}), {RK}) * 19.0), 18) AS BIGINT) AS bin FROM f_h"),

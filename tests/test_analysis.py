@@ -214,3 +214,8 @@ def test_range_sort_splits_a_hot_key(spark):
     assert sorted(r.row_index for r in got) == list(range(9000))
     hot = ix.where((F.col("k") == 7) & (F.col("v") == 1.0)).groupBy(spark_partition_id().alias("p")).count().collect()
     assert len(hot) >= 2 and max(r["count"] for r in hot) < 3001
+
+
+def test_freedman_diaconis_has_no_hidden_limit():
+    assert A.fd_bins(10 ** 15, 0.4, 0.6, 0.0, 1.0, None) == 250000
+    assert A.fd_bins(10 ** 15, 0.4, 0.6, 0.0, 1.0) == 50 and A.fd_bins(100, 0.5, 0.5, 0.0, 1.0, None) == 50

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,6 +32,7 @@ from ..sources.points import FeatureSpec, apply_na, canonical, resolve_features
 from . import scoring as S
 from .growth import NODES_SCHEMA, grow_by_levels, grow_partition_fn
 from .sampling import Population, candidates, chunk_hash, contiguous_bounds, group_by_bounds, trim_to_psi
+from .sketch import LEVELS, exact, level_for, level_of, one_pass_samples
 
 FORMAT_VERSION = 1
 # bytes per broadcast block: every Python worker of an executor deserialises its own
@@ -352,7 +353,7 @@ def _populations(pts: DataFrame, n_trees: int, psi: int, seed: int, groups: int,
 def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: str = "id",
         n_trees: int = 100, psi: int = 256, limit: int | None = None, seed: int = 0, groups: int = 1,
         assign: str = "all", na: str = "drop", margin: float = 8.0, path: str | None = None,
-        dim: int | None = None, strict_ids: bool = False, growth: str = "task") -> ForestModel:
+        dim: int | None = None, strict_ids: bool = False, growth: str = "task", sampling: str = "counted") -> ForestModel:
     """Train ``groups`` forests of ``n_trees`` trees each on sub-samples of ``psi`` rows.
 
     assign='all'       : every forest samples from all rows (one forest of groups*n_trees trees)
@@ -363,6 +364,11 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     growth='levels'    : every level of all trees is one Spark aggregate over the samples, for
                          samples too large for a task; the trees are the same
 
+    sampling='counted' : rows are counted first, then drawn with one draw a row (two scans)
+    sampling='one_pass': the psi rows of least key of each tree (``sketch``), in one scan with
+                         some draws a row, for input that is dear to read or to make; trees
+                         are those of ``streaming.refit``.  For assign='all'
+
     Ids must be unique.  A duplicate that lands in a sample always raises; with
     ``strict_ids=True`` uniqueness is checked over all rows first (one aggregation on
     the id column, partial counts map-side, so a hot duplicated id cannot overload a task).
@@ -378,15 +384,19 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     limit = default_limit(psi) if limit is None else int(limit)
     if not 0 <= limit <= 62:
         raise ValueError("limit must be in 0..62 (heap node numbers are 64-bit)")
+    if sampling not in ("counted", "one_pass") or (sampling == "one_pass" and assign != "all"):
+        raise ValueError("sampling must be 'counted', or 'one_pass' with assign='all'")
     spec, pts = prepare(df, features, feature_col, id_col, na, dim)
     if strict_ids:
         dup = pts.groupBy("_id").count().where(F.col("count") > 1).select("_id").limit(1).collect()
         if dup:
             raise ValueError(f"id {dup[0]['_id']} occurs more than once: the id column must be unique")
+    path = path or new_path(spark, "models")
+    if sampling == "one_pass":
+        return _fit_one_pass(pts, spec, groups, n_trees, psi, limit, int(seed), growth, path)
     pops, pop_col, pts, counts, bounds = _populations(pts, n_trees, psi, seed, groups, assign)
     total = groups * n_trees
     n_parts = sample_partitions(spark, total, psi, spec.d)
-    path = path or new_path(spark, "models")
     grower = grow_partition_fn(spec.d, limit, seed, n_trees, to_arrow_schema(NODES_SCHEMA))
     cols = ["_tree", "_id"] + [f"_x{i}" for i in range(spec.d)]
     for attempt in range(4):
@@ -413,6 +423,36 @@ def fit(df: DataFrame, features=None, feature_col: str | None = None, id_col: st
     return model
 
 
+def _fit_one_pass(pts: DataFrame, spec, groups: int, n_trees: int, psi: int, limit: int, seed: int, growth: str, path: str) -> ForestModel:
+    """``fit`` on samples of one scan.  The model's number of rows is what the scan's tasks
+    counted: one that ran again after a lost executor may count twice.  Nothing else uses it."""
+    spark, total, highest = pts.sparkSession, groups * n_trees, LEVELS
+    n_parts = sample_partitions(spark, total, psi, spec.d)
+    while True:
+        seen = Observation()
+        one_pass_samples(pts, total, psi, seed, n_parts, highest, seen).write.mode("overwrite").parquet(f"{path}/samples")
+        sample = spark.read.parquet(f"{path}/samples")
+        per_tree = sample.groupBy("_tree").agg(F.count("*").alias("n"), F.max("_key").alias("worst"))
+        found = per_tree.agg(F.count("*").alias("trees"), F.min("n").alias("least"), F.max("worst").alias("worst")).first()
+        rows, longest = seen.get["rows"], seen.get["longest"]
+        full = found["trees"] == total and found["least"] == psi
+        if full and exact(found["worst"], longest, psi, highest):
+            break
+        reached = min(highest, level_for(longest, psi))
+        if not full and not reached:  # nothing was passed over
+            raise ValueError(f"sample size psi={psi} exceeds the {rows} rows of population 0")
+        highest = min(reached - 1, level_of(found["worst"])) if full else reached - 1
+    if growth == "levels":
+        columns = ["_tree", "_id"] + [f"_x{i}" for i in range(spec.d)]
+        nodes = grow_by_levels(sample.select(*columns), spec.d, limit, seed, n_trees)
+    else:
+        nodes = grow_samples(sample, spec.d, limit, seed, n_trees, n_parts)
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    model = ForestModel(spark, path, spark.read.parquet(f"{path}/nodes"), spec, groups, n_trees, psi, limit, seed, "all", 0.0, {g: rows for g in range(groups)})
+    model.meta_df().write.mode("overwrite").parquet(f"{path}/meta")
+    return model
+
+
 def load_model(spark: SparkSession, path: str) -> ForestModel:
     """The model saved at ``path``: its last version if it has versions."""
     path = versions.resolve(spark, path)

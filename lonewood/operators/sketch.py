@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,17 +50,27 @@ def level_for(n: int, psi: int, margin: float = 8.0) -> int:
     return level
 
 
-def _walk(n_trees: int, seed: int, level: int, names: list[str], schema: pa.Schema):
-    """Over hit rows: a row for every tree with a key below the level's upper end."""
+def level_of(key: float) -> int:
+    """The highest level from which on all keys up to ``key`` are drawn."""
+    level = 0
+    while level < LEVELS and key < 16.0 ** -(level + 1):
+        level += 1
+    return level
+
+
+def _keys(n_trees: int, seed: int) -> Callable[[int, int], dict[int, float]]:
+    """A function of id and level: the trees in which the row has a key below the level's
+    upper end, with their keys."""
     md5, log, two52 = hashlib.md5, math.log, 4503599627370496.0
-    ln1mp = {j: math.log1p(-hit_probability(j)) for j in range(max(1, level), LEVELS + 1)}
+    ln1mp = {j: math.log1p(-hit_probability(j)) for j in range(1, LEVELS + 1)}
 
     def u(text: str) -> float:
         return (int.from_bytes(md5(text.encode()).digest()[:7], "big") >> 4) / two52
 
-    def keys_of(i: int) -> dict[int, float]:
+    def keys_of(i: int, level: int) -> dict[int, float]:
         keys: dict[int, float] = {}
-        for j, ln in ln1mp.items():
+        for j in range(max(1, level), LEVELS + 1):
+            ln = ln1mp[j]
             low, width = key_range(j)
             tree, k = -1, 1
             while True:
@@ -75,11 +86,18 @@ def _walk(n_trees: int, seed: int, level: int, names: list[str], schema: pa.Sche
                     keys[tree] = low + width * u(f"{seed}:c:0:{i}:{tree}")
         return keys
 
+    return keys_of
+
+
+def _walk(n_trees: int, seed: int, level: int, names: list[str], schema: pa.Schema):
+    """Over hit rows: a row for every tree with a key below the level's upper end."""
+    keys_of = _keys(n_trees, seed)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, trees, keys = [], [], []
             for r, i in enumerate(b.column("_id").to_pylist()):
-                found = keys_of(i)
+                found = keys_of(i, level)
                 rows += [r] * len(found)
                 trees += found.keys()
                 keys += found.values()
@@ -89,6 +107,12 @@ def _walk(n_trees: int, seed: int, level: int, names: list[str], schema: pa.Sche
     return run
 
 
+def _hits(n_trees: int, seed: int, level: int) -> Column:
+    """Whether level ``level`` > 0 hits the row in any tree."""
+    first = F.floor(F.log(F.lit(1.0) - u_col(seed, "b", level, F.col("_id"), 1)) / F.lit(math.log1p(-hit_probability(level))))
+    return first < n_trees
+
+
 def keyed(points: DataFrame, n_trees: int, seed: int, level: int) -> DataFrame:
     """``points`` (``_id`` and features) once per tree in which they have a key below
     ``16 ** -level``, with ``_tree`` and ``_key``."""
@@ -96,8 +120,7 @@ def keyed(points: DataFrame, n_trees: int, seed: int, level: int) -> DataFrame:
     if level:
         hit = F.lit(False)
         for j in range(level, LEVELS + 1):
-            first = F.floor(F.log(F.lit(1.0) - u_col(seed, "b", j, F.col("_id"), 1)) / F.lit(math.log1p(-hit_probability(j))))
-            hit = hit | (first < n_trees)
+            hit = hit | _hits(n_trees, seed, j)
         points = points.where(hit)
     out = T.StructType([*points.schema.fields, T.StructField("_tree", T.LongType(), False), T.StructField("_key", T.DoubleType(), False)])
     return points.mapInArrow(_walk(n_trees, seed, level, points.columns, to_arrow_schema(out)), out)
@@ -122,3 +145,67 @@ def bottom_samples(points: DataFrame, n_trees: int, psi: int, seed: int, level:
     """A sample of ``points`` that ``merged`` can merge: of each tree the psi rows of least key,
     among those with a key below ``16 ** -level`` (with level 0 among all)."""
     return least(keyed(points, n_trees, seed, level), psi, parts)
+
+
+def _rising_walk(n_trees: int, psi: int, seed: int, names: list[str], schema: pa.Schema):
+    """Over the rows of a task with their levels: a row for every tree in which its key is
+    among the psi least of the task so far.  Holds psi keys a tree, and no rows."""
+    keys_of = _keys(n_trees, seed)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        least_keys: dict[int, list[float]] = {}  # of a tree, negated: a heap with the worst on top
+        for b in batches:
+            rows, trees, keys = [], [], []
+            for r, (i, level) in enumerate(zip(b.column("_id").to_pylist(), b.column("_level").to_pylist(), strict=True)):
+                for tree, key in keys_of(i, level).items():
+                    heap = least_keys.setdefault(tree, [])
+                    if len(heap) < psi:
+                        heappush(heap, -key)
+                    elif key <= -heap[0]:  # an equal key stays: the id decides later
+                        heapreplace(heap, -key)
+                    else:
+                        continue
+                    rows.append(r)
+                    trees.append(tree)
+                    keys.append(key)
+            take = pa.array(np.array(rows, np.int64))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in names], pa.array(trees, pa.int64()), pa.array(keys, pa.float64())], schema=schema)
+
+    return run
+
+
+def one_pass_samples(points: DataFrame, n_trees: int, psi: int, seed: int, parts: int | None = None, highest: int = LEVELS, seen: Observation | None = None) -> DataFrame:
+    """``bottom_samples`` of rows whose number nobody knows, in one pass over them.
+
+    A row's level is that of the number of rows its task has seen before it.  Those have
+    more than psi keys a tree below that level's upper end (but for a probability of about
+    1e-15, see ``exact``), so a greater key can't be in the sample, and the row leaves the
+    JVM only if it has a lesser one.  Python keeps the psi least keys of a tree per task and
+    passes on about psi (1 + ln(rows / psi)) rows a tree at most.
+
+    The sample depends on neither the partitions nor the order of rows, so tasks that run
+    again give the same.  ``seen`` observes ``rows`` and ``longest``, the rows of the longest
+    task; ``highest`` bounds the levels used."""
+    ship_package(points.sparkSession)
+    names = points.columns
+    before = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = points.withColumn("_before", before)
+    if seen is not None:
+        numbered = numbered.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("_before") + 1, F.lit(0)).alias("longest"))
+    starts = [math.ceil((psi + 8.0 * math.sqrt(psi) + 8.0) * 16 ** j) for j in range(1, highest + 1)]
+    level = F.lit(0)
+    for start in starts:
+        level = level + (F.col("_before") >= F.lit(start)).cast("int")
+    hit = F.col("_level") == 0
+    for j in range(1, LEVELS + 1):
+        hit = hit | ((F.col("_level") <= j) & _hits(n_trees, seed, j))
+    survivors = numbered.withColumn("_level", level).where(hit).select(*names, "_level")
+    out = T.StructType([*points.schema.fields, T.StructField("_tree", T.LongType(), False), T.StructField("_key", T.DoubleType(), False)])
+    return least(survivors.mapInArrow(_rising_walk(n_trees, psi, seed, names, to_arrow_schema(out)), out), psi, parts)
+
+
+def exact(worst: float, longest: int, psi: int, highest: int = LEVELS) -> bool:
+    """Whether ``one_pass_samples`` of full trees passed over no row of the samples: rows were
+    passed over for keys above the level of the longest task, so the greatest key kept
+    (``worst``) must lie below that."""
+    return level_of(worst) >= min(highest, level_for(longest, psi))

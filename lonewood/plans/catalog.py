@@ -611,6 +611,11 @@ def q_stream_refit_scores(spark, sf):
     return _score_out(out.select(F.col(s.scen.id_col).cast("bigint").alias("id"), "path_mean", "score"))
 
 
+def q_tree_nodes_one_pass(spark, sf):
+    """Trees of a forest whose samples were drawn in one scan of orders."""
+    return _nodes_out(fit(M_ORD.scen.df(spark, sf), sampling="one_pass", **M_ORD.fit_args()).nodes)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_points_scan": q_csv_points_scan,
     "text_points_parse": q_text_points_parse,
@@ -651,6 +656,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hist_point_tree_scores": q_hist_point_tree_scores,
     "stream_score_events": q_stream_score_events,
     "merged_samples": q_merged_samples,
+    "tree_nodes_one_pass": q_tree_nodes_one_pass,
     "stream_refit_events": q_stream_refit_events,
     "stream_refit_scores": q_stream_refit_scores,
     "fit_score_save": q_fit_score_save,

@@ -243,6 +243,7 @@ ORACLE: dict[str, str] = {
         f"FROM pt t CROSS JOIN (SELECT CAST(range AS BIGINT) AS bin FROM range(19)) r LEFT JOIN pc ON pc.id = t.id AND pc.bin = r.bin"),
     "stream_score_events": scores_sql(M_EVT),
     "merged_samples": with_sql(_bottom(M_ORD).sample_ctes(), "SELECT tree, id FROM f_sample"),
+    "tree_nodes_one_pass": with_sql(_bottom(M_ORD).growth_ctes(), f"SELECT {NODES_OUT} FROM f_nodes"),
     "stream_refit_events": with_sql(_bottom(M_EVT_F).growth_ctes(), f"SELECT {NODES_OUT} FROM f_nodes"),
     "stream_refit_scores": with_sql([*_bottom(M_EVT_F).path_ctes(M_EVT_F.scen.psql().all_rows()), ("f_sc", _bottom(M_EVT_F).score_select())],
                                     f"SELECT id, {rr('path_mean')} AS path_mean, {rr('score')} AS score FROM f_sc"),

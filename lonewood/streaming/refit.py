@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.forest import ForestModel, default_limit, grow_samples, load_model, prepare, sample_partitions
-from ..operators.sketch import LEVELS, bottom_samples, level_for, merged
+from ..operators.sketch import bottom_samples, level_for, level_of, merged
 from ..session import new_path, ship_package
 from ..sources import versions
 
@@ -87,14 +87,6 @@ class Refit:
         return load_model(spark, self.path)
 
 
-def level_of(key: float) -> int:
-    """The highest level from which on all keys up to ``key`` are drawn."""
-    level = 0
-    while level < LEVELS and key < 16.0 ** -(level + 1):
-        level += 1
-    return level
-
-
 def refit_stream(stream: DataFrame, refit: Refit, checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Updates ``refit`` with every micro-batch of ``stream``."""
     if not stream.isStreaming:

@@ -10,10 +10,10 @@ from conftest import gauss, points_df
 from lonewood.functions.draws import u_py
 from lonewood.operators.forest import fit, prepare
 from lonewood.operators.growth import grow_tree
-from lonewood.operators.sketch import LEVELS, bottom_samples, hit_probability, key_range, level_for, merged
+from lonewood.operators.sketch import LEVELS, bottom_samples, exact, hit_probability, key_range, level_for, level_of, merged, one_pass_samples
 from lonewood.session import new_path
 from lonewood.sources import bundle, versions
-from lonewood.streaming.refit import Refit, level_of, refit_stream
+from lonewood.streaming.refit import Refit, refit_stream
 from lonewood.streaming.scoring import replay_as_stream
 
 SEED = 5
@@ -156,3 +156,64 @@ def test_saved_models_change_in_one_step(spark, monkeypatch):
     monkeypatch.undo()
     second = bundle.save_model(b, path)
     assert nodes_of(second) == nodes_of(b) and versions.latest(spark, path)["version"] == 2
+
+
+@pytest.mark.parametrize("n, psi, tasks", [(900, 16, 1), (900, 16, 5), (5, 5, 2), (6000, 8, 1)])
+def test_one_pass_sample_by_brute_force(spark, n, psi, tasks):
+    from pyspark.sql import Observation
+
+    p, seen = points(spark, n).repartition(tasks), Observation()
+    sample = one_pass_samples(p, 4, psi, SEED, seen=seen).collect()
+    assert {(r["_tree"], r["_id"]) for r in sample} == slow_sample(range(n), 4, psi)
+    assert seen.get["rows"] == n and n / tasks <= seen.get["longest"] <= n
+    assert exact(max(r["_key"] for r in sample), seen.get["longest"], psi)
+    assert not exact(0.5, 10 ** 6, psi)
+
+
+def test_one_pass_fit_reads_once_and_equals_the_followed_forest(spark):
+    df = points_df(spark, gauss(3000, (0, 0), 1))
+    whole = follow(spark, new_path(spark, "t"))
+    whole.update(df)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    once = df.mapInArrow(count, df.schema)
+    for source in (once, df.repartition(7)):
+        one = fit(source, ["x", "y"], n_trees=12, psi=32, seed=SEED, sampling="one_pass")
+        assert nodes_of(one) == nodes_of(whole.model(spark)) and one.n_rows == {0: 3000}
+    assert read.value == 3000
+    levels = fit(df, ["x", "y"], n_trees=6, groups=2, psi=32, seed=SEED, sampling="one_pass", growth="levels")
+    assert {r[1:] for r in nodes_of(levels)} == {r[1:] for r in nodes_of(one)} and levels.n_rows == {0: 3000, 1: 3000}
+
+
+def test_one_pass_fit_starts_again_where_a_row_may_be_missing(spark, monkeypatch):
+    from lonewood.operators import forest
+
+    df = points_df(spark, gauss(2000, (0, 0), 1)).coalesce(1)
+    want = nodes_of(fit(df, ["x", "y"], n_trees=5, psi=16, seed=SEED, sampling="one_pass"))
+    real, runs = forest.one_pass_samples, []
+
+    def lossy(points, n_trees, psi, seed, parts, highest, seen):
+        runs.append(highest)
+        few = points if len(runs) > 1 else points.where("_id % 200 = 0")
+        return real(few, n_trees, psi, seed, parts, highest, seen)
+
+    monkeypatch.setattr(forest, "level_for", lambda n, psi: 1)
+    monkeypatch.setattr(forest, "one_pass_samples", lossy)
+    assert nodes_of(fit(df, ["x", "y"], n_trees=5, psi=16, seed=SEED, sampling="one_pass")) == want
+    assert runs == [LEVELS, 0]
+
+
+def test_one_pass_fit_refuses(spark):
+    df = points_df(spark, gauss(30, (0, 0), 1))
+    for bad in (df, df.where("id < 0")):
+        with pytest.raises(ValueError, match="psi=32 exceeds"):
+            fit(bad, ["x", "y"], n_trees=3, psi=32, sampling="one_pass")
+    with pytest.raises(ValueError):
+        fit(df, ["x", "y"], n_trees=3, psi=8, groups=2, assign="hash", sampling="one_pass")
+    with pytest.raises(Exception):  # an id for the second time
+        fit(df.union(df), ["x", "y"], n_trees=3, psi=32, sampling="one_pass")

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.draws import c_factor_py
-from ..session import new_path, shared_dir, ship_package
+from ..session import new_path, put_file, shared_dir, ship_package
 from ..sources import versions
 from ..sources.points import FeatureSpec, apply_na, canonical, resolve_features
 from . import scoring as S
@@ -38,6 +38,8 @@ FORMAT_VERSION = 1
 # bytes per broadcast block: every Python worker of an executor deserialises its own
 # copy, so a block stays small (8 workers x 64 MB)
 MAX_BLOCK_BYTES = 64 << 20
+# a larger model is not broadcast: a worker would hold all of it
+MAX_BROADCAST_BYTES = 4 * MAX_BLOCK_BYTES
 # of the candidates or samples of one task of training; above about 10 MB tasks are no faster
 TASK_BYTES = 16 << 20
 
@@ -100,17 +102,25 @@ class ForestModel:
     def blocks(self) -> list[Block]:
         """The model as broadcast blocks of at most ``MAX_BLOCK_BYTES`` packed bytes: whole
         forests, or a part of one that is larger.  Blocks are read, packed and broadcast
-        one after another, so the driver holds one at a time whatever the model's size."""
+        one after another, so the driver holds one at a time whatever the model's size.  Those of
+        a model above ``MAX_BROADCAST_BYTES`` are shipped as files that workers map."""
         ship_package(self.spark)
         if self._blocks is None:
             trees = [(int(r["group"]), int(r["tree"]), S.bytes_per_tree(self.limit, int(r["n"]))) for r in
                      self.nodes.groupBy("group", "tree").agg(F.count("*").alias("n")).orderBy("tree").collect()]
+            large = sum(t[2] for t in trees) > MAX_BROADCAST_BYTES
             self._blocks = []
             for part, whole in S.block_split(trees, MAX_BLOCK_BYTES):
                 nodes = self.nodes.where(F.col("tree").between(part[0][1], part[-1][1])).toArrow().to_pandas()
-                self._blocks.append(Block(part[0][0], whole, self.spark.sparkContext.broadcast(S.pack(nodes, self.limit))))
+                packed = S.pack(nodes, self.limit)
+                self._blocks.append(Block(part[0][0], whole, self._shipped(packed) if large else self.spark.sparkContext.broadcast(packed)))
         return self._blocks
 
+    def _shipped(self, packed: S.PackedTrees) -> S.MappedTrees:
+        name = f"lonewood-{uuid.uuid4().hex}.trees"
+        self.spark.sparkContext.addFile(put_file(self.spark, f"{shared_dir(self.spark)}/lonewood/blocks", name, S.to_file(packed)))
+        return S.MappedTrees(name)
+
     def release(self) -> None:
         """Drops the broadcast blocks; the next scoring makes them anew."""
         for b in self._blocks or []:
@@ -220,7 +230,7 @@ class Block:
 
     group: int
     whole: bool
-    packed: object  # broadcast variable of PackedTrees
+    packed: object  # broadcast variable of PackedTrees, or MappedTrees
 
 
 def _added(cols: list[Column]) -> Column:

@@ -9,15 +9,20 @@ each Arrow batch of rows descends all trees of the block together with numpy:
 
 No shuffle, no row ever leaves its partition.  The broadcast is bounded by the model
 (T * (2*psi - 1) nodes), never by the data; large models are several tree blocks whose
-sums are added column-wise.
+sums are added column-wise.  Blocks of models too large for the memory of a worker are files
+that Spark ships to every executor once and its workers map (``MappedTrees``).
 """
 
 from __future__ import annotations
 
+import mmap
+import pickle
+import struct
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 
 from ..functions.draws import c_factor_py
 
@@ -74,6 +79,48 @@ class PackedTrees:
         return np.right_shift(bottom + 1, shift) - 1
 
 
+def to_file(pk: PackedTrees) -> bytes:
+    """A block as a file: sizes, the object, then its arrays, each at a multiple of 64 bytes."""
+    arrays: list[pickle.PickleBuffer] = []
+    head = pickle.dumps(pk, protocol=5, buffer_callback=arrays.append)
+    raws = [a.raw() for a in arrays]
+    out = bytearray(struct.pack(f"<{2 + len(raws)}q", len(raws), len(head), *[len(r) for r in raws]))
+    for part in (head, *raws):
+        out += bytes(-len(out) % 64)
+        out += part
+    return bytes(out)
+
+
+def from_file(path: str) -> PackedTrees:
+    """The block of ``to_file``, its arrays mapped from the file: their pages are shared by all
+    processes that map it, and the system drops them when memory is short."""
+    with open(path, "rb") as f:
+        view = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    n, head = struct.unpack_from("<2q", view)
+    sizes = (head, *struct.unpack_from(f"<{n}q", view, 16))
+    at, parts = 16 + 8 * n, []
+    for size in sizes:
+        at += -at % 64
+        parts.append(view[at:at + size])
+        at += size
+    return pickle.loads(parts[0], buffers=parts[1:])
+
+
+@dataclass
+class MappedTrees:
+    """A block in a file that Spark has shipped (``SparkContext.addFile``), with the interface of a
+    broadcast variable.  A worker holds no block between batches."""
+
+    name: str
+
+    @property
+    def value(self) -> PackedTrees:
+        return from_file(SparkFiles.get(self.name))
+
+    def unpersist(self) -> None:
+        """Shipped files stay until the application ends."""
+
+
 def bytes_per_tree(limit: int, n_nodes: int) -> int:
     """Packed size of one tree (dense when limit <= DENSE_MAX_LIMIT)."""
     if limit <= DENSE_MAX_LIMIT:

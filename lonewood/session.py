@@ -62,6 +62,29 @@ def local_fs_path(path: str) -> str | None:
     return path if os.path.isabs(path) else None
 
 
+def put_file(spark: SparkSession, folder: str, name: str, data: bytes) -> str:
+    """Writes a file of the shared storage unless it is there; returns its path."""
+    local = local_fs_path(folder)
+    if local is not None:
+        os.makedirs(local, exist_ok=True)
+        path = os.path.join(local, name)
+        if not os.path.exists(path):
+            tmp = path + f".{uuid.uuid4().hex}.part"
+            with open(tmp, "wb") as fh:
+                fh.write(data)
+            os.replace(tmp, path)
+        return path
+    # shared storage of the cluster (hdfs://, s3a://, ...): write through Hadoop's FileSystem
+    path = f"{folder}/{name}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        out = fs.create(jpath, True)
+        out.write(bytearray(data))
+        out.close()
+    return path
+
+
 _SHIPPED: set = set()
 
 
@@ -100,23 +123,6 @@ def ship_package(spark: SparkSession) -> None:
     data = buf.getvalue()
     name = f"lonewood-{h.hexdigest()[:12]}.zip"
     target = shared_dir(spark) + "/lonewood/pyfiles"
-    local = local_fs_path(target)
-    if local is not None:
-        os.makedirs(local, exist_ok=True)
-        zpath = os.path.join(local, name)
-        if not os.path.exists(zpath):
-            tmp = zpath + f".{uuid.uuid4().hex}.part"
-            with open(tmp, "wb") as fh:
-                fh.write(data)
-            os.replace(tmp, zpath)
-    else:
-        # shared storage of the cluster (hdfs://, s3a://, ...): write through Hadoop's FileSystem
-        zpath = f"{target}/{name}"
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(zpath)
-        fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(jpath):
-            out = fs.create(jpath, True)
-            out.write(bytearray(data))
-            out.close()
+    zpath = put_file(spark, target, name, data)
     sc.addPyFile(zpath)
     _SHIPPED.add(key)

@@ -393,3 +393,44 @@ def test_level_wise_growth_gives_the_same_trees(spark, limit):
     assert one == two
     with pytest.raises(ValueError):
         fit(df, growth="other", **args)
+
+
+def test_a_model_of_a_hundred_blocks_is_mapped(spark, monkeypatch, orders):
+    """A model of over 100 blocks is shipped in files: equal scores and paths, dense or compact."""
+    import lonewood.operators.forest as FO
+
+    monkeypatch.setattr(FO, "MAX_BROADCAST_BYTES", 4 * 3_000)
+    for limit in (None, 14):
+        m = fit(orders, features=["o_totalprice", "doy"], id_col="o_orderkey", n_trees=35, psi=32, limit=limit, seed=4, groups=6, assign="hash")
+        got = {}
+        for size in (64 << 20, 3_000):
+            monkeypatch.setattr(FO, "MAX_BLOCK_BYTES", size)
+            monkeypatch.setattr(FO, "MAX_BROADCAST_BYTES", 4 * size)
+            m2 = FO.load_model(spark, m.path)
+            mapped = [isinstance(b.packed, FO.S.MappedTrees) for b in m2.blocks()]
+            assert all(mapped) and len(mapped) >= (100 if limit is None else 40) if size == 3_000 else mapped == [False]
+            for combine in ("forest", "mean_of_forests", "local"):
+                s = m2.score(orders, combine, id_col="o_orderkey").orderBy("o_orderkey").select("path_mean", "score").toPandas().to_numpy()
+                assert np.allclose(s, got.setdefault(combine, s), rtol=1e-12)
+            p = sorted(map(tuple, m2.paths(orders.where("o_orderkey < 50"), "o_orderkey").collect()))
+            assert p == got.setdefault("paths", p)
+            m2.release()
+
+
+def test_mapped_blocks_are_no_memory_of_the_worker(tmp_path):
+    from lonewood.operators import scoring as S
+
+    def anonymous():
+        with open("/proc/self/status") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("RssAnon")) << 10
+
+    n = 1 << 20
+    X = np.random.default_rng(0).normal(size=(64, 2))
+    made = S.PackedTrees(np.arange(n // 1023), np.zeros(n // 1023, np.int64), 9, True, np.zeros(n, np.int32), np.linspace(-3, 3, n), np.ones(n), None, np.full(n, 9, np.int8))
+    (tmp_path / "b").write_bytes(S.to_file(made))
+    want = S.path_sums(X, made)
+    before, kept = anonymous(), []
+    for _ in range(10):
+        kept.append(S.from_file(str(tmp_path / "b")))
+        assert np.array_equal(S.path_sums(X, kept[-1]), want) and not kept[-1].threshold.flags.owndata
+    assert anonymous() - before < 21 * n  # less than one block, with ten of them open

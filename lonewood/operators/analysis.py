@@ -186,6 +186,17 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], buckets: int = 409
     return [a + ((size[0] - 1) * q - math.floor((size[0] - 1) * q)) * (b - a) for q, a, b in zip(qs, got[::2], got[1::2])]
 
 
+def sketch_quantiles(df: DataFrame, col: str, qs: list[float], error: float = 1e-4) -> list[float]:
+    """Quantiles by Spark's mergeable sketch, in one aggregate of the JVM: for each q a value of
+    the column whose rank differs from q n by at most ``error`` n."""
+    got = df.agg(_sketched(F.col(col), qs, error).alias("v")).first()["v"]
+    return [float("nan")] * len(qs) if got is None else got
+
+
+def _sketched(col: Column, qs: list[float], error: float) -> Column:
+    return F.percentile_approx(col.cast("double"), qs, round(1 / error))
+
+
 # ------------------------------------------------------------------ A7
 def fd_bins(n: int, q25: float, q75: float, lo: float, hi: float, max_bins: int | None = 50) -> int:
     """Freedman-Diaconis bin count: ceil(range / (2 IQR n^(-1/3))), clamped to [1, max_bins]
@@ -201,14 +212,16 @@ def fd_bins(n: int, q25: float, q75: float, lo: float, hi: float, max_bins: int
     return bins if max_bins is None else min(max_bins, bins)
 
 
-def hist_fd(scores: DataFrame, col: str = "score", max_bins: int | None = 50) -> DataFrame:
-    """Adaptive-width density histogram (Freedman-Diaconis, exact quartiles)."""
+def hist_fd(scores: DataFrame, col: str = "score", max_bins: int | None = 50, error: float | None = None) -> DataFrame:
+    """Adaptive-width density histogram (Freedman-Diaconis).  Quartiles are exact, or with
+    ``error`` those of ``sketch_quantiles``, from the pass that counts the scores."""
     spark = scores.sparkSession
-    st = scores.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    sketch = [] if error is None else [_sketched(F.col(col), [0.25, 0.75], error).alias("quartiles")]
+    st = scores.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"), *sketch).first()
     n, lo, hi = int(st["n"]), st["lo"], st["hi"]
     if n == 0:
         return spark.createDataFrame([], "bin bigint, edge_lo double, edge_hi double, count bigint, density double")
-    q25, q75 = exact_quantiles(scores, col, [0.25, 0.75])
+    q25, q75 = st["quartiles"] if sketch else exact_quantiles(scores, col, [0.25, 0.75])
     nb = fd_bins(n, q25, q75, lo, hi, max_bins)
     rng = hi - lo
     width = rng / nb if rng > 0 else 1.0
@@ -267,6 +280,38 @@ def kde(scores: DataFrame, col: str = "score", grid: int = 100, cut: float = 3.0
     return sums.select("grid_index", xcol.alias("x"), (F.col("ksum") * F.lit(norm)).alias("density"))
 
 
+def kde_binned(scores: DataFrame, col: str = "score", grid: int = 100, cut: float = 3.0, cells: int = 2048) -> DataFrame:
+    """A8, binned: ``kde`` of the scores dealt linearly to ``cells`` points.
+
+    Each score gives its two neighbours among the points their shares, one aggregate sums them
+    map-side, and the kernels of at most ``cells`` points are added up on the grid.  Neither
+    Python nor more than cells x grid terms, whatever the data size.  A term is off by at most
+    (step / h)^2 / 8 of a kernel's height: with 2048 points and the usual spread under 1e-4."""
+    spark = scores.sparkSession
+    s = F.col(col).cast("double")
+    known = scores.select(s.alias("s")).where("s IS NOT NULL AND NOT isnan(s)")
+    st = known.agg(F.count("*").alias("n"), F.stddev_samp("s").alias("sd"), F.min("s").alias("lo"), F.max("s").alias("hi")).first()
+    n = int(st["n"])
+    if n < 2 or not st["sd"]:
+        return spark.createDataFrame([], "grid_index int, x double, density double")
+    h = float(st["sd"]) * n ** (-1.0 / 5.0)
+    lo, hi = float(st["lo"]), float(st["hi"])
+    step = (hi - lo) / (cells - 1)
+    g0, g1 = lo - cut * h, hi + cut * h
+    at = (F.col("s") - F.lit(lo)) / F.lit(step)
+    cell = F.least(F.floor(at), F.lit(cells - 2))
+    sums = known.select(cell.alias("cell"), (at - cell).alias("up")).groupBy("cell").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    # a cell's scores weigh on its own point and on the next one
+    points = sums.select(F.explode(F.array(F.struct(F.col("cell").alias("cell"), (F.col("n") - F.col("up")).alias("w")),
+                                           F.struct((F.col("cell") + 1).alias("cell"), F.col("up").alias("w")))).alias("p")).select("p.*")
+    points = points.groupBy("cell").agg(F.sum("w").alias("w"))
+    x = F.lit(g0) + F.col("grid_index") * F.lit((g1 - g0) / (grid - 1))
+    z = (x - (F.lit(lo) + F.col("cell") * F.lit(step))) / F.lit(h)
+    terms = points.select("cell", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_index"))
+    ksum = terms.groupBy("grid_index").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("ksum"))
+    return ksum.select("grid_index", x.alias("x"), (F.col("ksum") * F.lit(1.0 / (n * h * math.sqrt(2.0 * math.pi)))).alias("density"))
+
+
 # ------------------------------------------------------------------ A9 / A10 / A11 / J3
 def align_runs(bench: DataFrame, run: DataFrame, id_col: str = "id", col: str = "score") -> DataFrame:
     """Two score runs side by side by id (equi-join; both sides hash-partitioned on id)."""

@@ -6,8 +6,8 @@ task.  Instead:
 1. ``repartitionByRange(P, keys)`` + ``sortWithinPartitions(keys)`` -> partition i holds
    a contiguous, sorted key range; the result is checkpointed (reliable, shared folder)
    so every later pass sees the same partitions even after executor loss;
-2. per-partition counts (P small rows to the driver) -> offsets;
-3. global index = offset[partition] + local position.
+2. per-partition counts -> a table (partition, rows before it), of one small row a partition;
+3. global index = rows before the partition + local position, by a join with that table.
 
 Keys must form a total order: callers append the unique id as the last key.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,19 +39,12 @@ def _ranged(df: DataFrame, keys: list, n_parts: int | None) -> DataFrame:
     return keyed.repartitionByRange(P, *allk).sortWithinPartitions(*allk)
 
 
-def _offsets(counts: dict[int, int]) -> list[int]:
-    n = (max(counts) + 1) if counts else 0
-    offs, acc = [], 0
-    for p in range(n):
-        offs.append(acc)
-        acc += counts.get(p, 0)
-    return offs
-
-
-def _pick(values: list[int], idx: Column) -> Column:
-    if not values:
-        return F.lit(0).cast("bigint")
-    return F.element_at(F.array(*[F.lit(int(v)).cast("bigint") for v in values]), idx + F.lit(1))
+def _before(rows: DataFrame, part: Column, **counted: Column) -> DataFrame:
+    """(_p, one column per sum): the sums over all partitions before ``_p``.  It has one row a
+    partition, so its size is bounded by the number of tasks and it is broadcast."""
+    per = rows.groupBy(part.alias("_p")).agg(*[F.sum(c).alias(n) for n, c in counted.items()])
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(per.select("_p", *[F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint").alias(n) for n in counted]))
 
 
 def global_row_index(df: DataFrame, keys: list, index_col: str = "row_index",
@@ -60,10 +53,9 @@ def global_row_index(df: DataFrame, keys: list, index_col: str = "row_index",
     ranged = _ranged(df, keys, n_parts).withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
-    counts = {int(r["_p"]): int(r["n"]) for r in ranged.groupBy(pid.alias("_p")).agg(F.count("*").alias("n")).collect()}
-    offs = _offsets(counts)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return ranged.withColumn(index_col, _pick(offs, pid.cast("int")) + local).drop("_mid", "_tb")
+    offsets = _before(ranged, pid, _off_n=F.lit(1))
+    return ranged.withColumn("_p", pid).join(offsets, "_p").withColumn(index_col, F.col("_off_n") + local).drop("_mid", "_tb", "_p", "_off_n")
 
 
 def running_counts(df: DataFrame, keys: list, flags: list[str], n_parts: int | None = None,
@@ -103,11 +95,9 @@ def running_counts(df: DataFrame, keys: list, flags: list[str], n_parts: int | N
 
     out_schema_arrow = to_arrow_schema(out_schema)
     local = ranged.mapInArrow(local_counts, out_schema)
-    totals = ranged.groupBy(F.spark_partition_id().alias("_p")).agg(
-        F.count("*").alias("n"), *[F.sum(F.col(f).cast("bigint")).alias(f"s_{f}") for f in flags]).collect()
-    offs = _offsets({int(r["_p"]): int(r["n"]) for r in totals})
-    out = local.withColumn(index_col, _pick(offs, F.col("_pid")) + F.col("_lidx"))
+    sums = {f"_off_{f}": F.col(f).cast("bigint") for f in flags}
+    offsets = _before(ranged, F.spark_partition_id(), _off_n=F.lit(1), **sums)
+    out = local.withColumnRenamed("_pid", "_p").join(offsets, "_p").withColumn(index_col, F.col("_off_n") + F.col("_lidx"))
     for f in flags:
-        fo = _offsets({int(r["_p"]): int(r[f"s_{f}"] or 0) for r in totals})
-        out = out.withColumn(f"cum_{f}", _pick(fo, F.col("_pid")) + F.col(f"_lcum_{f}"))
-    return out.drop("_pid", "_lidx", "_tb", *[f"_lcum_{f}" for f in flags])
+        out = out.withColumn(f"cum_{f}", F.col(f"_off_{f}") + F.col(f"_lcum_{f}"))
+    return out.drop("_p", "_off_n", "_lidx", "_tb", *[f"_lcum_{f}" for f in flags], *sums)

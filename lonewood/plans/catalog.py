@@ -25,10 +25,12 @@ from ..operators import inspect as I
 from ..operators.forest import ForestModel, fit, tree_samples
 from ..operators.ordering import global_row_index
 from ..operators.sampling import chunk_contiguous, chunk_hash
-from ..session import new_path
+from ..session import new_path, partitions_for
 from ..sources import bundle as B
 from ..sources import readers as RD
 from ..sources.points import read_parquet_wallclock
+from ..sources.ranks import save_ranks
+from ..sources.runs import aligned, save_run
 from .oracle import ForestSQL, PointsSQL
 
 R = 6  # output rounding for engine-dependent doubles
@@ -487,12 +489,9 @@ def q_hist_point_tree_scores(spark, sf):
 
 def q_saved_runs_aligned(spark, sf):
     """Two runs that were scored and saved apart, joined by id."""
-    runs = []
-    for spec in (M_ORD_B, M_ORD_R):
-        path = new_path(spark, "runs")
-        ranked_scores(spark, sf, spec).select("id", "rscore").write.parquet(path)
-        runs.append(spark.read.parquet(path))
-    return A.align_runs(*runs, "id", "rscore")
+    runs = [ranked_scores(spark, sf, spec).select("id", "rscore") for spec in (M_ORD_B, M_ORD_R)]
+    buckets = partitions_for(runs[0])
+    return aligned(spark, *[save_run(s, buckets=buckets) for s in runs], "id", "rscore")
 
 
 def q_series_total(spark, sf):
@@ -555,6 +554,41 @@ def q_score_position(spark, sf):
                       F.col("bin").cast("bigint").alias("bin"))
 
 
+def q_score_position_saved(spark, sf):
+    """The places of ``score_position`` from a rank directory of the training scores."""
+    ranks = save_ranks(ranked_scores(spark, sf, M_ORD), new_path(spark, "ranks"), "rscore")
+    new = scores(spark, sf, M_ORD, data=LINE_NEW).withColumn("rscore", F.round("score", RK))
+    pos = ranks.place(new, "rscore", "id", 19)
+    return pos.select(F.col("rscore").alias("score"), "n_train_le", r("frac_train_le").alias("frac_train_le"),
+                      F.col("bin").cast("bigint").alias("bin"))
+
+
+def q_kde_scores_binned(spark, sf):
+    k = A.kde_binned(materialize(ranked_scores(spark, sf, M_ORD)), "rscore")
+    return k.select(F.col("grid_index").cast("bigint").alias("grid_index"), r("x").alias("x"), r("density").alias("density"))
+
+
+def q_score_quartiles_sketch(spark, sf):
+    """Quartiles of the scores: the exact ones, and whether the sketch's lie within its error."""
+    s = materialize(ranked_scores(spark, sf, M_ORD))
+    qs, error = [0.25, 0.5, 0.75], 1e-4
+    sketch, exact = A.sketch_quantiles(s, "rscore", qs, error), A.exact_quantiles(s, "rscore", qs)
+    n = F.count("*")
+    sides = s.agg(n.alias("n"), F.array(*[F.struct(
+        F.lit(q).alias("q"), F.lit(x).alias("quantile"),
+        ((F.count_if(F.col("rscore") < v) <= n * (q + error) + 1) & (F.count_if(F.col("rscore") <= v) >= n * (q - error) - 1)).alias("within_error"))
+        for q, v, x in zip(qs, sketch, exact, strict=True)]).alias("a"))
+    return sides.select("n", F.explode("a").alias("a")).select("a.q", "n", r("a.quantile").alias("quantile"), "a.within_error")
+
+
+def q_csv_row_ids(spark, sf):
+    """Ids of rows of CSV files: their places."""
+    path = new_path(spark, "csv")
+    t = read_parquet_wallclock(spark, f"{sf}/customer.parquet").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    t.select("c_custkey", "c_acctbal").write.csv(path)
+    return RD.read_points_csv(spark, path, names=["x0", "x1"])
+
+
 def q_stream_score_events(spark, sf):
     """The events table replayed as a file stream, scored micro-batch by micro-batch."""
     from ..streaming.scoring import replay_as_stream, score_stream, write_scores
@@ -675,6 +709,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kde_scores": q_kde_scores,
     "score_e_metric": q_score_e_metric,
     "max_abs_pct_diff": q_max_abs_pct_diff,
+    "score_position_saved": q_score_position_saved,
+    "kde_scores_binned": q_kde_scores_binned,
+    "score_quartiles_sketch": q_score_quartiles_sketch,
+    "csv_row_ids": q_csv_row_ids,
     "score_position": q_score_position,
     "top_anomalies": q_top_anomalies,
     "bottom_normals": q_bottom_normals,

@@ -143,6 +143,24 @@ def kde_sql(grid: int = 100, cut: float = 3.0) -> str:
     return with_sql(ctes, final)
 
 
+def kde_binned_sql(grid: int = 100, cut: float = 3.0, cells: int = 2048) -> str:
+    ctes = _ranked(M_ORD, "f")
+    ctes += [
+        ("st", f"SELECT count(rscore) AS n, stddev_samp(rscore) * pow(CAST(count(rscore) AS DOUBLE), -1.0 / 5.0) AS h, "
+               f"min(rscore) AS lo, max(rscore) AS hi, (max(rscore) - min(rscore)) / {cells - 1} AS step FROM f_rk"),
+        ("pl", "SELECT (rscore - lo) / step AS place FROM f_rk, st"),
+        ("ce", f"SELECT CAST(least(floor(place), {cells - 2}) AS BIGINT) AS cell, place FROM pl"),
+        ("we", "SELECT cell, sum(w) AS w FROM (SELECT cell, 1 - (place - cell) AS w FROM ce "
+               "UNION ALL SELECT cell + 1 AS cell, place - cell AS w FROM ce) GROUP BY cell"),
+        ("gd", f"SELECT CAST(range AS INTEGER) AS gi, (st.lo - {cut!r} * st.h) + range * "
+               f"((st.hi + {cut!r} * st.h) - (st.lo - {cut!r} * st.h)) / {grid - 1} AS gx FROM range({grid}), st"),
+        ("kd", "SELECT gi, gx, sum(w * exp(-0.5 * pow((gx - (st.lo + we.cell * st.step)) / st.h, 2))) AS ks FROM gd, we, st GROUP BY gi, gx"),
+    ]
+    final = (f"SELECT CAST(gi AS BIGINT) AS grid_index, {rr('gx')} AS x, "
+             f"{rr('ks / (st.n * st.h * sqrt(2.0 * pi()))')} AS density FROM kd, st")
+    return with_sql(ctes, final)
+
+
 def position_sql() -> str:
     ctes = _ranked(M_ORD, "t") + _ranked(M_ORD, "q", data=LINE_NEW)
     n_train = "(SELECT count(*) FROM t_rk)"
@@ -292,6 +310,13 @@ ORACLE: dict[str, str] = {
         f"SELECT series, {rr('sqrt(max(rel_diff_sq))')} AS max_abs_pct_diff FROM u GROUP BY series "
         f"UNION ALL SELECT '*' AS series, {rr('sqrt(max(rel_diff_sq))')} AS max_abs_pct_diff FROM u"),
     "score_position": position_sql(),
+    "score_position_saved": position_sql(),
+    "kde_scores_binned": kde_binned_sql(),
+    "score_quartiles_sketch": with_sql(_ranked(M_ORD, "f"), (
+        f"SELECT CAST(q AS DOUBLE) AS q, (SELECT count(*) FROM f_rk) AS n, {rr('v')} AS quantile, true AS within_error FROM (VALUES "
+        + ", ".join(f"({q}, (SELECT quantile_cont(rscore, {q}) FROM f_rk))" for q in (0.25, 0.5, 0.75)) + ") t(q, v)")),
+    "csv_row_ids": ("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id, CAST(c_custkey AS DOUBLE) AS x0, "
+                    "CAST(c_acctbal AS DOUBLE) AS x1 FROM customer"),
     "top_anomalies": with_sql(_ranked(M_ORD, "f"), "SELECT id, round(score, 6) AS score FROM f_rk "
                                                    "ORDER BY rscore DESC, id ASC LIMIT 10"),
     "bottom_normals": with_sql(_ranked(M_ORD, "f"), "SELECT id, round(score, 6) AS score FROM f_rk "

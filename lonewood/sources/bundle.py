@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.forest import ForestModel, fit, load_model
 from ..session import new_path
 from . import versions
+from .ranks import Ranks, load_ranks, save_ranks
 
 
 @dataclass
@@ -21,6 +22,7 @@ class Bundle:
     data: DataFrame
     scores: DataFrame
     path: str
+    ranks: Ranks | None = None
 
 
 def save_model(model: ForestModel, path: str) -> ForestModel:
@@ -30,7 +32,9 @@ def save_model(model: ForestModel, path: str) -> ForestModel:
     return load_model(model.spark, path)
 
 
-def _write(model: ForestModel, folder: str, path: str, **tables: DataFrame) -> None:
+def _write(model: ForestModel, folder: str, path: str, ranks: DataFrame | None = None, **tables: DataFrame) -> None:
+    if ranks is not None:
+        save_ranks(ranks, f"{folder}/ranks")
     model.nodes.write.parquet(f"{folder}/nodes")
     model.meta_df().write.parquet(f"{folder}/meta")
     for name, table in tables.items():
@@ -38,16 +42,18 @@ def _write(model: ForestModel, folder: str, path: str, **tables: DataFrame) -> N
     versions.commit(model.spark, path, folder)
 
 
-def save_bundle(model: ForestModel, data: DataFrame, scores: DataFrame, path: str) -> Bundle:
-    """Model + training data + their scores as one new version of ``path``."""
-    _write(model, versions.new_folder(path), path, data=data, scores=scores)
+def save_bundle(model: ForestModel, data: DataFrame, scores: DataFrame, path: str, ranks: bool = False) -> Bundle:
+    """Model + training data + their scores as one new version of ``path``; with ``ranks``
+    the scores' rank directory too, so that new points find their places without the scores."""
+    _write(model, versions.new_folder(path), path, ranks=scores if ranks else None, data=data, scores=scores)
     return load_bundle(model.spark, path)
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     path = versions.resolve(spark, path)
     model = load_model(spark, path)
-    return Bundle(model, spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/scores"), path)
+    ranks = load_ranks(spark, f"{path}/ranks") if versions.exists(spark, f"{path}/ranks/directory") else None
+    return Bundle(model, spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/scores"), path, ranks)
 
 
 def fit_score_save(df: DataFrame, path: str | None = None, combine: str = "forest", id_col: str = "id",
@@ -92,6 +98,8 @@ def score_literal(bundle: Bundle, text: str, combine: str = "forest") -> DataFra
     training scores: the number and share of them that are not above its own."""
     lit = bundle.model.spark.createDataFrame([(0, text)], "id bigint, s string")
     one = score_literals(bundle, lit, "s", combine)
+    if bundle.ranks:
+        return one.join(F.broadcast(bundle.ranks.place(one).select("id", "n_train_le", "frac_train_le")), "id")
     train = bundle.scores.select(F.col("score").alias("_t"))
     # one new score: a count with a broadcast of one row, not a sort of the training scores
     place = train.join(F.broadcast(one.select(F.col("score").alias("_s"))), F.col("_t") <= F.col("_s"), "left_semi").agg(F.count("*").alias("n_train_le"))

@@ -8,7 +8,7 @@ decides what happens to such rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,8 @@ def read_points_csv(spark: SparkSession, path: str, n_features: int | None = Non
 
     Unparsable cells (a header line, text) become NULL, missing cells too, surplus cells are
     left out; with ``strict`` any such row is an error when it is read.  Rows carry no
-    key in the file, so ``id`` is ``monotonically_increasing_id()`` of the scan: unique
-    and stable for a given set of files and split size.
+    key in the file, so ``id`` is the row's place (from 0) in the file, or in all files
+    in the order of their paths: see ``with_positions``.
     """
     if names is None:
         if n_features is None:
@@ -29,7 +29,28 @@ def read_points_csv(spark: SparkSession, path: str, n_features: int | None = Non
     schema = T.StructType([T.StructField(n, T.DoubleType(), True) for n in names])
     df = spark.read.schema(schema).option("header", "false").option("mode", "FAILFAST" if strict else "PERMISSIVE").option(
         "enforceSchema", "true").csv(path)
-    return df.select(F.monotonically_increasing_id().alias(id_col), *names)
+    return with_positions(df, id_col).select(id_col, *names)
+
+
+def with_positions(scan: DataFrame, id_col: str) -> DataFrame:
+    """The rows of a file scan with their place among all rows, by file path and then by place
+    in the file, whatever the split size, the cluster or the order of tasks.
+
+    Rows of a split come in order in one task, so a row's place is its number in the split plus
+    the rows of the splits before.  A first pass over the files counts those without parsing
+    columns; its table has a row a split and is joined.  Should the splits of the two passes
+    differ (executors came or went between them), the read fails rather than give wrong ids."""
+    where = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_mid"))
+    splits = where.groupBy("_file", "_from").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
+    up_to_split = Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+    up_to_file = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = files.select("_file", F.coalesce(F.sum("_rows").over(up_to_file), F.lit(0)).alias("_files_before"))
+    splits = splits.withColumn("_splits_before", F.coalesce(F.sum("_n").over(up_to_split), F.lit(0))).join(files, "_file")
+    local = F.col("_mid") - F.col("_first")
+    place = F.when((local >= 0) & (local < F.col("_n")), F.col("_files_before") + F.col("_splits_before") + local).otherwise(
+        F.raise_error("the splits of the files changed while they were read").cast("bigint"))
+    return where.join(splits, ["_file", "_from"], "left").select(place.alias(id_col), *[F.col(f"`{c}`") for c in scan.columns])
 
 
 def parse_text_points(lines: DataFrame, value_col: str = "value", n_fields: int = 2,

@@ -17,6 +17,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
 def new_folder(path: str) -> str:
     return f"{path.rstrip('/')}/versions/{uuid.uuid4().hex}"
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_path
@@ -115,13 +115,13 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     """Encodes ``docs`` and writes the files in ascending id order.  Returns the table of
     files: part, file (their order), path, n_docs, n_ids and start (ids in all files before).
 
-    Null ids come first; rows of one id are ordered by their text.  Null and empty texts are
+    Null ids come first; rows of one id are ordered by a hash of their text.  Null and empty texts are
     the end id alone.  An empty table gives no files."""
     spark = ready(docs.sparkSession)
     folder = folder or new_path(spark, "tokens")
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keys = ["id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row")]
-    ranged = d.select("text", *keys).repartitionByRange(shuffle_partitions(spark), F.asc_nulls_first("id"), "tie", "row").sortWithinPartitions(F.asc_nulls_first("id"), "text")
+    ranged = d.select("text", *keys).repartitionByRange(shuffle_partitions(spark), F.asc_nulls_first("id"), "tie", "row").sortWithinPartitions(F.asc_nulls_first("id"), "tie", "row")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,12 +149,11 @@ def write_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             yield done()
 
     files = staged(ranged.select("id", "text").mapInArrow(tidy(run), "part int, file int, path string, n_docs long, n_ids long"), "tokens")
-    # one row per file of millions of ids: their running total is made here
-    rows, start = [], 0
-    for r in files.orderBy("part", "file").toLocalIterator():
-        rows.append((*r, start))
-        start += r["n_ids"]
-    return spark.createDataFrame(rows, "part int, file int, path string, n_docs long, n_ids long, start long")
+    # running totals: over the files of a task, and over tasks (a row each)
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("all")).select("part", F.coalesce(F.sum("all").over(before.orderBy("part")), F.lit(0)).alias("parts_before"))
+    start = F.col("parts_before") + F.coalesce(F.sum("n_ids").over(before.partitionBy("part").orderBy("file")), F.lit(0))
+    return files.join(parts, "part").select("part", "file", "path", "n_docs", "n_ids", start.alias("start"))
 
 
 def read_tokens(files: DataFrame, ids: bool = False) -> DataFrame:

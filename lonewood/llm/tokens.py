@@ -2,8 +2,8 @@
 
 A byte-pair tokenizer cuts a text into pieces by a fixed pattern and encodes each piece for
 itself.  ``Encoder`` cuts with the same pattern, encodes every distinct piece once with the
-tokenizers library and looks the others up, which gives the same ids in a fraction of the
-time.  Its pattern covers texts of ASCII and Latin letters (up to U+017F); any other text
+tokenizers library (words by its model alone, without another search for cuts) and looks the
+others up, which gives the same ids in a fraction of the time.  Its pattern covers texts of ASCII and Latin letters (up to U+017F); any other text
 goes to the library whole, and so does a text with the string of an added token, which the
 library finds before it cuts.  The cache is bounded, so memory does not grow with the text.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -36,6 +36,12 @@ _PATTERNS = {
 }
 
 
+#: Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others for
+#: the code points from 256 on, in their order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+
+
 class _Numbers(dict):
     """Numbers pieces in the order of their first look-up; ``new`` collects unknown ones."""
 
@@ -68,8 +74,8 @@ class Encoder:
         self.used = 0
 
     def _learn(self) -> None:
-        """Encodes the new pieces.  Pieces that start with a space stay apart when joined, and
-        words stay apart by a space, so most are encoded many at a time."""
+        """Encodes the new pieces: words (with a space before them or not) by the model, others by
+        the whole library."""
         new, self.known.new = self.known.new, []
         n = len(self.known) - len(new)
         while len(self.known) > len(self.first):
@@ -77,13 +83,14 @@ class Encoder:
         by = 0 if self.lower else 1
         joint = [i for i, p in enumerate(new) if len(p) > by and p[by].isalpha() and (not by or p[0] == " ")]
         rest = sorted(set(range(len(new))).difference(joint)) if len(joint) < len(new) else []
-        for lo in range(0, len(joint), 2000):
-            at = joint[lo:lo + 2000]
-            e = self.tokenizer.encode((" " if self.lower else "").join([new[i] for i in at]), add_special_tokens=False)
-            sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(at))
-            if len(sizes) != len(at):
+        if joint:
+            mapped = "\n".join([new[i] for i in joint]).encode().decode("latin-1").translate(_BYTES).split(chr(_BYTES[10]))
+            tokenize = self.tokenizer.model.tokenize
+            ids = [[t.id for t in tokenize(p)] for p in mapped]
+            if ids[0] != self.tokenizer.encode(new[joint[0]], add_special_tokens=False).ids:
                 raise ValueError("the tokenizer cuts words in another way")
-            self._store(n + np.array(at), np.array(e.ids, np.uint32), sizes)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(n + np.array(joint), np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
         if rest:
             e = [x.ids for x in self.tokenizer.encode_batch([new[i] for i in rest], add_special_tokens=False)]
             self._store(n + np.array(rest), np.array([i for x in e for i in x], np.uint32), np.array([len(x) for x in e], np.int64))

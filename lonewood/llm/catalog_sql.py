@@ -6,7 +6,7 @@ model; the tests hold those against brute force.
 
 from __future__ import annotations
 
-from .quality import MAX_CLASS_DISTANCE, MAX_COMMON_CHARS, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, N_COMMON, WINDOW
+from .quality import MAX_CLASS_DISTANCE, MAX_COMMON_CHARS, MIN_CHARS, MIN_WORDS, N_COMMON, WINDOW, WORD_MARGIN, WORD_SHARE
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,12 +47,13 @@ _CLASSES = "[{}, CAST(length(t) AS DOUBLE) - {}, {}]".format(
 OP7 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
 x AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, {_CLASSES} AS c FROM d),
-e AS (SELECT rid, lang, unnest(w) AS w FROM x),
+y AS (SELECT DISTINCT ON (lang, t) lang, w, c FROM x),
+e AS (SELECT lang, unnest(w) AS w FROM y),
 n AS (SELECT lang, w, count(*) AS n FROM e GROUP BY 1, 2),
 k AS (SELECT lang, list(w ORDER BY n DESC, w) AS words, list(CAST(n AS DOUBLE) ORDER BY n DESC, w) AS ns FROM
   (SELECT * FROM n WHERE length(w) <= {MAX_COMMON_CHARS} QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {N_COMMON}) GROUP BY 1),
 r AS (SELECT k.lang, k.words, list_append(k.ns, a.n - list_sum(k.ns)) AS q FROM k JOIN (SELECT lang, CAST(sum(n) AS DOUBLE) AS n FROM n GROUP BY 1) a USING (lang)),
-rc AS (SELECT lang, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6])] AS q FROM x GROUP BY 1),
+rc AS (SELECT lang, [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5]), sum(c[6])] AS q FROM y GROUP BY 1),
 g AS (SELECT rid, i, w[i:i + {WINDOW - 1}] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM x WHERE len(w) >= {WINDOW})),
 u AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 v AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS p FROM u) GROUP BY 1),
@@ -63,10 +64,11 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - c[4] AS
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_repeat_words,
   len(w) < 10 OR 100 * n_repeat_words > 20 * len(w) AS base_failed,
   CASE WHEN length(t) >= {MIN_CHARS} THEN {_js("c", "cq")} END AS cd,
-  CASE WHEN len(w) >= {MIN_WORDS} THEN {_js("pp", "rq")} END AS wd
-  FROM (SELECT *, list_append(p, len(w) - list_sum(p)) AS pp FROM o))
+  CASE WHEN len(w) >= {MIN_WORDS} THEN {_js("pp", "rq")} END AS wd,
+  CASE WHEN len(w) >= {MIN_WORDS} THEN {WORD_SHARE} * {_js("none", "rq")} + {WORD_MARGIN} / sqrt(len(w)) END AS far
+  FROM (SELECT *, list_append(p, len(w) - list_sum(p)) AS pp, list_append(list_transform(p, lambda v: CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS none FROM o))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
-  NOT base_failed AND coalesce(cd, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(wd, 0) <= {MAX_WORD_DISTANCE} AS kept
+  NOT base_failed AND coalesce(cd <= {MAX_CLASS_DISTANCE}, true) AND coalesce(wd <= far, true) AS kept
 FROM m
 """
 

@@ -7,11 +7,18 @@ Jensen-Shannon distance (square root of the divergence, base 2, so 0 to 1):
 * common words: the ``n_common`` most frequent words of the language among those of at
   most ``MAX_COMMON_CHARS`` characters, and all other words.
 
-References are sums over all documents of the language (``lang``; null is a language of
-its own), or with ``distinct`` over its different texts, so that copies of one text have the
-weight of one.  A distance counts only for documents long enough to estimate it
+References are sums over the different texts of the language (``lang``; null is a language
+of its own), so copies of one text have the weight of one; without ``distinct`` they are
+sums over all documents.  A distance counts only for documents long enough to estimate it
 (``min_chars``, ``min_words``): short texts get the benefit of the doubt.
 
+How far a text can be from the common words depends on the language: the ceiling is the
+distance of a text with none of them.  A document of n words may be as far as
+``word_share`` of its language's ceiling, and ``word_margin / sqrt(n)`` more, because a few
+words are far from any reference by chance alone.  So where the most common words make up
+little of a language, its short texts are not judged by them at all.  A language of few
+texts is its own reference; one of a single text never fails it.
+
 Null and empty texts have no words: all counts 0, both distances null, base_failed true,
 kept false.  Repeated rows are judged each for itself; columns of the input other than
 the named ones are not touched and may have any name.
@@ -29,7 +36,8 @@ MAX_COMMON_CHARS = 8
 MIN_CHARS = 200
 MIN_WORDS = 60
 MAX_CLASS_DISTANCE = 0.29
-MAX_WORD_DISTANCE = 0.33
+WORD_SHARE = 0.7
+WORD_MARGIN = 0.77
 WINDOW = 5
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -100,10 +108,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return let(total(terms), lambda d: F.sqrt(F.when(d < 0, 0.0).otherwise(d)))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common: int = N_COMMON, distinct: bool = False) -> DataFrame:
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", n_common: int = N_COMMON, distinct: bool = True) -> DataFrame:
     """One row per language: ``ref_lang``, ``ref_classes`` (summed character classes),
-    ``ref_words`` (most frequent words, ties by the word) and ``ref_counts`` (their counts
-    and that of all other words).  ``distinct``: equal texts of a language count once."""
+    ``ref_words`` (most frequent words, ties by the word), ``ref_counts`` (their counts and
+    that of all other words) and ``ref_ceiling`` (the distance of a text without them).
+    ``distinct``: equal texts of a language count once."""
     d = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     by_text = d.select("ref_lang", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), characters(F.col("t"))["classes"].alias("c"))
     if distinct:
@@ -123,15 +132,19 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     words = top.join(every, "ref_lang").select("ref_lang", F.col("top.w").alias("ref_words"), F.concat(
         F.transform("top.n", lambda x: x.cast("double")),
         F.array(F.col("all") - F.aggregate("top.n", F.lit(0).cast("long"), lambda a, x: a + x)).cast("array<double>")).alias("ref_counts"))
-    return classes.join(words, "ref_lang", "left")
+    without = F.transform("ref_counts", lambda x, i: F.when(i == F.size("ref_words"), 1.0).otherwise(0.0))
+    return classes.join(words.withColumn("ref_ceiling", js_distance(without, F.col("ref_counts"))), "ref_lang", "left")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", references: DataFrame | None = None,
                   n_common: int = N_COMMON, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
-                  max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, distinct: bool = False) -> DataFrame:
+                  max_class_distance: float = MAX_CLASS_DISTANCE, word_share: float = WORD_SHARE, word_margin: float = WORD_MARGIN,
+                  distinct: bool = True) -> DataFrame:
     """``docs`` with one more column ``quality``: a struct of n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
-    ``distinct``: copies of a text count once in the references."""
+    ``distinct``: copies of a text count once in the references.  Given ``references`` have
+    the columns of ``language_references``; documents of a language that they lack have null
+    distances and are judged by the base rules alone."""
     refs = staged(references if references is not None else language_references(docs, text, lang, n_common, distinct), "quality")
     own = list(docs.columns)
     t = F.coalesce(F.col("__d")[text], F.lit(""))
@@ -155,11 +168,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
             F.when(m["n"] >= min_chars, js_distance(m["characters"]["classes"].cast("array<double>"), F.col("ref_classes"))).alias("classes"),
             F.when(n >= min_words, js_distance(m["words"]["histogram"], F.col("ref_counts"))).alias("words"))
         failed = (n < 10) | (100 * r > 20 * n)
+        far = word_share * F.col("ref_ceiling") + word_margin / F.sqrt(n)
         return let(near, lambda d: F.struct(
             n.alias("n_words"), (m["n"] - m["characters"]["classes"][3]).alias("word_chars"), m["characters"]["symbols"].alias("n_symbols"),
             m["repeated_lines"].alias("n_dup_lines"), r.alias("n_repeat_words"), failed.alias("base_failed"),
             d["classes"].alias("class_distance"), d["words"].alias("word_distance"),
-            (~failed & (F.coalesce(d["classes"], F.lit(0.0)) <= max_class_distance) & (F.coalesce(d["words"], F.lit(0.0)) <= max_word_distance)).alias("kept")))
+            (~failed & F.coalesce(d["classes"] <= max_class_distance, F.lit(True)) & F.coalesce(d["words"] <= far, F.lit(True))).alias("kept")))
 
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
     measures = F.struct(let(words_of(t), by_words).alias("words"), characters(t).alias("characters"), _length(t).alias("n"),

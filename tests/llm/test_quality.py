@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpus_pipeline import quality_stage
-from lonewood.llm.quality import MAX_CLASS_DISTANCE, MAX_COMMON_CHARS, MAX_WORD_DISTANCE, N_COMMON, js_distance, language_references, quality_rules
+from lonewood.llm.quality import MAX_CLASS_DISTANCE, MAX_COMMON_CHARS, N_COMMON, WORD_MARGIN, WORD_SHARE, js_distance, language_references, quality_rules
 from llm_cases import DOCS, ODD, make_docs  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,15 +42,16 @@ def corpus():
 
 
 def test_counts_and_distances_by_brute_force(make_docs):
-    texts = corpus()
+    texts = corpus() + corpus()[:9]
     got = {r.doc_id: r.quality for r in quality_rules(make_docs(texts).repartition(4)).collect()}
     total = {}
-    for t in texts:
+    for t in {t or "" for t in texts}:
         for w in WORD.findall(t or ""):
             total[w] = total.get(w, 0) + 1
     common = sorted((w for w in total if len(w) <= MAX_COMMON_CHARS), key=lambda w: (-total[w], w.encode()))[:N_COMMON]
     ref_words = [total[w] for w in common] + [sum(total.values()) - sum(total[w] for w in common)]
-    ref_classes = [sum(x) for x in zip(*[classes(t or "") for t in texts])]
+    ref_classes = [sum(x) for x in zip(*[classes(t) for t in {t or "" for t in texts}])]
+    ceiling = js([0] * len(common) + [1], ref_words)
     for i, t in enumerate(texts):
         g, b = got[i], base(t)
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == b, (i, t)
@@ -60,7 +61,7 @@ def test_counts_and_distances_by_brute_force(make_docs):
         d2 = js([w.count(x) for x in common] + [sum(x not in common for x in w)], ref_words) if len(w) >= 60 else None
         for have, want in ((g.class_distance, d1), (g.word_distance, d2)):
             assert (have is None) == (want is None) and (want is None or abs(have - want) < 1e-9)
-        assert g.kept == (not g.base_failed and (d1 or 0) <= MAX_CLASS_DISTANCE and (d2 or 0) <= MAX_WORD_DISTANCE)
+        assert g.kept == (not g.base_failed and (d1 or 0) <= MAX_CLASS_DISTANCE and (d2 or 0) <= WORD_SHARE * ceiling + WORD_MARGIN / max(1, len(w)) ** 0.5)
 
 
 def test_languages_have_their_own_references(spark):
@@ -98,3 +99,21 @@ def test_copies_do_not_become_the_reference_of_the_stage(spark, make_docs):
     assert {r.doc_id for r in quality_stage(spark, make_docs(rows), None).collect()} == want
     assert {r.doc_id for r in quality_stage(spark, make_docs(rows + copies).repartition(5), None).collect()} == want
     assert language_references(make_docs(rows + copies), distinct=True).collect() == language_references(make_docs(rows), distinct=True).collect()
+
+
+def test_the_cut_follows_the_language(spark, make_docs):
+    """Texts without common words go where these make up a fifth of the language or a tenth."""
+    rng = random.Random(3)
+    common = "the of and to in a is that for it was on with as by at".split()
+    rare = lambda: "".join(rng.choices("etaoinshrdlu", k=9))
+    for share in (0.25, 0.12):
+        clean = [" ".join(rng.choice(common) if rng.random() < share else rare() for _ in range(600)) for _ in range(60)]
+        junk = [" ".join(rare() for _ in range(600)) for _ in range(3)]
+        got = {r.doc_id for r in quality_rules(make_docs(clean + junk)).where("quality.kept").collect()}
+        assert got == set(range(60)), share
+
+
+def test_unknown_languages_of_given_references(make_docs):
+    refs = language_references(make_docs(["the cat sat on the mat"]).selectExpr("text", "'xx' as lang"))
+    d = quality_rules(make_docs(corpus()[:3]), references=refs).collect()
+    assert all(r.quality.word_distance is None and r.quality.kept == (not r.quality.base_failed) for r in d)

@@ -116,9 +116,12 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     d = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("ref_lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     by_text = d.select("ref_lang", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), characters(F.col("t"))["classes"].alias("c"))
     if distinct:
-        # grouping keys only: every task drops its copies before the exchange, and the classes
-        # need no text there
-        by_text, d = by_text.distinct(), d.distinct()
+        # grouping keys only: every task drops its copies before the exchange.  The classes need
+        # no text there, and of long words the counts need no more than that they are there.
+        long_words = r"[^\x20\x09-\x0D]{%d,}" % (MAX_COMMON_CHARS + 1)
+        by_text = by_text.distinct()
+        d = d.select("ref_lang", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"),
+                     F.regexp_replace("t", long_words, "0" * (MAX_COMMON_CHARS + 1)).alias("t")).distinct()
     classes = by_text.groupBy("ref_lang").agg(
         F.array(*[F.sum(F.col("c")[i]).cast("double") for i in range(6)]).alias("ref_classes"))
     counts = d.select("ref_lang", F.explode(F.split("t", SPACE)).alias("w")).where("w != ''").groupBy(

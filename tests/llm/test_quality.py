@@ -64,6 +64,14 @@ def test_counts_and_distances_by_brute_force(make_docs):
         assert g.kept == (not g.base_failed and (d1 or 0) <= MAX_CLASS_DISTANCE and (d2 or 0) <= WORD_SHARE * ceiling + WORD_MARGIN / max(1, len(w)) ** 0.5)
 
 
+def test_texts_that_differ_in_long_words_only_are_different(make_docs):
+    rows = ["the cat extraordinary", "the cat unbelievable", "the cat unbelievable", "the eightlet ninechars"]
+    r = language_references(make_docs(rows)).first()
+    assert dict(zip(r.ref_words, r.ref_counts)) == {"the": 3, "cat": 2, "eightlet": 1} and r.ref_counts[-1] == 3
+    r = language_references(make_docs(rows), distinct=False).first()
+    assert dict(zip(r.ref_words, r.ref_counts)) == {"the": 4, "cat": 3, "eightlet": 1} and r.ref_counts[-1] == 4
+
+
 def test_languages_have_their_own_references(spark):
     rows = [(1, "the cat", "en"), (2, "der hund", "de"), (3, "x y", None)]
     refs = language_references(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()

@@ -121,6 +121,32 @@ def test_the_cut_follows_the_language(spark, make_docs):
         assert got == set(range(60)), share
 
 
+def test_a_word_is_compared_with_the_common_words_of_its_slot(spark, make_docs):
+    """Words are looked up by a hash, not along the list of common words: more common words than
+    slots give the same counts, and the plan searches no list of all of them."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + str(int(rng.paretovariate(0.4)) % 700) for _ in range(400)) for _ in range(12)]
+    n = 600
+    d = quality_rules(make_docs(texts), n_common=n)
+    assert "array_contains(ref_words" not in d._jdf.queryExecution().optimizedPlan().toString()
+    total = {}
+    for w in [w for t in texts for w in t.split()]:
+        total[w] = total.get(w, 0) + 1
+    common = sorted((w for w in total if len(w) <= MAX_COMMON_CHARS), key=lambda w: (-total[w], w.encode()))[:n]
+    ref = [total[w] for w in common] + [sum(total.values()) - sum(total[w] for w in common)]
+    for r in d.collect():
+        w = texts[r.doc_id].split()
+        own = [w.count(x) for x in common]
+        assert abs(r.quality.word_distance - js(own + [len(w) - sum(own)], ref)) < 1e-9
+
+
+def test_repeated_windows_of_any_place_by_brute_force(make_docs):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["a", "b", "cc", "d é"], k=rng.randrange(0, 40))) for _ in range(150)]
+    for r in quality_rules(make_docs(texts)).collect():
+        assert r.quality.n_repeat_words == base(texts[r.doc_id])[4]
+
+
 def test_unknown_languages_of_given_references(make_docs):
     refs = language_references(make_docs(["the cat sat on the mat"]).selectExpr("text", "'xx' as lang"))
     d = quality_rules(make_docs(corpus()[:3]), references=refs).collect()

@@ -1,7 +1,7 @@
 """Token ids of public tokenizers by cached words.
 
 A byte-pair tokenizer cuts a text into pieces by a fixed pattern and encodes each piece for
-itself.  ``Encoder`` cuts with the same pattern, encodes every distinct piece once with the
+itself.  ``Encoder`` cuts at the same places, encodes every distinct piece once with the
 tokenizers library (words by its model alone, without another search for cuts) and looks the
 others up, which gives the same ids in a fraction of the time.  Its pattern covers texts of ASCII and Latin letters (up to U+017F); any other text
 goes to the library whole, and so does a text with the string of an added token, which the
@@ -15,11 +15,12 @@ import unicodedata
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from .common import ranges
 
-CACHE = 300_000
+CACHE = 600_000
 #: Texts are cut in groups of about so many characters.
 GROUP = 1 << 19
 
@@ -42,6 +43,42 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
 
 
+#: Kinds of the characters of plain texts.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_KIND = np.full(0x180, _OTHER, np.uint8)
+_KIND[[ord(c) for c in "\t\n\r "]] = _SPACE
+_KIND[[ord(c) for c in _LATIN if unicodedata.category(c)[0] == "L"]] = _LETTER
+_KIND[[ord(c) for c in _LATIN if unicodedata.category(c)[0] == "N"]] = _NUMBER
+
+
+def cuts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of the pattern "spaces" begin in the code points of plain texts, one text
+    after another, and the end of the last.  ``ends``: of the texts that are not empty."""
+    n, kind = len(points), _KIND[points]
+    first = np.zeros(n + 1, bool)  # of a text
+    first[0] = first[ends] = True
+    run = first.copy()  # runs of one kind
+    run[1:n] |= kind[1:] != kind[:-1]
+    closes = run[1:] & ~first[1:]  # the last of a run, but not of its text
+    # the last white space before something else begins a piece: alone, or, a space, with what follows
+    last = closes & (kind == _SPACE)
+    cut = run.copy()
+    cut[:n] |= last
+    cut[np.flatnonzero(last & (points == ord(" "))) + 1] = False
+    # an apostrophe that begins a piece and stands alone takes the ending of a contraction
+    at = np.flatnonzero((points == ord("'")) & cut[:n] & closes)
+    at = at[kind[at + 1] == _LETTER]
+    a, b = points[at + 1], np.where(first[at + 2], 0, points[np.minimum(at + 2, n - 1)])
+    one = np.isin(a, [ord(c) for c in "stmd"])
+    two = np.zeros(len(at), bool)
+    for x, y in ("re", "ve", "ll"):
+        two |= (a == ord(x)) & (b == ord(y))
+    cut[at[one | two] + 1] = False
+    cut[at[one] + 2] = True
+    cut[at[two] + 3] = True
+    return np.flatnonzero(cut)
+
+
 class _Numbers(dict):
     """Numbers pieces in the order of their first look-up; ``new`` collects unknown ones."""
 
@@ -84,7 +121,11 @@ class Encoder:
         joint = [i for i, p in enumerate(new) if len(p) > by and p[by].isalpha() and (not by or p[0] == " ")]
         rest = sorted(set(range(len(new))).difference(joint)) if len(joint) < len(new) else []
         if joint:
-            mapped = "\n".join([new[i] for i in joint]).encode().decode("latin-1").translate(_BYTES).split(chr(_BYTES[10]))
+            # of the bytes of ASCII words only a space stands for another
+            mapped = "\n".join([new[i] for i in joint]).replace(" ", chr(_BYTES[32])).split("\n")
+            for n_joint, i in enumerate(joint):
+                if not new[i].isascii():
+                    mapped[n_joint] = new[i].encode().decode("latin-1").translate(_BYTES)
             tokenize = self.tokenizer.model.tokenize
             ids = [[t.id for t in tokenize(p)] for p in mapped]
             if ids[0] != self.tokenizer.encode(new[joint[0]], add_special_tokens=False).ids:
@@ -112,6 +153,30 @@ class Encoder:
         self.first[:half] = np.cumsum(size) - size
         self.used = int(size.sum())
 
+    def _by_match(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece, pieces before each text and in all), piece by piece."""
+        pieces, starts = [], [0]
+        for t in texts:
+            pieces += self.find(t.lower())
+            starts.append(len(pieces))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)), np.array(starts)
+
+    def _by_kind(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same: pieces are cut by the kinds of their characters, and every different one of
+        the group is looked up once."""
+        ends = np.cumsum([0, *map(len, texts)])
+        text = "".join(texts)
+        points = np.frombuffer(text.encode("utf-16-le"), "<u2")  # plain: two bytes each
+        if not len(points):
+            return np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
+        at = cuts(points, ends[ends > 0])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(2 * at), pa.py_buffer(points)])
+        which = pieces.dictionary_encode().indices.to_numpy()  # numbered in the order of their first places
+        places = np.flatnonzero(which > np.maximum.accumulate(np.concatenate([[-1], which[:-1]])))
+        different = [text[a:b] for a, b in zip(at[places].tolist(), at[places + 1].tolist(), strict=True)]
+        numbers = np.fromiter(map(self.known.__getitem__, different), np.int64, len(different))
+        return numbers[which], np.searchsorted(at, ends)
+
     def _cached(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -119,18 +184,14 @@ class Encoder:
         sizes = np.cumsum([len(t) for t in texts])
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + GROUP, "right")))
-            pieces, cuts = [], [0]
-            for t in texts[lo:hi]:
-                pieces += self.find(t.lower() if self.lower else t)
-                cuts.append(len(pieces))
             if len(self.known) > self.limit:
                 self._forget()
-            at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            at, starts = (self._by_match if self.lower else self._by_kind)(texts[lo:hi])
             if self.known.new:
                 self._learn()
             size = self.size[at]
             all_ids.append(self.flat[ranges(self.first[at], size)])
-            all_counts.append(np.diff(np.concatenate([[0], np.cumsum(size)])[cuts]))
+            all_counts.append(np.diff(np.concatenate([[0], np.cumsum(size)])[starts]))
             lo = hi
         return np.concatenate(all_ids), np.concatenate(all_counts)
 

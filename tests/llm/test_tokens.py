@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import struct
 import zlib
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lonewood.llm import tokenfile
+from lonewood.llm import tokenfile, tokens
 from lonewood.llm.packing import best_fit, pack, pack_documents
 from lonewood.llm.tokenfile import TokenFile, Writer, read_tokens, write_tokens
 from lonewood.llm.tokens import Encoder
@@ -36,6 +37,32 @@ def test_ids_equal_the_library(name, texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library(name, texts)
 
 
+def test_places_of_cuts_equal_the_pattern():
+    """Pieces cut by the kinds of characters are those that the pattern matches."""
+    find, rng = re.compile(tokens._PATTERNS["spaces"]).findall, random.Random(1)
+    letters = "  \n\t sstmdrevlRa1é²,.×ſß"
+    for _ in range(5000):
+        texts = ["".join(rng.choices(letters, k=rng.randrange(14))) for _ in range(3)]
+        text, ends = "".join(texts), np.cumsum([0, *map(len, texts)])
+        points = np.array([ord(c) for c in text], np.uint16)
+        at = tokens.cuts(points, ends[ends > 0]).tolist() if text else [0]
+        assert [text[a:b] for a, b in zip(at, at[1:])] == [p for t in texts for p in find(t)], texts
+
+
+def test_a_piece_is_looked_up_once_a_group():
+    e, asked = Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Counting(type(e.known)):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    e.known = Counting()
+    ids, counts = e.encode(["the cat and the dog and the cat", "", " the cat"])
+    assert sorted(asked) == [" and", " cat", " dog", " the", "the"]
+    assert counts.tolist() == [8, 0, 2] and ids[-2:].tolist() == ids[6:8].tolist()
+
+
 @pytest.mark.parametrize("name", FILES)
 def test_ids_equal_the_library_unchanged(spark, make_docs, name):
     path = public_tokenizers.path(name)

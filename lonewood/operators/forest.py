@@ -40,6 +40,10 @@ FORMAT_VERSION = 1
 MAX_BLOCK_BYTES = 64 << 20
 # a larger model is not broadcast: a worker would hold all of it
 MAX_BROADCAST_BYTES = 4 * MAX_BLOCK_BYTES
+# pairs of a point and a tree in one task, where points are dealt before they are walked: each is a
+# row of paths, or a term of a score
+PATHS_PER_TASK = 2_000_000
+SCORES_PER_TASK = 20_000_000
 # of the candidates or samples of one task of training; above about 10 MB tasks are no faster
 TASK_BYTES = 16 << 20
 
@@ -186,11 +190,29 @@ class ForestModel:
         walked = df.select("*", *[h.alias(f"_{own}_{i}") for i, h in enumerate(hs)])
         return walked.select(*[F.col(f"`{n}`") for n in df.columns], path.alias(names[0]), score.alias(names[1]))
 
-    def paths(self, df: DataFrame, id_col: str) -> DataFrame:
-        """Long form (id, group, tree, path_length, leaf): one row per point and tree."""
+    def _walks(self) -> int:
+        """Pairs of a training row and a tree."""
+        rows = max(self.n_rows.values(), default=0) if self.assign == "all" else sum(self.n_rows.values())
+        return rows * self.n_trees_total
+
+    def score_tasks(self) -> int:
+        """Tasks for the scores of the training rows, by their number."""
+        return max(1, math.ceil(self._walks() / SCORES_PER_TASK))
+
+    def path_tasks(self) -> int:
+        """Tasks for the paths of the training rows, by their number."""
+        return max(1, math.ceil(self._walks() / PATHS_PER_TASK))
+
+    def paths(self, df: DataFrame, id_col: str, spread: int | None = None) -> DataFrame:
+        """Long form (id, group, tree, path_length, leaf): one row per point and tree.
+
+        ``spread`` deals the points over that many partitions first: a point becomes a row per
+        tree, so points that fill one split of a file are the work of many tasks."""
         d = self.d
         blocks = self.blocks()
         base = df.select(F.col(id_col).cast("bigint").alias("_id"), *self.spec.exprs())
+        if spread and spread > 1:
+            base = base.repartition(spread)
         schema = T.StructType([
             T.StructField("id", T.LongType(), False),
             T.StructField("group", T.IntegerType(), False),

@@ -162,7 +162,7 @@ def ranked_scores(spark, sf, spec, combine="forest", data=None) -> DataFrame:
 
 def paths(spark, sf, spec: Spec) -> DataFrame:
     m = model(spark, sf, spec)
-    return m.paths(spec.scen.df(spark, sf), spec.scen.id_col)
+    return m.paths(spec.scen.df(spark, sf), spec.scen.id_col, spread=m.path_tasks())
 
 
 # ============================================================ Spark queries

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, gauss, points_df, sine
+from conftest import SF001, SF01, gauss, points_df, sine
 from lonewood.operators import inspect as I
 from lonewood.operators.forest import fit, tree_samples
 
@@ -434,3 +434,28 @@ def test_mapped_blocks_are_no_memory_of_the_worker(tmp_path):
         kept.append(S.from_file(str(tmp_path / "b")))
         assert np.array_equal(S.path_sums(X, kept[-1]), want) and not kept[-1].threshold.flags.owndata
     assert anonymous() - before < 21 * n  # less than one block, with ten of them open
+
+
+def test_paths_of_one_split_are_the_work_of_many_tasks(spark, monkeypatch):
+    from lonewood.operators import forest
+    from lonewood.plans import catalog
+
+    monkeypatch.setattr(forest, "PATHS_PER_TASK", 20_000)
+    dealt = catalog.paths(spark, SF01, catalog.M_CUST)
+    m = catalog.model(spark, SF01, catalog.M_CUST)
+    plain = m.paths(catalog.CUST.df(spark, SF01), "c_custkey")
+    assert plain.rdd.getNumPartitions() == 1
+    assert m.path_tasks() > 1 and dealt.rdd.getNumPartitions() == m.path_tasks()
+    assert sorted(dealt.collect()) == sorted(plain.collect())
+
+
+def test_scores_of_one_split_are_the_work_of_many_tasks(spark, monkeypatch):
+    from lonewood.operators import forest
+    from lonewood.plans import catalog
+
+    plain = catalog.scores(spark, SF001, catalog.M_ORD)
+    monkeypatch.setattr(forest, "SCORES_PER_TASK", 50_000)
+    dealt = catalog.scores(spark, SF001, catalog.M_ORD)
+    m = catalog.model(spark, SF001, catalog.M_ORD)
+    assert plain.rdd.getNumPartitions() == 1 < m.score_tasks() == dealt.rdd.getNumPartitions()
+    assert sorted(dealt.collect()) == sorted(plain.collect())

@@ -4,8 +4,9 @@
 task.  Instead:
 
 1. ``repartitionByRange(P, keys)`` + ``sortWithinPartitions(keys)`` -> partition i holds
-   a contiguous, sorted key range; the result is checkpointed (reliable, shared folder)
-   so every later pass sees the same partitions even after executor loss;
+   a contiguous, sorted key range; the result is written once (reliable, shared folder: rows
+   with their places as Parquet, or a checkpoint where later passes need the partitions
+   themselves), so every later pass sees the same places even after executor loss;
 2. per-partition counts -> a table (partition, rows before it), of one small row a partition;
 3. global index = rows before the partition + local position, by a join with that table.
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import partitions_for, shared_dir, ship_package
+from ..session import new_path, partitions_for, shared_dir, ship_package
 
 _LOCAL_BITS = 33
 
@@ -48,14 +49,20 @@ def _before(rows: DataFrame, part: Column, **counted: Column) -> DataFrame:
 
 
 def global_row_index(df: DataFrame, keys: list, index_col: str = "row_index",
-                     n_parts: int | None = None) -> DataFrame:
-    """Adds ``index_col`` = 0-based position of the row in the global order of ``keys``."""
-    ranged = _ranged(df, keys, n_parts).withColumn("_mid", F.monotonically_increasing_id())
-    ranged = ranged.checkpoint(eager=True)
+                     n_parts: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (default: all) and ``index_col`` = 0-based position of the
+    row in the global order of ``keys``.  Only they are written after the sort, so keys that no
+    one reads again end there."""
+    spark = df.sparkSession
+    cols = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
+    ranged = _ranged(df, keys, n_parts).select(*cols, F.monotonically_increasing_id().alias("_mid"))
+    path = new_path(spark, "indexed")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     offsets = _before(ranged, pid, _off_n=F.lit(1))
-    return ranged.withColumn("_p", pid).join(offsets, "_p").withColumn(index_col, F.col("_off_n") + local).drop("_mid", "_tb", "_p", "_off_n")
+    return ranged.withColumn("_p", pid).join(offsets, "_p").withColumn(index_col, F.col("_off_n") + local).drop("_mid", "_p", "_off_n")
 
 
 def running_counts(df: DataFrame, keys: list, flags: list[str], n_parts: int | None = None,

@@ -26,8 +26,9 @@ from pyspark import SparkFiles
 
 from ..functions.draws import c_factor_py
 
-# rows x trees handled by one numpy step: the int64 work arrays stay cache-sized (~0.5 MB)
-CELLS_PER_STEP = 65_536
+# rows x trees handled by one numpy step: the int64 work arrays of a step stay in a core's own
+# cache (128 KB each)
+CELLS_PER_STEP = 16_384
 
 
 def c_table(max_n: int) -> np.ndarray:
@@ -36,8 +37,8 @@ def c_table(max_n: int) -> np.ndarray:
 
 # dense heap layout up to this depth limit (2^(limit+1) - 1 slots per tree)
 DENSE_MAX_LIMIT = 12
-# rows per numpy step: (rows x trees) int64 work arrays stay cache-sized
-ROWS_PER_STEP = 1024
+# rows per numpy step: 64 trees of them are a step's cells
+ROWS_PER_STEP = 256
 
 
 @dataclass

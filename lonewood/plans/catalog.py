@@ -52,7 +52,7 @@ class Scen:
         if self.index_keys:  # only the keys and features go through the sort
             keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(self.index_keys)]
             t = t.select(*keys, *[F.expr(e).alias(n) for n, e in self.feats])
-            t = global_row_index(t, [F.col(f"_k{i}") for i in range(len(keys))], self.id_col)
+            t = global_row_index(t, [F.col(f"_k{i}") for i in range(len(keys))], self.id_col, keep=self.names())
             return t.select(self.id_col, *self.names())
         if self.array_col:
             return t.select(F.col(self.id_col), F.col(self.array_col))
@@ -146,7 +146,9 @@ def scores(spark, sf, spec: Spec, combine: str = "forest", data: Scen | None = N
     m = model(spark, sf, spec)
     scen = data or spec.scen
     df = scen.df(spark, sf)
-    out = m.score(df, combine=combine, id_col=scen.id_col)
+    # the rows of a file may be a split or two; an index's rows lie in files of their own
+    tasks = m.score_tasks() if data is None and not scen.index_keys else 1
+    out = m.score(df, combine=combine, id_col=scen.id_col, spread=tasks if tasks > 1 else None)
     return out.select(F.col(scen.id_col).cast("bigint").alias("id"), "path_mean", "score")
 
 

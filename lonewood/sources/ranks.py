@@ -32,7 +32,8 @@ def save_ranks(scores: DataFrame, path: str, col: str = "score", n_ranges: int |
     and don't count."""
     shared_dir(scores.sparkSession)
     s = F.col(col).cast("double")
-    counts = scores.select(s.alias("s")).where("s IS NOT NULL AND NOT isnan(s)").groupBy("s").agg(F.count("*").alias("n"))
+    # a filter on the score itself would move down to where scores are made, and make them twice
+    counts = scores.select(s.alias("s")).groupBy("s").agg(F.count_if(F.col("s").isNotNull() & ~F.isnan("s")).alias("n")).where("n > 0")
     ranges = min(MAX_RANGES, n_ranges or partitions_for(scores.select(s.alias("s"))))
     w = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = counts.repartitionByRange(ranges, "s").withColumn("range", F.spark_partition_id())

@@ -219,3 +219,12 @@ def test_range_sort_splits_a_hot_key(spark):
 def test_freedman_diaconis_has_no_hidden_limit():
     assert A.fd_bins(10 ** 15, 0.4, 0.6, 0.0, 1.0, None) == 250000
     assert A.fd_bins(10 ** 15, 0.4, 0.6, 0.0, 1.0) == 50 and A.fd_bins(100, 0.5, 0.5, 0.0, 1.0, None) == 50
+
+
+def test_a_row_index_writes_only_what_is_kept(spark):
+    df = spark.createDataFrame([(i % 3, f"k{i}", float(i)) for i in range(50)], "a int, b string, x double").repartition(4)
+    ix = global_row_index(df, [F.col("a"), F.col("b")], "i", n_parts=5, keep=["x"])
+    written = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in ix.inputFiles()})
+    assert written.columns == ["x", "_mid"] and ix.columns == ["x", "i"]
+    want = [r.x for r in df.orderBy("a", "b").collect()]
+    assert [r.x for r in sorted(ix.collect(), key=lambda r: r.i)] == want

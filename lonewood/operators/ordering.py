@@ -4,9 +4,8 @@
 task.  Instead:
 
 1. ``repartitionByRange(P, keys)`` + ``sortWithinPartitions(keys)`` -> partition i holds
-   a contiguous, sorted key range; the result is written once (reliable, shared folder: rows
-   with their places as Parquet, or a checkpoint where later passes need the partitions
-   themselves), so every later pass sees the same places even after executor loss;
+   a contiguous, sorted key range; the result is written once (reliable, shared folder: a checkpoint,
+   or, where only some columns are kept, these and the places as Parquet), so every later pass sees the same places even after executor loss;
 2. per-partition counts -> a table (partition, rows before it), of one small row a partition;
 3. global index = rows before the partition + local position, by a join with that table.
 
@@ -50,15 +49,19 @@ def _before(rows: DataFrame, part: Column, **counted: Column) -> DataFrame:
 
 def global_row_index(df: DataFrame, keys: list, index_col: str = "row_index",
                      n_parts: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``df`` (default: all) and ``index_col`` = 0-based position of the
-    row in the global order of ``keys``.  Only they are written after the sort, so keys that no
-    one reads again end there."""
+    """Adds ``index_col`` = 0-based position of the row in the global order of ``keys``.
+
+    By default the rows stay in the partitions of the sort, a checkpoint of all columns.  With
+    ``keep`` only those columns are left, written as Parquet with the places, so keys that no
+    one reads again end at the sort; the partitions are then those of the files' splits."""
     spark = df.sparkSession
-    cols = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
-    ranged = _ranged(df, keys, n_parts).select(*cols, F.monotonically_increasing_id().alias("_mid"))
-    path = new_path(spark, "indexed")
-    ranged.write.parquet(path)
-    ranged = spark.read.schema(ranged.schema).parquet(path)
+    ranged = _ranged(df, keys, n_parts).withColumn("_mid", F.monotonically_increasing_id())
+    if keep is None:
+        ranged = ranged.drop("_tb").checkpoint(eager=True)
+    else:
+        path, kept = new_path(spark, "indexed"), ranged.select(*[F.col(f"`{c}`") for c in keep], "_mid")
+        kept.write.parquet(path)
+        ranged = spark.read.schema(kept.schema).parquet(path)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     offsets = _before(ranged, pid, _off_n=F.lit(1))
